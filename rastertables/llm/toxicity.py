@@ -26,7 +26,7 @@ from pyspark.sql import functions as F
 from .quality import labelled, score_texts
 
 #: Bytes of a window, of its step, and of an n-gram.
-WINDOW, STEP, GRAM = 96, 80, 5
+WINDOW, STEP, GRAM = 96, 80, 4
 LEVEL, BASE_BYTES, CORES = 6, 4096, 120
 MAX_ROWS = 6000
 
@@ -48,7 +48,7 @@ def _spread(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     return np.unique(np.concatenate(each) if each else np.empty(0, np.uint64), return_counts=True)
 
 
-def toxic_cores(toxic: list[bytes], ordinary: list[bytes], ratio: float = 12.0) -> list[bytes]:
+def toxic_cores(toxic: list[bytes], ordinary: list[bytes], ratio: float = 30.0) -> list[bytes]:
     """Passages common in ``toxic`` and rare in ``ordinary``, most common first."""
     grams, many = _spread(toxic)
     others, few = _spread(ordinary)
