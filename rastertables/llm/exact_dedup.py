@@ -23,8 +23,11 @@ from pyspark.sql import functions as F
 
 from .common import SPACES, shared_dir, text_or_empty
 
-ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
-PROVIDER = "spark.sql.streaming.stateStore.providerClass"
+#: State on disk; without preallocated files, as there is a store per partition.
+STORE = {
+    "spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
+    "spark.sql.streaming.stateStore.rocksdb.allowFAllocate": "false",
+}
 #: Rows of one group that are compared with one copy of the text that stays.
 ROWS_PER_SALT = 64
 
@@ -46,8 +49,9 @@ def keyed_state(keys: DataFrame, checkpoint: str) -> DataFrame:
     on where it stopped.
     """
     spark = keys.sparkSession
-    before = spark.conf.get(PROVIDER)
-    spark.conf.set(PROVIDER, ROCKSDB)
+    before = {k: spark.conf.get(k, None) for k in STORE}
+    for k, v in STORE.items():
+        spark.conf.set(k, v)
     try:
         groups = keys.groupBy("digest").agg(
             F.min(F.struct(F.col("doc_id").isNull().alias("null_id"), "doc_id", "row_id", "locator")).alias("first"),
@@ -56,7 +60,8 @@ def keyed_state(keys: DataFrame, checkpoint: str) -> DataFrame:
         query = groups.writeStream.format("noop").outputMode("update").option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
         query.awaitTermination()
     finally:
-        spark.conf.set(PROVIDER, before)
+        for k, v in before.items():
+            spark.conf.unset(k) if v is None else spark.conf.set(k, v)
     state = spark.read.format("statestore").load(checkpoint)
     first, size = (f"value.`{n}`" for n in state.schema["value"].dataType.names)
     return state.select(F.col("key.digest").alias("digest"), F.col(first).alias("first"), F.col(size).alias("group_size"))
