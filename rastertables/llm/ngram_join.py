@@ -38,6 +38,8 @@ from .shingles import band_hashes, choose_bands, shingle_set
 
 NGRAM, SIMILARITY, RECALL, HASHES = 5, 0.8, 0.999, 128
 BLOCK = 200
+#: Candidates (8 bytes each) up to which their ids are broadcast; texts are shuffled beyond.
+BROADCAST = 1_000_000
 
 
 def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
@@ -176,6 +178,9 @@ def jaccard_classes(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILAR
     met = stored(met.join(buckets, "bucket"), "ngram-buckets")
     # Sets of the candidates only; one row for a doc_id even if its row repeats.
     wanted = met.select(F.col("rep").alias("doc_id")).distinct()
+    wanted = stored(wanted, "ngram-wanted")
+    if wanted.count() <= BROADCAST:
+        wanted = F.broadcast(wanted)
     sets = stored(_gram_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi"), n), "ngram-sets")
     if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
         sets = stored(_of_class(sets, signed, classes), "ngram-sets")
