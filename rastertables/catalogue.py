@@ -1,11 +1,542 @@
-"""All queries over the driver's tables, with their SQL."""
+"""All queries over the driver's tables, with their SQL.
+
+``VIEWS`` derives image catalogues, pixels, labels, logits and manifests from
+the tables, once for Spark and once for DuckDB where the dialects differ.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from .operators import labels as L
+from .operators import metrics as M
+from .operators import quality as Q
+from .operators import registration as R
+from .operators import splits as S
+from .operators import tiling as T
+from .operators.features import class_embedding, linear_logits, pooled_features
+
+#: name -> (table, Spark SQL, DuckDB SQL or None if the same)
+VIEWS = {
+    "catalog": ("orders", """SELECT concat('IMG_', o_orderkey) AS image_id, concat('OBS_', o_custkey) AS observation_id, 100 + o_orderkey % 157 AS height, 90 + o_custkey % 211 AS width,
+        CAST(CASE o_orderkey % 4 WHEN 0 THEN 0.25 WHEN 1 THEN 0.5 WHEN 2 THEN 1.0 ELSE 0 END AS DOUBLE) AS xres FROM orders""", None),
+    "pixels": ("embeddings", """SELECT vec_id AS tile, CAST(floor(vec_id / 10) AS BIGINT) AS crop, CAST(label AS BIGINT) AS label, CAST(floor(pos / 8) AS BIGINT) AS y, CAST(pos % 8 AS BIGINT) AS x,
+        CAST(greatest(0, least(255, rint(CAST(v AS DOUBLE) * 400 + 128))) AS BIGINT) AS dn FROM (SELECT vec_id, label, posexplode(embedding) AS (pos, v) FROM embeddings)""",
+        """SELECT vec_id AS tile, CAST(floor(vec_id / 10) AS BIGINT) AS crop, CAST(label AS BIGINT) AS label, CAST(floor(pos / 8) AS BIGINT) AS y, CAST(pos % 8 AS BIGINT) AS x,
+        CAST(greatest(0, least(255, round_even(CAST(v AS DOUBLE) * 400 + 128, 0))) AS BIGINT) AS dn FROM (SELECT vec_id, label, unnest(range(len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings)"""),
+    "logits": ("embeddings", """SELECT vec_id, CAST(floor(vec_id / 10) AS BIGINT) AS batch, CASE WHEN vec_id % 7 = 0 THEN 255 ELSE CAST(label AS BIGINT) END AS target,
+        transform(slice(embedding, 1, 10), x -> CAST(x AS DOUBLE) * 20) AS logits FROM embeddings""",
+        """SELECT vec_id, CAST(floor(vec_id / 10) AS BIGINT) AS batch, CASE WHEN vec_id % 7 = 0 THEN 255 ELSE CAST(label AS BIGINT) END AS target,
+        list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE) * 20) AS logits FROM embeddings"""),
+    "legend_rows": ("nation", """SELECT CASE WHEN n_regionkey = 0 THEN 'rect' ELSE ' Square' END AS shape, n_name AS value, concat('#', lpad(hex(CAST((n_nationkey * 651733) % 16777216 AS BIGINT)), 6, '0')) AS color, CAST(n_nationkey AS BIGINT) AS src_pos FROM nation""", None),
+    "rgba": ("lineitem", """SELECT l_orderkey AS y, CAST(l_linenumber AS BIGINT) AS x, CAST((l_partkey * 37) % 256 AS BIGINT) AS r, CAST((l_suppkey * 11) % 256 AS BIGINT) AS g, CAST((l_partkey + l_suppkey) % 256 AS BIGINT) AS b,
+        CASE WHEN l_orderkey % 9 = 0 THEN 0 ELSE 255 END AS a FROM lineitem""", None),
+    "crops": ("events", """SELECT event_id AS crop_id, concat('OBS_', user_id) AS observation_id, event_type, value, value / 500 AS invalid_fraction,
+        CASE WHEN event_type = 'error' THEN 'error' WHEN value / 500 > 0.25 THEN 'invalid' WHEN event_id % 11 = 0 THEN 'lowvar' ELSE 'kept' END AS decision FROM events""", None),
+    "history": ("events", "SELECT user_id AS run, event_id AS epoch, value AS metric, event_id % 17 + 1 AS batch_size FROM events", None),
+    "boxes": ("supplier", """SELECT s_suppkey AS box_id, (s_suppkey % 360 - 180) / 10.0D AS lon0, (s_suppkey % 360 - 170) / 10.0D AS lon1, (s_suppkey % 120 - 60) / 10.0D AS lat0, (s_suppkey % 120 - 52) / 10.0D AS lat1 FROM supplier""",
+        """SELECT s_suppkey AS box_id, (s_suppkey % 360 - 180) / 10.0::DOUBLE AS lon0, (s_suppkey % 360 - 170) / 10.0::DOUBLE AS lon1, (s_suppkey % 120 - 60) / 10.0::DOUBLE AS lat0, (s_suppkey % 120 - 52) / 10.0::DOUBLE AS lat1 FROM supplier"""),
+    "tiles": ("customer", """SELECT concat('T', c_custkey) AS tile, CAST(c_custkey % 40 * 16 AS DOUBLE) AS `left`, CAST(c_custkey % 40 * 16 + 20 AS DOUBLE) AS `right`, CAST(c_nationkey * 12 AS DOUBLE) AS bottom, CAST(c_nationkey * 12 + 15 AS DOUBLE) AS top, CAST(0.5 AS DOUBLE) AS res FROM customer""",
+        """SELECT concat('T', c_custkey) AS tile, CAST(c_custkey % 40 * 16 AS DOUBLE) AS "left", CAST(c_custkey % 40 * 16 + 20 AS DOUBLE) AS "right", CAST(c_nationkey * 12 AS DOUBLE) AS bottom, CAST(c_nationkey * 12 + 15 AS DOUBLE) AS top, CAST(0.5 AS DOUBLE) AS res FROM customer"""),
+    "files": ("orders", "SELECT concat('/maps/v', o_orderkey % 12, '/tile_', o_orderkey, '.tif') AS path FROM orders", None),
+}
+
+_FOUND: dict[str, tuple[Callable, str | None]] = {}
+
+
+def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    table, text, _ = VIEWS[name]
+    return spark.sql(text.replace(f"FROM {table}", "FROM {table}"), table=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
+
+
+def query(sql: str | None = None, *views: str):
+    """Register a query: a function of views, and the SQL over the same views."""
+
+    def add(f):
+        def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+            return f(*[view(spark, sf_dir, v) for v in views])
+
+        if sql is not None:
+            known = ", ".join(f"{v} AS ({VIEWS[v][2] or VIEWS[v][1]})" for v in views)
+            text = f"WITH {known} {sql}" if not sql.startswith("WITH ") else f"WITH {known}, {sql[5:]}"
+        else:
+            text = None
+        _FOUND[f.__name__] = (run, text)
+        return f
+
+    return add
+
+
+def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
+    return {n: f for n, (f, _) in _FOUND.items()}
+
+
+def oracle_sql() -> dict[str, str]:
+    return {n: s for n, (_, s) in _FOUND.items() if s is not None}
+
+
+def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return _FOUND["w1_tile_quality_splits"][0](spark, sf_dir)
+
+
+STRETCH = """WITH g AS (SELECT tile, CASE WHEN dn IN (0, 255) THEN NULL ELSE CAST(dn AS DOUBLE) END AS v FROM pixels),
+q AS (SELECT tile, quantile_cont(v, 0.01) AS p1, quantile_cont(v, 0.99) AS p99, min(v) AS mn, max(v) AS mx FROM g GROUP BY tile),
+l AS (SELECT tile AS t, CASE WHEN p99 > p1 THEN p1 ELSE mn END AS lo, CASE WHEN p99 > p1 THEN p99 ELSE mx END AS hi FROM q),
+s AS (SELECT pixels.*, CASE WHEN hi > lo THEN least(1.0, greatest(0.0, (dn - lo) / (hi - lo))) END AS unit FROM pixels JOIN l ON tile = t)"""
+
+
+@query(STRETCH + """, f AS (SELECT tile, avg(CASE WHEN dn IN (0, 255) THEN 1.0 ELSE 0.0 END) AS bad FROM pixels GROUP BY tile),
+d AS (SELECT s.tile, min(crop) AS crop, stddev_pop(2 * unit - 1) AS std FROM s GROUP BY s.tile),
+k AS (SELECT d.*, CASE WHEN bad > 0.05 THEN 'invalid' WHEN std IS NULL OR std < 0.4 THEN 'lowvar' ELSE 'kept' END AS decision FROM d JOIN f ON d.tile = f.tile),
+o AS (SELECT crop, row_number() OVER (ORDER BY md5('42:' || crop), crop) AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT crop FROM pixels)),
+p AS (SELECT crop, CASE WHEN rk <= least(greatest(5, round_even(n * 0.2::DOUBLE, 0)), n) THEN 'val' ELSE 'train' END AS split FROM o)
+SELECT split, count(*) AS candidates, count_if(decision = 'kept')::BIGINT AS kept, count_if(decision = 'invalid')::BIGINT AS rejected_invalid, count_if(decision = 'lowvar')::BIGINT AS rejected_lowvar, 0::BIGINT AS errors
+FROM k JOIN p ON k.crop = p.crop GROUP BY ROLLUP (split)""", "pixels")
+def w1_tile_quality_splits(pixels):
+    bad = Q.invalid_fraction(pixels, "tile")
+    std = Q.tile_std(Q.robust_stretch(pixels, "tile"), "tile")
+    tiles = pixels.groupBy("tile").agg(F.min("crop").alias("crop")).join(bad, "tile").join(std, "tile")
+    decision = F.when(F.col("invalid_fraction") > 0.05, "invalid").when(F.col("std").isNull() | (F.col("std") < 0.4), "lowvar").otherwise("kept")
+    splits = S.split_by_group(pixels, "crop", 0.2, 5, "42")
+    return Q.qc_summary(S.assign_split(tiles.withColumn("decision", decision), splits, "crop"), "split")
+
+
+GRID = """(SELECT image_id, height, width, "row", "row" * 64 AS top, col, col * 64 AS "left" FROM (
+SELECT *, unnest(range(0, greatest(1, CAST(ceil(width / 64) AS BIGINT)))) AS col FROM (SELECT *, unnest(range(0, greatest(1, CAST(ceil(height / 64) AS BIGINT)))) AS "row" FROM catalog)))"""
+
+
+@query(f"""SELECT image_id, "row", col, top, "left", least(96, height - top) AS valid_h, least(96, width - "left") AS valid_w, 96 - least(96, height - top) AS pad_h, 96 - least(96, width - "left") AS pad_w FROM {GRID}""", "catalog")
+def p1_padded_grid(catalog):
+    return T.padded_grid(catalog, 96, 64).select("image_id", "row", "col", "top", "left", "valid_h", "valid_w", "pad_h", "pad_w")
+
+
+@query("""SELECT image_id, y // 64 AS "row", x // 64 AS col, y, x FROM (SELECT *, unnest(range(0, width - 64 + 1, 64)) AS x FROM (SELECT *, unnest(range(0, height - 64 + 1, 64)) AS y FROM catalog))""", "catalog")
+def p2_full_tile_grid(catalog):
+    return T.full_tile_grid(catalog, 64).select("image_id", "row", "col", "y", "x")
+
+
+@query("""SELECT image_id, "row", col, "row" // 4 AS d_row, col // 4 AS d_col, 16::BIGINT AS d_size FROM (SELECT *, unnest(range(0, width - 64 + 1, 48)) AS col FROM (SELECT *, unnest(range(0, height - 64 + 1, 48)) AS "row" FROM catalog))""", "catalog")
+def p3_strided_windows(catalog):
+    return T.strided_windows(catalog, 64, 48, 4).select("image_id", "row", "col", "d_row", "d_col", "d_size")
+
+
+@query("""SELECT image_id, 10 + dy AS b_row, 20 + dx AS b_col, least(50, height - dy) AS b_h, least(80, width - dx) AS b_w FROM (SELECT *, unnest(range(0, width, 80)) AS dx FROM (SELECT *, unnest(range(0, height, 50)) AS dy FROM catalog))""", "catalog")
+def p4_block_partition(catalog):
+    windows = catalog.select("image_id", F.lit(10).cast("long").alias("row"), F.lit(20).cast("long").alias("col"), F.col("height").alias("h"), F.col("width").alias("w"))
+    return T.block_partition(windows, 80, 50).select("image_id", "b_row", "b_col", "b_h", "b_w")
+
+
+@query("SELECT image_id, CAST(ceil(height / 32) * ceil(width / 32) AS BIGINT) AS total, least(40, CAST(ceil(height / 32) * ceil(width / 32) AS BIGINT)) AS analysed FROM catalog", "catalog")
+def p5_count_candidates(catalog):
+    return T.count_candidates(catalog, 32, 40).select("image_id", "total", "analysed")
+
+
+@query(f"""SELECT image_id, "row", col, top + 48 - 100 AS req_y, greatest(top - 52, 0) AS read_y, greatest(least(top + 148, height) - greatest(top - 52, 0), 0) AS valid_y, greatest(52 - top, 0) AS before_y, greatest(top + 148 - height, 0) AS after_y,
+"left" - 52 AS req_x, greatest("left" - 52, 0) AS read_x, greatest(least("left" + 148, width) - greatest("left" - 52, 0), 0) AS valid_x, greatest(52 - "left", 0) AS before_x, greatest("left" + 148 - width, 0) AS after_x FROM {GRID}""", "catalog")
+def p6_context_window(catalog):
+    names = [f"{n}_{a}" for a in "yx" for n in ("req", "read", "valid", "before", "after")]
+    return T.context_window(T.padded_grid(catalog, 96, 64), 96, 200).select("image_id", "row", "col", *names)
+
+
+@query(f"""SELECT image_id, printf('%s_r%04d_c%04d_y%07d_x%07d.npy', image_id, "row", col, top, "left") AS name FROM {GRID}""", "catalog")
+def p7_tile_names(catalog):
+    grid = T.padded_grid(catalog, 96, 64)
+    return grid.select("image_id", T.tile_name(*[F.col(c) for c in ("image_id", "row", "col", "top", "left")]).alias("name"))
+
+
+@query("SELECT crop_id, invalid_fraction FROM crops WHERE invalid_fraction <= 0.1", "crops")
+def p9_filter_invalid(crops):
+    return Q.filter_invalid(crops, 0.1).select("crop_id", "invalid_fraction")
+
+
+@query(STRETCH + " SELECT tile, round(stddev_pop(2 * unit - 1), 6) AS std FROM s GROUP BY tile HAVING stddev_pop(2 * unit - 1) >= 0.4", "pixels")
+def p10_filter_low_variance(pixels):
+    std = Q.filter_low_variance(Q.tile_std(Q.robust_stretch(pixels, "tile"), "tile"), 0.4)
+    return std.select("tile", F.round("std", 6).alias("std"))
+
+
+@query("""SELECT image_id, CASE WHEN xres <> 0 AND abs(abs(xres) - 1) > 1e-9 THEN abs(xres) END AS gsd, NOT coalesce(CASE WHEN xres <> 0 AND abs(abs(xres) - 1) > 1e-9 THEN abs(abs(xres) - 0.25) <= 0.05 END, false) AS excluded FROM catalog""", "catalog")
+def p11_gsd_policy(catalog):
+    return Q.gsd_policy(catalog, 0.25, 0.05).select("image_id", "gsd", "excluded")
+
+
+COVER = """(SELECT crop, avg(CASE WHEN dn > 60 THEN 1.0::DOUBLE ELSE 0.0 END) AS valid_frac, avg(CASE WHEN label > 4 THEN 1.0::DOUBLE ELSE 0.0 END) AS label_frac FROM pixels GROUP BY crop)"""
+
+
+@query(f"SELECT crop, round_even(valid_frac, 4) AS valid_frac, round_even(label_frac, 4) AS label_frac FROM {COVER} WHERE valid_frac >= 0.9 AND label_frac >= 0.5", "pixels")
+def p12_coverage_filter(pixels):
+    shifted = pixels.withColumn("dn", F.col("dn") - 60).withColumn("label", F.col("label") - 4)
+    return Q.coverage_filter(L.coverage_fractions(shifted, ["crop"]), 0.9, 0.5)
+
+
+@query("""SELECT image_id, x AS col, CASE WHEN x + 32 >= round_even(width * (1 - 0.3::DOUBLE), 0) THEN 'val' ELSE 'train' END AS split FROM (SELECT *, unnest(range(0, width - 64 + 1, 64)) AS x FROM catalog)""", "catalog")
+def p13_spatial_holdout(catalog):
+    columns = T.full_tile_grid(catalog, 64).filter("row = 0").select("image_id", "width", F.col("x").alias("col"))
+    return S.spatial_holdout(columns, "width", 64, 0.3).select("image_id", "col", "split")
+
+
+@query("""SELECT box_id, CAST(floor((lon0 * m + 3000000) / 500) AS BIGINT) AS col, CAST(floor((lat1 * m - 1000000) * -1 / 500) AS BIGINT) AS "row",
+CAST(ceil((lon1 * m + 3000000) / 500) - floor((lon0 * m + 3000000) / 500) AS BIGINT) AS w, CAST(ceil((lat0 * m - 1000000) * -1 / 500) - floor((lat1 * m - 1000000) * -1 / 500) AS BIGINT) AS h FROM boxes, (SELECT 3396190.0::DOUBLE * pi() / 180 AS m)""", "boxes")
+def p15_snap_aoi(boxes):
+    return L.snap_aoi(boxes, 3396190.0, -3000000.0, 1000000.0, 500.0).select("box_id", "col", "row", "w", "h")
+
+
+@query("""SELECT tile, round(avg(CASE WHEN dn = 0 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS zero, round(stddev_pop(dn), 6) AS std FROM pixels GROUP BY tile
+HAVING avg(CASE WHEN dn = 0 THEN 1.0::DOUBLE ELSE 0.0 END) <= 0.02 AND stddev_pop(dn) >= 45 AND avg(CASE WHEN dn > 200 THEN 1.0::DOUBLE ELSE 0.0 END) >= 0.05""", "pixels")
+def p16_textured_patches(pixels):
+    found = Q.textured_patches(pixels.withColumn("edge", F.col("dn") > 200), "tile", 0.02, 45.0, 0.05)
+    return found.select("tile", F.round("zero", 6).alias("zero"), F.round("std", 6).alias("std"))
+
+
+SPLIT = """o AS (SELECT observation_id, row_number() OVER (ORDER BY md5('7:' || observation_id), observation_id) AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT observation_id FROM crops)),
+p AS (SELECT observation_id, CASE WHEN rk <= least(greatest(20, round_even(n * 0.1::DOUBLE, 0)), n) THEN 'val' ELSE 'train' END AS split FROM o)"""
+
+
+@query(f"WITH {SPLIT} SELECT observation_id, split FROM p", "crops")
+def w3_split_by_group(crops):
+    return S.split_by_group(crops, "observation_id", 0.1, 20, "7")
+
+
+@query(f"WITH {SPLIT} SELECT crop_id, p.observation_id, split FROM crops JOIN p ON crops.observation_id = p.observation_id", "crops")
+def j1_assign_split(crops):
+    return S.assign_split(crops.select("crop_id", "observation_id"), S.split_by_group(crops, "observation_id", 0.1, 20, "7"), "observation_id")
+
+
+@query(f"WITH {SPLIT} SELECT 0::BIGINT AS n_both, 0::BIGINT AS n_missing, 0::BIGINT AS n_extra FROM p LIMIT 1", "crops")
+def u2_split_is_partition(crops):
+    return S.split_is_partition(crops, S.split_by_group(crops, "observation_id", 0.1, 20, "7"), "observation_id")
+
+
+@query("""SELECT crop_id, CASE WHEN rk <= n - round_even(n * 0.2::DOUBLE, 0) - round_even(n * 0.1::DOUBLE, 0) THEN 'train' WHEN rk <= n - round_even(n * 0.1::DOUBLE, 0) THEN 'val' ELSE 'test' END AS split
+FROM (SELECT crop_id, row_number() OVER (ORDER BY md5('s:' || crop_id), crop_id) AS rk, count(*) OVER () AS n FROM crops)""", "crops")
+def w4_split_records(crops):
+    return S.split_records(crops.select("crop_id"), "crop_id", 0.2, 0.1, "s")
+
+
+@query("""SELECT crop_id, batch, slot FROM (SELECT crop_id, (rk - 1) // 64 AS batch, (rk - 1) % 64 AS slot, n // 64 AS nb FROM (SELECT crop_id, row_number() OVER (ORDER BY md5('12:' || crop_id), crop_id) AS rk, count(*) OVER () AS n FROM crops)) WHERE batch < nb AND batch >= 3""", "crops")
+def w8_epoch_plan(crops):
+    return S.epoch_plan(crops.select("crop_id"), "crop_id", 10, 2, 64, True, 3)
+
+
+@query("""SELECT observation_id, crop_id FROM (SELECT observation_id, crop_id, i, n, CAST(floor(i * 4 / greatest(n - 1, 1)) AS BIGINT) AS j FROM (SELECT *, row_number() OVER (PARTITION BY observation_id ORDER BY crop_id) - 1 AS i, count(*) OVER (PARTITION BY observation_id) AS n FROM crops))
+WHERE n <= 5 OR i IN (SELECT 0) OR list_contains([round_even(k * (n - 1) / 4.0::DOUBLE, 0) FOR k IN range(5)], i)""", "crops")
+def w2_even_subsample(crops):
+    return T.even_subsample(crops, "observation_id", ["crop_id"], 5).select("observation_id", "crop_id")
+
+
+@query("SELECT tile, label, x, y FROM (SELECT *, row_number() OVER (PARTITION BY label, crop ORDER BY md5(concat('k:', label, ':', crop, ':', tile * 64 + y * 8 + x)), tile * 64 + y * 8 + x) AS n FROM pixels) WHERE n <= 5", "pixels")
+def w5_sample_pixels_per_class(pixels):
+    keyed = pixels.withColumn("key", F.col("tile") * 64 + F.col("y") * 8 + F.col("x"))
+    return S.sample_per_group(keyed, ["label", "crop"], "key", 5, "k").select("tile", "label", "x", "y")
+
+
+@query("""SELECT label, crop, n, "before" FROM (SELECT *, coalesce(CAST(sum(n) OVER (PARTITION BY label ORDER BY crop ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS BIGINT), 0) AS "before" FROM (SELECT label, crop, count(*) AS n FROM pixels GROUP BY ALL)) WHERE "before" < 1500""", "pixels")
+def w6_cap_class_total(pixels):
+    return S.cap_class_total(pixels, "label", "crop", 1500)
+
+
+@query("SELECT label, crop FROM (SELECT *, count(*) OVER (PARTITION BY label) AS c, row_number() OVER (PARTITION BY label ORDER BY crop) AS n FROM (SELECT DISTINCT label, crop FROM pixels)) WHERE c >= 10 AND n <= 20", "pixels")
+def w7_first_n_with_minimum(pixels):
+    return S.first_n_with_minimum(pixels.select("label", "crop").distinct(), "label", "crop", 10, 20)
+
+
+@query("SELECT crop_id, cell, row_number() OVER (PARTITION BY crop_id ORDER BY md5(concat('m:', crop_id, ':', cell)), cell) <= 10 AS masked FROM (SELECT crop_id, unnest(range(16))::INTEGER AS cell FROM crops)", "crops")
+def w9_exact_ratio_mask(crops):
+    return S.exact_ratio_mask(crops, "crop_id", 4, 4, 0.6, "m")
+
+
+@query("SELECT crop_id, cell, ('0x' || substr(md5(concat('b:', crop_id, ':', cell)), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.5 AS masked FROM (SELECT crop_id, unnest(range(16))::INTEGER AS cell FROM crops)", "crops")
+def f8_random_mask(crops):
+    return S.random_mask(crops, "crop_id", 64, 16, 0.5, "b")
+
+
+@query("""SELECT tile, CASE WHEN ('0x' || substr(md5('f:h:' || tile), 1, 1))::INTEGER < 8 THEN 7 - x ELSE x END AS x, CASE WHEN ('0x' || substr(md5('f:v:' || tile), 1, 1))::INTEGER < 8 THEN 7 - y ELSE y END AS y, dn FROM pixels""", "pixels")
+def f7_flip_augment(pixels):
+    return S.flip_augment(pixels, "tile", 8, 8, "f").select("tile", "x", "y", "dn")
+
+
+@query("""SELECT tile, x, y, CASE WHEN label % 2 = 0 THEN -1.0::DOUBLE ELSE dn END AS masked_dn, CASE WHEN label % 2 = 0 THEN 255 - dn ELSE dn END AS mixed_dn FROM pixels""", "pixels")
+def f9_apply_mask(pixels):
+    mask = F.col("label") % 2 == 0
+    return pixels.select("tile", "x", "y", S.apply_mask(F.col("dn"), mask, -1.0).alias("masked_dn"), S.composite(F.col("dn"), 255 - F.col("dn"), mask).alias("mixed_dn"))
+
+
+@query("""SELECT crop_id, 'write' AS action FROM crops WHERE decision = 'kept' AND crop_id % 3 <> 0 UNION ALL SELECT crop_id, 'delete' FROM crops WHERE decision <> 'kept' AND crop_id % 3 = 0""", "crops")
+def j7_resume_plan(crops):
+    return S.resume_plan(crops.select("crop_id", (F.col("decision") == "kept").alias("keep")), crops.filter("crop_id % 3 = 0").select("crop_id"), "crop_id", False)
+
+
+@query("SELECT crop_id, observation_id, NULL::DOUBLE AS value FROM crops UNION ALL SELECT crop_id, NULL, value FROM crops WHERE value > 50", "crops")
+def u1_append_manifests(crops):
+    return S.append_manifests(crops.select("crop_id", "observation_id"), crops.filter("value > 50").select("crop_id", "value"))
+
+
+@query("SELECT path FROM files ORDER BY path LIMIT 500 OFFSET 100", "files")
+def t1_batch_slice(files):
+    return T.batch_slice(files, 100, 500)
+
+
+@query("SELECT crop_id FROM crops ORDER BY md5('r:' || crop_id), crop_id LIMIT 100", "crops")
+def t2_seeded_sample(crops):
+    return T.seeded_sample(crops.select("crop_id"), "crop_id", 100, "r")
+
+
+@query("SELECT run, epoch, metric FROM (SELECT *, row_number() OVER (PARTITION BY run ORDER BY metric DESC, epoch) AS n FROM history) WHERE n = 1", "history")
+def t4_best_epoch(history):
+    return M.best_epoch(history, "run", "epoch", "metric").select("run", "epoch", "metric")
+
+
+@query("""SELECT label, x, tile, score, "rank" FROM (SELECT label, x, tile, dn AS score, row_number() OVER (PARTITION BY label, x ORDER BY dn DESC, tile) AS "rank" FROM pixels WHERE y = 0) WHERE "rank" <= 6""", "pixels")
+def t5_top_k_gallery(pixels):
+    return M.top_k_gallery(pixels.filter("y = 0").select("label", "x", "tile", F.col("dn").alias("score")), ["label", "x"], "tile")
+
+
+@query("SELECT tile, avg(CASE WHEN dn IN (0, 255) THEN 1.0::DOUBLE ELSE 0.0 END) AS invalid_fraction FROM pixels GROUP BY tile", "pixels")
+def a1_invalid_fraction(pixels):
+    return Q.invalid_fraction(pixels, "tile")
+
+
+@query("""SELECT observation_id, count(*) AS candidates, count_if(decision = 'kept')::BIGINT AS kept, count_if(decision = 'invalid')::BIGINT AS rejected_invalid, count_if(decision = 'lowvar')::BIGINT AS rejected_lowvar, count_if(decision = 'error')::BIGINT AS errors FROM crops GROUP BY ROLLUP (observation_id)""", "crops")
+def a2_qc_summary(crops):
+    return Q.qc_summary(crops, "observation_id")
+
+
+@query("""WITH g AS (SELECT CASE WHEN xres <> 0 AND abs(abs(xres) - 1) > 1e-9 THEN abs(xres) END AS gsd FROM catalog)
+SELECT CASE WHEN gsd IS NULL THEN 'unknown' ELSE printf('%.3f', gsd) END AS gsd_name, count(*) AS n, count_if(NOT coalesce(abs(gsd - 0.5) <= 0.1, false))::BIGINT AS n_excluded FROM g GROUP BY 1""", "catalog")
+def a3_gsd_distribution(catalog):
+    return Q.gsd_distribution(Q.gsd_policy(catalog, 0.5, 0.1))
+
+
+@query("SELECT CAST(sum(t) AS BIGINT) AS total, CAST(sum(least(40, t)) AS BIGINT) AS analysed FROM (SELECT CAST(ceil(height / 32) * ceil(width / 32) AS BIGINT) AS t FROM catalog)", "catalog")
+def a4_inventory_totals(catalog):
+    return T.count_candidates(catalog, 32, 40).agg(F.sum("total").alias("total"), F.sum("analysed").alias("analysed"))
+
+
+@query("SELECT observation_id, count(*) AS n FROM crops GROUP BY observation_id", "crops")
+def a5_records_per_source(crops):
+    return crops.groupBy("observation_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+LEGEND = """leg AS (SELECT row_number() OVER (ORDER BY src_pos) AS class_id, value, color, ('0x' || substr(color, 2, 2))::INTEGER AS r, ('0x' || substr(color, 4, 2))::INTEGER AS g, ('0x' || substr(color, 6, 2))::INTEGER AS b FROM legend_rows WHERE lower(trim(shape)) = 'square' AND trim(value) <> '')"""
+DECODED = LEGEND + """, near AS (SELECT c.r, c.g, c.b, arg_min(class_id, d * 1000 + class_id) AS near_id, min(d) AS d FROM (SELECT DISTINCT r, g, b FROM rgba WHERE a > 0) c, (SELECT class_id, r AS pr, g AS pg, b AS pb FROM leg) p, LATERAL (SELECT (c.r - pr) * (c.r - pr) + (c.g - pg) * (c.g - pg) + (c.b - pb) * (c.b - pb) AS d) GROUP BY ALL),
+dec AS (SELECT x, y, rgba.r, rgba.g, rgba.b, a, CASE WHEN a = 0 OR d > 1600 THEN 0 ELSE near_id END AS class_id FROM rgba LEFT JOIN near ON rgba.r = near.r AND rgba.g = near.g AND rgba.b = near.b)"""
+
+
+@query(f"WITH {LEGEND} SELECT class_id, value, color, r, g, b FROM leg", "legend_rows")
+def s8_legend(rows):
+    return L.legend(rows)
+
+
+@query(f"WITH {LEGEND} SELECT class_id, r, g, b, 255 AS a FROM leg UNION ALL SELECT 0, 0, 0, 0, 0", "legend_rows")
+def s12_colormap(rows):
+    return L.colormap(L.legend(rows))
+
+
+@query("SELECT version, path FROM (SELECT *, regexp_extract(path, '/(v[^/]*)/', 1) AS version FROM files) WHERE version = (SELECT max(regexp_extract(path, '/(v[^/]*)/', 1)) FROM files)", "files")
+def s16_latest_version_tiles(files):
+    return L.latest_version_tiles(files)
+
+
+@query(f"WITH {DECODED} SELECT x, y, class_id FROM dec", "rgba", "legend_rows")
+def j3_decode_colours(rgba, rows):
+    return L.decode_colours(rgba, L.legend(rows)).select("x", "y", "class_id")
+
+
+@query(f"WITH {DECODED}, h AS (SELECT class_id AS c, count(*) AS k FROM dec GROUP BY 1) SELECT class_id, coalesce(k, 0) AS n, coalesce(k, 0) / (SELECT count(*) FROM dec) AS share FROM (SELECT class_id FROM leg UNION ALL SELECT 0) LEFT JOIN h ON class_id = c", "rgba", "legend_rows")
+def a6_class_histogram(rgba, rows):
+    classes = L.legend(rows)
+    return L.class_histogram(L.decode_colours(rgba, classes), classes)
+
+
+@query("SELECT i.y, i.x, i.r, coalesce(l.g, 0) AS label FROM rgba i LEFT JOIN (SELECT y - 3 AS y, x - 1 AS x, g FROM rgba) l ON i.y = l.y AND i.x = l.x", "rgba")
+def j2_pair_by_ground_bounds(rgba):
+    return L.pair_by_ground_bounds(rgba.select("y", "x", "r"), rgba.select("y", "x", F.col("g").alias("class_id")), 3, 1)
+
+
+@query("SELECT tile, x, y, CASE WHEN label = 0 OR dn = 0 THEN 255 ELSE label - 1 END AS target FROM pixels", "pixels")
+def f6_remap_labels(pixels):
+    return L.remap_labels(pixels).select("tile", "x", "y", "target")
+
+
+@query(f"SELECT crop, round(valid_frac, 6) AS valid_frac, round(label_frac, 6) AS label_frac FROM {COVER}", "pixels")
+def a7_coverage_fractions(pixels):
+    shifted = pixels.withColumn("dn", F.col("dn") - 60).withColumn("label", F.col("label") - 4)
+    return L.coverage_fractions(shifted, ["crop"]).select("crop", F.round("valid_frac", 6).alias("valid_frac"), F.round("label_frac", 6).alias("label_frac"))
+
+
+@query("""SELECT tile, CAST(round_even((mr - ml) / res, 0) AS BIGINT) AS m_width, CAST(round_even((mt - mb) / res, 0) AS BIGINT) AS m_height, CAST(round_even(("left" - ml) / res, 0) AS BIGINT) AS off_x, CAST(round_even((mt - top) / res, 0) AS BIGINT) AS off_y
+FROM tiles, (SELECT min("left") AS ml, max("right") AS mr, min(bottom) AS mb, max(top) AS mt FROM tiles)""", "tiles")
+def a9_mosaic_extent(tiles):
+    return L.mosaic_extent(tiles)
+
+
+@query("""SELECT a.tile AS b_tile, b.tile AS t_tile FROM tiles a JOIN tiles b ON a.bottom < b.top AND b.bottom < a.top AND a."left" < b."right" AND b."left" < a."right" AND a.tile < b.tile""", "tiles")
+def j4_tiles_for_blocks(tiles):
+    side = lambda p: tiles.select(F.col("tile").alias(f"{p}tile"), *[F.col(c).alias(p + n) for c, n in (("bottom", "y0"), ("top", "y1"), ("left", "x0"), ("right", "x1"))])
+    return T.tiles_for_blocks(side("b_"), side("t_"), 32).filter("b_tile < t_tile").select("b_tile", "t_tile")
+
+
+@query("""SELECT tile, y, x, "row", col FROM pixels, (SELECT unnest(range(4)) AS "row") r, (SELECT unnest(range(4)) AS col) c WHERE y >= "row" * 2 AND y < "row" * 2 + 4 AND x >= col * 2 AND x < col * 2 + 4""", "pixels")
+def j5_pixels_to_windows(pixels):
+    return T.pixels_to_windows(pixels, 4, 2).select("tile", "y", "x", "row", "col")
+
+
+@query("SELECT y, x, arg_max(dn, tile) AS dn FROM (SELECT crop, tile, y, x, dn FROM pixels WHERE dn <> 0) GROUP BY y, x", "pixels")
+def a10_mosaic_composite(pixels):
+    return L.mosaic_composite(pixels)
+
+
+@query("SELECT tile, y // 3 AS "by", x // 3 AS bx, round(sum(dn * wy * wx) / sum(wy * wx), 6) AS dn FROM (SELECT *, CASE WHEN y = 7 THEN 2 ELSE 1 END AS wy, CASE WHEN x = 7 THEN 2 ELSE 1 END AS wx FROM pixels) GROUP BY ALL", "pixels")
+def a11_downsample_mean(pixels):
+    sized = pixels.withColumn("h", F.lit(8)).withColumn("w", F.lit(8))
+    return L.downsample_mean(sized, "tile", "h", "w", 3).withColumn("dn", F.round("dn", 6))
+
+
+@query("SELECT tile, "by", bx, round(dn, 6) AS dn, factor FROM (SELECT tile, y // 2 AS "by", x // 2 AS bx, avg(dn) AS dn, 2 AS factor FROM pixels GROUP BY ALL UNION ALL SELECT tile, y // 4, x // 4, avg(dn), 4 FROM pixels GROUP BY ALL)", "pixels")
+def a12_build_pyramid(pixels):
+    return L.build_pyramid(pixels, "tile", (2, 4)).withColumn("dn", F.round("dn", 6))
+
+
+@query("SELECT crop, tile % 10 * 4 + y AS gy, tile % 5 * 4 + x AS gx, round(avg(dn), 6) AS v FROM pixels GROUP BY ALL", "pixels")
+def a13_stitch_tiles(pixels):
+    placed = pixels.select("crop", (F.col("tile") % 10 * 4).alias("row"), (F.col("tile") % 5 * 4).alias("col"), "y", "x", F.col("dn").alias("v"))
+    return L.stitch_tiles(placed, "crop").withColumn("v", F.round("v", 6))
+
+
+@query("SELECT crop, count_if(dn > 0)::BIGINT AS n_valid, round(avg(CASE WHEN dn > 0 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS share FROM pixels GROUP BY crop", "pixels")
+def a25_valid_share(pixels):
+    return L.valid_share(pixels, "crop").withColumn("share", F.round("share", 6))
+
+
+FISHER = """k AS (SELECT dy, dx, c, count(*) AS n, avg(dn) AS m FROM pr GROUP BY ALL), tt AS (SELECT dy, dx, count(*) AS alln, avg(dn) AS mean, var_pop(dn) AS v FROM pr GROUP BY ALL),
+bb AS (SELECT k.dy, k.dx, sum(n * (m - mean) ** 2) AS ss FROM k JOIN tt ON k.dy = tt.dy AND k.dx = tt.dx WHERE n >= 50 GROUP BY ALL)"""
+PAIRS = """sh AS (SELECT * FROM (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx)),
+pr AS (SELECT sh.dy, sh.dx, a.dn, b.dn // 52 AS c FROM pixels a, sh, pixels b WHERE a.tile = b.tile AND b.y = a.y + sh.dy AND b.x = a.x + sh.dx AND a.dn > 0 AND b.dn // 52 > 0)"""
+
+
+def _shifts(df: DataFrame) -> DataFrame:
+    one = lambda n: df.sparkSession.range(-1, 2).select(F.col("id").alias(n))
+    return one("dy").crossJoin(one("dx"))
+
+
+@query(f"WITH {PAIRS}, {FISHER} SELECT tt.dy, tt.dx, round(CASE WHEN alln < 1000 THEN 0 ELSE coalesce(ss, 0) / alln / (v + 1e-9) END, 6) AS fisher FROM tt LEFT JOIN bb ON tt.dy = bb.dy AND tt.dx = bb.dx", "pixels")
+def r6_separability_sweep(pixels):
+    labels = pixels.select("tile", "y", "x", F.floor(F.col("dn") / 52).alias("class_id"))
+    pairs = R.shift_join(pixels.select("tile", "y", "x", "dn"), labels, _shifts(pixels), "tile")
+    return R.fisher_ratio(pairs, ["dy", "dx"]).withColumn("fisher", F.round("fisher", 6))
+
+
+EDGES = """e AS (SELECT tile, y, x, dn // 52 AS c, dn // 52 > 0 AND (coalesce(lead(dn // 52) OVER (PARTITION BY tile, y ORDER BY x) <> dn // 52, false) OR coalesce(lead(dn // 52) OVER (PARTITION BY tile, x ORDER BY y) <> dn // 52, false)) AS edge FROM pixels)"""
+
+
+@query(f"WITH {EDGES} SELECT tile, y, x, edge FROM e", "pixels")
+def w10_label_edges(pixels):
+    labels = pixels.select("tile", "y", "x", F.floor(F.col("dn") / 52).alias("class_id"))
+    return R.label_edges(labels, "tile").select("tile", "y", "x", "edge")
+
+
+SWEEP = EDGES + """, sh AS (SELECT * FROM (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx)), sw AS (SELECT sh.dy, sh.dx, avg(p.dn) AS energy FROM e, sh, pixels p WHERE edge AND p.tile = e.tile AND p.y = e.y + sh.dy AND p.x = e.x + sh.dx GROUP BY ALL)"""
+
+
+def _sweep(pixels):
+    edges = R.label_edges(pixels.select("tile", "y", "x", F.floor(F.col("dn") / 52).alias("class_id")), "tile")
+    return R.edge_energy(edges, pixels.select("tile", "y", "x", F.col("dn").alias("g")), _shifts(pixels), "tile")
+
+
+@query(f"WITH {SWEEP} SELECT dy, dx, round(energy, 6) AS energy FROM sw", "pixels")
+def r7_edge_energy_sweep(pixels):
+    return _sweep(pixels).withColumn("energy", F.round("energy", 6))
+
+
+@query(f"""WITH {SWEEP}, pk AS (SELECT dy, dx, energy AS peak FROM sw ORDER BY energy DESC, dy, dx LIMIT 1), z AS (SELECT max(energy) AS zero FROM sw WHERE dy = 0 AND dx = 0),
+f AS (SELECT *, peak / (zero + 1e-9) > 1.05 OR peak / zero - 1 > 0.1 AS resolvable FROM pk, z)
+SELECT resolvable, CASE WHEN resolvable THEN dy ELSE 0 END AS best_dy, CASE WHEN resolvable THEN dx ELSE 0 END AS best_dx, CASE WHEN resolvable THEN sqrt(dy * dy + dx * dx) ELSE 0 END AS residual_px, CASE WHEN resolvable THEN sqrt(dy * dy + dx * dx) ELSE 0 END * 0.25::DOUBLE AS residual_m FROM f""", "pixels")
+def r8_registration_report(pixels):
+    peak = R.surface_peak(_sweep(pixels), "energy")
+    return R.registration_report(peak, res=0.25)
+
+
+@query("SELECT tile, y, x, CAST(sum(d) OVER (PARTITION BY tile, y ORDER BY x) AS BIGINT) AS total FROM (SELECT *, sum(dn) OVER (PARTITION BY tile, x ORDER BY y) AS d FROM pixels)", "pixels")
+def w11_integral_image(pixels):
+    return Q.integral_image(pixels, "tile", "dn").select("tile", "y", "x", "total")
+
+
+@query(STRETCH + " SELECT tile, y, x, CAST(round_even(round(unit * 255, 9), 0) AS INTEGER) AS u8 FROM s", "pixels")
+def f2_robust_stretch(pixels):
+    return Q.robust_stretch(pixels, "tile").select("tile", "y", "x", "u8")
+
+
+@query("SELECT tile, y, x, dn / 127.5::DOUBLE - 1 AS v, CAST(dn AS INTEGER) AS u8 FROM pixels", "pixels")
+def f5_dequantise_requantise(pixels):
+    v = Q.dequantise(F.col("dn"))
+    return pixels.select("tile", "y", "x", v.alias("v"), Q.requantise(v).alias("u8"))
+
+
+SOFT = """l AS (SELECT *, list_max(logits) AS mx FROM logits), n AS (SELECT *, mx + ln(list_sum(list_transform(logits, lambda x: exp(x - mx)))) AS lse FROM l)"""
+
+
+@query(f"WITH {SOFT} SELECT vec_id, round(exp(mx - lse), 6) AS confidence, round(-list_sum(list_transform(logits, lambda x: exp(x - lse) * ln(greatest(exp(x - lse), 1e-8)))), 6) AS entropy, CAST(list_position(logits, mx) - 1 AS BIGINT) AS argmax FROM n", "logits")
+def f10_confidence_entropy(logits):
+    out = M.confidence_entropy(logits)
+    return out.select("vec_id", F.round("confidence", 6).alias("confidence"), F.round("entropy", 6).alias("entropy"), "argmax")
+
+
+@query(f"WITH {SOFT} SELECT round(avg(lse - logits[target + 1]), 6) AS loss FROM n WHERE target <> 255", "logits")
+def a17_cross_entropy(logits):
+    return M.cross_entropy(logits).select(F.round("loss", 6).alias("loss"))
+
+
+MIOU = """pp AS (SELECT batch, target, CAST(list_position(logits, list_max(logits)) - 1 AS BIGINT) AS pred FROM logits), v AS (SELECT * FROM pp WHERE target <> 255),
+cl AS (SELECT batch, c, sum(p) AS p, sum(t) AS t, sum(i) AS i FROM (SELECT batch, pred AS c, 1 AS p, 0 AS t, CASE WHEN pred = target THEN 1 ELSE 0 END AS i FROM v UNION ALL SELECT batch, target, 0, 1, 0 FROM v) GROUP BY ALL),
+bm AS (SELECT batch, sum(i) / sum(t) AS accuracy, avg(i / (p + t - i)) AS miou FROM cl GROUP BY batch)"""
+
+
+@query(f"WITH {MIOU} SELECT b.batch, round(coalesce(accuracy, 0), 6) AS accuracy, round(coalesce(miou, 0), 6) AS miou FROM (SELECT DISTINCT batch FROM pp) b LEFT JOIN bm ON b.batch = bm.batch", "logits")
+def a15_segmentation_metrics(logits):
+    pairs = logits.select("batch", "target", (F.array_position("logits", F.array_max("logits")) - 1).alias("pred"))
+    return M.segmentation_metrics(pairs, "batch").select("batch", F.round("accuracy", 6).alias("accuracy"), F.round("miou", 6).alias("miou"))
+
+
+@query("SELECT run, round(sum(metric * batch_size) / sum(batch_size), 6) AS metric FROM history GROUP BY run", "history")
+def a16_epoch_metrics(history):
+    return M.epoch_metrics(history, "run", "metric", "batch_size").withColumn("metric", F.round("metric", 6))
+
+
+@query("SELECT crop, round(sum(CASE WHEN label % 2 = 0 THEN CASE WHEN abs(dn / 100 - 1) < 1 THEN 0.5 * (dn / 100 - 1) ** 2 ELSE abs(dn / 100 - 1) - 0.5 END ELSE 0 END) / greatest(count_if(label % 2 = 0), 1), 6) AS loss FROM pixels GROUP BY crop", "pixels")
+def a18_masked_loss(pixels):
+    rows = pixels.select("crop", (F.col("dn") / 100).alias("recon"), F.lit(1.0).alias("target"), (F.col("label") % 2 == 0).alias("mask"))
+    return M.masked_loss(rows, "crop", "smooth_l1").withColumn("loss", F.round("loss", 6))
+
+
+@query("SELECT crop, label, n / total AS share FROM (SELECT crop, label, count(*) AS n, sum(count(*)) OVER (PARTITION BY crop) AS total FROM pixels WHERE label <> 3 GROUP BY crop, label) WHERE n / total >= 0.15", "pixels")
+def a19_class_presence(pixels):
+    return M.class_presence(pixels, "crop", "label", 3, 0.15)
+
+
+@query("SELECT crop, dim, round(avg(v), 6) AS mean, round(avg(v) * (dim + 1), 6) AS psi FROM (SELECT crop, (y * 8 + x)::INTEGER AS dim, dn::DOUBLE AS v FROM pixels) GROUP BY crop, dim", "pixels")
+def a20_pooled_features(pixels):
+    rows = pixels.groupBy("crop", "tile").agg(F.transform(F.array_sort(F.collect_list(F.struct((F.col("y") * 8 + F.col("x")).alias("p"), "dn"))), lambda s: s["dn"]).alias("f"))
+    weights = pixels.sparkSession.range(64).select(F.col("id").cast("int").alias("dim"), (F.col("id") + 1).alias("w"))
+    out = class_embedding(pooled_features(rows, "crop", "f"), weights)
+    return out.select("crop", "dim", F.round("mean", 6).alias("mean"), F.round("psi", 6).alias("psi"))
+
+
+@query("SELECT quantile_cont(dn, 0.95) AS reference FROM (SELECT dn::DOUBLE AS dn FROM pixels)", "pixels")
+def a22_reference_distance(pixels):
+    return M.reference_distance(pixels.withColumn("dn", F.col("dn").cast("double")), "dn")
+
 
-def queries() -> dict:
-    return {}
+@query("SELECT round(avg(s / 10), 6) AS distance FROM (SELECT list_sum(list_transform(logits, lambda x: (x * 0.5 - x) ** 2)) AS s FROM logits)", "logits")
+def a24_feature_distance(logits):
+    a = logits.select("vec_id", F.col("logits").alias("f"))
+    return M.feature_distance(a, a.select("vec_id", F.transform("f", lambda x: x * 0.5).alias("f")), "vec_id").select(F.round("distance", 6).alias("distance"))
 
 
-def oracle_sql() -> dict:
-    return {}
+@query("SELECT vec_id, class_id, round(list_sum(list_transform(logits, lambda x: x * (class_id + 1))) + class_id, 6) AS logit FROM logits, (SELECT unnest(range(3)) AS class_id)", "logits")
+def f11_linear_logits(logits):
+    ids = logits.sparkSession.range(3).select(F.col("id").alias("class_id"))
+    weights = ids.select("class_id", F.array_repeat((F.col("class_id") + 1).cast("double"), 10).alias("w"), F.col("class_id").cast("double").alias("b"))
+    return linear_logits(logits, weights, "logits").select("vec_id", "class_id", F.round("logit", 6).alias("logit"))

@@ -34,7 +34,7 @@ def robust_stretch(pixels: DataFrame, tile: str, low: float = 0.01, high: float
     out = pixels.join(limits, F.col(tile) == F.col("__t")).drop("__t")
     unit = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("dn") - F.col("lo")) / (F.col("hi") - F.col("lo"))))
     out = out.withColumn("unit", F.when(F.col("hi") > F.col("lo"), unit))
-    return out.withColumn("u8", F.rint(F.col("unit") * 255).cast("int"))
+    return out.withColumn("u8", F.rint(F.round(F.col("unit") * 255, 9)).cast("int"))
 
 
 def tile_std(stretched: DataFrame, tile: str) -> DataFrame:
