@@ -42,8 +42,9 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
         ((F.sum("source_size").over(everything) - F.coalesce(F.sum("cap").over(before), F.lit(0.0))) / F.sum("weight").over(after)).alias("level"),
     )
     clamped = F.col("cap") <= F.col("level") * F.col("weight")
-    # The level of the first source that is not clamped holds for all after it.
-    final = F.min(F.when(~clamped, F.struct((F.col("cap") / F.col("weight")).alias("r"), "level"))).over(everything)["level"]
+    # The level of the first source that is not clamped holds for all after it;
+    # of equal ratios the first has the highest level.
+    final = -F.min(F.when(~clamped, F.struct((F.col("cap") / F.col("weight")).alias("r"), (-F.col("level")).alias("down")))).over(everything)["down"]
     return level.select("source", "source_size", F.when(clamped, F.col("cap")).otherwise(F.least(F.col("cap"), final * F.col("weight"))).alias("target"))
 
 
@@ -106,7 +107,7 @@ l AS (
   FROM w),
 t AS (
   SELECT source, source_size, CASE WHEN cap <= level * weight THEN cap
-         ELSE least(cap, weight * (SELECT arg_min(level, cap / weight) FROM l WHERE NOT cap <= level * weight)) END AS target
+         ELSE least(cap, weight * (SELECT level FROM l WHERE NOT cap <= level * weight ORDER BY cap / weight, level DESC LIMIT 1)) END AS target
   FROM l),
 p AS (
   SELECT doc_id, d.source, size, rank, source_size, target,
