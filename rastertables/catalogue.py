@@ -389,13 +389,13 @@ def a10_mosaic_composite(pixels):
     return L.mosaic_composite(pixels)
 
 
-@query("SELECT tile, y // 3 AS "by", x // 3 AS bx, round(sum(dn * wy * wx) / sum(wy * wx), 6) AS dn FROM (SELECT *, CASE WHEN y = 7 THEN 2 ELSE 1 END AS wy, CASE WHEN x = 7 THEN 2 ELSE 1 END AS wx FROM pixels) GROUP BY ALL", "pixels")
+@query("SELECT tile, y // 3 AS block_y, x // 3 AS block_x, round(sum(dn * wy * wx) / sum(wy * wx), 6) AS dn FROM (SELECT *, CASE WHEN y = 7 THEN 2 ELSE 1 END AS wy, CASE WHEN x = 7 THEN 2 ELSE 1 END AS wx FROM pixels) GROUP BY ALL", "pixels")
 def a11_downsample_mean(pixels):
     sized = pixels.withColumn("h", F.lit(8)).withColumn("w", F.lit(8))
     return L.downsample_mean(sized, "tile", "h", "w", 3).withColumn("dn", F.round("dn", 6))
 
 
-@query("SELECT tile, "by", bx, round(dn, 6) AS dn, factor FROM (SELECT tile, y // 2 AS "by", x // 2 AS bx, avg(dn) AS dn, 2 AS factor FROM pixels GROUP BY ALL UNION ALL SELECT tile, y // 4, x // 4, avg(dn), 4 FROM pixels GROUP BY ALL)", "pixels")
+@query("SELECT tile, block_y, block_x, round(dn, 6) AS dn, factor FROM (SELECT tile, y // 2 AS block_y, x // 2 AS block_x, avg(dn) AS dn, 2 AS factor FROM pixels GROUP BY ALL UNION ALL SELECT tile, y // 4, x // 4, avg(dn), 4 FROM pixels GROUP BY ALL)", "pixels")
 def a12_build_pyramid(pixels):
     return L.build_pyramid(pixels, "tile", (2, 4)).withColumn("dn", F.round("dn", 6))
 

@@ -81,14 +81,14 @@ def downsample_mean(pixels: DataFrame, image: str, height: str, width: str, fact
     pad = lambda at, n: F.when(F.col(at) == F.col(n) - 1, 1 + F.pmod(-F.col(n), F.lit(factor))).otherwise(1)
     weight = pad("y", height) * pad("x", width)
     cell = lambda n: F.floor(F.col(n) / factor).cast("long")
-    return pixels.groupBy(image, cell("y").alias("by"), cell("x").alias("bx")).agg((F.sum(F.col("dn") * weight) / F.sum(weight)).alias("dn"))
+    return pixels.groupBy(image, cell("y").alias("block_y"), cell("x").alias("block_x")).agg((F.sum(F.col("dn") * weight) / F.sum(weight)).alias("dn"))
 
 
 def build_pyramid(pixels: DataFrame, image: str, factors: tuple[int, ...] = (2, 4, 8), categorical: bool = False) -> DataFrame:
     """Overviews: means of present pixels, or the pixel at the cell's centre."""
     levels = None
     for f in factors:
-        cell = [F.floor(F.col(n) / f).cast("long").alias(b) for n, b in (("y", "by"), ("x", "bx"))]
+        cell = [F.floor(F.col(n) / f).cast("long").alias(b) for n, b in (("y", "block_y"), ("x", "block_x"))]
         if categorical:
             level = pixels.filter((F.col("y") % f == f // 2) & (F.col("x") % f == f // 2)).select(image, *cell, F.col("dn").cast("double").alias("dn"))
         else:
