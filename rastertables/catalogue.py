@@ -17,7 +17,9 @@ from .operators import quality as Q
 from .operators import registration as R
 from .operators import splits as S
 from .operators import tiling as T
+from .operators import windows as W
 from .operators.features import class_embedding, linear_logits, pooled_features
+from .sources import manifests
 
 #: name -> (table, Spark SQL, DuckDB SQL or None if the same)
 VIEWS = {
@@ -540,3 +542,105 @@ def f11_linear_logits(logits):
     ids = logits.sparkSession.range(3).select(F.col("id").alias("class_id"))
     weights = ids.select("class_id", F.array_repeat((F.col("class_id") + 1).cast("double"), 10).alias("w"), F.col("class_id").cast("double").alias("b"))
     return linear_logits(logits, weights, "logits").select("vec_id", "class_id", F.round("logit", 6).alias("logit"))
+
+
+def _image_blocks(pixels, block=4):
+    """The 8 x 8 tiles as block tables, one image a tile."""
+    at = pixels.select("tile", "y", "x", "dn", (F.floor(F.col("y") / block) * block).alias("y0"), (F.floor(F.col("x") / block) * block).alias("x0"))
+    rows = at.groupBy("tile", "y0", "x0").agg(F.array_sort(F.collect_list(F.struct("y", "x", "dn"))).alias("s"))
+    raw = F.unhex(F.array_join(F.transform("s", lambda p: F.lpad(F.hex(p["dn"]), 2, "0")), ""))
+    kind = [F.lit(block).alias("h"), F.lit(block).alias("w"), F.lit(1).alias("channels"), F.lit("uint8").alias("dtype")]
+    return rows.select(F.col("tile").alias("image_id"), "y0", "x0", *kind, raw.alias("pixels"))
+
+
+def _whole_tiles(pixels):
+    return _image_blocks(pixels, 8).withColumn("window_id", F.lit(0).cast("long")).drop("y0", "x0")
+
+
+def _values(tiles):
+    """tile, i, v of tiles: their values in row order."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            for image, raw, kind in zip(b["image_id"], b["pixels"], b["dtype"], strict=True):
+                v = np.frombuffer(raw, kind).astype(float)
+                yield pd.DataFrame({"tile": image, "i": np.arange(len(v)), "v": v})
+
+    return tiles.select("image_id", "pixels", "dtype").mapInPandas(run, "tile long, i long, v double")
+
+
+@query("""SELECT o.tile, (wy + 3) * 7 + wx - 4 AS i, CAST(dn AS DOUBLE) AS v FROM (SELECT tile, unnest(range(4, 11)) AS wx, wy FROM (SELECT DISTINCT tile, wy FROM pixels, (SELECT unnest(range(-3, 4)) AS wy))) o
+JOIN pixels ON pixels.tile = o.tile AND y = greatest(0, least(7, wy)) AND x = greatest(0, least(7, wx))""", "pixels")
+def r1_extract_windows(pixels):
+    size = [F.lit(n).cast("long").alias(c) for c, n in (("window_id", 0), ("top", -3), ("left", 4), ("height", 7), ("width", 7), ("image_height", 8), ("image_width", 8))]
+    windows = pixels.select(F.col("tile").alias("image_id")).distinct().select("image_id", *size)
+    return _values(W.extract_windows(_image_blocks(pixels), windows, 4))
+
+
+@query("SELECT tile, (y // 2) * 4 + x // 2 AS i, avg(dn) AS v FROM pixels GROUP BY ALL", "pixels")
+def r2_resize_bilinear(pixels):
+    return _values(W.resize_tiles(_whole_tiles(pixels), 4, 4))
+
+
+@query("""SELECT tile, y * 4 + x AS i, CAST(dn AS DOUBLE) AS v FROM (SELECT tile, (y - 1) // 2 AS y, (x - 1) // 2 AS x, dn FROM pixels WHERE y % 2 = 1 AND x % 2 = 1)""", "pixels")
+def r3_warp_nearest(pixels):
+    source = {"left": 0.0, "top": 0.0, "xres": 1.0, "yres": 1.0, "height": 8, "width": 8}
+    size = [F.lit(n).cast("long").alias(c) for c, n in (("window_id", 0), ("row", 0), ("col", 0), ("h", 4), ("w", 4))]
+    targets = pixels.select(F.col("tile").alias("image_id")).distinct().select("image_id", *size)
+    return _values(W.warp_to_grid(_image_blocks(pixels), targets, source, {"left": 0.0, "top": 0.0, "xres": 2.0, "yres": 2.0}, 4, "nearest"))
+
+
+@query("""WITH o AS (SELECT * FROM (VALUES (-1, -1, -1, -1), (-1, 0, -2, 0), (-1, 1, -1, 1), (0, -1, 0, -2), (0, 1, 0, 2), (1, -1, 1, -1), (1, 0, 2, 0), (1, 1, 1, 1)) t(dy, dx, ky, kx)),
+n AS (SELECT tile, y, x, ky, kx, greatest(0, least(7, y + dy)) AS ny, greatest(0, least(7, x + dx)) AS nx FROM pixels, o)
+SELECT n.tile, n.y * 8 + n.x AS i, round(sqrt(sum(ky * p.dn) ** 2 + sum(kx * p.dn) ** 2), 3) AS v FROM n JOIN pixels p ON p.tile = n.tile AND p.y = ny AND p.x = nx GROUP BY n.tile, n.y, n.x""", "pixels")
+def r4_image_gradient(pixels):
+    tiles = W.image_gradient(_whole_tiles(pixels))
+    return _values(tiles).withColumn("v", F.round("v", 3))
+
+
+@query("SELECT tile, y, x, CASE WHEN dn IN (0, 255) THEN true ELSE false END AS invalid FROM pixels", "pixels")
+def f1_pixel_invalid(pixels):
+    return pixels.select("tile", "y", "x", Q.pixel_invalid(F.col("dn"), "uint8").alias("invalid"))
+
+
+@query("""SELECT tile, dy, dx, avg(b.dn - a.dn) AS gap FROM (SELECT a.tile, a.dn, a.y + dy AS ly, a.x + dx AS lx, dy, dx FROM pixels a, (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx)) a
+JOIN (SELECT tile AS t, y, x, dn FROM pixels) b ON a.tile = b.t AND ly = b.y AND lx = b.x GROUP BY tile, dy, dx""", "pixels")
+def j9_shift_join(pixels):
+    shifts = pixels.sparkSession.range(9).select((F.floor(F.col("id") / 3) - 1).alias("dy"), (F.col("id") % 3 - 1).alias("dx"))
+    pairs = R.shift_join(pixels.select("tile", "y", "x", "dn"), pixels.select("tile", "y", "x", F.col("dn").alias("class_id")), shifts, "tile")
+    return pairs.groupBy("tile", "dy", "dx").agg(F.avg(F.col("class_id") - F.col("dn")).alias("gap"))
+
+
+@query("""WITH g AS (SELECT crop, label, dn FROM pixels WHERE dn > 0 AND label > 0), t AS (SELECT crop, count(*) AS n, avg(dn) AS m, var_pop(dn) AS v FROM g GROUP BY crop),
+k AS (SELECT crop, label, count(*) AS n, avg(dn) AS m FROM g GROUP BY crop, label HAVING count(*) >= 50)
+SELECT t.crop, round(CASE WHEN any_value(t.n) < 300 THEN 0 ELSE coalesce(sum(k.n * (k.m - t.m) ** 2), 0) / any_value(t.n) / (any_value(t.v) + 1e-9) END, 9) AS fisher FROM t LEFT JOIN k ON t.crop = k.crop GROUP BY t.crop""", "pixels")
+def a14_fisher_ratio(pixels):
+    pairs = pixels.select("crop", "dn", F.col("label").alias("class_id"))
+    return R.fisher_ratio(pairs, ["crop"], 50, 300).withColumn("fisher", F.round("fisher", 9))
+
+
+@query("SELECT 100 + height AS height, width, xres AS a, 0.0::DOUBLE AS b, 10.0::DOUBLE AS c, 0.0::DOUBLE AS d, -xres AS e, 20.0::DOUBLE AS f, xres AS res_x, xres AS res_y, 10.0::DOUBLE AS \"left\", 20.0::DOUBLE AS top, 10 + xres * width AS \"right\", 20 - xres * (100 + height) AS bottom FROM catalog", "catalog")
+def s13_target_grid(catalog):
+    zero, x = F.lit(0.0), F.col("xres")
+    return manifests.target_grid(catalog.select((F.col("height") + 100).alias("height"), "width", x.alias("a"), zero.alias("b"), F.lit(10.0).alias("c"), zero.alias("d"), (-x).alias("e"), F.lit(20.0).alias("f")))
+
+
+@query(f"""SELECT image_id AS source_image, 'npy' AS reader_backend, 'p/' || image_id AS patch_path, '' AS context_path, '' AS context_base_path, '' AS context_cache_path, 'patch_file' AS local_storage, 100 AS context_output_size, 2.0::DOUBLE AS context_scale, image_id AS patch_name,
+"row", col, top, "left", 96 AS patch_size, 64 AS stride, least(96, height - top) AS valid_height, least(96, width - "left") AS valid_width, 96 - least(96, height - top) AS pad_bottom, 96 - least(96, width - "left") AS pad_right, height AS image_height, width AS image_width,
+1 AS channels, 'uint8' AS dtype, 'constant' AS pad_mode, 0.0::DOUBLE AS pad_value, 200 AS context_size, top - 52 AS context_top, "left" - 52 AS context_left, greatest(least(top + 148, height) - greatest(top - 52, 0), 0) AS context_valid_height, greatest(least("left" + 148, width) - greatest("left" - 52, 0), 0) AS context_valid_width,
+greatest(52 - top, 0) AS context_pad_top, greatest(top + 148 - height, 0) AS context_pad_bottom, greatest(52 - "left", 0) AS context_pad_left, greatest("left" + 148 - width, 0) AS context_pad_right, 0.5::DOUBLE AS invalid_fraction FROM {GRID}""", "catalog")
+def p8_build_manifest(catalog):
+    grid = T.context_window(T.padded_grid(catalog, 96, 64), 96, 200)
+    text = {"source_image": F.col("image_id"), "reader_backend": F.lit("npy"), "patch_path": F.concat(F.lit("p/"), "image_id"), "patch_name": F.col("image_id"), "dtype": F.lit("uint8")}
+    none = {c: F.lit(None).cast("string") for c in ("context_base_path", "context_cache_path")}
+    return manifests.build_manifest(grid.withColumns(text | none | {"channels": F.lit(1), "invalid_fraction": F.lit(0.5)}), 96, 64, 200, 100)
+
+
+@query("""SELECT crop_id, CASE WHEN crop_id % 3 = 0 THEN 'offline_paired_context' WHEN user_obs IN (SELECT observation_id FROM crops WHERE event_type = 'error') THEN 'offline_shared_context' ELSE 'online_jp2' END AS backend FROM (SELECT crop_id, observation_id AS user_obs FROM crops)""", "crops")
+def j8_resolve_backend(crops):
+    patches = crops.select("crop_id", F.concat(F.lit("cache/"), "crop_id").alias("context_cache_path"), F.col("observation_id").alias("context_base_path"))
+    existing = patches.filter("crop_id % 3 = 0").select(F.col("context_cache_path").alias("path")).unionByName(crops.filter("event_type = 'error'").select(F.col("observation_id").alias("path")))
+    return manifests.resolve_backend(patches, existing).select("crop_id", "backend")
