@@ -215,7 +215,9 @@ def extract(pages: DataFrame) -> DataFrame:
     # The reference page of each host: the one of least digest, found without moving pages.
     key = F.xxhash64("html")
     chosen = rows.groupBy("host").agg(F.min(F.struct(key.alias("k"), F.octet_length("html").alias("n"))).alias("r"), F.approx_count_distinct(key).alias("pages"))
-    chosen = chosen.select(F.col("host").alias("r_host"), F.col("r.k").alias("r_key"), "pages")
+    # Tables per host are stored: Spark then knows their size before it plans the
+    # join, and pages are only shuffled if the table is too large to broadcast.
+    chosen = stored(chosen.select(F.col("host").alias("r_host"), F.col("r.k").alias("r_key"), "pages"), "wrapper-chosen")
     first = rows.withColumn("k", key).join(chosen, (F.col("host") == F.col("r_host")) & (F.col("k") == F.col("r_key"))).select("host", "html", "pages")
 
     def shapes(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -250,6 +252,7 @@ def extract(pages: DataFrame) -> DataFrame:
     totals = totals.withColumnRenamed("host", "t_host")
     template = counted.join(totals, F.col("host") == F.col("t_host")).filter(F.col("n") >= CONSTANT * F.col("all")).groupBy("host").agg(F.collect_set("digest").alias("constant"))
     # At most 1 / CONSTANT texts per node are constant, so these sets are small.
+    template = stored(template, "wrapper-templates")
     final = parsed.join(template.withColumnRenamed("host", "c_host"), F.col("host") == F.col("c_host"), "left")
     slots = F.filter(F.arrays_zip("texts", "digests", "nodes"), lambda x: F.col("constant").isNull() | (x["nodes"] == "") | ~F.array_contains("constant", x["digests"]))
     return final.select("page_id", "url", F.array_join(F.transform(slots, lambda x: x["texts"]), "\n\n").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))
