@@ -18,8 +18,11 @@ from .operators import registration as R
 from .operators import splits as S
 from .operators import tiling as T
 from .operators import windows as W
-from .operators.features import class_embedding, linear_logits, pooled_features
+from .operators.features import (
+    class_embedding, class_moments, fit_class_gaussians, fit_class_pca, linear_logits, mahalanobis_score, pooled_features, project_components,
+)
 from .sources import manifests
+from .sources.shared import scratch
 
 #: name -> (table, Spark SQL, DuckDB SQL or None if the same)
 VIEWS = {
@@ -644,3 +647,151 @@ def j8_resolve_backend(crops):
     patches = crops.select("crop_id", F.concat(F.lit("cache/"), "crop_id").alias("context_cache_path"), F.col("observation_id").alias("context_base_path"))
     existing = patches.filter("crop_id % 3 = 0").select(F.col("context_cache_path").alias("path")).unionByName(crops.filter("event_type = 'error'").select(F.col("observation_id").alias("path")))
     return manifests.resolve_backend(patches, existing).select("crop_id", "backend")
+
+
+TAGGED = "SELECT crop_id, CASE crop_id % 5 WHEN 0 THEN 'val' WHEN 1 THEN 'other' ELSE 'train' END AS split, decision FROM crops"
+
+
+def _tagged(crops: DataFrame) -> DataFrame:
+    tag = F.when(F.col("crop_id") % 5 == 0, "val").when(F.col("crop_id") % 5 == 1, "other").otherwise("train")
+    return crops.select("crop_id", tag.alias("split"), "decision")
+
+
+@query(f"SELECT crop_id, split FROM ({TAGGED}) WHERE split = 'val'", "crops")
+def p14_select_split(crops):
+    return S.select_split(_tagged(crops), "val").select("crop_id", "split")
+
+
+@query(f"SELECT split, count(*) AS candidates, count(*) FILTER (decision = 'kept') AS kept FROM ({TAGGED}) GROUP BY ROLLUP (split)", "crops")
+def a8_split_counts(crops):
+    return S.split_counts(_tagged(crops), F.col("decision") == "kept")
+
+
+FINITE = """WITH q AS (SELECT tile AS t, quantile_cont(dn::DOUBLE, 0.01) AS p1, quantile_cont(dn::DOUBLE, 0.99) AS p99, min(dn)::DOUBLE AS mn, max(dn)::DOUBLE AS mx FROM pixels GROUP BY tile),
+l AS (SELECT t, CASE WHEN p99 > p1 THEN p1 ELSE mn END AS lo, CASE WHEN p99 > p1 THEN p99 ELSE mx END AS hi FROM q),
+s AS (SELECT tile, y, x, CASE WHEN hi > lo THEN least(1.0, greatest(0.0, (dn - lo) / (hi - lo))) ELSE 0 END AS unit FROM pixels JOIN l ON tile = t)"""
+
+
+@query(FINITE + " SELECT tile, y, x, round(unit, 6) AS unit FROM s", "pixels")
+def f3_unit_range(pixels):
+    return Q.unit_range(pixels, "tile").select("tile", "y", "x", F.round("unit", 6).alias("unit"))
+
+
+@query(FINITE + " SELECT tile, y, x, CAST(floor(unit * 255) AS INTEGER) AS u8 FROM s", "pixels")
+def f4_preview_stretch(pixels):
+    return Q.preview_stretch(pixels, "tile").select("tile", "y", "x", "u8")
+
+
+@query(f"WITH {SWEEP}, z AS (SELECT max(energy) AS zero FROM sw WHERE dy = 0 AND dx = 0) SELECT dy, dx, round(energy, 6) AS peak, round(zero, 6) AS zero, round(CASE WHEN zero > 0 THEN energy / zero - 1 ELSE 0 END, 6) AS gain FROM sw, z ORDER BY energy DESC, dy, dx LIMIT 1", "pixels")
+def t3_surface_peak(pixels):
+    return R.surface_peak(_sweep(pixels), "energy").select("dy", "dx", *[F.round(n, 6).alias(n) for n in ("peak", "zero", "gain")])
+
+
+@query(f'SELECT image_id, "row", col FROM {GRID}', "catalog")
+def t6_scan_order(catalog):
+    return T.scan_order(T.padded_grid(catalog, 96, 64)).select("image_id", "row", "col")
+
+
+@query("""WITH v AS (SELECT target, unnest(range(10)) AS i, logits FROM logits), m AS (SELECT target, i, avg(logits[i + 1]) AS mean FROM v GROUP BY target, i)
+SELECT a.target, a.i, b.i AS j, round(any_value(a.mean), 6) AS mean, round(sum((l.logits[a.i + 1] - a.mean) * (l.logits[b.i + 1] - b.mean)) / greatest(1, count(*) - 1), 5) AS cov
+FROM logits l JOIN m a ON l.target = a.target JOIN m b ON l.target = b.target GROUP BY a.target, a.i, b.i""", "logits")
+def a21_class_covariances(logits):
+    """Means and covariances of features by class, from partial moments."""
+    fitted = class_moments(logits, "target", "logits").select("target", "n", "mean", F.posexplode("scatter").alias("at", "v"))
+    i, j = F.floor(F.col("at") / 10), F.col("at") % 10
+    return fitted.select("target", i.alias("i"), j.cast("long").alias("j"), F.round(F.col("mean")[i.cast("int")], 6).alias("mean"), F.round(F.col("v") / F.greatest(F.lit(1), F.col("n") - 1), 5).alias("cov"))
+
+
+@query(None, "logits")
+def a21_class_gaussians(logits):
+    return fit_class_gaussians(logits, "target", "logits")
+
+
+@query(None, "logits")
+def f12_mahalanobis(logits):
+    return mahalanobis_score(logits, fit_class_gaussians(logits, "target", "logits"), "logits").select("vec_id", "target", "score")
+
+
+@query(None, "logits")
+def a23_class_pca(logits):
+    return fit_class_pca(logits, "target", "logits").drop("mean")
+
+
+@query(None, "logits")
+def f13_project_components(logits):
+    return project_components(logits, fit_class_pca(logits, "target", "logits"), "target", "logits").select("vec_id", "target", "component", "score")
+
+
+@query("SELECT tile, avg(dn)::DOUBLE AS score FROM pixels GROUP BY tile", "pixels")
+def x2_score_tiles(pixels):
+    def load():
+        import numpy as np
+
+        return lambda part: [np.frombuffer(raw, np.uint8).mean() for raw in part["pixels"]]
+
+    return W.score_tiles(_whole_tiles(pixels), "image_id", load).withColumnRenamed("image_id", "tile")
+
+
+@query("""SELECT image_id, "row", col, top, "left", '/data/p/' || image_id AS patch_path, 'patch_file' AS local_storage, 200 AS context_output_size, 1.0::DOUBLE AS context_scale, 0.0::DOUBLE AS pad_value FROM """ + GRID, "catalog")
+def s4_patch_index(catalog):
+    """A legacy index, without the newer columns, written and read again."""
+    path = scratch(catalog.sparkSession, "patch-index")
+    grid = T.padded_grid(catalog, 96, 64)
+    rows = grid.select(F.concat(F.lit("/data/"), "image_id").alias("source_image"), F.concat(F.lit("p/"), "image_id").alias("patch_path"), "row", "col", "top", "left", F.lit(200).alias("context_size"))
+    rows.write.option("header", True).csv(path)
+    read = manifests.read_patch_index(catalog.sparkSession, path, "/data")
+    return read.select(F.substring_index("source_image", "/", -1).alias("image_id"), "row", "col", "top", "left", "patch_path", "local_storage", "context_output_size", "context_scale", "pad_value")
+
+
+@query("""SELECT '/data/' || name AS crop_path, observation_id, row_number() OVER (ORDER BY '/data/' || name) - 1 AS "index" FROM (SELECT printf('c%012d', crop_id) AS name, observation_id FROM crops)""", "crops")
+def s5_crop_index(crops):
+    path = scratch(crops.sparkSession, "crop-index")
+    crops.select(F.format_string("c%012d", "crop_id").alias("crop_path"), "observation_id").write.option("header", True).csv(path)
+    return manifests.read_crop_index(crops.sparkSession, path, "/data").select("crop_path", "observation_id", "index")
+
+
+@query("SELECT DISTINCT observation_id, CASE WHEN length(observation_id) % 2 = 0 THEN 'val' ELSE 'train' END AS split FROM crops", "crops")
+def s6_splits(crops):
+    path = scratch(crops.sparkSession, "splits")
+    ids = crops.select("observation_id", F.when(F.length("observation_id") % 2 == 0, "val").otherwise("train").alias("split"))
+    manifests.write_splits(ids, path)
+    return manifests.read_splits(crops.sparkSession, path)
+
+
+@query("SELECT crop_id AS \"row\", 512 AS size, 'train' AS split, invalid_fraction AS valid_frac FROM crops", "crops")
+def s7_seg_manifest(crops):
+    """A manifest without splits, written and read again."""
+    path = scratch(crops.sparkSession, "seg-manifest")
+    crops.select(F.lit(0).alias("col"), F.col("crop_id").alias("row"), F.lit(512).alias("size"), F.col("invalid_fraction").alias("valid_frac"), F.lit(1.0).alias("label_frac")).write.option("header", True).csv(path)
+    return manifests.read_seg_manifest(crops.sparkSession, path).select(F.col("row").cast("long").alias("row"), "size", "split", "valid_frac")
+
+
+@query("SELECT tile AS image_id, count(*) AS n_pixels FROM pixels GROUP BY tile", "pixels")
+def s9_write_tiles(pixels):
+    """One folder a crop, so that folders stay few."""
+    path, spark = scratch(pixels.sparkSession, "tiles"), pixels.sparkSession
+    tiles = _whole_tiles(pixels).withColumn("tile", F.col("image_id")).withColumn("image_id", F.col("tile") % 16)
+    manifests.write_tiles(tiles, path)
+    return spark.read.parquet(path).select(F.col("tile").alias("image_id"), F.octet_length("pixels").cast("long").alias("n_pixels"))
+
+
+@query('SELECT image_id, "row", col, 0.5::DOUBLE AS invalid_fraction FROM ' + GRID, "catalog")
+def s10_manifest_index(catalog):
+    path, spark = scratch(catalog.sparkSession, "manifest"), catalog.sparkSession
+    manifests.write_manifest_index(p8_build_manifest(catalog), path)
+    read = manifests.read_patch_index(spark, path, "/data")
+    return read.select(F.substring_index("source_image", "/", -1).alias("image_id"), "row", "col", "invalid_fraction")
+
+
+@query("SELECT run, epoch, metric FROM history", "history")
+def s15_history(history):
+    path, rows = scratch(history.sparkSession, "history"), history.select("run", "epoch", "metric")
+    return history.sparkSession.read.schema(rows.schema).option("header", True).csv(path) if manifests.write_history(rows, path) else rows
+
+
+@query("SELECT target, count(*) AS n FROM logits GROUP BY target", "logits")
+def s14_artifacts(logits):
+    path, spark = scratch(logits.sparkSession, "artifact"), logits.sparkSession
+    fitted = class_moments(logits, "target", "logits").select("target", "n")
+    manifests.save_artifact(fitted, path)
+    return manifests.load_artifact(spark, path, "target long, n long")

@@ -54,6 +54,11 @@ def select_split(df: DataFrame, split: str) -> DataFrame:
     return df if split == "all" else df.filter(F.col("split") == split)
 
 
+def split_counts(df: DataFrame, kept: Column) -> DataFrame:
+    """Candidates and kept rows per split, and in total (split null)."""
+    return df.rollup("split").agg(F.count(F.lit(1)).alias("candidates"), F.count_if(kept).alias("kept"))
+
+
 def sample_per_group(df: DataFrame, groups: list[str], key: str, most: int, seed: str) -> DataFrame:
     """At most ``most`` random rows of each group."""
     order = seeded_order(seed, *groups, key)

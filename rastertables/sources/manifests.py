@@ -1,4 +1,4 @@
-"""Manifests, indexes, splits, histories and artefacts."""
+"""Manifests, indexes, splits, histories and artefacts."""
 
 from __future__ import annotations
 
@@ -98,6 +98,18 @@ def target_grid(rasters: DataFrame) -> DataFrame:
     )
 
 
+def write_tiles(tiles: DataFrame, path: str, overwrite: bool = False) -> None:
+    """Tiles as Parquet, a folder for each image.  Without ``overwrite`` the rows
+    are appended: J7 chooses those that are not there yet."""
+    tiles.repartition("image_id").write.mode("overwrite" if overwrite else "append").partitionBy("image_id").parquet(path)
+
+
+def write_manifest_index(manifest: DataFrame, path: str) -> None:
+    """The FIELDS of a manifest as CSV, which is the global index; its rows name
+    their image, so an image's manifest is a filter on ``source_image``."""
+    manifest.select(*FIELDS).write.mode("append").option("header", True).csv(path)
+
+
 def save_artifact(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 
