@@ -2,12 +2,15 @@
 
 Two zstandard dictionaries are made from labelled text, one ordinary, one toxic.
 Both hold the same trained ordinary content; the toxic one also holds, before
-it, the passages that toxic texts have in common and ordinary texts lack (found
-by comparing in how many texts of either kind each byte n-gram occurs).  A text
+it, the passages that toxic texts have in common more often than ordinary texts
+that resemble them.  For that, labelled texts are grouped by their byte
+frequencies (all, halves, halves of halves), and in each group it is counted in
+how many texts of either kind each byte n-gram occurs; what exceeds chance
+enters, however many passages there are.  A text
 is cut into overlapping windows that cover all of it.  Each window is compressed
-with both dictionaries; what the toxic one saves is the window's evidence.  Two
-figures of a text (the highest savings, and the saving per window) go through a
-logistic curve calibrated on the labelled rows, so that 0.3 is the threshold.
+with both dictionaries; what the toxic one saves is the window's evidence.  Figures
+of a text (the highest savings, the saving per window, and whole passages a KB,
+as short passages save few bytes) go through a logistic curve calibrated on the labelled rows, so that 0.3 is the threshold.
 
 The fit reads at most ``MAX_ROWS`` labelled rows (a documented bound of the fit
 only); scoring reads whole texts.
@@ -25,9 +28,13 @@ from pyspark.sql import functions as F
 
 from .quality import labelled, score_texts
 
-#: Bytes of a window, of its step, and of an n-gram.
-WINDOW, STEP, GRAM = 96, 80, 4
-LEVEL, BASE_BYTES, CORES = 6, 4096, 120
+#: Bytes of a window, of its step, and of the n-grams.
+WINDOW, STEP, GRAMS = 96, 80, (5, 6, 8)
+LEVEL, BASE_BYTES = 6, 4096
+#: Texts of either class in a group that is compared (and toxic texts that have
+#: a gram), how often groups are halved, and what a gram's statistic must have
+#: above twice the logarithm of the number of comparisons.
+LEAST, DEPTH, CHANCE = 5, 5, 10.0
 MAX_ROWS = 6000
 
 
@@ -35,46 +42,116 @@ def _windows(raw: bytes) -> list[bytes]:
     return [raw[i : i + WINDOW] for i in range(0, max(1, len(raw) - WINDOW + STEP), STEP)] if raw else []
 
 
-def _codes(raw: bytes) -> np.ndarray:
-    """Each GRAM bytes of a text as one integer."""
+def _codes(raw: bytes, size: int) -> np.ndarray:
+    """Each ``size`` bytes (8 at most) of a text as one integer, once each."""
     b = np.frombuffer(raw, np.uint8).astype(np.uint64)
-    n = len(b) - GRAM + 1
-    return sum((b[k : n + k] << np.uint64(8 * k) for k in range(GRAM)), np.zeros(n, np.uint64)) if n > 0 else np.empty(0, np.uint64)
-
-
-def _spread(raws: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """n-grams and the number of texts that have them."""
-    each = [np.unique(_codes(r)) for r in raws]
-    return np.unique(np.concatenate(each) if each else np.empty(0, np.uint64), return_counts=True)
-
-
-def toxic_cores(toxic: list[bytes], ordinary: list[bytes], ratio: float = 30.0) -> list[bytes]:
-    """Passages common in ``toxic`` and rare in ``ordinary``, most common first."""
-    grams, many = _spread(toxic)
-    others, few = _spread(ordinary)
-    at = np.minimum(np.searchsorted(others, grams), max(len(others) - 1, 0))
-    rare = np.where(others[at] == grams, few[at], 0) if len(others) else np.zeros(len(grams), int)
-    least = max(4, 0.01 * len(toxic))
-    good = grams[(many >= least) & (many / len(toxic) > ratio * (rare + 0.5) / len(ordinary))]
-    order = np.argsort(-many, kind="stable")
-    keep = np.isin(grams[order], good)
-    spread = {int(g).to_bytes(GRAM, "little"): int(n) for g, n in zip(grams[order][keep], many[order][keep], strict=True)}
+    n = len(b) - size + 1
+    return np.unique(sum((b[k : n + k] << np.uint64(8 * k) for k in range(size)), np.zeros(n, np.uint64))) if n > 0 else np.empty(0, np.uint64)
+
+
+def _index(raws: list[bytes], y: np.ndarray, size: int) -> tuple[np.ndarray, list[np.ndarray]]:
+    """The grams of ``size`` bytes that ``LEAST`` toxic texts have, and for each
+    text the numbers of those it has."""
+    # Counted 100 texts at a time, so that memory is bounded by different grams.
+    grams, many = np.empty(0, np.uint64), np.empty(0, np.int64)
+    toxic = np.flatnonzero(y == 1)
+    for low in range(0, len(toxic), 100):
+        more = np.concatenate([grams, *(_codes(raws[i], size) for i in toxic[low : low + 100])])
+        counts = np.concatenate([many, np.ones(len(more) - len(grams), np.int64)])
+        grams, at = np.unique(more, return_inverse=True)
+        many = np.bincount(at, counts, len(grams)).astype(np.int64)
+    grams = grams[many >= LEAST]
+    if not len(grams):
+        return grams, [np.empty(0, np.int32)] * len(raws)
+    held = []
+    for r in raws:
+        codes = _codes(r, size)
+        at = np.minimum(np.searchsorted(grams, codes), len(grams) - 1)
+        held.append(at[grams[at] == codes].astype(np.int32))
+    return grams, held
+
+
+def alike(raws: list[bytes], y: np.ndarray) -> list[np.ndarray]:
+    """Groups of texts with similar byte frequencies: all texts, their halves by
+    2-means, the halves' halves, while both classes have ``LEAST`` texts."""
+    shares = np.array([np.sqrt(np.bincount(np.frombuffer(r, np.uint8), minlength=256) / max(1, len(r))) for r in raws]).reshape(-1, 256)
+    every = np.array([i for i, r in enumerate(raws) if r], dtype=int)
+    todo, out = [(every, 0)], []
+    while todo:
+        rows, at = todo.pop()
+        if at and min((y[rows] == 1).sum(), (y[rows] == 0).sum()) < LEAST:
+            continue
+        out.append(rows)
+        if at == DEPTH or len(rows) < 4 * LEAST:
+            continue
+        x = shares[rows]
+        side = (x - x.mean(axis=0)) @ np.linalg.eigh(np.cov(x.T))[1][:, -1] > 0
+        for _ in range(20):
+            if side.all() or not side.any():
+                break
+            a, b = x[side].mean(axis=0), x[~side].mean(axis=0)
+            side = x @ (a - b) > (a @ a - b @ b) / 2
+        if side.any() and not side.all():
+            todo += [(rows[side], at + 1), (rows[~side], at + 1)]
+    return out
+
+
+def _surplus(a: np.ndarray, b: np.ndarray, toxic: int, ordinary: int) -> np.ndarray:
+    """Likelihood-ratio statistic of grams more frequent in toxic texts; else 0."""
+    both = (a + b) / (toxic + ordinary)
+    part = lambda k, n, p: np.where(k > 0, k * np.log(np.maximum(k, 1) / n / np.maximum(p, 1e-12)), 0.0)
+    g = 2 * (part(a, toxic, both) + part(toxic - a, toxic, 1 - both) + part(b, ordinary, both) + part(ordinary - b, ordinary, 1 - both))
+    return np.where(a / toxic > b / ordinary, g, 0.0)
+
+
+def toxic_cores(index: dict[int, tuple], groups: list[np.ndarray], y: np.ndarray) -> list[bytes]:
+    """Passages that are more frequent in the toxic texts of a group than in its
+    ordinary ones, beyond chance among all grams compared; surest first."""
+    best: dict[bytes, float] = {}
+    for size, (grams, held) in index.items():
+        for rows in groups if len(grams) else []:
+            count = lambda want: np.bincount(np.concatenate([held[i] for i in rows if y[i] == want]), minlength=len(grams))
+            many, rare = count(1), count(0)
+            g = _surplus(many, rare, int((y[rows] == 1).sum()), int((y[rows] == 0).sum()))
+            for core, sure in _chained(grams, many, g, size, 2 * np.log(len(grams)) + CHANCE):
+                best[core] = max(best.get(core, 0.0), sure)
     cores: list[bytes] = []
-    used: set[bytes] = set()
-    for gram, n in spread.items():  # the most common first
-        if gram in used or len(cores) == CORES:
+    for core in sorted(best, key=lambda c: (-best[c], c)):
+        if not any(core.strip() in c or c.strip() in core or _overlap(core, c) or _overlap(c, core) for c in cores):
+            cores.append(core)
+    return cores
+
+
+def _overlap(a: bytes, b: bytes) -> bool:
+    """Whether the end of ``a`` is the start of ``b`` over half of the shorter
+    (4 bytes at most): then one is the other with some of its surroundings."""
+    short = min(len(a), len(b))
+    return any(a[-n:] == b[:n] for n in range(min(4, -(-short // 2)), short))
+
+
+def _chained(grams: np.ndarray, many: np.ndarray, g: np.ndarray, size: int, least: float) -> list[tuple[bytes, float]]:
+    """Grams above ``least``, made longer while nearly as many texts have them."""
+    good = np.flatnonzero(g > least)
+    good = good[np.argsort(-g[good], kind="stable")]
+    spread = {int(grams[i]).to_bytes(size, "little"): (int(many[i]), float(g[i])) for i in good}
+    out, used = [], set()
+    ahead: dict[bytes, tuple[int, int]] = {}
+    behind: dict[bytes, tuple[int, int]] = {}
+    for gram, (n, _) in spread.items():
+        ahead[gram[:-1]] = max(ahead.get(gram[:-1], (0, 0)), (n, gram[-1]))
+        behind[gram[1:]] = max(behind.get(gram[1:], (0, 0)), (n, gram[0]))
+    for gram, (n, sure) in spread.items():
+        if gram in used:
             continue
         core, more = gram, True
-        while more and len(core) < 24:  # longer while nearly as many texts have the longer passage
-            after = max((spread.get(core[1 - GRAM :] + bytes([c]), 0), c) for c in range(256))
-            before = max((spread.get(bytes([c]) + core[: GRAM - 1], 0), c) for c in range(256))
-            more = max(after, before)[0] >= 0.6 * n
+        while more and len(core) < 24:
+            after, before = ahead.get(core[1 - size :], (0, 0)), behind.get(core[: size - 1], (0, 0))
+            more = max(after, before)[0] >= 0.85 * n
             if more:
                 core = core + bytes([after[1]]) if after >= before else bytes([before[1]]) + core
-        used |= {core[i : i + GRAM] for i in range(len(core) - GRAM + 1)}
-        if not any(c.strip() in core for c in cores):
-            cores.append(core)
-    return cores
+        used |= {core[i : i + size] for i in range(len(core) - size + 1)}
+        out.append((core, sure))
+    return out
 
 
 class Scorer:
@@ -100,11 +177,14 @@ class Scorer:
 
     def evidence(self, text: str | None) -> np.ndarray:
         plain, toxic = self._compressors()
-        saved = np.array([len(plain.compress(w)) - len(toxic.compress(w)) for w in _windows((text or "").encode("utf-8", "replace"))], dtype=float)
+        raw = (text or "").encode("utf-8", "replace")
+        saved = np.array([len(plain.compress(w)) - len(toxic.compress(w)) for w in _windows(raw)], dtype=float)
         if not len(saved):
-            return np.array([0.0, 0.0, 0.0])
+            return np.zeros(4)
+        # Short passages save few bytes: whole ones are also counted, a KB.
+        whole = sum(raw.count(c) for c in self.cores) / (len(raw) / 1000 + 0.5)
         top = np.sort(saved)[::-1]
-        return np.array([min(top[0], 12.0), min(top[:3].mean(), 12.0), np.log1p(np.maximum(saved - 1, 0).mean())])
+        return np.array([min(top[0], 12.0), min(top[:3].mean(), 12.0), np.log1p(np.maximum(saved - 1, 0).mean()), np.log1p(whole)])
 
     def score(self, text: str | None) -> float:
         if not self.weights:
@@ -131,8 +211,9 @@ def train(texts: list[str | None], labels: list[int]) -> Scorer:
     fit = lambda want, rows: [r for r, k, h in zip(raws, y, rows, strict=True) if k == want and h]
     if not fit(1, half) or not fit(0, half) or not fit(1, ~half) or not fit(0, ~half):
         return Scorer(b"", [], [])
-    base = _ordinary_content(fit(0, half))
-    trial = Scorer(base, toxic_cores(fit(1, half), fit(0, half)), [])
+    index, groups = {n: _index(raws, y, n) for n in GRAMS}, alike(raws, y)
+    within = [g for g in (rows[half[rows]] for rows in groups) if 0 < y[g].sum() < len(g)]
+    trial = Scorer(_ordinary_content(fit(0, half)), toxic_cores(index, within, y), [])
     seen = [i for i in range(len(y)) if not half[i]]
     x = np.array([trial.evidence(texts[i]) for i in seen])
     # Each class weighs as it does in the rows given, both about half.
@@ -145,13 +226,11 @@ def train(texts: list[str | None], labels: list[int]) -> Scorer:
     cut = float(np.clip(cuts[int(np.argmin(loss))], 1e-4, 1 - 1e-4))
     w[-1] += np.log(0.3 / 0.7) - np.log(cut / (1 - cut))
     everything = np.ones(len(y), bool)
-    return Scorer(_ordinary_content(fit(0, everything)), toxic_cores(fit(1, everything), fit(0, everything)), w.tolist())
+    return Scorer(_ordinary_content(fit(0, everything)), toxic_cores(index, groups, y), w.tolist())
 
 
 def _ordinary_content(raws: list[bytes]) -> bytes:
     windows = [w for r in raws for w in _windows(r)]
-    rng = np.random.default_rng(5)
-    windows = [windows[i] for i in rng.permutation(len(windows))[:20000]]
     try:
         return zstandard.train_dictionary(BASE_BYTES + 2048, windows).as_bytes()[-BASE_BYTES:]
     except zstandard.ZstdError:  # too little text to train on: the text itself

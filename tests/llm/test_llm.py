@@ -204,6 +204,25 @@ def test_toxicity_held_out(spark):
     assert _held_out_accuracy(spark, "toxic", 4, 2, toxicity.toxicity_scores) >= 0.85
 
 
+def test_toxicity_finds_the_terms_of_a_small_language():
+    rng = np.random.default_rng(3)
+    many, few = [["".join(rng.choice(list(abc), 5)) for _ in range(300)] for abc in ("abcdefghij", "stuvwxyzöü")]
+
+    def text(words, terms):
+        out = list(rng.choice(words, 150))
+        for t in terms:
+            out.insert(int(rng.integers(150)), t)
+        return " ".join(out)
+
+    # Of 1,200 texts 8 % are of the second language; its term is seldom but not never in its ordinary texts.
+    make = lambda n, k: [text(many, ["nasty"] * 4 * k) for _ in range(n)] + [text(few, ["zwüxtö"] * (4 if k else int(rng.integers(10) == 0))) for _ in range(n // 12)]
+    rows = [(t, 1) for t in make(250, 1)] + [(t, 0) for t in make(850, 0)]
+    rows = [rows[i] for i in rng.permutation(len(rows))]
+    scorer = toxicity.train([t for t, _ in rows], [k for _, k in rows])
+    got = [scorer.score(text(few, ["zwüxtö"] * 4)) >= 0.3 for _ in range(40)], [scorer.score(text(few, [])) >= 0.3 for _ in range(40)]
+    assert np.mean(got[0]) >= 0.9 and np.mean(got[1]) <= 0.05
+
+
 def test_classifiers_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
     for scores in (quality.quality_scores, toxicity.toxicity_scores):
