@@ -240,19 +240,19 @@ def extract(pages: DataFrame) -> DataFrame:
                 if any(f[4] for f in kept):
                     kept = [f for f in kept if f[4]]
                 out.append(([f[2] for f in kept], [paths.get(f[1]) or "" for f in kept], [_digest(f[2]) for f in kept]))
-            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "host": b["host"], "pages": b["pages"], "texts": [o[0] for o in out], "nodes": [o[1] for o in out], "digests": [o[2] for o in out]})
+            yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "host": b["host"], "pages": b["pages"], "texts": [o[0] for o in out], "nodes": [o[1] for o in out], "digests": [o[2] for o in out], "page": b["page"]})
 
     kind = dict(pages.dtypes)["page_id"]
-    schema = f"page_id {kind}, url string, host string, pages long, texts array<string>, nodes array<string>, digests array<long>"
-    parsed = stored(joined.select("page_id", "url", "html", "host", "reference", "pages").mapInPandas(align, schema), "wrapper-pages")
-    # How often each text stands at each reference node, over all pages of the host.
-    seen = parsed.filter(F.col("pages") >= LEAST).select("host", F.explode(F.array_distinct(F.arrays_zip("nodes", "digests"))).alias("x")).select("host", F.col("x.nodes").alias("node"), F.col("x.digests").alias("digest"))
-    counted = seen.filter("node <> ''").groupBy("host", "node", "digest").agg(F.count(F.lit(1)).alias("n"))
-    totals = parsed.filter(F.col("pages") >= LEAST).groupBy("host").agg(F.count(F.lit(1)).alias("all"))
+    schema = f"page_id {kind}, url string, host string, pages long, texts array<string>, nodes array<string>, digests array<long>, page long"
+    parsed = stored(joined.select("page_id", "url", "html", "host", "reference", "pages", key.alias("page")).mapInPandas(align, schema), "wrapper-pages")
+    # On how many different pages each text stands at each reference node; copies of a page count once.
+    seen = parsed.filter(F.col("pages") >= LEAST).select("host", "page", F.explode(F.array_distinct(F.arrays_zip("nodes", "digests"))).alias("x")).select("host", "page", F.col("x.nodes").alias("node"), F.col("x.digests").alias("digest"))
+    counted = seen.filter("node <> ''").groupBy("host", "node", "digest").agg(F.count_distinct("page").alias("n"))
+    totals = parsed.filter(F.col("pages") >= LEAST).groupBy("host").agg(F.count_distinct("page").alias("all"))
     totals = totals.withColumnRenamed("host", "t_host")
-    template = counted.join(totals, F.col("host") == F.col("t_host")).filter(F.col("n") >= CONSTANT * F.col("all")).groupBy("host").agg(F.collect_set("digest").alias("constant"))
+    template = counted.join(totals, F.col("host") == F.col("t_host")).filter(F.col("n") >= CONSTANT * F.col("all")).groupBy("host").agg(F.collect_set(F.struct("node", "digest")).alias("constant"))
     # At most 1 / CONSTANT texts per node are constant, so these sets are small.
     template = stored(template, "wrapper-templates")
     final = parsed.join(template.withColumnRenamed("host", "c_host"), F.col("host") == F.col("c_host"), "left")
-    slots = F.filter(F.arrays_zip("texts", "digests", "nodes"), lambda x: F.col("constant").isNull() | (x["nodes"] == "") | ~F.array_contains("constant", x["digests"]))
+    slots = F.filter(F.arrays_zip("texts", "digests", "nodes"), lambda x: F.col("constant").isNull() | (x["nodes"] == "") | ~F.array_contains("constant", F.struct(x["nodes"].alias("node"), x["digests"].alias("digest"))))
     return final.select("page_id", "url", F.array_join(F.transform(slots, lambda x: x["texts"]), "\n\n").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -133,6 +133,13 @@ def test_html_template_and_odd_rows(spark):
     assert html_text.extract(empty(some)).count() == 0
 
 
+def test_html_copies_of_a_page_are_no_template(spark):
+    page = lambda i: f"<body><div>Welcome</div><p>text {i}</p><section><h2>{'Welcome' if i == 3 else i}</h2></section>"
+    some = spark.createDataFrame([(i, "http://h.example/x", page(min(i, 6))) for i in range(100)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(some).collect()}
+    assert got[50] == "text 6\n\n6" and got[3] == "text 3\n\nWelcome"
+
+
 def test_mix_matches_sql(spark, docs):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
