@@ -4,8 +4,10 @@ Every page becomes a small tree: elements with their text, runs of sibling
 elements of the same tag and class folded into one repeated node.  The pages of
 a host are aligned, by simple tree matching, with the host's reference page (its
 page of least digest).  A reference node that has the same text on (nearly) all
-pages aligned with it is template; nodes whose text varies are slots.  A page's
-content are its slots and unaligned nodes, inside its article if it has one,
+pages aligned with it is template; nodes whose text varies are slots.  Nodes
+that the reference page lacks (other layouts, sections) are told by their own
+path and compared among the pages that have them.  A page's content are its
+slots and the nodes of under ``LEAST`` different pages, inside its article if it has one,
 outside of elements whose role is navigation, advert, form and the like.
 
 Where a host has too few different pages to tell (under ``LEAST``), nothing is
@@ -43,10 +45,12 @@ HINTS = frozenset(
     "ad ads advert adverts advertisement sponsor sponsored promo banner sidebar menu nav navbar navigation breadcrumb breadcrumbs footer header masthead comment comments "
     "respond cookie cookies consent notice newsletter subscribe signup share sharing social related recommended popup modal login search widget pagination toolbar disclaimer".split()
 )
+#: Elements that hold the content, whatever words describe the page's layout.
+WHOLE = frozenset("html body main article".split())
 TOKEN = re.compile(r"<!--.*?(?:-->|\Z)|<!\[CDATA\[.*?(?:\]\]>|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*)>|<[!?][^>]*>?", re.S)
 ATTRIBUTE = re.compile(r"\b(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s\"'>]+))", re.I)
 #: Share of a node's pages that have one text, from which it is template, and
-#: the different pages a host must have.
+#: the different pages a host, and a node, must have.
 CONSTANT, LEAST = 0.9, 5
 
 
@@ -81,7 +85,7 @@ def parse(page: str) -> Node:
         if tag not in INLINE and tag not in VOID:
             _close(stack, tag)
         words = [w for a in ATTRIBUTE.finditer(m[3]) for w in re.split(r"[^a-z]+", (a[2] or a[3] or a[4] or "").lower()) if w]
-        node = Node(tag, " ".join(words), tag in ROLES or not HINTS.isdisjoint(words))
+        node = Node(tag, " ".join(words), tag in ROLES or tag not in WHOLE and not HINTS.isdisjoint(words))
         stack[-1].children.append(node)
         if tag in RAW:
             end = re.compile(f"</{tag}(?=[\\s/>])", re.I).search(page, at)
@@ -204,6 +208,12 @@ def _aligned(found: list, reference: str, cache: dict) -> dict[tuple, str]:
     return cache[key]
 
 
+def _place(path: tuple, paths: dict[tuple, str]) -> str:
+    """The reference node of a block, or the page's own path to it where the
+    reference page has no such node; the two kinds never have the same name."""
+    return f"={paths[path]}" if path in paths else "~" + "/".join(path)
+
+
 def _digest(text: str) -> int:
     return int.from_bytes(hashlib.blake2b(text.encode("utf-8", "replace"), digest_size=8).digest(), "little", signed=True)
 
@@ -239,7 +249,7 @@ def extract(pages: DataFrame) -> DataFrame:
                 kept = [f for f in found if not f[3]]
                 if any(f[4] for f in kept):
                     kept = [f for f in kept if f[4]]
-                out.append(([f[2] for f in kept], [paths.get(f[1]) or "" for f in kept], [_digest(f[2]) for f in kept]))
+                out.append(([f[2] for f in kept], [_place(f[1], paths) for f in kept], [_digest(f[2]) for f in kept]))
             yield pd.DataFrame({"page_id": b["page_id"], "url": b["url"], "host": b["host"], "pages": b["pages"], "texts": [o[0] for o in out], "nodes": [o[1] for o in out], "digests": [o[2] for o in out], "page": b["page"]})
 
     kind = dict(pages.dtypes)["page_id"]
@@ -247,12 +257,15 @@ def extract(pages: DataFrame) -> DataFrame:
     parsed = stored(joined.select("page_id", "url", "html", "host", "reference", "pages", key.alias("page")).mapInPandas(align, schema), "wrapper-pages")
     # On how many different pages each text stands at each reference node; copies of a page count once.
     seen = parsed.filter(F.col("pages") >= LEAST).select("host", "page", F.explode(F.array_distinct(F.arrays_zip("nodes", "digests"))).alias("x")).select("host", "page", F.col("x.nodes").alias("node"), F.col("x.digests").alias("digest"))
-    counted = seen.filter("node <> ''").groupBy("host", "node", "digest").agg(F.count_distinct("page").alias("n"))
-    totals = parsed.filter(F.col("pages") >= LEAST).groupBy("host").agg(F.count_distinct("page").alias("all"))
-    totals = totals.withColumnRenamed("host", "t_host")
-    template = counted.join(totals, F.col("host") == F.col("t_host")).filter(F.col("n") >= CONSTANT * F.col("all")).groupBy("host").agg(F.collect_set(F.struct("node", "digest")).alias("constant"))
+    counted = seen.groupBy("host", "node", "digest").agg(F.count_distinct("page").alias("n"))
+    counted = counted.filter(F.col("n") >= CONSTANT * LEAST)
+    # Against the pages that have the node, which must be enough to tell.
+    totals = seen.groupBy("host", "node").agg(F.count_distinct("page").alias("all")).filter(F.col("all") >= LEAST)
+    totals = totals.select(F.col("host").alias("t_host"), F.col("node").alias("t_node"), "all")
+    template = counted.join(totals, (F.col("host") == F.col("t_host")) & (F.col("node") == F.col("t_node"))).filter(F.col("n") >= CONSTANT * F.col("all"))
+    template = template.groupBy("host").agg(F.collect_set(F.struct("node", "digest")).alias("constant"))
     # At most 1 / CONSTANT texts per node are constant, so these sets are small.
     template = stored(template, "wrapper-templates")
     final = parsed.join(template.withColumnRenamed("host", "c_host"), F.col("host") == F.col("c_host"), "left")
-    slots = F.filter(F.arrays_zip("texts", "digests", "nodes"), lambda x: F.col("constant").isNull() | (x["nodes"] == "") | ~F.array_contains("constant", F.struct(x["nodes"].alias("node"), x["digests"].alias("digest"))))
+    slots = F.filter(F.arrays_zip("texts", "digests", "nodes"), lambda x: F.col("constant").isNull() | ~F.array_contains("constant", F.struct(x["nodes"].alias("node"), x["digests"].alias("digest"))))
     return final.select("page_id", "url", F.array_join(F.transform(slots, lambda x: x["texts"]), "\n\n").alias("text")).withColumn("n_chars", F.char_length("text").cast("long"))

@@ -140,6 +140,14 @@ def test_html_copies_of_a_page_are_no_template(spark):
     assert got[50] == "text 6\n\n6" and got[3] == "text 3\n\nWelcome"
 
 
+def test_html_templates_of_two_layouts(spark):
+    one = lambda i: f"<body class='has-sidebar'><div class='a'>Top one</div><article class='post comments-open'><p>text {i}</p><div class='c'>End one</div></article>"
+    two = lambda i: f"<body><table><tr><td>Top two</td></tr><tr><td><h2>title {i}</h2></td></tr></table><blockquote>End two</blockquote>"
+    some = spark.createDataFrame([(i, "http://h.example/x", (one, two)[i % 2](i)) for i in range(40)], "page_id long, url string, html string")
+    got = {r.page_id: r.text for r in html_text.extract(some).collect()}
+    assert got == {i: f"title {i}" if i % 2 else f"text {i}" for i in range(40)}
+
+
 def test_mix_matches_sql(spark, docs):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
