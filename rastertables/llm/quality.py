@@ -7,8 +7,8 @@ look-ups.  Filter outputs pass a ReLU, are max-pooled over overlapping chunks of
 ``2 * POOL`` positions, and the chunks' maxima are combined by their mean and
 their maximum into one probability by a logistic layer.
 
-Training runs on at most ``MAX_ROWS`` labelled rows and at most ``MAX_BYTES``
-bytes of each (a documented bound of the fit only; scoring reads whole texts).
+Training runs on the whole texts of at most ``MAX_ROWS`` labelled rows (a
+documented bound of the fit only).
 
 Defined cases: null and empty texts have no chunk, their features are zero, and
 the score is the network's bias; without labelled rows of both classes every
@@ -25,7 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH, HOP, POOL, FILTERS = 8, 4, 32, 16
-MAX_ROWS, MAX_BYTES = 3000, 8192
+MAX_ROWS = 3000
 #: Positions convolved at a time: bounds memory on very long texts.
 STEP = 1 << 14
 
@@ -94,13 +94,13 @@ class Network:
             p = 1 / (1 + np.exp(-self.base))
             return weight * (p - label)
         windows = _windows(raw)
-        act = self.convolve(windows)
-        count = len(act)
-        pad = -count % POOL
-        act = np.pad(act, ((0, pad), (0, 0)))
-        blocks = act.reshape(-1, POOL, FILTERS)
-        where = blocks.argmax(axis=1) + np.arange(len(blocks))[:, None] * POOL
-        half = blocks.max(axis=1)
+        count, halves, places = len(windows), [], []
+        for low in range(0, count, STEP):  # as in _chunks; only maxima are kept
+            act = self.convolve(windows[low : low + STEP])
+            blocks = np.pad(act, ((0, -len(act) % POOL), (0, 0))).reshape(-1, POOL, FILTERS)
+            places.append(blocks.argmax(axis=1) + low + np.arange(len(blocks))[:, None] * POOL)
+            halves.append(blocks.max(axis=1))
+        where, half = np.concatenate(places), np.concatenate(halves)
         if len(half) > 1:
             left = half[:-1] >= half[1:]
             chunks, arg = np.where(left, half[:-1], half[1:]), np.where(left, where[:-1], where[1:])
@@ -132,7 +132,7 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 12, batch: i
         net.base = np.float32(np.log(share / (1 - share)))
         return net
     weights = np.where(y == 1, 0.5 / y.mean(), 0.5 / (1 - y.mean()))
-    raws = [_bytes(t)[:MAX_BYTES] for t in texts]
+    raws = [_bytes(t) for t in texts]
     base = np.zeros(1, np.float32)
     params = [*net.params(), base]
     m, v = [np.zeros_like(p) for p in params], [np.zeros_like(p) for p in params]

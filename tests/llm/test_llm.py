@@ -238,6 +238,14 @@ def test_toxicity_finds_the_terms_of_a_small_language():
     assert np.mean(got[0]) >= 0.9 and np.mean(got[1]) <= 0.05
 
 
+def test_quality_learns_what_stands_late_in_a_text():
+    rng = np.random.default_rng(4)
+    text = lambda y: " ".join(rng.choice(["plain", "words", "only"], 1800)) + (" ZZQX#" if y else " words") * 300
+    labels = [i % 2 for i in range(60)]
+    net = quality.train([text(y) for y in labels], labels)
+    assert np.mean([(net.score(text(i % 2)) >= 0.3) == (i % 2 == 1) for i in range(20)]) >= 0.95
+
+
 def test_classifiers_odd_rows(spark, odd):
     labels = spark.createDataFrame([(1, 1, 0), (2, None, None)], "doc_id long, quality int, toxic int")
     for scores in (quality.quality_scores, toxicity.toxicity_scores):
