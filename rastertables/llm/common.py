@@ -11,20 +11,21 @@ from pyspark.sql import functions as F
 #: The white space of the contracts: space, tab, LF, VT, FF, CR.
 SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
+#: A key is hot if it has more than this share of all rows; so at most this many keys are.
+HOT_KEYS = 1000
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
-    """A new path below the folder that driver and executors share.
-
-    The folder is the session's ``spark.checkpoint.dir``.  Only where that is
-    unset (tests on one machine) a temporary folder is chosen.
-    """
-    base = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not base:
-        base = spark.sparkContext.getCheckpointDir()
+    """A new path below the folder that driver and executors share: the
+    session's ``spark.checkpoint.dir``.  Only where that is unset and Spark runs
+    on this machine alone (tests) a temporary folder is chosen."""
+    context = spark.sparkContext
+    base = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
     if not base:
+        if not context.master.startswith("local[") and context.master != "local":
+            raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         base = tempfile.mkdtemp(prefix="rastertables-")
-        spark.sparkContext.setCheckpointDir(base)
+        context.setCheckpointDir(base)
     return f"{base.rstrip('/')}/{name}-{uuid.uuid4().hex}"
 
 
@@ -36,6 +37,62 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def split_join(rows: DataFrame, table: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (one row for each ``key``, which is never
+    null; ``size`` says how many of the rows have it) so that no key lands in
+    one task.  Both are stored tables.
+
+    The keys that have more than 1 / HOT_KEYS of all rows are at most HOT_KEYS:
+    their part of the table is broadcast and their rows stay where they are.
+    All others are shuffled on the key.
+    """
+    total = table.agg(F.sum(size)).first()[0] or 0
+    large = F.col(size) * HOT_KEYS > total
+    hot = table.filter(large)
+    few = hot.select(key)
+    if few.isEmpty():
+        return rows.join(table, key, how)
+    usual = rows.join(F.broadcast(few), key, "left_anti").join(table.filter(~large), key, how)
+    return usual.unionByName(rows.join(F.broadcast(hot), key))
+
+
+#: Bits of one bitmap, and how many bitmaps a filter has at most (16 MB in all).
+MAP_BITS, MAPS = 1 << 15, 4096
+
+
+class Likely:
+    """Which rows may have a wanted hash: a filter of a bounded size.
+
+    The filter has one bit for each of at most MAP_BITS * MAPS classes of
+    hashes, in bitmaps of 4 KB, and is broadcast: 16 MB whatever the tables'
+    sizes.  Every wanted row passes; others pass the more often the more hashes
+    are wanted, so what follows must be right for all rows and only gains by
+    few.  Large rows that do not pass need no shuffle.
+    """
+
+    def __init__(self, hashes: DataFrame, name: str):
+        """``hashes``: a stored table whose only column holds the wanted hashes (longs)."""
+        h = F.col(hashes.columns[0])
+        self.maps = max(1, min(MAPS, -(-hashes.count() * 64 // MAP_BITS)))
+        bits = hashes.select(self._map(h).alias("l_map"), self._bit(h).alias("l_bit"))
+        self.table = stored(bits.groupBy("l_map").agg(F.bitmap_construct_agg("l_bit").alias("l_bits")), name)
+
+    def _map(self, h: Column) -> Column:
+        return F.pmod(h, F.lit(self.maps))
+
+    def _bit(self, h: Column) -> Column:
+        return F.pmod(F.shiftright(h, 20), F.lit(MAP_BITS))
+
+    def mark(self, rows: DataFrame, h: Column, out: str) -> DataFrame:
+        """``rows`` with the boolean column ``out``: whether ``h`` may be wanted."""
+        joined = rows.withColumn("l_h", h)
+        joined = joined.join(F.broadcast(self.table), self._map(F.col("l_h")) == F.col("l_map"), "left")
+        bit = self._bit(F.col("l_h"))
+        byte = F.conv(F.hex(F.substr(F.col("l_bits"), (F.floor(bit / 8) + 1).cast("int"), F.lit(1))), 16, 10).cast("int")
+        mask = F.element_at(F.array(*[F.lit(1 << i) for i in range(8)]), (bit % 8 + 1).cast("int"))
+        return joined.withColumn(out, F.coalesce(byte.bitwiseAND(mask) != 0, F.lit(False))).drop("l_h", "l_map", "l_bits")
+
+
 def text_or_empty(col: Column | str = "text") -> Column:
     return F.coalesce(F.col(col) if isinstance(col, str) else col, F.lit(""))
 

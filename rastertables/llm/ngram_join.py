@@ -1,8 +1,8 @@
 """N-gram Jaccard self-join by MinHash banding.
 
-1. Every text becomes its set of word n-grams; a 128-bit digest of the set and
-   one hash per band go into a narrow table.  Texts of equal sets form a class
-   that one member represents.
+1. Rows get a number and are stored.  Every text becomes its set of word
+   n-grams; a 128-bit digest of the set and one hash per band go into a narrow
+   table.  Texts of equal sets form a class that one row represents.
 2. Representatives meet on band hashes (the shuffle).  In each bucket all
    members are compared with the bucket's least one on their full n-gram sets,
    which links most of what belongs together with few comparisons.
@@ -13,13 +13,16 @@
 4. Within each component all pairs of representatives are compared block by
    block; only counts leave a block, never the pairs.
 
-No group is gathered in one task: buckets and components are cut into blocks of
-at most BLOCK members.
+No group is gathered in one task: buckets and components are cut into blocks,
+the set of a bucket's least member is copied for every SALT comparisons, and
+tables by digest, bucket or component are joined by ``split_join``.
 
 Defined cases: null is the empty text; a text without words has no n-grams, a
 class of its own and no links; a text of fewer than n words is one n-gram;
 repeated rows and copies are in one class and count as each other's links; a
-null doc_id is ignored (it can carry no result); other columns are ignored.
+row without a doc_id is compared like any other, but names no class: class_id is
+null if no row of the class has a doc_id; other columns are ignored by the
+comparison and kept by ``one_of_each_class``; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -32,34 +35,39 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import stored
+from .common import Likely, split_join, stored
 from .components import components
 from .shingles import band_hashes, choose_bands, shingle_set
 
 NGRAM, SIMILARITY, RECALL, HASHES = 5, 0.8, 0.999, 128
-BLOCK = 200
-#: Candidates (8 bytes each) up to which their ids are broadcast; texts are shuffled beyond.
-BROADCAST = 1_000_000
+#: Members of a bucket's block; comparisons that share one copy of a set.
+BLOCK, SALT = 200, 1024
+#: Members and bytes of n-gram sets of a component's block.
+COUNTED, COUNTED_BYTES = 1000, 8 << 20
 
 
-def signatures(docs: DataFrame, n: int, bands: int, rows: int) -> DataFrame:
-    """doc_id, digest (of the n-gram set; null without n-grams), bands."""
+def signatures(rows: DataFrame, n: int, bands: int, band_rows: int) -> DataFrame:
+    """j_row, doc_id, digest (of the n-gram set; null without n-grams), bands."""
+    kind = dict(rows.dtypes)["doc_id"]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            sets = [shingle_set(t, n) for t in batch["text"]]
-            digest = [hashlib.blake2b(s.tobytes(), digest_size=16).digest() if len(s) else None for s in sets]
-            yield pd.DataFrame({"doc_id": batch["doc_id"], "digest": digest, "bands": [band_hashes(s, bands, rows) for s in sets]})
+            digests, hashes = [], []
+            for text in batch["text"]:
+                grams = shingle_set(text, n)
+                digests.append(hashlib.blake2b(grams.tobytes(), digest_size=16).digest() if len(grams) else None)
+                hashes.append(band_hashes(grams, bands, band_rows))
+            yield pd.DataFrame({"j_row": batch["j_row"], "doc_id": batch["doc_id"], "digest": digests, "bands": hashes})
 
-    return docs.filter("doc_id IS NOT NULL").select(F.col("doc_id").cast("long"), "text").mapInPandas(run, "doc_id long, digest binary, bands array<long>")
+    return rows.select("j_row", "doc_id", "text").mapInPandas(run, f"j_row long, doc_id {kind}, digest binary, bands array<long>")
 
 
-def _gram_sets(docs: DataFrame, n: int) -> DataFrame:
+def _gram_sets(rows: DataFrame, n: int) -> DataFrame:
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"rep": batch["doc_id"], "grams": [shingle_set(t, n).tobytes() for t in batch["text"]]})
+            yield pd.DataFrame({"rep": batch["j_row"], "grams": [shingle_set(t, n).tobytes() for t in batch["text"]]})
 
-    return docs.select("doc_id", "text").mapInPandas(run, "rep long, grams binary")
+    return rows.select("j_row", "text").mapInPandas(run, "rep long, grams binary")
 
 
 def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -96,16 +104,21 @@ def _similar(left: list[bytes], right: list[bytes], similarity: float) -> np.nda
     """Boolean matrix: whose n-gram sets are at or above ``similarity``."""
     sets = [np.frombuffer(g, np.uint64) for g in [*left, *right]]
     sizes = np.array([len(s) for s in sets], dtype=np.float64)
-    names, inverse = np.unique(np.concatenate(sets), return_inverse=True)
-    shared = np.zeros((len(left), len(right)))
-    owner = np.repeat(np.arange(len(sets)), sizes.astype(int))
-    order = np.argsort(inverse, kind="stable")
-    inverse, owner = inverse[order], owner[order]
-    for low in range(0, len(names), 4096):  # columns of the incidence matrix at a time
-        i, j = np.searchsorted(inverse, [low, low + 4096])
-        dense = np.zeros((len(sets), min(4096, len(names) - low)), dtype=np.float32)
-        dense[owner[i:j], inverse[i:j] - low] = 1
-        shared += dense[: len(left)] @ dense[len(left) :].T
+    shared = np.zeros((len(left), len(right)), dtype=np.float32)
+    # Sets are sorted: one range of hashes at a time, so that memory is bounded
+    # by the incidence matrix of about 4096 n-grams however long the texts are.
+    steps = max(1, int(sizes.sum()) // max(4096, 4 * len(sets)))
+    at, edges = np.zeros(len(sets), dtype=np.int64), np.linspace(0, 2.0**64, steps + 1)[1:]
+    for i, edge in enumerate(edges):
+        upto = sizes.astype(np.int64) if i == steps - 1 else np.array([np.searchsorted(s, np.uint64(edge)) for s in sets])
+        part = np.concatenate([s[x:y] for s, x, y in zip(sets, at, upto, strict=True)])
+        owner, at = np.repeat(np.arange(len(sets)), upto - at), upto
+        names, column = np.unique(part, return_inverse=True)
+        for low in range(0, len(names), 4096):
+            some = (column >= low) & (column < low + 4096)
+            dense = np.zeros((len(sets), min(4096, len(names) - low)), dtype=np.float32)
+            dense[owner[some], column[some] - low] = 1
+            shared += dense[: len(left)] @ dense[len(left) :].T
     total = sizes[: len(left), None] + sizes[None, len(left) :] - shared
     return shared >= similarity * total - 1e-9
 
@@ -138,10 +151,11 @@ def _cross_links(members: DataFrame, similarity: float) -> DataFrame:
 
 def _link_counts(members: DataFrame, similarity: float) -> DataFrame:
     """rep, n: how many documents of other representatives of its component
-    are similar.  members: comp, rep, copies, size, grams."""
-    blocks = F.ceil(F.col("size") / BLOCK).cast("int")
-    home = F.pmod(F.xxhash64("rep"), blocks).cast("int")
-    rows = members.withColumn("home", home).withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
+    are similar.  members: comp, rep, copies, blocks (of the component), grams.
+    Every pair of blocks is a group; a set is in as many groups as there are
+    blocks, which hold up to COUNTED members and COUNTED_BYTES of sets."""
+    home = F.pmod(F.xxhash64("rep"), F.col("blocks")).cast("int")
+    rows = members.withColumn("home", home).withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks").cast("int") - 1)))
     rows = rows.withColumn("i", F.least("home", "other")).withColumn("j", F.greatest("home", "other")).select("comp", "i", "j", "home", "rep", "copies", "grams")
     rows = rows.repartition("comp", "i", "j").sortWithinPartitions("comp", "i", "j")
 
@@ -150,74 +164,104 @@ def _link_counts(members: DataFrame, similarity: float) -> DataFrame:
             same = group["i"].iloc[0] == group["j"].iloc[0]
             left = group if same else group[group["home"] == group["i"]]
             right = group if same else group[group["home"] == group["j"]]
-            if not len(left) or not len(right):
-                continue
-            like = _similar(list(left["grams"]), list(right["grams"]), similarity).astype(np.int64)
+            n_left, n_right = np.zeros(len(left), np.int64), np.zeros(len(right), np.int64)
+            for x in range(0, len(left), BLOCK):
+                for y in range(x if same else 0, len(right), BLOCK):
+                    like = _similar(list(left["grams"].iloc[x : x + BLOCK]), list(right["grams"].iloc[y : y + BLOCK]), similarity).astype(np.int64)
+                    if same and x == y:
+                        np.fill_diagonal(like, 0)
+                    n_left[x : x + BLOCK] += like @ right["copies"].to_numpy()[y : y + BLOCK]
+                    if not same or x != y:
+                        n_right[y : y + BLOCK] += left["copies"].to_numpy()[x : x + BLOCK] @ like
             if same:
-                np.fill_diagonal(like, 0)
-            n = like @ right["copies"].to_numpy()
-            yield pd.DataFrame({"rep": left["rep"].to_numpy(), "n": n})
-            if not same:
-                yield pd.DataFrame({"rep": right["rep"].to_numpy(), "n": left["copies"].to_numpy() @ like})
+                yield pd.DataFrame({"rep": left["rep"].to_numpy(), "n": n_left + n_right})
+            else:
+                yield pd.DataFrame({"rep": np.concatenate([left["rep"], right["rep"]]), "n": np.concatenate([n_left, n_right])})
 
     return rows.mapInPandas(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
 
 
-def jaccard_classes(docs: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES, counts: bool = True) -> DataFrame:
-    """One row per document: doc_id, class_id (the least doc_id of the component
-    it is linked into, itself if it has no links), n_links (other documents at
-    or above ``similarity``; left out with ``counts=False``)."""
-    bands, rows = choose_bands(similarity, recall, hashes)
-    signed = stored(signatures(docs, n, bands, rows), "ngram-signatures")
-    classes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(
-        F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands")
-    )
+def _star_pairs(met: DataFrame, sets: DataFrame) -> DataFrame:
+    """(a, b, grams_a, grams_b) of every member b of a bucket and its least one a.
+    A set that many others are compared with is copied, once for about SALT of
+    them, so that they do not meet in one task."""
+    copies = F.shiftleft(F.lit(1), 1) ** F.ceil(F.log2(F.ceil(F.col("size") / SALT)))
+    pairs = met.filter("rep <> low").groupBy(F.col("low").alias("a"), F.col("rep").alias("b")).agg(F.max(copies.cast("int")).alias("k"))
+    pairs = stored(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")).cast("int")), "ngram-pairs")
+    left = pairs.select("a", "k").distinct().join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("grams_a")), "a")
+    left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
+    right = pairs.join(sets.select(F.col("rep").alias("b"), F.col("grams").alias("grams_b")), "b")
+    return right.join(left, ["a", "k", "salt"]).select("a", "b", "grams_a", "grams_b")
+
+
+def numbered(docs: DataFrame) -> DataFrame:
+    """``docs`` with j_row, stored, so that a row's number stays the same."""
+    return stored(docs.withColumn("j_row", F.monotonically_increasing_id()), "ngram-rows")
+
+
+def classes_of_rows(rows: DataFrame, n: int = NGRAM, similarity: float = SIMILARITY, recall: float = RECALL, hashes: int = HASHES, counts: bool = True) -> DataFrame:
+    """One row per row of ``rows`` (a table of ``numbered``): j_row, doc_id,
+    class_id, n_links (null with ``counts=False``), stays (whether the row
+    represents its class: the one of least doc_id, nulls last, then j_row)."""
+    bands, band_rows = choose_bands(similarity, recall, hashes)
+    signed = stored(signatures(rows, n, bands, band_rows), "ngram-signatures")
+    first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "j_row")).alias("first")
+    classes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("j_row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), first)
     classes = stored(classes, "ngram-classes")
-    met = classes.select("rep", F.explode("bands").alias("bucket"))
-    buckets = met.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low")).filter("size > 1")
-    met = stored(met.join(buckets, "bucket"), "ngram-buckets")
-    # Sets of the candidates only; one row for a doc_id even if its row repeats.
-    wanted = met.select(F.col("rep").alias("doc_id")).distinct()
-    wanted = stored(wanted, "ngram-wanted")
-    if wanted.count() <= BROADCAST:
-        wanted = F.broadcast(wanted)
-    sets = stored(_gram_sets(docs.select(F.col("doc_id").cast("long"), "text").join(wanted, "doc_id", "left_semi"), n), "ngram-sets")
-    if docs.groupBy("doc_id").count().filter("count > 1").limit(1).count():
-        sets = stored(_of_class(sets, signed, classes), "ngram-sets")
-    pairs = met.filter("rep <> low").select(F.col("rep").alias("b"), F.col("low").alias("a")).distinct()
-    pairs = pairs.join(sets.select(F.col("rep").alias("b"), F.col("grams").alias("grams_b")), "b").join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("grams_a")), "a")
-    links = stored(_verified(pairs, similarity), "ngram-links")
+    met = stored(classes.select("rep", F.explode("bands").alias("bucket")), "ngram-met")
+    buckets = stored(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low")).filter("size > 1"), "ngram-sizes")
+    met = stored(split_join(met, buckets, "bucket", "size"), "ngram-buckets")
+    # The sets of candidates are made again from their texts, which a bounded
+    # filter finds where they are; it may let more rows through than needed.
+    likely = Likely(stored(met.select(F.xxhash64("rep").alias("h")).distinct(), "ngram-wanted"), "ngram-likely")
+    sets = stored(_gram_sets(likely.mark(rows.select("j_row", "text"), F.xxhash64("j_row"), "j_likely").filter("j_likely"), n), "ngram-sets")
+    links = stored(_verified(_star_pairs(met, sets), similarity), "ngram-links")
     comps = components(links)
     met = met.filter("size > 2").join(comps, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "size", F.coalesce("component", "rep").alias("comp"))
-    mixed = met.groupBy("bucket").agg(F.mode("comp").alias("main"), F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket", "main")
-    more = stored(_cross_links(met.join(mixed, "bucket").join(sets, "rep"), similarity), "ngram-more-links")
+    met = stored(met, "ngram-members")
+    mixed = met.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
+    mixed = split_join(met, buckets.join(mixed, "bucket", "left_semi").select("bucket", F.col("size").alias("all")), "bucket", "all")
+    mixed = stored(mixed.groupBy("bucket").agg(F.mode("comp", True).alias("main"), F.count(F.lit(1)).alias("all")), "ngram-mixed")
+    more = stored(_cross_links(split_join(met, mixed, "bucket", "all").join(sets, "rep"), similarity), "ngram-more-links")
     if not more.isEmpty():
         comps = components(links.unionByName(more))
-    out = classes.join(comps, F.col("rep") == F.col("node"), "left").select("digest", "rep", "copies", F.coalesce("component", "rep").alias("comp"))
+    comps = stored(comps, "ngram-components")
+    out = classes.join(comps, F.col("rep") == F.col("node"), "left").select("digest", "rep", "copies", "first", F.coalesce("component", "rep").alias("comp"))
+    out = stored(out, "ngram-members")
+    heads = out.groupBy("comp").agg(F.min("first").alias("head"), F.count(F.lit(1)).alias("size"))
+    heads = stored(heads.select("comp", F.col("head.doc_id").alias("class_id"), F.col("head.j_row").alias("head"), "size"), "ngram-heads")
+    out = split_join(out, heads, "comp", "size")
     if counts:
-        sizes = comps.groupBy("component").agg(F.count(F.lit(1)).alias("size"))
-        members = out.join(sizes, F.col("comp") == F.col("component")).join(sets, "rep").select("comp", "rep", "copies", "size", "grams")
-        out = out.join(_link_counts(members, similarity), "rep", "left").withColumn("n_links", F.coalesce("n", F.lit(0)) + F.col("copies") - 1)
+        bytes_of = F.octet_length("grams")
+        linked = stored(out.filter("size > 1").select("comp", "rep", "copies", "size"), "ngram-linked")
+        sized = linked.join(sets, "rep").groupBy("comp").agg(F.max("size").alias("n"), F.sum(bytes_of).alias("bytes"))
+        sized = stored(sized.select("comp", "n", F.greatest(F.ceil(F.col("n") / COUNTED), F.ceil(F.col("bytes") / COUNTED_BYTES)).cast("int").alias("blocks")), "ngram-blocks")
+        members = split_join(linked.drop("size"), sized, "comp", "n").join(sets, "rep").select("comp", "rep", "copies", "blocks", "grams")
+        found = _link_counts(members, similarity).withColumnRenamed("rep", "l_rep")
+        out = out.join(found, F.col("rep") == F.col("l_rep"), "left").withColumn("n_links", F.coalesce("n", F.lit(0)) + F.col("copies") - 1)
     else:
         out = out.withColumn("n_links", F.lit(None).cast("long"))
-    out = signed.select("doc_id", "digest").join(out, "digest", "left").select("doc_id", F.coalesce("comp", "doc_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"))
-    return out if counts else out.drop("n_links")
-
+    out = stored(out.select("digest", "copies", "class_id", "head", "n_links"), "ngram-found")
+    found = split_join(signed.filter("digest IS NOT NULL").select("j_row", "doc_id", "digest"), out, "digest", "copies")
+    found = found.select("j_row", "doc_id", "class_id", "n_links", (F.col("j_row") == F.col("head")).alias("stays"))
+    alone = signed.filter("digest IS NULL").select("j_row", "doc_id", F.col("doc_id").alias("class_id"), F.lit(0).cast("long").alias("n_links"), F.lit(True).alias("stays"))
+    return found.unionByName(alone)
 
-def _of_class(sets: DataFrame, signed: DataFrame, classes: DataFrame) -> DataFrame:
-    """Of the sets under one doc_id, the one whose class it represents."""
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            yield batch.assign(digest=[hashlib.blake2b(g, digest_size=16).digest() for g in batch["grams"]])
 
-    own = sets.mapInPandas(run, "rep long, grams binary, digest binary")
-    return own.join(classes.select("rep", "digest"), ["rep", "digest"], "left_semi").dropDuplicates(["rep"]).drop("digest")
+def jaccard_classes(docs: DataFrame, **options) -> DataFrame:
+    """One row per row of ``docs``: doc_id, class_id (the least doc_id of the
+    component it is linked into, itself if it has no links) and n_links (other
+    rows at or above the similarity)."""
+    return classes_of_rows(numbered(docs.select("doc_id", "text")), **options).select("doc_id", "class_id", "n_links")
 
 
 def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that represent their class: of each group of near
-    duplicates the one of least doc_id.  Rows without a doc_id stay."""
-    classes = jaccard_classes(docs, counts=False, **options)
-    dropped = classes.filter("doc_id <> class_id").select(F.col("doc_id").alias("x_id")).distinct()
-    return docs.join(dropped, F.col("doc_id") == F.col("x_id"), "left_anti")
+    duplicates the one of least doc_id (rows without one last)."""
+    rows = numbered(docs)
+    lost = classes_of_rows(rows, counts=False, **options).filter("NOT stays").select("j_row")
+    lost = stored(lost, "ngram-lost")
+    likely = Likely(stored(lost.select(F.xxhash64("j_row").alias("h")), "ngram-lost-hashes"), "ngram-lost-likely")
+    marked = likely.mark(rows, F.xxhash64("j_row"), "j_likely")
+    kept = marked.filter("NOT j_likely").unionByName(marked.filter("j_likely").join(lost, "j_row", "left_anti"))
+    return kept.select(*[F.col(f"`{c}`") for c in docs.columns])
