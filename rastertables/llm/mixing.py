@@ -7,12 +7,15 @@ above.  With the sources in the order of cap / weight this has a closed form:
 the clamped ones are a prefix of that order.  A source's target is then made of
 whole repetitions of all its documents and a fractional one: a prefix of its
 documents in the order of a seeded hash that does not exceed the rest, and the
-one document that best fills the gap.  The prefix sums are taken in two levels (4096 hash buckets, then within a
-bucket), so a source with a third of all rows is not one task.
+one document that best fills the gap.  The prefix sums are taken in two levels
+(4096 hash buckets, then within the one bucket where the prefix ends), so a
+source with a third of all rows is not one task.
 
 Defined cases: a null text has size 0; a null source is a source of its own,
-last in order; a source without words has target 0; a null doc_id is hashed as
-the empty string; rows that repeat are each a document; no rows give no rows.
+last in order; a source without words has target 0; a null doc_id is hashed
+by its whole row; rows that repeat in all columns are taken equally often (the
+fractional repetition takes all of them or none); no rows give no rows; columns
+of the input must not begin with m_ or p_.
 """
 
 from __future__ import annotations
@@ -27,9 +30,9 @@ WEIGHTS = (5, 2, 1)
 
 
 def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3) -> DataFrame:
-    """source, source_size, target from rows with source and size: one row per
+    """source, source_size, target from rows with source and m_size: one row per
     source.  The windows below see one row per source only."""
-    per = sizes.groupBy("source").agg(F.sum("size").alias("source_size"))
+    per = sizes.groupBy("source").agg(F.sum("m_size").alias("source_size"))
     names = Window.orderBy(F.col("source").asc_nulls_last())
     cycle = F.array(*[F.lit(float(w)) for w in weights])
     ranked = per.withColumn("weight", F.get(cycle, ((F.row_number().over(names) - 1) % len(weights))))
@@ -48,47 +51,74 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epo
     return level.select("source", "source_size", F.when(clamped, F.col("cap")).otherwise(F.least(F.col("cap"), final * F.col("weight"))).alias("target"))
 
 
+def _marked(docs: DataFrame, seed: str) -> DataFrame:
+    """``docs`` with m_size, m_rank (the seeded hash of the identifier, then a
+    hash of the whole row) and m_bucket (one of 4096 ranges of ranks)."""
+    row = F.lpad(F.hex(F.xxhash64(*[F.col(f"`{c}`") for c in docs.columns])), 16, "0")
+    own = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.concat(F.lit("null"), row))))
+    return docs.select("*", word_count().alias("m_size"), F.concat(own, row).alias("m_rank")).withColumn("m_bucket", F.substring("m_rank", 1, 3))
+
+
+def _plan(sized: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """One row per source: p_source, source_size, target, whole (repetitions of
+    all its documents), cut (rank up to which documents are taken once more)
+    and fill (rank of the document that fills the gap).  ``sized`` is a stored
+    narrow table; rows of one rank count as one document."""
+    targets = source_targets(sized, weights, max_epochs)
+    whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
+    targets = targets.withColumnRenamed("source", "p_source").withColumn("whole", whole).withColumn("rest", F.col("target") - whole * F.col("source_size"))
+    targets = stored(targets, "mix-targets")
+    # One row per source and bucket, at most 4096 times the number of sources: the
+    # bucket in which the prefix ends; only its documents are put in order.
+    ahead = Window.partitionBy("source").orderBy("m_bucket").rowsBetween(Window.unboundedPreceding, -1)
+    buckets = sized.groupBy("source", "m_bucket").agg(F.sum("m_size").alias("words")).withColumn("ahead", F.coalesce(F.sum("words").over(ahead), F.lit(0)))
+    ends = buckets.join(targets, F.col("source").eqNullSafe(F.col("p_source"))).filter("ahead <= rest AND rest < ahead + words")
+    ends = stored(ends.select("p_source", F.col("m_bucket").alias("p_bucket"), "ahead", "rest"), "mix-ends")
+    inside = sized.filter("m_size > 0").join(ends, F.col("source").eqNullSafe(F.col("p_source")) & (F.col("m_bucket") == F.col("p_bucket")))
+    inside = inside.groupBy("p_source", "m_rank", "ahead", "rest").agg(F.sum("m_size").alias("words"))
+    upto = F.col("ahead") + F.sum("words").over(Window.partitionBy("p_source").orderBy("m_rank"))
+    taken = inside.withColumn("upto", upto).filter("upto <= rest").groupBy("p_source").agg(F.max("m_rank").alias("last"), F.max("upto").alias("upto"))
+    cuts = ends.select("p_source", "p_bucket", "ahead").withColumnRenamed("p_source", "e_source").join(taken, F.col("e_source").eqNullSafe(F.col("p_source")), "left")
+    # Without a document of its own bucket the prefix ends where the bucket begins.
+    cuts = cuts.select("e_source", F.coalesce("last", "p_bucket").alias("e_cut"), F.coalesce("upto", "ahead").alias("e_got"))
+    targets = targets.join(cuts, F.col("p_source").eqNullSafe(F.col("e_source")), "left")
+    # A source without such a bucket has a rest of all its words or of none.
+    targets = targets.withColumn("cut", F.coalesce("e_cut", F.when(F.col("rest") > 0, "g").otherwise("")))
+    targets = stored(targets.withColumn("gap", F.col("rest") - F.coalesce("e_got", "rest")).drop("e_source", "e_cut", "e_got"), "mix-cuts")
+    # The document nearest to the gap below the target fills it.
+    miss = F.abs(F.col("m_size") - F.col("gap"))
+    fill = sized.join(targets.select("p_source", "cut", "gap"), F.col("source").eqNullSafe(F.col("p_source"))).filter((F.col("m_rank") > F.col("cut")) & (F.col("m_size") > 0))
+    fill = fill.filter(miss < F.col("gap")).groupBy("p_source").agg(F.min(F.struct(miss.alias("miss"), "m_rank"))["m_rank"].alias("fill"))
+    # Where its row repeats, all of them would be taken: only if that still fits.
+    fill = fill.withColumnRenamed("p_source", "f_source").join(targets.select("p_source", "gap"), F.col("f_source").eqNullSafe(F.col("p_source"))).drop("p_source")
+    same = sized.join(fill, F.col("source").eqNullSafe(F.col("f_source")) & (F.col("m_rank") == F.col("fill")))
+    same = same.groupBy("f_source", "fill", "gap").agg(F.sum("m_size").alias("words")).filter(F.abs(F.col("words") - F.col("gap")) < F.col("gap")).drop("words", "gap")
+    out = targets.join(same, F.col("p_source").eqNullSafe(F.col("f_source")), "left")
+    return stored(out.select("p_source", "source_size", "target", "whole", "cut", "fill"), "mix-plan")
+
+
+def _repeats() -> Column:
+    extra = (F.col("m_rank") <= F.col("cut")) & (F.col("m_size") > 0)
+    return F.col("whole") + extra.cast("long") + F.coalesce(F.col("m_rank") == F.col("fill"), F.lit(False)).cast("long")
+
+
 def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """One row per document: doc_id, source, size, source_size, target and
     repeats (how often the mix takes the document)."""
-    rank = F.md5(F.concat_ws(":", F.lit(seed), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))))
-    sized = docs.select("doc_id", "source", word_count().alias("size"), rank.alias("rank"), F.monotonically_increasing_id().alias("row"))
-    sized = stored(sized, "mix-sizes").withColumn("bucket", F.substring("rank", 1, 3))
-    targets = source_targets(sized, weights, max_epochs)
-    whole = F.coalesce(F.floor(F.try_divide(F.col("target"), F.col("source_size"))), F.lit(0)).cast("long")
-    targets = targets.select(F.col("source").alias("t_source"), "source_size", "target", whole.alias("whole"), (F.col("target") - whole * F.col("source_size")).alias("rest"))
-    # One row per source and bucket: at most 4096 times the number of sources.
-    ahead = Window.partitionBy("source").orderBy("bucket").rowsBetween(Window.unboundedPreceding, -1)
-    buckets = sized.groupBy("source", "bucket").agg(F.sum("size").alias("words"))
-    buckets = buckets.select(F.col("source").alias("b_source"), F.col("bucket").alias("b_bucket"), F.coalesce(F.sum("words").over(ahead), F.lit(0)).alias("ahead"))
-    offsets = buckets.join(targets, F.col("b_source").eqNullSafe(F.col("t_source"))).drop("t_source")
-    inner = Window.partitionBy("source", "bucket").orderBy("rank", "doc_id", "size", "row").rowsBetween(Window.unboundedPreceding, -1)
-    placed = sized.withColumn("within", F.coalesce(F.sum("size").over(inner), F.lit(0)))
-    placed = placed.join(offsets, F.col("source").eqNullSafe(F.col("b_source")) & (F.col("bucket") == F.col("b_bucket")))
-    extra = (F.col("ahead") + F.col("within") + F.col("size") <= F.col("rest")) & (F.col("size") > 0)
-    placed = stored(placed.select("doc_id", "source", "size", "rank", "row", "source_size", "target", "whole", "rest", extra.alias("extra")), "mix-placed")
-    # The prefix leaves a gap below the target; the document nearest to it fills it.
-    gaps = placed.groupBy("source", "rest").agg(F.sum(F.when(F.col("extra"), F.col("size")).otherwise(0)).alias("got"))
-    gaps = gaps.select(F.col("source").alias("g_source"), (F.col("rest") - F.col("got")).alias("gap"))
-    miss = F.abs(F.col("size") - F.col("gap"))
-    fill = placed.filter("NOT extra AND size > 0").join(gaps, F.col("source").eqNullSafe(F.col("g_source"))).filter(miss < F.col("gap"))
-    fill = fill.groupBy("g_source").agg(F.min(F.struct(miss.alias("miss"), "rank", "doc_id", "row"))["row"].alias("f_row")).select("f_row")
-    filled = placed.join(fill, F.col("row") == F.col("f_row"), "left")
-    times = F.col("whole") + F.col("extra").cast("long") + F.col("f_row").isNotNull().cast("long")
-    return filled.select("doc_id", "source", "size", "source_size", "target", times.alias("repeats"))
-
-
-def mix(docs: DataFrame, **options) -> DataFrame:
+    sized = stored(_marked(docs, seed).select("doc_id", "source", "m_size", "m_rank", "m_bucket"), "mix-sizes")
+    planned = sized.join(_plan(sized, weights, max_epochs), F.col("source").eqNullSafe(F.col("p_source")))
+    return planned.select("doc_id", "source", F.col("m_size").alias("size"), "source_size", "target", _repeats().alias("repeats"))
+
+
+def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3, seed: str = "mix") -> DataFrame:
     """The mix itself: every row of ``docs`` as often as it is taken, its
-    columns unchanged."""
-    taken = mixed(docs, **options).filter("repeats > 0").groupBy("doc_id", F.col("source").alias("m_source"), F.col("size").alias("m_size"))
-    taken = taken.agg(F.sum("repeats").alias("m_repeats"), F.count(F.lit(1)).alias("m_rows")).withColumnRenamed("doc_id", "m_id")
-    own = docs.withColumn("m_own", word_count())
-    same = own["doc_id"].eqNullSafe(taken["m_id"]) & own["source"].eqNullSafe(taken["m_source"]) & (own["m_own"] == taken["m_size"])
-    joined = own.join(taken, same)
-    # Rows that repeat share what was taken of them, rounded down to whole rows but at least once.
-    times = F.greatest(F.lit(1), F.floor(F.col("m_repeats") / F.col("m_rows"))).cast("int")
-    return joined.withColumn("m_copy", F.explode(F.sequence(F.lit(1), times))).select(*[joined[c] for c in docs.columns])
+    columns unchanged.  Rows are told by their rank, which their own columns
+    give; texts meet the plan of their source and are not shuffled while the
+    sources are few."""
+    marked = _marked(docs, seed)
+    sized = stored(marked.select("source", "m_size", "m_rank", "m_bucket"), "mix-sizes")
+    planned = marked.join(_plan(sized, weights, max_epochs), F.col("source").eqNullSafe(F.col("p_source"))).withColumn("m_times", _repeats().cast("int"))
+    return planned.filter("m_times > 0").withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 
 MIX_SQL = """
