@@ -5,17 +5,23 @@ counts as several tokens, so texts without spaces have tokens too).  Each k-mer
 of tokens is hashed together with its occurrence number in the text, which
 makes repeated k-mers distinct.  The hash also deals the k-mers over ``m``
 slots; in each slot the ``l`` k-mers of least hash are chosen, put back into
-their order in the text, and hashed as a tuple.  The ``m`` tuple hashes are the
-signature.  Moving passages changes the order inside tuples, so the share of
-equal slots falls with edit distance and not only with the set of k-mers.
+their order in the text, and hashed as a tuple.  A slot with fewer takes the
+missing ones from the slots that follow it (the last is followed by the first),
+so short texts also have ``m`` tuples of ``l`` k-mers whose order counts.  The
+``m`` tuple hashes are the signature.  Moving passages changes the order inside
+tuples, so the share of equal slots falls with edit distance and not only with
+the set of k-mers.
 
-Everything is built from SQL array functions within a row: no shuffle and no
-Python.  Work per text is n log n in its tokens.
+Everything is built from SQL array functions within a row: no Python.  Work per
+text is n log n in its tokens.
 
 Defined cases: a null text is the empty text; a text with fewer than k tokens
-has one k-mer of what it has, an empty one none and an empty signature; slots
-without a k-mer do not count unless the other text fills them;
-two empty texts have likeness 1, an empty and another text 0.
+has one k-mer of what it has, an empty one none and an empty signature; two
+empty texts have likeness 1, an empty and another text 0; a text has fewer than
+2^31 tokens, as any array of Spark.  Every row has a row in the result: a null
+doc_id comes last in the descending order; rows of one doc_id are in the order
+of their texts' hashes; rows that repeat doc_id and text are one place in that
+order, and have the same result.  Other columns are ignored.
 """
 
 from __future__ import annotations
@@ -27,26 +33,26 @@ from .common import stored, text_or_empty
 
 K, L, M = 2, 2, 64
 TOKENS = r"[^\x20\x09-\x0D]{1,12}"
-#: Bits of a packed long that hold a k-mer's position; texts may have 2^24 tokens.
-POS = 24
+#: Bits of a packed long that hold a k-mer's position, and its hash within a slot.
+POS, HASH = 31, 25
 
 
 def add_signature(docs: DataFrame, text: str, out: str, k: int = K, l: int = L, m: int = M) -> DataFrame:  # noqa: E741
-    """``docs`` with the signature of column ``text``: an array of longs, one
-    for each slot with a k-mer, slot number above the 32 bits of the tuple hash.
+    """``docs`` with the signature of column ``text``: an array of ``m`` ints, or
+    of none for a text without tokens.
 
     Each step is a column of its own that later lambdas read, so no step is
     evaluated once per element.
     """
-    low, bits = (1 << POS) - 1, 40 - m.bit_length()
+    low, body = F.lit((1 << POS) - 1), F.lit((1 << HASH) - 1)
     none = lambda kind: F.array().cast(f"array<{kind}>")
     upto = lambda n: F.when(n > 0, F.sequence(F.lit(0), n - 1)).otherwise(none("int"))
-    c = {n: F.col(f"__{n}") for n in "whsboecr"}
+    c = {n: F.col(f"__{n}") for n in "whsboecrt"}
     get = F.get
     steps = docs.withColumn("__w", F.transform(F.regexp_extract_all(text_or_empty(text), F.lit(TOKENS), F.lit(0)), lambda t: F.xxhash64(t)))
     starts = upto(F.when(F.size(c["w"]) > 0, F.greatest(F.size(c["w"]) - (k - 1), F.lit(1))).otherwise(0))
     steps = steps.withColumn("__h", F.transform(starts, lambda i: F.xxhash64(*[get(c["w"], i + j) for j in range(k)]))).drop("__w")
-    # k-mers sorted by (40 bits of hash, position): runs of equal k-mers in text order.
+    # k-mers sorted by (hash, position): runs of equal k-mers in text order.
     packed = F.transform(c["h"], lambda h, i: F.shiftleft(F.shiftright(h, POS), POS).bitwiseOR(i.cast("long")))
     steps = steps.withColumn("__s", F.sort_array(packed)).drop("__h")
     kmer = lambda i: F.shiftright(get(c["s"], i), POS)
@@ -56,72 +62,77 @@ def add_signature(docs: DataFrame, text: str, out: str, k: int = K, l: int = L,
     steps = steps.withColumn("__o", F.when(F.size(c["b"]) > 0, runs).otherwise(none("int"))).drop("__b")
     # Numbered k-mers sorted by (slot, hash, position); the first l of each slot stay.
     number = F.zip_with(c["s"], c["o"], lambda s, o: F.xxhash64(F.shiftright(s, POS), o))
-    entry = lambda x, s: F.shiftleft(F.pmod(x, F.lit(m)), bits + POS).bitwiseOR(F.shiftleft(F.shiftrightunsigned(x, 64 - bits), POS)).bitwiseOR(s.bitwiseAND(F.lit(low)))
+    entry = lambda x, s: F.shiftleft(F.pmod(x, F.lit(m)), HASH + POS).bitwiseOR(F.shiftleft(F.shiftrightunsigned(x, 64 - HASH), POS)).bitwiseOR(s.bitwiseAND(low))
     steps = steps.withColumn("__e", F.sort_array(F.zip_with(number, c["s"], entry))).drop("__s", "__o")
-    slot = lambda e: F.shiftright(e, bits + POS)
+    slot = lambda e: F.shiftright(e, HASH + POS)
     steps = steps.withColumn("__c", F.filter(c["e"], lambda e, i: (i < l) | (slot(get(c["e"], i - l)) != slot(e)))).drop("__e")
-    # Tuples: runs of one slot, put into text order by turning position and hash round.
     steps = steps.withColumn("__r", F.filter(upto(F.size(c["c"])), lambda i: (i == 0) | (slot(get(c["c"], i)) != slot(get(c["c"], i - 1)))))
-    body = F.lit((1 << bits) - 1)
-    turned = lambda e: F.shiftleft(e.bitwiseAND(F.lit(low)), bits).bitwiseOR(F.shiftright(e, POS).bitwiseAND(body))
-
-    def entry_of(i: Column) -> Column:
-        run = F.filter(F.slice(c["c"], i + 1, l), lambda e: slot(e) == slot(get(c["c"], i)))
-        in_order = F.transform(F.sort_array(F.transform(run, turned)), lambda t: t.bitwiseAND(body))
-        return F.shiftleft(slot(get(c["c"], i)), 32).bitwiseOR(F.hash(in_order).cast("long").bitwiseAND(F.lit(0xFFFFFFFF)))
-
-    return steps.withColumn(out, F.transform(c["r"], entry_of)).drop("__c", "__r")
+    # A tuple of l k-mers from each slot's first one on, back in text order.
+    turned = lambda e: F.shiftleft(e.bitwiseAND(low), HASH).bitwiseOR(F.shiftright(e, POS).bitwiseAND(body))
+    chosen = lambda i: F.transform(F.sequence(F.lit(0), F.least(F.lit(l), F.size(c["c"])) - 1), lambda j: turned(get(c["c"], ((i + j) % F.size(c["c"])).cast("int"))))
+    steps = steps.withColumn("__t", F.transform(c["r"], lambda i: F.hash(F.transform(F.sort_array(chosen(i)), lambda t: t.bitwiseAND(body)))))
+    # The tuple of a slot with k-mers also stands for the empty slots before it.
+    place = lambda j: slot(get(c["c"], get(c["r"], j)))
+    gap = lambda j: F.when(j == 0, place(j) + 1).otherwise(place(j) - place(j - 1)).cast("int")
+    filled = F.flatten(F.transform(c["t"], lambda t, j: F.array_repeat(t, gap(j))))
+    rest = F.array_repeat(get(c["t"], F.lit(0)), (F.lit(m - 1) - place(F.size(c["r"]) - 1)).cast("int"))
+    return steps.withColumn(out, F.when(F.size(c["t"]) > 0, F.concat(filled, rest)).otherwise(none("int"))).drop("__c", "__r", "__t")
 
 
 def likeness(a: Column, b: Column) -> Column:
-    """Share of equal slots among those that either signature fills."""
-    slots = lambda s: F.transform(s, lambda x: F.shiftright(x, 32))
-    filled = F.size(F.array_union(slots(a), slots(b)))
-    return F.when(filled == 0, F.lit(1.0)).otherwise(F.size(F.array_intersect(a, b)) / filled)
+    """Share of equal slots."""
+    same = F.size(F.filter(F.zip_with(a, b, lambda x, y: x == y), lambda e: e))
+    return F.when((F.size(a) == 0) & (F.size(b) == 0), F.lit(1.0)).otherwise(F.try_divide(same.cast("double"), F.greatest(F.size(a), F.size(b))))
 
 
 def as_string(sig: Column) -> Column:
-    return F.array_join(F.transform(sig, lambda x: F.lpad(F.hex(x), 10, "0")), "")
+    return F.array_join(F.transform(sig, lambda x: F.lpad(F.hex(x.cast("long").bitwiseAND(F.lit(0xFFFFFFFF))), 8, "0")), "")
 
 
-def next_ids(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """doc_id, n_chars, next_id: the next document in descending doc_id, the
-    first after the last.  One row per doc_id (of repeated ids the longest
-    text).  Ids are range-partitioned and stored, so that each window sees one
-    range; ranges meet over one row per range."""
+def next_places(docs: DataFrame, partitions: int | None = None) -> DataFrame:
+    """doc_id, hash (of the text), n_chars, next_id, next_hash: the next place in
+    the descending order of doc_id (nulls last, then by hash), the first after
+    the last.  Places are range-partitioned and stored, so that each window sees
+    one range; ranges meet over one row per range."""
     spark = docs.sparkSession
-    ids = docs.groupBy("doc_id").agg(F.max(F.char_length(text_or_empty())).cast("long").alias("n_chars")).filter("doc_id IS NOT NULL")
+    places = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("hash"), F.char_length(text_or_empty()).cast("long").alias("n_chars"))
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    ids = stored(ids.repartitionByRange(parts, "doc_id").withColumn("part", F.spark_partition_id()), "fingerprint-ids")
-    ends = ids.groupBy("part").agg(F.max("doc_id").alias("top"))
-    below = F.coalesce(F.lag("top").over(Window.orderBy("part")), F.max("top").over(Window.partitionBy()))
-    ends = ends.select(F.col("part").alias("e_part"), below.alias("below"))
-    inner = F.lag("doc_id").over(Window.partitionBy("part").orderBy("doc_id"))
-    return ids.withColumn("inside", inner).join(ends, F.col("part") == F.col("e_part")).select("doc_id", "n_chars", F.coalesce("inside", "below").alias("next_id"))
+    order = [F.col("doc_id").desc_nulls_last(), F.col("hash").asc()]
+    # Equal places are in one range; the first of them stands for all.
+    ranged = stored(places.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "fingerprint-ranges")
+    places = stored(ranged.groupBy("part", "doc_id", "hash").agg(F.max("n_chars").alias("n_chars")), "fingerprint-places")
+    head = F.struct("doc_id", "hash").alias("head")
+    ends = places.select("part", head, F.row_number().over(Window.partitionBy("part").orderBy(*order)).alias("n")).filter("n = 1")
+    after = F.coalesce(F.lead("head").over(Window.orderBy("part")), F.first("head").over(Window.orderBy("part")))
+    ends = ends.select(F.col("part").alias("e_part"), after.alias("after"))
+    inside = F.lead(F.struct("doc_id", "hash")).over(Window.partitionBy("part").orderBy(*order))
+    following = F.coalesce("inside", "after")
+    joined = places.withColumn("inside", inside).join(ends, F.col("part") == F.col("e_part"))
+    return joined.select("doc_id", "hash", "n_chars", following["doc_id"].alias("next_id"), following["hash"].alias("next_hash"))
+
+
+def _same(id_a: str, hash_a: str, id_b: str, hash_b: str) -> Column:
+    return F.col(id_a).eqNullSafe(F.col(id_b)) & (F.col(hash_a) == F.col(hash_b))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text (the last third
-    replaced by the start of the next document), with their likeness.
-
-    Repeated doc_ids: the longest text (then the greatest) stands for the
-    document; a null doc_id is left out, as it has no place in the order.
-    """
-    texts = docs.filter("doc_id IS NOT NULL").select("doc_id", text_or_empty().alias("text"))
-    repeated = texts.groupBy("doc_id").count().filter("count > 1")
-    if not repeated.isEmpty():
-        best = texts.join(repeated.select("doc_id"), "doc_id", "left_semi").groupBy("doc_id").agg(F.max(F.struct(F.char_length("text").alias("n"), "text"))["text"].alias("text"))
-        texts = texts.join(repeated.select("doc_id"), "doc_id", "left_anti").unionByName(best)
-    order = stored(next_ids(docs), "fingerprint-order")
-    starts = order.select(F.col("next_id").alias("n_id"), F.col("doc_id").alias("for_id"), (F.col("n_chars") / 3).cast("long").cast("int").alias("cut"))
-    starts = texts.join(starts, F.col("doc_id") == F.col("n_id")).select("for_id", F.col("n_id").alias("next_id"), "cut", F.expr("substring(text, 1, cut)").alias("start"))
-    both = texts.join(starts, F.col("doc_id") == F.col("for_id"))
-    both = both.withColumn("n_chars", F.char_length("text").cast("long"))
+    replaced by the start of the next document), with their likeness."""
+    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("hash", F.xxhash64("text"))
+    order = stored(next_places(docs), "fingerprint-order")
+    # The start of the next text, as long as the last third of this one.
+    cut = F.floor(F.col("n_chars") / 3).cast("int").alias("cut")
+    wanted = order.select(F.col("next_id").alias("n_id"), F.col("next_hash").alias("n_hash"), F.col("doc_id").alias("for_id"), F.col("hash").alias("for_hash"), cut)
+    starts = texts.join(wanted, _same("doc_id", "hash", "n_id", "n_hash")).select("for_id", "for_hash", "n_id", "n_hash", "cut", F.expr("substring(text, 1, cut)").alias("start"))
+    # Places that rows share have one start.
+    starts = starts.groupBy("for_id", "for_hash").agg(F.first(F.struct("n_id", "n_hash", "cut", "start")).alias("s")).select("for_id", "for_hash", "s.*")
+    both = texts.join(starts, _same("doc_id", "hash", "for_id", "for_hash")).withColumn("n_chars", F.char_length("text").cast("long"))
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - cut), start)"))
     signed = add_signature(add_signature(both, "text", "sig"), "edited", "edited_sig")
-    signed = stored(signed.select("doc_id", "next_id", "n_chars", F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256"), "sig", "edited_sig"), "fingerprint-rows")
-    following = signed.select(F.col("doc_id").alias("f_id"), F.col("sig").alias("f_sig"))
-    return signed.join(following, F.col("next_id") == F.col("f_id")).select(
+    edited = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
+    signed = stored(signed.select("doc_id", "hash", "n_id", "n_hash", "n_chars", edited, "sig", "edited_sig"), "fingerprint-rows")
+    following = signed.groupBy(F.col("doc_id").alias("f_id"), F.col("hash").alias("f_hash")).agg(F.first("sig").alias("f_sig"))
+    return signed.join(following, _same("n_id", "n_hash", "f_id", "f_hash")).select(
         "doc_id", "n_chars", "edited_sha256", as_string(F.col("sig")).alias("fingerprint"), as_string(F.col("edited_sig")).alias("edited_fingerprint"),
         likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("f_sig")).alias("near_next"),
     )
