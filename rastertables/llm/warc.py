@@ -10,7 +10,7 @@ owns the records that start inside its range, reading past its end where a
 record does.  Magic bytes inside compressed data are thus no trouble.
 
 Defined cases: null html is the empty payload; rows with the same page_id are
-records of their own; a null page_id is written and read as null and is the
+records of their own (of equal payloads under one page_id, all are responses); a null page_id is written and read as null and is the
 smallest; other columns are ignored; no rows give no records.
 """
 
@@ -25,7 +25,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .common import shared_dir, stored, text_or_empty
+from .common import Likely, shared_dir, split_join, stored, text_or_empty
 
 #: Payloads of fewer bytes are never revisits.
 LEAST = 1000
@@ -64,8 +64,17 @@ def write_warc(pages: DataFrame, folder: str) -> list[tuple[str, int]]:
     the response that the others revisit."""
     rows = pages.select("page_id", "url", text_or_empty("html").alias("html")).withColumn("digest", F.sha1(F.col("html").cast("binary")))
     large = F.octet_length("html") >= LEAST
-    first = rows.filter(large).groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("same")).filter("same > 1").withColumnRenamed("digest", "f_digest")
-    rows = rows.join(first, (F.col("digest") == F.col("f_digest")) & large, "left")
+    # Which rows revisit is decided on narrow rows; the pages themselves move only
+    # where their digest is likely to repeat.
+    narrow = stored(rows.filter(large).select("page_id", "digest"), "warc-digests")
+    first = narrow.groupBy("digest").agg(F.max("page_id").alias("first_id"), F.count(F.lit(1)).alias("same"))
+    first = stored(first.filter("same > 1"), "warc-repeated")
+    likely = Likely(stored(first.select(F.xxhash64("digest")), "warc-hashes"), "warc-likely")
+    marked = likely.mark(rows, F.xxhash64("digest"), "w_likely").withColumn("w_likely", F.col("w_likely") & large)
+    none = [F.lit(None).cast(dict(first.dtypes)["first_id"]).alias("first_id"), F.lit(None).cast("long").alias("same")]
+    alone = marked.filter("NOT w_likely").select("page_id", "url", "html", "digest", *none)
+    again = split_join(marked.filter("w_likely"), first, "digest", "same", "left").select("page_id", "url", "html", "digest", "first_id", "same")
+    rows = alone.unionByName(again)
     rows = rows.withColumn("kind", F.when(F.col("same").isNull() | F.col("page_id").eqNullSafe(F.col("first_id")), "response").otherwise("revisit"))
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -202,9 +211,14 @@ def round_trip(pages: DataFrame, folder: str | None = None) -> DataFrame:
     archives = write_warc(pages, folder)
     records = read_warc(spark, folder, archives).drop("payload")
     records = stored(records, "warc-records")
-    sizes = records.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("size")).withColumnRenamed("payload_digest", "s_digest")
-    joined = records.join(sizes, F.col("payload_digest") == F.col("s_digest"), "left")
-    return joined.select("page_id", F.coalesce("payload_bytes", "size").alias("payload_bytes"), "payload_digest", "record_type", "refers_to")
+    revisits = records.filter("record_type = 'revisit'").drop("payload_bytes")
+    # Only what revisits refer to is looked up, and large groups are not one task.
+    asked = revisits.groupBy("payload_digest").agg(F.count(F.lit(1)).alias("asked"))
+    sizes = records.filter("record_type = 'response'").groupBy("payload_digest").agg(F.max("payload_bytes").alias("payload_bytes"))
+    sizes = stored(asked.join(sizes, "payload_digest", "left"), "warc-sizes")
+    found = split_join(revisits, sizes, "payload_digest", "asked", "left").drop("asked")
+    columns = ["page_id", "payload_bytes", "payload_digest", "record_type", "refers_to"]
+    return records.filter("record_type <> 'revisit'").select(*columns).unionByName(found.select(*columns))
 
 
 WARC_SQL = """
