@@ -9,49 +9,59 @@ radix; each format says how a value becomes such a list and back:
 - card and account numbers (13 to 19 digits): all digits but the last; the last
   keeps its distance to the Luhn digit, so valid numbers stay valid and others
   stay invalid;
-- dates (1800 to 2199): the day's number in the 400-year cycle, 146097 days =
-  189 x 773;
+- dates (1800 to 2199; 1985-03-12, 12.03.1985, 12.3.1985, 12/03/1985, 03/25/1985):
+  the day's number in the 400-year cycle, 146097 days = 189 x 773, written back in
+  the same way, so that one day has one pseudonym in all of them;
 - IPv4 addresses: four digits of radix 256;
 - social security numbers: area (001-899 without 666), group 01-99, serial
   0001-9999;
 - telephone numbers: the digits after the country code, separators kept;
-- email addresses: letters and digits of the local part, each in its class.
+- email addresses: letters and digits of the local part, each in its class, by a
+  permutation of their domain's own.
+
+The key comes from the caller or from the session's ``rastertables.pii.key``;
+without either, each call draws a new one, whose pseudonyms no one can invert.
 
 Everything is SQL functions within a row; texts without a digit or @ skip it.
 
 Defined cases: null text stays null and has no findings; values that fail their
-validation (a date that is not one, an octet above 255) stay as they are; other
-columns are kept.
+validation (a date that is not one, an octet above 255) stay as they are;
+repeated rows give a row each; other columns are kept, and a column of the name
+of the count is an error; no rows give no rows.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+import secrets
+
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "rastertables"
+KEY_SETTING = "rastertables.pii.key"
 ROUNDS = 8
 EMAIL = r"[A-Za-z0-9._%+-]+@[A-Za-z0-9-]+(?:\.[A-Za-z0-9-]+)*\.[A-Za-z]{2,}"
 IPV4 = r"(?<![0-9.])[0-9]{1,3}(?:\.[0-9]{1,3}){3}(?!\.?[0-9])"
 DATE = r"(?<![0-9-])[0-9]{4}-[0-9]{2}-[0-9]{2}(?![0-9-])"
+DAY_FIRST = r"(?<![0-9.])[0-9]{1,2}\.[0-9]{1,2}\.[0-9]{4}(?!\.?[0-9])|(?<![0-9/])[0-9]{1,2}/[0-9]{1,2}/[0-9]{4}(?![0-9/])"
 SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
-PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])"
+PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])|(?<![0-9A-Za-z])0[1-9](?:[ .][0-9]{2}){4}(?![0-9A-Za-z])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
-ANY = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, DATE, SSN, CARD, PHONE))
+ANY = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, DATE, DAY_FIRST, SSN, CARD, PHONE))
 #: First day of the 400-year cycle that dates are permuted in.
 FIRST_DAY = "1800-01-01"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 
 
-def feistel(values: Column, radixes: Column, key: str, kind: str) -> Column:
+def feistel(values: Column, radixes: Column, key: str, kind: str | Column) -> Column:
     """A keyed permutation of ``values`` (array<int>), digit i staying below
     ``radixes[i]``: each round adds to one half a keyed hash of the other."""
     half = F.floor(F.size(values) / 2).cast("int")
+    kind = F.lit(kind) if isinstance(kind, str) else kind
 
     def turn(digits: Column, r: Column) -> Column:
         left = (r % 2) == 0
         other = F.array_join(F.when(left, F.slice(digits, half + 1, F.size(digits))).otherwise(F.slice(digits, 1, half)).cast("array<string>"), ",")
-        noise = lambda i: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), r.cast("string"), i.cast("string"), other).cast("binary"), 256), 1, 12), 16, 10).cast("long")
+        noise = lambda i: F.conv(F.substring(F.sha2(F.concat_ws("|", F.lit(key), kind, r.cast("string"), i.cast("string"), other).cast("binary"), 256), 1, 12), 16, 10).cast("long")
         return F.transform(digits, lambda x, i: F.when((i < half) == left, F.pmod(x + noise(i), F.element_at(radixes, i + 1))).otherwise(x).cast("int"))
 
     return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), values, turn)
@@ -87,12 +97,35 @@ def _card(s: Column, key: str) -> Column:
     return _refill(s, F.transform(F.array(_digits(s)), made)[0])
 
 
-def _date(s: Column, key: str) -> Column:
-    day = F.try_to_timestamp(s, F.lit("yyyy-MM-dd")).cast("date")
-    number = F.datediff(day, F.lit(FIRST_DAY).cast("date"))
+def _moved_day(day: Column, key: str) -> Column:
+    """The pseudonym of a date, null outside the cycle."""
+    first = F.lit(FIRST_DAY).cast("date")
+    number = F.datediff(day, first)
     new = feistel(F.array((number / 773).cast("int"), number % 773), F.array(F.lit(189), F.lit(773)), key, "date")
-    out = F.transform(F.array(new), lambda d: F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), d[0] * 773 + d[1]), "yyyy-MM-dd"))[0]
-    return F.when(number.between(0, 146096), out).otherwise(s)
+    return F.when(number.between(0, 146096), F.transform(F.array(new), lambda d: F.date_add(first, d[0] * 773 + d[1]))[0])
+
+
+def _date(s: Column, key: str) -> Column:
+    new = _moved_day(F.try_to_timestamp(s, F.lit("yyyy-MM-dd")).cast("date"), key)
+    return F.coalesce(F.date_format(new, "yyyy-MM-dd"), s)
+
+
+def _day_first(s: Column, key: str) -> Column:
+    """Day, month and year, or month, day and year where no month is second."""
+    parts = F.split(s, "[./]").cast("array<int>")
+    swapped = (parts[1] > 12) & (parts[0] <= 12) & F.contains(s, F.lit("/"))
+    day, month = F.when(swapped, parts[1]).otherwise(parts[0]), F.when(swapped, parts[0]).otherwise(parts[1])
+    text = F.format_string("%04d-%02d-%02d", parts[2], month, day)
+    # A leading zero, or none, is kept.
+    sign, wide = F.when(F.contains(s, F.lit("/")), "/").otherwise("."), s.rlike("^0|[./]0[0-9][./]")
+
+    def written(new: Column) -> Column:
+        number = lambda x: F.when(wide, F.lpad(x.cast("string"), 2, "0")).otherwise(x.cast("string"))
+        d, m = number(F.day(new)), number(F.month(new))
+        return F.concat(F.when(swapped, m).otherwise(d), sign, F.when(swapped, d).otherwise(m), sign, F.lpad(F.year(new).cast("string"), 4, "0"))
+
+    new = _moved_day(F.try_to_timestamp(text, F.lit("yyyy-MM-dd")).cast("date"), key)
+    return F.coalesce(F.transform(F.array(new), lambda n: F.when(n.isNotNull(), written(n)))[0], s)
 
 
 def _ipv4(s: Column, key: str) -> Column:
@@ -136,7 +169,7 @@ def _email(s: Column, key: str) -> Column:
             out = F.when(F.position(c, F.lit(abc)) > 0, F.lit(n)).otherwise(out)
         return out
 
-    new = feistel(F.transform(letters, number), F.transform(letters, radix), key, "email")
+    new = feistel(F.transform(letters, number), F.transform(letters, radix), key, F.concat(F.lit("email"), F.lower(domain)))
 
     def back(c: Column, x: Column) -> Column:
         out = c
@@ -147,17 +180,24 @@ def _email(s: Column, key: str) -> Column:
     return F.concat(F.array_join(F.zip_with(letters, new, back), ""), F.lit("@"), domain)
 
 
-def pseudonym(s: Column, key: str = KEY) -> Column:
+def session_key(spark: SparkSession) -> str:
+    return spark.conf.get(KEY_SETTING, None) or secrets.token_hex(16)
+
+
+def pseudonym(s: Column, key: str) -> Column:
     """The pseudonym of one found value; the value itself if it is not valid."""
     whole = lambda p: s.rlike(f"^(?:{p})$")
     return (
         F.when(F.contains(s, F.lit("@")), _email(s, key)).when(whole(IPV4), _ipv4(s, key)).when(whole(DATE), _date(s, key))
-        .when(whole(SSN), _ssn(s, key)).when(whole(CARD), _card(s, key)).otherwise(_phone(s, key))
+        .when(whole(DAY_FIRST), _day_first(s, key)).when(whole(SSN), _ssn(s, key)).when(whole(CARD), _card(s, key)).otherwise(_phone(s, key))
     )
 
 
-def pseudonymised(docs: DataFrame, text: str = "text", key: str = KEY, found: str = "n_found") -> DataFrame:
+def pseudonymised(docs: DataFrame, text: str = "text", key: str | None = None, found: str = "n_found") -> DataFrame:
     """``docs`` with ``text`` pseudonymised and the number of values replaced."""
+    if found in docs.columns:
+        raise ValueError(f"a column {found} exists: name the count otherwise")
+    key = key or session_key(docs.sparkSession)
     hit = F.col(text).rlike("[0-9]|@")
     steps = docs.withColumn("__found", F.when(hit, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
     steps = steps.withColumn("__gaps", F.when(F.size("__found") > 0, F.split(text, ANY, -1)))
