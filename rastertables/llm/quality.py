@@ -7,25 +7,31 @@ look-ups.  Filter outputs pass a ReLU, are max-pooled over overlapping chunks of
 ``2 * POOL`` positions, and the chunks' maxima are combined by their mean and
 their maximum into one probability by a logistic layer.
 
-Training runs on the whole texts of at most ``MAX_ROWS`` labelled rows (a
-documented bound of the fit only).
+Training runs on the whole texts of at most ``MAX_ROWS`` labelled rows that
+have ``MAX_BYTES`` in all (documented bounds of the fit only).
 
 Defined cases: null and empty texts have no chunk, their features are zero, and
 the score is the network's bias; without labelled rows of both classes every
-score is the share of label 1 (0.5 without rows).
+score is the share of label 1 (0.5 without rows); equal texts have equal scores;
+rows whose doc_id is null or repeats are scored like any other (of a repeated
+doc_id the fit takes the least text); other columns, whatever their names, are
+ignored; no rows give no rows.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 WIDTH, HOP, POOL, FILTERS = 8, 4, 32, 16
-MAX_ROWS = 3000
+MAX_ROWS, MAX_BYTES = 3000, 48 << 20
+#: Texts that are handed to Python objects at a time.
+SLICE = 256
 #: Positions convolved at a time: bounds memory on very long texts.
 STEP = 1 << 14
 
@@ -157,31 +163,53 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 12, batch: i
     return net
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, max_rows: int) -> pd.DataFrame:
+def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, max_rows: int, max_bytes: int = MAX_BYTES) -> pd.DataFrame:
     """At most ``max_rows`` labelled rows (text, label) outside the held-out
     fold, the same at every run, half of them of each class where there are
-    enough.  This sample is all that training reads."""
+    enough.  In the order of a hash, rows are taken while their texts have at
+    most ``max_bytes`` in all; a longer text waits for none of the others.  This
+    sample is all that training reads."""
     marks = labels.filter(F.col(label).isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != held))
-    marks = marks.select("doc_id", F.col(label).cast("int").alias("label")).dropDuplicates(["doc_id"])
+    marks = marks.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
     order = F.xxhash64("doc_id")
     some = [marks.filter(F.col("label") == x).orderBy(order, "doc_id").limit(max_rows // 2) for x in (0, 1)]
     ids = some[0].unionByName(some[1])
     rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most max_rows ids
+    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
+    # At most max_rows rows: one window over all of them is small.
+    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy(order, "doc_id"))
+    rows = rows.withColumn("upto", upto).filter(F.col("upto") <= max_bytes).drop("upto")
     return rows.toPandas().sort_values("doc_id", ignore_index=True)
 
 
-def score_texts(docs: DataFrame, score, out: str = "score") -> DataFrame:
+def score_texts(docs: DataFrame, score: Callable[[str | None], float], out: str = "score") -> DataFrame:
     """``docs`` (doc_id, text) without text, with ``score(text)``."""
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield pd.DataFrame({"doc_id": batch["doc_id"], out: [score(t) for t in batch["text"]]})
+            texts, scores = batch.column("text"), []
+            for low in range(0, len(texts), SLICE):  # few texts are Python objects at a time
+                scores += [score(t) for t in texts.slice(low, SLICE).to_pylist()]
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(scores, pa.float64())], ["doc_id", out])
 
-    return docs.select("doc_id", "text").mapInPandas(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {out} double")
+    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {dict(docs.dtypes)['doc_id']}, {out} double")
 
 
-def quality_scores(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, max_rows: int = MAX_ROWS) -> DataFrame:
+def keep_rows(docs: DataFrame, keep: Callable[[str | None], bool]) -> DataFrame:
+    """The rows of ``docs`` whose text ``keep`` accepts, in one pass without a join."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts, kept = batch.column("text"), []
+            for low in range(0, len(texts), SLICE):
+                kept += [keep(t) for t in texts.slice(low, SLICE).to_pylist()]
+            yield batch.filter(pa.array(kept, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
+def quality_scores(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """doc_id and score (near 1: label 1) of every whole text."""
-    rows = labelled(docs, labels, "quality", fold, held, max_rows)
+    rows = labelled(docs, labels, "quality", fold, held, max_rows, max_bytes)
     net = train(rows["text"].tolist(), rows["label"].tolist())
     return score_texts(docs, net.score)

@@ -12,11 +12,15 @@ with both dictionaries; what the toxic one saves is the window's evidence.  Figu
 of a text (the highest savings, the saving per window, and whole passages a KB,
 as short passages save few bytes) go through a logistic curve calibrated on the labelled rows, so that 0.3 is the threshold.
 
-The fit reads at most ``MAX_ROWS`` labelled rows (a documented bound of the fit
-only); scoring reads whole texts.
+The fit reads at most ``MAX_ROWS`` labelled rows of ``MAX_BYTES`` in all
+(documented bounds of the fit only); scoring reads whole texts.
 
 Defined cases: null and empty texts have no window and no evidence, so they get
-the lowest score; without labelled rows of both classes every score is 0.
+the lowest score; without labelled rows of both classes every score is 0; equal
+texts have equal scores; rows whose doc_id is null or repeats are scored like
+any other (of a repeated doc_id the fit takes the least text); rows are scored
+one by one, so ``without_toxic`` never judges a row by another's doc_id; other
+columns, whatever their names, are ignored and kept; no rows give no rows.
 """
 
 from __future__ import annotations
@@ -26,7 +30,7 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality import labelled, score_texts
+from .quality import MAX_BYTES, keep_rows, labelled, score_texts
 
 #: Bytes of a window, of its step, and of the n-grams.
 WINDOW, STEP, GRAMS = 96, 80, (5, 6, 8)
@@ -104,22 +108,29 @@ def _surplus(a: np.ndarray, b: np.ndarray, toxic: int, ordinary: int) -> np.ndar
     return np.where(a / toxic > b / ordinary, g, 0.0)
 
 
-def toxic_cores(index: dict[int, tuple], groups: list[np.ndarray], y: np.ndarray) -> list[bytes]:
-    """Passages that are more frequent in the toxic texts of a group than in its
-    ordinary ones, beyond chance among all grams compared; surest first."""
-    best: dict[bytes, float] = {}
-    for size, (grams, held) in index.items():
-        for rows in groups if len(grams) else []:
-            count = lambda want: np.bincount(np.concatenate([held[i] for i in rows if y[i] == want]), minlength=len(grams))
-            many, rare = count(1), count(0)
-            g = _surplus(many, rare, int((y[rows] == 1).sum()), int((y[rows] == 0).sum()))
-            for core, sure in _chained(grams, many, g, size, 2 * np.log(len(grams)) + CHANCE):
-                best[core] = max(best.get(core, 0.0), sure)
-    cores: list[bytes] = []
-    for core in sorted(best, key=lambda c: (-best[c], c)):
-        if not any(core.strip() in c or c.strip() in core or _overlap(core, c) or _overlap(c, core) for c in cores):
-            cores.append(core)
-    return cores
+def toxic_passages(raws: list[bytes], y: np.ndarray, choices: list[list[np.ndarray]]) -> list[list[bytes]]:
+    """For each choice of groups: the passages that are more frequent in the toxic
+    texts of a group than in its ordinary ones, beyond chance among all grams
+    compared; surest first."""
+    best: list[dict[bytes, float]] = [{} for _ in choices]
+    for size in GRAMS:  # one size at a time: the index is what takes memory
+        grams, held = _index(raws, y, size)
+        for found, groups in zip(best, choices, strict=True):
+            for rows in groups if len(grams) else []:
+                count = lambda want: np.bincount(np.concatenate([held[i] for i in rows if y[i] == want]), minlength=len(grams))  # noqa: B023, E731
+                many, rare = count(1), count(0)
+                g = _surplus(many, rare, int((y[rows] == 1).sum()), int((y[rows] == 0).sum()))
+                for core, sure in _chained(grams, many, g, size, 2 * np.log(len(grams)) + CHANCE):
+                    found[core] = max(found.get(core, 0.0), sure)
+        del grams, held
+    out = []
+    for found in best:
+        cores: list[bytes] = []
+        for core in sorted(found, key=lambda c: (-found[c], c)):
+            if not any(core.strip() in c or c.strip() in core or _overlap(core, c) or _overlap(c, core) for c in cores):
+                cores.append(core)
+        out.append(cores)
+    return out
 
 
 def _overlap(a: bytes, b: bytes) -> bool:
@@ -143,12 +154,15 @@ def _chained(grams: np.ndarray, many: np.ndarray, g: np.ndarray, size: int, leas
     for gram, (n, sure) in spread.items():
         if gram in used:
             continue
-        core, more = gram, True
-        while more and len(core) < 24:
+        core, more, own = gram, True, {gram}
+        while more:
             after, before = ahead.get(core[1 - size :], (0, 0)), behind.get(core[: size - 1], (0, 0))
-            more = max(after, before)[0] >= 0.85 * n
+            longer = core + bytes([after[1]]) if after >= before else bytes([before[1]]) + core
+            new = longer[-size:] if after >= before else longer[:size]
+            more = max(after, before)[0] >= 0.85 * n and new not in own
             if more:
-                core = core + bytes([after[1]]) if after >= before else bytes([before[1]]) + core
+                core = longer
+                own.add(new)
         used |= {core[i : i + size] for i in range(len(core) - size + 1)}
         out.append((core, sure))
     return out
@@ -211,9 +225,10 @@ def train(texts: list[str | None], labels: list[int]) -> Scorer:
     fit = lambda want, rows: [r for r, k, h in zip(raws, y, rows, strict=True) if k == want and h]
     if not fit(1, half) or not fit(0, half) or not fit(1, ~half) or not fit(0, ~half):
         return Scorer(b"", [], [])
-    index, groups = {n: _index(raws, y, n) for n in GRAMS}, alike(raws, y)
+    groups = alike(raws, y)
     within = [g for g in (rows[half[rows]] for rows in groups) if 0 < y[g].sum() < len(g)]
-    trial = Scorer(_ordinary_content(fit(0, half)), toxic_cores(index, within, y), [])
+    trial_cores, cores = toxic_passages(raws, y, [within, groups])
+    trial = Scorer(_ordinary_content(fit(0, half)), trial_cores, [])
     seen = [i for i in range(len(y)) if not half[i]]
     x = np.array([trial.evidence(texts[i]) for i in seen])
     # Each class weighs as it does in the rows given, both about half.
@@ -226,7 +241,7 @@ def train(texts: list[str | None], labels: list[int]) -> Scorer:
     cut = float(np.clip(cuts[int(np.argmin(loss))], 1e-4, 1 - 1e-4))
     w[-1] += np.log(0.3 / 0.7) - np.log(cut / (1 - cut))
     everything = np.ones(len(y), bool)
-    return Scorer(_ordinary_content(fit(0, everything)), toxic_cores(index, groups, y), w.tolist())
+    return Scorer(_ordinary_content(fit(0, everything)), cores, w.tolist())
 
 
 def _ordinary_content(raws: list[bytes]) -> bytes:
@@ -237,14 +252,17 @@ def _ordinary_content(raws: list[bytes]) -> bytes:
         return b"".join(windows)[:BASE_BYTES]
 
 
-def toxicity_scores(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, max_rows: int = MAX_ROWS) -> DataFrame:
+def fitted(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Scorer:
+    rows = labelled(docs, labels, "toxic", fold, held, max_rows, max_bytes)
+    return train(rows["text"].tolist(), rows["label"].tolist())
+
+
+def toxicity_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:
     """doc_id and score (near 1: toxic) of every whole text."""
-    rows = labelled(docs, labels, "toxic", fold, held, max_rows)
-    scorer = train(rows["text"].tolist(), rows["label"].tolist())
-    return score_texts(docs, scorer.score)
+    return score_texts(docs, fitted(docs, labels, **options).score)
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, threshold: float = 0.3, **options) -> DataFrame:
     """The rows of ``docs`` that score below ``threshold``."""
-    scores = toxicity_scores(docs, labels, **options).filter(F.col("score") >= threshold).select(F.col("doc_id").alias("x_id")).distinct()
-    return docs.join(scores, F.col("doc_id") == F.col("x_id"), "left_anti")
+    scorer = fitted(docs, labels, **options)
+    return keep_rows(docs, lambda text: scorer.score(text) < threshold)
