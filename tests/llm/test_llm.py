@@ -101,7 +101,7 @@ def test_ngram_join_large_group_in_blocks(spark, monkeypatch):
 
 def test_ngram_join_odd_rows(odd):
     got = ngram_join.jaccard_classes(odd).collect()
-    assert len(got) == 7 and {(r.doc_id, r.class_id) for r in got if r.doc_id in (1, 2, 3, 4)} == {(1, 1), (2, 1), (3, 3), (4, 4)}
+    assert len(got) == 8 and {(r.doc_id, r.class_id) for r in got if r.doc_id in (1, 2, 3, 4)} == {(1, 1), (2, 1), (3, 3), (4, 4)}
     assert ngram_join.one_of_each_class(odd).columns == odd.columns
     assert ngram_join.jaccard_classes(empty(odd)).count() == 0
 
@@ -158,7 +158,7 @@ def test_mix_matches_sql(spark, docs):
 
 
 def test_water_filling_clamps(spark):
-    sizes = spark.createDataFrame([("a", 1), ("b", 100), ("c", 100), (None, 100), ("z", 0)], "source string, size long")
+    sizes = spark.createDataFrame([("a", 1), ("b", 100), ("c", 100), (None, 100), ("z", 0)], "source string, m_size long")
     got = {r.source: r.target for r in mixing.source_targets(sizes).collect()}
     assert got["a"] == 3 and got["z"] == 0 and abs(sum(got.values()) - 301) < 1e-6 and max(got["b"], got["c"], got[None]) <= 300
 
@@ -172,7 +172,9 @@ def test_mix_odd_rows(odd):
 def test_pseudonyms(spark):
     text = "a 2024-02-29 b 2024-02-30 c 4111 1111 1111 1111 d 123-45-6789 e 300.1.1.1 f 10.0.0.1 g +49 30 1234567 h ab.c1@y.zz i 10.0.0.1"
     df = spark.createDataFrame([(1, text, "k"), (2, None, "k"), (3, "", "k"), (4, "none", "k"), (5, "x 10.0.0.1", "k")], "doc_id long, text string, n_found string")
-    got = {r.doc_id: r for r in pii.pseudonymised(df, found="hits").collect()}
+    with pytest.raises(ValueError):
+        pii.pseudonymised(df)
+    got = {r.doc_id: r for r in pii.pseudonymised(df, key="k", found="hits").collect()}
     new = got[1].text
     day, card, ip = re.search(r"a (\S+) b", new)[1], re.search(r"c ([\d ]+) d", new)[1], re.search(r"f (\S+) g", new)[1]
     assert day != "2024-02-29" and 1800 <= int(day[:4]) <= 2199 and "b 2024-02-30 c" in new and "e 300.1.1.1 f" in new
@@ -186,7 +188,7 @@ def test_pseudonyms_are_permutations(spark):
     ips = spark.range(512).select(F.concat_ws(".", F.lit(10), F.lit(1), (F.col("id") / 256).cast("int"), F.col("id") % 256).alias("s"))
     days = spark.range(800).select(F.date_format(F.date_add(F.lit("1999-01-01").cast("date"), F.col("id").cast("int")), "yyyy-MM-dd").alias("s"))
     for values, n in ((ips, 512), (days, 800)):
-        assert values.select(pii.pseudonym(F.col("s")).alias("p")).distinct().count() == n
+        assert values.select(pii.pseudonym(F.col("s"), "k").alias("p")).distinct().count() == n
 
 
 def test_encoding_equals_the_library(spark, docs):
@@ -266,7 +268,7 @@ def test_fingerprints(spark, docs, odd):
         assert r.n_chars == len(text) and r.edited_sha256 == hashlib.sha256(edited.encode()).hexdigest()
         assert 0 <= r.near_edited <= 1 and 0 <= r.near_next <= 1 and (edited != text or r.near_edited == 1)
     assert np.mean([r.near_edited for r in got.values()]) > np.mean([r.near_next for r in got.values()]) + 0.1
-    assert fingerprints.fingerprints(odd).count() == 6 and fingerprints.fingerprints(empty(odd)).count() == 0
+    assert fingerprints.fingerprints(odd).count() == 8 and fingerprints.fingerprints(empty(odd)).count() == 0
 
 
 def test_fingerprint_is_sensitive_to_order(spark):
