@@ -40,13 +40,15 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 def split_join(rows: DataFrame, table: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``table`` (one row for each ``key``, which is never
     null; ``size`` says how many of the rows have it) so that no key lands in
-    one task.  Both are stored tables.
+    one task.  The table is a stored one; small tables are broadcast.
 
     The keys that have more than 1 / HOT_KEYS of all rows are at most HOT_KEYS:
     their part of the table is broadcast and their rows stay where they are.
     All others are shuffled on the key.
     """
-    total = table.agg(F.sum(size)).first()[0] or 0
+    total, keys = table.agg(F.sum(size), F.count(F.lit(1))).first()
+    if keys <= HOT_KEYS:
+        return rows.join(F.broadcast(table), key, how)
     large = F.col(size) * HOT_KEYS > total
     hot = table.filter(large)
     few = hot.select(key)

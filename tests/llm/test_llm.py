@@ -10,7 +10,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from rastertables.llm import components, exact_dedup, fingerprints, html_text, mixing, ngram_join, pieces, pii, quality, shingles, toxicity, warc
+from rastertables.llm import components, exact_dedup, fingerprints, mixing, ngram_join, pieces, pii, quality, shingles, toxicity, warc
 from rastertables.llm.queries import OP1_SQL
 
 DATA = "/root/testdata/sf0.001"
@@ -116,38 +116,6 @@ def test_components(spark):
     assert rows(components.components(links)) == [(1, 1), (2, 1), (3, 1), (4, 1), (8, 8), (9, 8)]
 
 
-def test_html_extraction():
-    page = "<html><head><title>T</title><script>var a='</p>';</script></head><body><nav><a>Home</a></nav><article><h1>A &amp; B</h1><p><b>x<br>y<p>z <i>w</i></article><div class=\"comment-list\">no</div><footer>f</footer>"
-    kept = [b for b in html_text.blocks(html_text.parse(page)) if not b[3] and b[4]]
-    assert [b[2] for b in kept] == ["A & B", "x y", "z w"]
-    a = ["", [["h", []], ["p", []], ["q", [["r", []]]]]]
-    b = ["", [["p", []], ["q", [["r", []], ["s", []]]]]]
-    assert html_text.tree_match(a, b)[0] == 4
-
-
-def test_html_template_and_odd_rows(spark):
-    page = lambda i: f"<body><div>Welcome to us</div><div><p>text {i}</p></div>"
-    some = spark.createDataFrame([(i, "http://h.example/x", page(i), 1) for i in range(12)] + [(20, None, None, 1), (21, "::bad", "", 1), (22, "http://o.example/", "<p>lonely", 1)], "page_id long, url string, html string, n_chars int")
-    got = {r.page_id: r for r in html_text.extract(some).collect()}
-    assert got[3].text == "text 3" and got[3].n_chars == 6 and got[20].text == "" and got[21].text == "" and got[22].text == "lonely"
-    assert html_text.extract(empty(some)).count() == 0
-
-
-def test_html_copies_of_a_page_are_no_template(spark):
-    page = lambda i: f"<body><div>Welcome</div><p>text {i}</p><section><h2>{'Welcome' if i == 3 else i}</h2></section>"
-    some = spark.createDataFrame([(i, "http://h.example/x", page(min(i, 6))) for i in range(100)], "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in html_text.extract(some).collect()}
-    assert got[50] == "text 6\n\n6" and got[3] == "text 3\n\nWelcome"
-
-
-def test_html_templates_of_two_layouts(spark):
-    one = lambda i: f"<body class='has-sidebar'><div class='a'>Top one</div><article class='post comments-open'><p>text {i}</p><div class='c'>End one</div></article>"
-    two = lambda i: f"<body><table><tr><td>Top two</td></tr><tr><td><h2>title {i}</h2></td></tr></table><blockquote>End two</blockquote>"
-    some = spark.createDataFrame([(i, "http://h.example/x", (one, two)[i % 2](i)) for i in range(40)], "page_id long, url string, html string")
-    got = {r.page_id: r.text for r in html_text.extract(some).collect()}
-    assert got == {i: f"title {i}" if i % 2 else f"text {i}" for i in range(40)}
-
-
 def test_mix_matches_sql(spark, docs):
     duck = duckdb.connect()
     duck.execute(f"CREATE VIEW documents AS SELECT * FROM '{DATA}/documents.parquet'")
