@@ -12,8 +12,9 @@ with both dictionaries; what the toxic one saves is the window's evidence.  Figu
 of a text (the highest savings, the saving per window, and whole passages a KB,
 as short passages save few bytes) go through a logistic curve calibrated on the labelled rows, so that 0.3 is the threshold.
 
-The fit reads at most ``MAX_ROWS`` labelled rows of ``MAX_BYTES`` in all
-(documented bounds of the fit only); scoring reads whole texts.
+The fit reads at most ``MAX_ROWS`` labelled rows of ``MAX_BYTES`` in all, and
+trains the ordinary content on the first ``BASE_ROWS`` ordinary ones (documented
+bounds of the fit only); scoring reads whole texts.
 
 Defined cases: null and empty texts have no window and no evidence, so they get
 the lowest score; without labelled rows of both classes every score is 0; equal
@@ -40,6 +41,9 @@ LEVEL, BASE_BYTES = 6, 4096
 #: above twice the logarithm of the number of comparisons.
 LEAST, DEPTH, CHANCE = 5, 5, 10.0
 MAX_ROWS = 6000
+#: Ordinary rows whose whole texts the ordinary content is trained on: the trainer
+#: needs about ten times their size in memory.
+BASE_ROWS = 1000
 
 
 def _windows(raw: bytes) -> list[bytes]:
@@ -245,9 +249,9 @@ def train(texts: list[str | None], labels: list[int]) -> Scorer:
 
 
 def _ordinary_content(raws: list[bytes]) -> bytes:
-    windows = [w for r in raws for w in _windows(r)]
+    windows = [w for r in raws[:BASE_ROWS] for w in _windows(r)]
     try:
-        return zstandard.train_dictionary(BASE_BYTES + 2048, windows).as_bytes()[-BASE_BYTES:]
+        return zstandard.train_dictionary(BASE_BYTES + 2048, windows, k=64, d=8).as_bytes()[-BASE_BYTES:]
     except zstandard.ZstdError:  # too little text to train on: the text itself
         return b"".join(windows)[:BASE_BYTES]
 
