@@ -16,26 +16,30 @@ are; so the forward pass gives exactly the ids that merging gives.
 Defined cases: null and empty texts have no ids; characters outside the
 vocabulary become bytes (or the unknown id without byte pieces); U+2581 in a
 text is a space, as in the vocabulary's own definition; lone surrogates are
-replaced.  Texts of any length are encoded whole.
+replaced.  Texts of any length are encoded whole; repeated rows give a row each;
+other columns are kept; no rows give no rows.
 """
 
 from __future__ import annotations
 
 import re
 from collections.abc import Iterable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, USER, UNUSED, BYTE = 1, 2, 4, 5, 6
-#: Words kept with their ids between batches, and pairs of pieces judged, per task.
-CACHE, PAIRS = 300_000, 1_000_000
+#: Characters of words that are kept with their ids, and pairs of pieces judged, in a Python worker.
+CACHE, PAIRS = 1_500_000, 150_000
 #: Texts encoded at a time within a batch.
-ROWS = 512
+ROWS = 128
 
 
 class Vocabulary:
@@ -63,6 +67,9 @@ class Vocabulary:
         self.ranks = {p: i for i, p in enumerate(order)}
         self.judged: dict[str, dict[str, bool]] = {p: {} for p in self.ids}
         self.pairs = 0
+        #: Ids of the words seen lately, and how many characters they have.
+        self.known: dict[str, bytes] = {}
+        self.held = 0
         self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(MARK, " ").encode() if p.type in own else b"" for p in proto.pieces]
 
     def _cuts(self) -> str:
@@ -167,12 +174,15 @@ class Vocabulary:
     def marked(self, text: str) -> list[str]:
         return self.words.findall((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else []
 
-    def encode(self, texts: Iterable[str | None], cache: dict[str, bytes]) -> list[np.ndarray]:
-        split = [self.marked(t or "") for t in texts]
-        if len(cache) > CACHE:
-            cache.clear()
-        cache.update(self.encode_words({w for words in split for w in words if w not in cache}))
-        return [np.frombuffer(b"".join(map(cache.__getitem__, words)), np.int32) for words in split]
+    def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
+        split, known = [self.marked(t or "") for t in texts], self.known
+        if self.held > CACHE:
+            known.clear()
+            self.held = 0
+        new = {w for words in split for w in words if w not in known}
+        self.held += sum(map(len, new)) + 8 * len(new)
+        known.update(self.encode_words(new))
+        return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
 
     def decode(self, ids: Iterable[int]) -> str:
         text = b"".join(map(self.raw.__getitem__, ids)).decode("utf-8", "replace")
@@ -184,25 +194,38 @@ def _model(path: str) -> bytes:
         return f.read()
 
 
-def encode(docs: DataFrame, text: str = "text", path: str = MODEL) -> DataFrame:
-    """``docs`` without ``text``, with ids (array<int>) and exact (whether
-    decoding gives the text back).  The vocabulary (about 0.5 MB) is read on the
-    driver and broadcast."""
+@lru_cache(maxsize=1)
+def _vocabulary(model: bytes) -> Vocabulary:
+    """One vocabulary a Python worker, with what it has learnt; its caches are bounded."""
+    return Vocabulary(model)
+
+
+def encode(docs: DataFrame, text: str = "text", path: str = MODEL, ids: str = "ids", exact: str = "exact") -> DataFrame:
+    """``docs`` without ``text``, with ``ids`` (array<int>) and ``exact`` (whether
+    decoding gives the text back).  Columns of these names in ``docs`` are an
+    error: name the results otherwise.  The vocabulary (about 0.5 MB) is read on
+    the driver and broadcast."""
+    clash = {ids, exact} & (set(docs.columns) - {text})
+    if clash:
+        raise ValueError(f"columns {sorted(clash)} exist: choose other names for the results")
     model = docs.sparkSession.sparkContext.broadcast(_model(path))
-    rest = [c for c in docs.columns if c not in (text, "ids", "exact")]
-    kinds = dict(docs.dtypes)
+    rest = [c for c in docs.columns if c != text]
+    fields = [docs.schema[c] for c in rest]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        vocabulary, cache = Vocabulary(model.value), {}
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        vocabulary = _vocabulary(model.value)
         for batch in batches:
             for low in range(0, len(batch), ROWS):
-                rows = batch.iloc[low : low + ROWS]
-                texts = [t if isinstance(t, str) else "" for t in rows[text]]
-                ids = vocabulary.encode(texts, cache)
-                yield rows[rest].assign(ids=ids, exact=[vocabulary.decode(i.tolist()) == t for i, t in zip(ids, texts, strict=True)])
+                rows = batch.slice(low, ROWS)
+                texts = [t or "" for t in rows.column(text).to_pylist()]
+                found = vocabulary.encode(texts)
+                same = [vocabulary.decode(i.tolist()) == t for i, t in zip(found, texts, strict=True)]
+                offsets = np.concatenate([[0], np.cumsum([len(i) for i in found])]).astype(np.int32)
+                lists = pa.ListArray.from_arrays(pa.array(offsets), pa.array(np.concatenate(found) if found else np.empty(0, np.int32), pa.int32()))
+                yield pa.RecordBatch.from_arrays([*(rows.column(c) for c in rest), lists, pa.array(same, pa.bool_())], [*rest, ids, exact])
 
-    schema = ", ".join([f"`{c}` {kinds[c]}" for c in rest] + ["ids array<int>", "exact boolean"])
-    return docs.select(*[F.col(f"`{c}`") for c in [*rest, text]]).mapInPandas(run, schema)
+    schema = T.StructType([*fields, T.StructField(ids, T.ArrayType(T.IntegerType())), T.StructField(exact, T.BooleanType())])
+    return docs.select(*[F.col(f"`{c}`") for c in [*rest, text]]).mapInArrow(run, schema)
 
 
 def decode(rows: DataFrame, ids: str = "ids", out: str = "text", path: str = MODEL) -> DataFrame:
@@ -211,7 +234,7 @@ def decode(rows: DataFrame, ids: str = "ids", out: str = "text", path: str = MOD
 
     @F.pandas_udf("string")
     def run(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-        vocabulary = Vocabulary(model.value)
+        vocabulary = _vocabulary(model.value)
         for part in parts:
             yield pd.Series([vocabulary.decode(i) if i is not None else "" for i in part], dtype=object)
 
