@@ -20,6 +20,7 @@ ignored; no rows give no rows.
 
 from __future__ import annotations
 
+import pickle
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -66,6 +67,9 @@ class Network:
     def params(self) -> list[np.ndarray]:
         return [self.tables, self.bias, self.head]
 
+    def state(self) -> tuple:
+        return self.tables, self.bias, self.head, self.base
+
     def convolve(self, windows: np.ndarray) -> np.ndarray:
         out = self.tables[0][windows[:, 0]]
         for k in range(1, WIDTH):
@@ -163,12 +167,11 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 12, batch: i
     return net
 
 
-def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, max_rows: int, max_bytes: int = MAX_BYTES) -> pd.DataFrame:
-    """At most ``max_rows`` labelled rows (text, label) outside the held-out
+def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, max_rows: int, max_bytes: int = MAX_BYTES) -> DataFrame:
+    """At most ``max_rows`` labelled rows (doc_id, text, label) outside the held-out
     fold, the same at every run, half of them of each class where there are
     enough.  In the order of a hash, rows are taken while their texts have at
-    most ``max_bytes`` in all; a longer text waits for none of the others.  This
-    sample is all that training reads."""
+    most ``max_bytes`` in all.  This sample is all that training reads."""
     marks = labels.filter(F.col(label).isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != held))
     marks = marks.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
     order = F.xxhash64("doc_id")
@@ -178,8 +181,25 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: in
     rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
     # At most max_rows rows: one window over all of them is small.
     upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy(order, "doc_id"))
-    rows = rows.withColumn("upto", upto).filter(F.col("upto") <= max_bytes).drop("upto")
-    return rows.toPandas().sort_values("doc_id", ignore_index=True)
+    return rows.withColumn("upto", upto).filter(F.col("upto") <= max_bytes).select("doc_id", "text", "label")
+
+
+def fitted_in_task(sample: DataFrame, train: Callable) -> tuple:
+    """The ``state()`` of ``train(texts, labels)`` of a bounded sample, in one task,
+    so that neither the sample nor what training needs is on the driver; only the
+    model is."""
+
+    def fit(rows: pd.DataFrame) -> bytes:
+        rows = rows.sort_values("doc_id", ignore_index=True)
+        return pickle.dumps(train(rows["text"].tolist(), rows["label"].astype(int).tolist()).state())
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        rows = list(batches)
+        if rows:
+            yield pd.DataFrame({"model": [fit(pd.concat(rows))]})
+
+    found = sample.coalesce(1).mapInPandas(run, "model binary").collect()
+    return pickle.loads(found[0].model) if found else train([], []).state()
 
 
 def score_texts(docs: DataFrame, score: Callable[[str | None], float], out: str = "score") -> DataFrame:
@@ -210,6 +230,6 @@ def keep_rows(docs: DataFrame, keep: Callable[[str | None], bool]) -> DataFrame:
 
 def quality_scores(docs: DataFrame, labels: DataFrame, fold: int = 5, held: int = 0, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> DataFrame:
     """doc_id and score (near 1: label 1) of every whole text."""
-    rows = labelled(docs, labels, "quality", fold, held, max_rows, max_bytes)
-    net = train(rows["text"].tolist(), rows["label"].tolist())
+    net = Network()
+    net.tables, net.bias, net.head, net.base = fitted_in_task(labelled(docs, labels, "quality", fold, held, max_rows, max_bytes), train)
     return score_texts(docs, net.score)

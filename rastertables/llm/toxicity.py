@@ -31,7 +31,8 @@ import zstandard
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .quality import MAX_BYTES, keep_rows, labelled, score_texts
+from .quality import MAX_BYTES, fitted_in_task, keep_rows, labelled, score_texts
+from .shingles import band_hashes, shingle_set
 
 #: Bytes of a window, of its step, and of the n-grams.
 WINDOW, STEP, GRAMS = 96, 80, (5, 6, 8)
@@ -40,7 +41,12 @@ LEVEL, BASE_BYTES = 6, 4096
 #: a gram), how often groups are halved, and what a gram's statistic must have
 #: above twice the logarithm of the number of comparisons.
 LEAST, DEPTH, CHANCE = 5, 5, 10.0
+#: How many times as frequent a gram must be in a group's toxic texts.
+RATIO = 2.0
 MAX_ROWS = 6000
+#: MinHash bands and rows a band that tell copies in the sample: half of the pairs
+#: of similarity 0.4 meet, 0.98 of those of 0.6.
+COPY_BANDS, COPY_ROWS = 16, 3
 #: Ordinary rows whose whole texts the ordinary content is trained on: the trainer
 #: needs about ten times their size in memory.
 BASE_ROWS = 1000
@@ -81,7 +87,8 @@ def _index(raws: list[bytes], y: np.ndarray, size: int) -> tuple[np.ndarray, lis
 
 def alike(raws: list[bytes], y: np.ndarray) -> list[np.ndarray]:
     """Groups of texts with similar byte frequencies: all texts, their halves by
-    2-means, the halves' halves, while both classes have ``LEAST`` texts."""
+    2-means, the halves' halves, while both classes have ``LEAST`` texts; a group
+    comes before its parts."""
     shares = np.array([np.sqrt(np.bincount(np.frombuffer(r, np.uint8), minlength=256) / max(1, len(r))) for r in raws]).reshape(-1, 256)
     every = np.array([i for i, r in enumerate(raws) if r], dtype=int)
     todo, out = [(every, 0)], []
@@ -105,25 +112,48 @@ def alike(raws: list[bytes], y: np.ndarray) -> list[np.ndarray]:
 
 
 def _surplus(a: np.ndarray, b: np.ndarray, toxic: int, ordinary: int) -> np.ndarray:
-    """Likelihood-ratio statistic of grams more frequent in toxic texts; else 0."""
+    """Likelihood-ratio statistic of grams RATIO times as frequent in toxic texts; else 0."""
     both = (a + b) / (toxic + ordinary)
     part = lambda k, n, p: np.where(k > 0, k * np.log(np.maximum(k, 1) / n / np.maximum(p, 1e-12)), 0.0)
     g = 2 * (part(a, toxic, both) + part(toxic - a, toxic, 1 - both) + part(b, ordinary, both) + part(ordinary - b, ordinary, 1 - both))
-    return np.where(a / toxic > b / ordinary, g, 0.0)
+    return np.where(a / toxic >= RATIO * b / ordinary, g, 0.0)
+
+
+def _common_ratio(held: list[np.ndarray], n: int, y: np.ndarray, groups: list[np.ndarray]) -> np.ndarray:
+    """For each gram the ratio of its shares of toxic and ordinary texts, both
+    compared within the narrowest group of each text and summed over these groups
+    (Mantel and Haenszel's estimate)."""
+    narrowest: dict[int, int] = {}
+    for g, rows in enumerate(groups):  # parts come after their wholes
+        narrowest.update(dict.fromkeys(rows.tolist(), g))
+    above, below = np.zeros(n), np.full(n, 1e-9)
+    for g in set(narrowest.values()):
+        rows = [i for i, own in narrowest.items() if own == g]
+        toxic = sum(y[i] == 1 for i in rows)
+        counts = np.zeros((2, n))
+        for i in rows:
+            counts[y[i], held[i]] += 1
+        above += counts[1] * (len(rows) - toxic) / len(rows)
+        below += counts[0] * toxic / len(rows)
+    return above / below
 
 
 def toxic_passages(raws: list[bytes], y: np.ndarray, choices: list[list[np.ndarray]]) -> list[list[bytes]]:
     """For each choice of groups: the passages that are more frequent in the toxic
     texts of a group than in its ordinary ones, beyond chance among all grams
-    compared; surest first."""
+    compared, and RATIO times as frequent among texts of the same narrowest group
+    (else they may only tell languages or kinds of text apart); surest first."""
     best: list[dict[bytes, float]] = [{} for _ in choices]
     for size in GRAMS:  # one size at a time: the index is what takes memory
         grams, held = _index(raws, y, size)
         for found, groups in zip(best, choices, strict=True):
-            for rows in groups if len(grams) else []:
-                count = lambda want: np.bincount(np.concatenate([held[i] for i in rows if y[i] == want]), minlength=len(grams))  # noqa: B023, E731
-                many, rare = count(1), count(0)
-                g = _surplus(many, rare, int((y[rows] == 1).sum()), int((y[rows] == 0).sum()))
+            if not len(grams) or not groups:
+                continue
+            alike_enough = _common_ratio(held, len(grams), y, groups) >= RATIO
+            for rows in groups:
+                count = lambda want: np.bincount(np.concatenate([np.empty(0, np.int32), *(held[i] for i in rows if y[i] == want)]).astype(int), minlength=len(grams))  # noqa: B023, E731
+                many, rare, n = count(1), count(0), (max(1, int((y[rows] == 1).sum())), max(1, int((y[rows] == 0).sum())))
+                g = np.where(alike_enough, _surplus(many, rare, *n), 0.0)
                 for core, sure in _chained(grams, many, g, size, 2 * np.log(len(grams)) + CHANCE):
                     found[core] = max(found.get(core, 0.0), sure)
         del grams, held
@@ -176,9 +206,12 @@ class Scorer:
     def __init__(self, base: bytes, cores: list[bytes], weights: list[float]):
         self.base, self.cores, self.weights, self._pair = base, cores, weights, None
 
-    def __getstate__(self):
+    def state(self) -> tuple:
         return self.base, self.cores, self.weights
 
+    def __getstate__(self):
+        return self.state()
+
     def __setstate__(self, state):
         self.__init__(*state)
 
@@ -222,15 +255,31 @@ def _logistic(x: np.ndarray, y: np.ndarray, rounds: int = 60) -> np.ndarray:
     return w
 
 
+def different(texts: list[str | None]) -> list[int]:
+    """The numbers of texts that are no copy or near copy (of about half of the
+    3-word shingles) of one before: a text that was copied often is one text."""
+    seen: set[int] = set()
+    kept = []
+    for i, text in enumerate(texts):
+        bands = band_hashes(shingle_set(text, 3), COPY_BANDS, COPY_ROWS)
+        own = set() if bands is None else set(bands.tolist())
+        if seen.isdisjoint(own):
+            kept.append(i)
+        seen |= own
+    return kept
+
+
 def train(texts: list[str | None], labels: list[int]) -> Scorer:
-    """Dictionaries from one half of the rows, calibration on the other half."""
+    """Dictionaries from two thirds of the different texts, calibration on the rest."""
+    kept = different(texts)
+    texts, labels = [texts[i] for i in kept], [labels[i] for i in kept]
     raws, y = [(t or "").encode("utf-8", "replace") for t in texts], np.asarray(labels)
     half = np.arange(len(y)) % 3 < 2
     fit = lambda want, rows: [r for r, k, h in zip(raws, y, rows, strict=True) if k == want and h]
     if not fit(1, half) or not fit(0, half) or not fit(1, ~half) or not fit(0, ~half):
         return Scorer(b"", [], [])
     groups = alike(raws, y)
-    within = [g for g in (rows[half[rows]] for rows in groups) if 0 < y[g].sum() < len(g)]
+    within = [rows[half[rows]] for rows in groups]
     trial_cores, cores = toxic_passages(raws, y, [within, groups])
     trial = Scorer(_ordinary_content(fit(0, half)), trial_cores, [])
     seen = [i for i in range(len(y)) if not half[i]]
@@ -257,8 +306,7 @@ def _ordinary_content(raws: list[bytes]) -> bytes:
 
 
 def fitted(docs: DataFrame, labels: DataFrame, fold: int = 4, held: int = 2, max_rows: int = MAX_ROWS, max_bytes: int = MAX_BYTES) -> Scorer:
-    rows = labelled(docs, labels, "toxic", fold, held, max_rows, max_bytes)
-    return train(rows["text"].tolist(), rows["label"].tolist())
+    return Scorer(*fitted_in_task(labelled(docs, labels, "toxic", fold, held, max_rows, max_bytes), train))
 
 
 def toxicity_scores(docs: DataFrame, labels: DataFrame, **options) -> DataFrame:

@@ -103,14 +103,17 @@ def test_dedup_of_a_hot_group_and_repeated_rows(spark):
 
 
 def test_toxic_rows_go_one_by_one(spark):
-    toxic, plain = "you scum you moron " * 8, "a quiet walk by the river " * 6
-    rows = [(2 * i, f"{toxic} {i}", "x") for i in range(60)] + [(2 * i + 1, f"{plain} {i}", "x") for i in range(60)]
+    rng = random.Random(9)
+    vocabulary = ["".join(rng.choice("abcdefghij") for _ in range(5)) for _ in range(300)]
+    text = lambda bad: " ".join(rng.choice(vocabulary) if i % 4 else bad for i in range(80))
+    toxic, plain = text("scum"), "river " + text("water")
+    rows = [(2 * i, text("scum"), "x") for i in range(60)] + [(2 * i + 1, "river " + text("water"), "x") for i in range(60)]
     labels = spark.createDataFrame([(i, int(i % 2 == 0), 1) for i, _, _ in rows], "doc_id long, toxic int, quality int")
     odd = [(1, toxic, "x"), (None, toxic, "x"), (None, plain, "x"), (2, plain, "x"), (7, None, "x"), (8, "", "x")]
     df = spark.createDataFrame(rows + odd, "doc_id long, text string, score string")
     kept = [(r.doc_id, r.text) for r in toxicity.without_toxic(df, labels).collect()]
     assert (1, toxic) not in kept and (None, toxic) not in kept
-    assert {(None, plain), (2, plain), (7, None), (8, "")} <= set(kept) and sum((t or "").startswith(plain[:10]) for _, t in kept) == 62
+    assert {(None, plain), (2, plain), (7, None), (8, "")} <= set(kept) and sum((t or "").startswith("river") for _, t in kept) == 62
     assert toxicity.without_toxic(df, labels).columns == df.columns
     assert toxicity.toxicity_scores(df, labels).count() == len(rows) + len(odd) == quality.quality_scores(df, labels).count()
 
@@ -118,9 +121,9 @@ def test_toxic_rows_go_one_by_one(spark):
 def test_labelled_rows_are_bounded(spark):
     df = spark.createDataFrame([(i % 50, "t" * (10 + i)) for i in range(500)], "doc_id long, text string")
     labels = spark.createDataFrame([(i, i % 2) for i in range(50)], "doc_id long, toxic int")
-    some = quality.labelled(df, labels, "toxic", 4, 2, 20)
+    some = quality.labelled(df, labels, "toxic", 4, 2, 20).toPandas()
     assert len(some) <= 20 and some["text"].map(len).max() < 60
-    assert quality.labelled(df, labels, "toxic", 4, 2, 20, 100)["text"].map(len).sum() <= 100
+    assert quality.labelled(df, labels, "toxic", 4, 2, 20, 100).toPandas()["text"].map(len).sum() <= 100
 
 
 def brute_mix(rows, weights=(5, 2, 1), most=3, seed="mix"):
@@ -167,11 +170,6 @@ def test_mix_against_water_filling(spark, n):
     assert sorted((*k, m) for k, m in merged.items()) == taken
 
 
-def omh(text, m=64, length=2):
-    """Tokens of the text in plain Python, to compare likeness with edits."""
-    return re.findall(r"[^\x20\x09-\x0D]{1,12}", text)
-
-
 def test_fingerprints_have_a_row_per_row(spark):
     rows = [(1, "a b c d e f"), (1, "other text here now"), (1, "a b c d e f"), (None, "zz yy xx ww"), (5, ""), (None, None), (9, "q" * 40)]
     df = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, hash string")
@@ -247,3 +245,97 @@ def test_warc_hot_payload_and_repeated_pages(spark):
     got = warc.round_trip(df).collect()
     assert len(got) == len(rows) and all(r.payload_bytes is not None for r in got)
     assert sum(r.record_type == "revisit" for r in got) == 99 and {r.refers_to for r in got if r.record_type == "revisit"} == {199}
+
+
+def test_copies_do_not_make_toxic_passages():
+    """Near copies of one toxic text count as one text, and what only tells kinds of
+    text apart is no toxic passage."""
+    rng = random.Random(2)
+    vocabulary = ["".join(rng.choice("abcdefgh") for _ in range(5)) for _ in range(400)]
+    text = lambda n: [rng.choice(vocabulary) for _ in range(n)]
+    base = text(120)
+    copies = [" ".join(base[:k] + ["scum", f"x{k}"] + base[k:]) for k in range(60)]
+    toxic = [" ".join([*text(60), "scum", *text(60)]) for _ in range(60)]
+    plain = [" ".join(text(120)) for _ in range(150)] + [" ".join(w + "%%" for w in text(120)) for _ in range(150)]
+    texts, labels = copies + toxic + plain, [1] * 120 + [0] * 300
+    order = rng.sample(range(len(texts)), len(texts))
+    scorer = toxicity.train([texts[i] for i in order], [labels[i] for i in order])
+    assert len(toxicity.different(copies)) <= 3 and any(b"scum" in c for c in scorer.cores) and not any(b"%" in c for c in scorer.cores)
+    new = [" ".join(text(120)) for _ in range(60)], [" ".join([*text(60), "scum", *text(60)]) for _ in range(60)]
+    assert sum(scorer.score(t) >= 0.3 for t in new[0]) <= 3 and sum(scorer.score(t) >= 0.3 for t in new[1]) >= 55 and scorer.score(" ".join(base)) < 0.3
+
+
+def test_windows_against_zstandard_itself():
+    """The evidence of a text is the difference of its windows' compressed sizes."""
+    import zstandard
+
+    scorer = toxicity.Scorer(b"some ordinary words that occur", [b" scum ", b" moron "], [])
+    made = lambda content: zstandard.ZstdCompressor(level=toxicity.LEVEL, dict_data=zstandard.ZstdCompressionDict(content, dict_type=zstandard.DICT_TYPE_RAWCONTENT), write_checksum=False, write_content_size=False, write_dict_id=False)
+    plain, toxic = made(scorer.base), made(b" moron \0 scum \0" + scorer.base)
+    raw = ("you are scum and a moron indeed, " * 9).encode()
+    windows = [raw[i : i + toxicity.WINDOW] for i in range(0, len(raw) - toxicity.WINDOW + toxicity.STEP, toxicity.STEP)]
+    assert b"".join(w[: toxicity.STEP] for w in windows)[: len(raw)] == raw[: len(b"".join(w[: toxicity.STEP] for w in windows))] and windows[-1][-5:] == raw[-5:]
+    saved = sorted((len(plain.compress(w)) - len(toxic.compress(w)) for w in windows), reverse=True)
+    got = scorer.evidence(raw.decode())
+    assert got[0] == min(saved[0], 12) and abs(got[1] - min(sum(saved[:3]) / 3, 12)) < 1e-9
+
+
+def test_convolution_against_plain_loops():
+    import numpy as np
+
+    net, text = quality.Network(3), "A text of some länge, long enough for two chunks. " * 12
+    raw = text.encode()
+    count = max(1, -(-(len(raw) - quality.WIDTH) // quality.HOP) + 1)
+    outs = []
+    for p in range(count):
+        part = raw[p * quality.HOP : p * quality.HOP + quality.WIDTH]
+        total = net.bias.astype(float).copy()
+        for k in range(quality.WIDTH):
+            total += net.tables[k][part[k] if k < len(part) else 0]
+        outs.append(np.maximum(total, 0))
+    halves = [np.max(outs[i : i + quality.POOL], axis=0) for i in range(0, count, quality.POOL)]
+    chunks = [np.maximum(a, b) for a, b in zip(halves, halves[1:])] or halves
+    x = float(np.concatenate([np.mean(chunks, axis=0), np.max(chunks, axis=0)]) @ net.head + net.base)
+    assert abs(net.score(text) - 1 / (1 + math.exp(-x))) < 1e-5
+
+
+def test_unigram_pieces_against_all_segmentations():
+    from sentencepiece import sentencepiece_model_pb2
+
+    from rastertables.llm import pieces
+
+    proto = sentencepiece_model_pb2.ModelProto()
+    proto.trainer_spec.model_type = 1
+    proto.normalizer_spec.add_dummy_prefix = True
+    proto.normalizer_spec.remove_extra_whitespaces = False
+    rng = random.Random(4)
+    names = ["<unk>", *pieces.MARK, "a", "b", "c", "ab", "bc", "abc", "ca", "bca", pieces.MARK + "a", pieces.MARK + "ab", "aa", "cab"]
+    for name in names:
+        piece = proto.pieces.add()
+        piece.piece, piece.score, piece.type = name, -rng.random() * 5 - 0.01, 2 if name == "<unk>" else 1
+    vocabulary = pieces.Vocabulary(proto.SerializeToString())
+
+    def every(word):
+        if not word:
+            yield 0.0, ()
+        for n in range(1, len(word) + 1):
+            i = vocabulary.ids.get(word[:n])
+            if i is not None:
+                for score, rest in every(word[n:]):
+                    yield score + vocabulary.scores[i], (i, *rest)
+
+    for _ in range(60):
+        text = " ".join("".join(rng.choice("abc") for _ in range(rng.randrange(1, 7))) for _ in range(rng.randrange(1, 3)))
+        got = vocabulary.encode([text])[0].tolist()
+        best = max(every(pieces.MARK + text.replace(" ", pieces.MARK)))
+        assert abs(sum(vocabulary.scores[i] for i in got) - best[0]) < 1e-4 and vocabulary.decode(got) == text
+
+
+def test_pieces_keep_columns_and_repeats(spark):
+    from rastertables.llm import pieces
+
+    df = spark.createDataFrame([(1, "a b", "x"), (1, "a b", "x"), (None, None, "y"), (2, "", None)], "doc_id long, text string, exact string")
+    with pytest.raises(ValueError):
+        pieces.encode(df)
+    got = pieces.encode(df, exact="same").collect()
+    assert len(got) == 4 and all(r.same for r in got) and sorted(str(r.exact) for r in got) == ["None", "x", "x", "y"]
