@@ -8,7 +8,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from .operators import labels as L
@@ -22,7 +22,9 @@ from .operators.features import (
     class_embedding, class_moments, fit_class_gaussians, fit_class_pca, linear_logits, mahalanobis_score, pooled_features, project_components,
 )
 from .sources import manifests
-from .sources.shared import scratch
+from .sources import rasters
+from .sources.shared import scratch, stored
+from .streaming import ingest
 
 #: name -> (table, Spark SQL, DuckDB SQL or None if the same)
 VIEWS = {
@@ -33,9 +35,17 @@ VIEWS = {
         """SELECT vec_id AS tile, CAST(floor(vec_id / 10) AS BIGINT) AS crop, CAST(label AS BIGINT) AS label, CAST(floor(pos / 8) AS BIGINT) AS y, CAST(pos % 8 AS BIGINT) AS x,
         CAST(greatest(0, least(255, round_even(CAST(v AS DOUBLE) * 400 + 128, 0))) AS BIGINT) AS dn FROM (SELECT vec_id, label, unnest(range(len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings)"""),
     "logits": ("embeddings", """SELECT vec_id, CAST(floor(vec_id / 10) AS BIGINT) AS batch, CASE WHEN vec_id % 7 = 0 THEN 255 ELSE CAST(label AS BIGINT) END AS target,
-        transform(slice(embedding, 1, 10), x -> CAST(x AS DOUBLE) * 20) AS logits FROM embeddings""",
+        transform(embedding, x -> CAST(x AS DOUBLE) * 20) AS logits FROM embeddings""",
         """SELECT vec_id, CAST(floor(vec_id / 10) AS BIGINT) AS batch, CASE WHEN vec_id % 7 = 0 THEN 255 ELSE CAST(label AS BIGINT) END AS target,
-        list_transform(embedding[1:10], lambda x: CAST(x AS DOUBLE) * 20) AS logits FROM embeddings"""),
+        list_transform(embedding, lambda x: CAST(x AS DOUBLE) * 20) AS logits FROM embeddings"""),
+    "blocks": ("embeddings", """SELECT vec_id AS image_id, CAST(floor(vec_id / 10) AS BIGINT) AS crop, CAST(label AS BIGINT) AS label, CAST(0 AS BIGINT) AS y0, CAST(0 AS BIGINT) AS x0, 8 AS h, 8 AS w, 1 AS channels, 'uint8' AS dtype,
+        unhex(array_join(transform(embedding, v -> lpad(hex(CAST(greatest(0, least(255, rint(CAST(v AS DOUBLE) * 400 + 128))) AS BIGINT)), 2, '0')), '')) AS pixels FROM embeddings""", None),
+    "mosaic_blocks": ("embeddings", """SELECT CAST(floor(vec_id / 64) AS BIGINT) AS image_id, CAST(floor(vec_id % 64 / 8) * 8 AS BIGINT) AS y0, CAST(vec_id % 8 * 8 AS BIGINT) AS x0, 8 AS h, 8 AS w, 1 AS channels, 'uint8' AS dtype, 64 AS image_height, 64 AS image_width,
+        unhex(array_join(transform(embedding, v -> lpad(hex(CAST(greatest(0, least(255, rint(CAST(v AS DOUBLE) * 400 + 128))) AS BIGINT)), 2, '0')), '')) AS pixels FROM embeddings""", None),
+    "mosaic": ("embeddings", """SELECT CAST(floor(vec_id / 64) AS BIGINT) AS image_id, CAST(floor(vec_id % 64 / 8) * 8 + floor(pos / 8) AS BIGINT) AS y, CAST(vec_id % 8 * 8 + pos % 8 AS BIGINT) AS x,
+        CAST(greatest(0, least(255, rint(CAST(v AS DOUBLE) * 400 + 128))) AS BIGINT) AS dn FROM (SELECT vec_id, posexplode(embedding) AS (pos, v) FROM embeddings)""",
+        """SELECT CAST(floor(vec_id / 64) AS BIGINT) AS image_id, CAST(floor(vec_id % 64 / 8) * 8 + floor(pos / 8) AS BIGINT) AS y, CAST(vec_id % 8 * 8 + pos % 8 AS BIGINT) AS x,
+        CAST(greatest(0, least(255, round_even(CAST(v AS DOUBLE) * 400 + 128, 0))) AS BIGINT) AS dn FROM (SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings)"""),
     "legend_rows": ("nation", """SELECT CASE WHEN n_regionkey = 0 THEN 'rect' ELSE ' Square' END AS shape, n_name AS value, concat('#', lpad(hex(CAST((n_nationkey * 651733) % 16777216 AS BIGINT)), 6, '0')) AS color, CAST(n_nationkey AS BIGINT) AS src_pos FROM nation""", None),
     "rgba": ("lineitem", """SELECT l_orderkey AS y, CAST(l_linenumber AS BIGINT) AS x, CAST((l_partkey * 37) % 256 AS BIGINT) AS r, CAST((l_suppkey * 11) % 256 AS BIGINT) AS g, CAST((l_partkey + l_suppkey) % 256 AS BIGINT) AS b,
         CASE WHEN l_orderkey % 9 = 0 THEN 0 ELSE 255 END AS a FROM lineitem""", None),
@@ -57,12 +67,13 @@ def view(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.sql(text.replace(f"FROM {table}", "FROM {table}"), table=spark.read.parquet(f"{sf_dir}/{table}.parquet"))
 
 
-def query(sql: str | None = None, *views: str):
-    """Register a query: a function of views, and the SQL over the same views."""
+def query(sql: str | None = None, *views: str, of: tuple[str, ...] | None = None):
+    """Register a query: a function of views (``of``, else ``views``), and the SQL
+    over ``views``."""
 
     def add(f):
         def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-            return f(*[view(spark, sf_dir, v) for v in views])
+            return f(*[view(spark, sf_dir, v) for v in of or views])
 
         if sql is not None:
             known = ", ".join(f"{v} AS ({VIEWS[v][2] or VIEWS[v][1]})" for v in views)
@@ -99,13 +110,14 @@ k AS (SELECT d.*, CASE WHEN bad > 0.05 THEN 'invalid' WHEN std IS NULL OR std <
 o AS (SELECT crop, row_number() OVER (ORDER BY md5('42:' || crop), crop) AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT crop FROM pixels)),
 p AS (SELECT crop, CASE WHEN rk <= least(greatest(5, round_even(n * 0.2::DOUBLE, 0)), n) THEN 'val' ELSE 'train' END AS split FROM o)
 SELECT split, count(*) AS candidates, count_if(decision = 'kept')::BIGINT AS kept, count_if(decision = 'invalid')::BIGINT AS rejected_invalid, count_if(decision = 'lowvar')::BIGINT AS rejected_lowvar, 0::BIGINT AS errors
-FROM k JOIN p ON k.crop = p.crop GROUP BY ROLLUP (split)""", "pixels")
-def w1_tile_quality_splits(pixels):
-    bad = Q.invalid_fraction(pixels, "tile")
-    std = Q.tile_std(Q.robust_stretch(pixels, "tile"), "tile")
-    tiles = pixels.groupBy("tile").agg(F.min("crop").alias("crop")).join(bad, "tile").join(std, "tile")
+FROM k JOIN p ON k.crop = p.crop GROUP BY ROLLUP (split)""", "pixels", of=("blocks",))
+def w1_tile_quality_splits(blocks):
+    """Quality of tiles from value counts of their blocks: no pixel leaves a task."""
+    counts = stored(Q.value_counts(blocks), "value-counts")
+    std = Q.block_std(counts, Q.stretch_limits(counts))
+    tiles = blocks.select("image_id", "crop").join(Q.block_invalid_fraction(counts), "image_id").join(std, "image_id")
     decision = F.when(F.col("invalid_fraction") > 0.05, "invalid").when(F.col("std").isNull() | (F.col("std") < 0.4), "lowvar").otherwise("kept")
-    splits = S.split_by_group(pixels, "crop", 0.2, 5, "42")
+    splits = S.split_by_group(blocks.select("crop"), "crop", 0.2, 5, "42")
     return Q.qc_summary(S.assign_split(tiles.withColumn("decision", decision), splits, "crop"), "split")
 
 
@@ -157,10 +169,11 @@ def p9_filter_invalid(crops):
     return Q.filter_invalid(crops, 0.1).select("crop_id", "invalid_fraction")
 
 
-@query(STRETCH + " SELECT tile, round(stddev_pop(2 * unit - 1), 6) AS std FROM s GROUP BY tile HAVING stddev_pop(2 * unit - 1) >= 0.4", "pixels")
-def p10_filter_low_variance(pixels):
-    std = Q.filter_low_variance(Q.tile_std(Q.robust_stretch(pixels, "tile"), "tile"), 0.4)
-    return std.select("tile", F.round("std", 6).alias("std"))
+@query(STRETCH + " SELECT tile, round(stddev_pop(2 * unit - 1), 6) AS std FROM s GROUP BY tile HAVING stddev_pop(2 * unit - 1) >= 0.4", "pixels", of=("blocks",))
+def p10_filter_low_variance(blocks):
+    counts = Q.value_counts(blocks)
+    std = Q.filter_low_variance(Q.block_std(counts, Q.stretch_limits(counts)), 0.4)
+    return std.select(F.col("image_id").alias("tile"), F.round("std", 6).alias("std"))
 
 
 @query("""SELECT image_id, CASE WHEN xres <> 0 AND abs(abs(xres) - 1) > 1e-9 THEN abs(xres) END AS gsd, NOT coalesce(CASE WHEN xres <> 0 AND abs(abs(xres) - 1) > 1e-9 THEN abs(abs(xres) - 0.25) <= 0.05 END, false) AS excluded FROM catalog""", "catalog")
@@ -177,10 +190,10 @@ def p12_coverage_filter(pixels):
     return Q.coverage_filter(L.coverage_fractions(shifted, ["crop"]), 0.9, 0.5)
 
 
-@query("""SELECT image_id, x AS col, CASE WHEN x + 32 >= round_even(width * (1 - 0.3::DOUBLE), 0) THEN 'val' ELSE 'train' END AS split FROM (SELECT *, unnest(range(0, width - 64 + 1, 64)) AS x FROM catalog)""", "catalog")
+@query("""SELECT image_id, y // 64 AS "row", x AS col, CASE WHEN x + 32 >= round_even(width * (1 - 0.3::DOUBLE), 0) THEN 'val' ELSE 'train' END AS split FROM (SELECT *, unnest(range(0, width - 64 + 1, 64)) AS x FROM (SELECT *, unnest(range(0, height - 64 + 1, 64)) AS y FROM catalog))""", "catalog")
 def p13_spatial_holdout(catalog):
-    columns = T.full_tile_grid(catalog, 64).filter("row = 0").select("image_id", "width", F.col("x").alias("col"))
-    return S.spatial_holdout(columns, "width", 64, 0.3).select("image_id", "col", "split")
+    cells = T.full_tile_grid(catalog, 64).select("image_id", "row", "width", F.col("x").alias("col"))
+    return S.spatial_holdout(cells, "width", 64, 0.3).select("image_id", "row", "col", "split")
 
 
 @query("""SELECT box_id, CAST(floor((lon0 * m + 3000000) / 500) AS BIGINT) AS col, CAST(floor((lat1 * m - 1000000) * -1 / 500) AS BIGINT) AS "row",
@@ -190,10 +203,12 @@ def p15_snap_aoi(boxes):
 
 
 @query("""SELECT tile, round(avg(CASE WHEN dn = 0 THEN 1.0::DOUBLE ELSE 0.0 END), 6) AS zero, round(stddev_pop(dn), 6) AS std FROM pixels GROUP BY tile
-HAVING avg(CASE WHEN dn = 0 THEN 1.0::DOUBLE ELSE 0.0 END) <= 0.02 AND stddev_pop(dn) >= 45 AND avg(CASE WHEN dn > 200 THEN 1.0::DOUBLE ELSE 0.0 END) >= 0.05""", "pixels")
-def p16_textured_patches(pixels):
-    found = Q.textured_patches(pixels.withColumn("edge", F.col("dn") > 200), "tile", 0.02, 45.0, 0.05)
-    return found.select("tile", F.round("zero", 6).alias("zero"), F.round("std", 6).alias("std"))
+HAVING avg(CASE WHEN dn = 0 THEN 1.0::DOUBLE ELSE 0.0 END) <= 0.02 AND stddev_pop(dn) >= 45 AND avg(CASE WHEN dn > 200 THEN 1.0::DOUBLE ELSE 0.0 END) >= 0.05""", "pixels", of=("blocks",))
+def p16_textured_patches(blocks):
+    tiles = blocks.select("image_id", "h", "w", "channels", "dtype", "pixels", F.lit(0).cast("long").alias("window_id"))
+    bright = W.map_tiles(tiles, lambda a: (a > 200).astype(a.dtype)).select("image_id", F.col("pixels").alias("edges"))
+    found = Q.textured_tiles(tiles.join(bright, "image_id"), "image_id", 0.02, 45.0, 0.05)
+    return found.select(F.col("image_id").alias("tile"), F.round("zero", 6).alias("zero"), F.round("std", 6).alias("std"))
 
 
 SPLIT = """o AS (SELECT observation_id, row_number() OVER (ORDER BY md5('7:' || observation_id), observation_id) AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT observation_id FROM crops)),
@@ -210,8 +225,22 @@ def j1_assign_split(crops):
     return S.assign_split(crops.select("crop_id", "observation_id"), S.split_by_group(crops, "observation_id", 0.1, 20, "7"), "observation_id")
 
 
-@query(f"WITH {SPLIT} SELECT 0::BIGINT AS n_both, 0::BIGINT AS n_missing, 0::BIGINT AS n_extra FROM p LIMIT 1", "crops")
+FAULTY = f"""{SPLIT}, q AS (SELECT observation_id, split FROM p WHERE length(observation_id) % 5 <> 1 UNION ALL SELECT observation_id, 'val' FROM p WHERE observation_id LIKE '%7' UNION ALL SELECT 'X' || observation_id, split FROM p WHERE observation_id LIKE '%3'),
+tr AS (SELECT observation_id FROM q WHERE split = 'train'), va AS (SELECT observation_id FROM q WHERE split = 'val'), ids AS (SELECT DISTINCT observation_id FROM crops)"""
+
+
+@query(f"""WITH {FAULTY} SELECT (SELECT count(*) FROM (SELECT * FROM tr INTERSECT SELECT * FROM va)) AS n_both, (SELECT count(*) FROM (SELECT * FROM ids EXCEPT (SELECT * FROM tr UNION SELECT * FROM va))) AS n_missing,
+(SELECT count(*) FROM ((SELECT * FROM tr UNION SELECT * FROM va) EXCEPT SELECT * FROM ids)) AS n_extra""", "crops")
 def u2_split_is_partition(crops):
+    """A split with ids in both parts, ids that are missing and ids that are extra."""
+    splits = S.split_by_group(crops, "observation_id", 0.1, 20, "7")
+    both = splits.filter(F.col("observation_id").endswith("7")).withColumn("split", F.lit("val"))
+    extra = splits.filter(F.col("observation_id").endswith("3")).withColumn("observation_id", F.concat(F.lit("X"), "observation_id"))
+    return S.split_is_partition(crops, splits.filter(F.length("observation_id") % 5 != 1).unionByName(both).unionByName(extra), "observation_id")
+
+
+@query(f"WITH {SPLIT}, tr AS (SELECT observation_id FROM p WHERE split = 'train'), va AS (SELECT observation_id FROM p WHERE split = 'val') SELECT (SELECT count(*) FROM (SELECT * FROM tr INTERSECT SELECT * FROM va)) AS n_both, (SELECT count(*) FROM (SELECT DISTINCT observation_id FROM crops)) - (SELECT count(*) FROM p) AS n_missing, 0::BIGINT AS n_extra", "crops")
+def u2_split_of_groups(crops):
     return S.split_is_partition(crops, S.split_by_group(crops, "observation_id", 0.1, 20, "7"), "observation_id")
 
 
@@ -279,6 +308,11 @@ def u1_append_manifests(crops):
     return S.append_manifests(crops.select("crop_id", "observation_id"), crops.filter("value > 50").select("crop_id", "value"))
 
 
+def _place():
+    """y, x of the value number ``i`` of an 8 x 8 tile."""
+    return F.floor(F.col("i") / 8).alias("y"), (F.col("i") % 8).alias("x")
+
+
 @query("SELECT path FROM files ORDER BY path LIMIT 500 OFFSET 100", "files")
 def t1_batch_slice(files):
     return T.batch_slice(files, 100, 500)
@@ -294,14 +328,14 @@ def t4_best_epoch(history):
     return M.best_epoch(history, "run", "epoch", "metric").select("run", "epoch", "metric")
 
 
-@query("""SELECT label, x, tile, score, "rank" FROM (SELECT label, x, tile, dn AS score, row_number() OVER (PARTITION BY label, x ORDER BY dn DESC, tile) AS "rank" FROM pixels WHERE y = 0) WHERE "rank" <= 6""", "pixels")
+@query("""SELECT label, x, key, score, "rank" FROM (SELECT label, x, tile * 8 + y AS key, dn AS score, row_number() OVER (PARTITION BY label, x ORDER BY dn DESC, tile * 8 + y) AS "rank" FROM pixels) WHERE "rank" <= 6""", "pixels")
 def t5_top_k_gallery(pixels):
-    return M.top_k_gallery(pixels.filter("y = 0").select("label", "x", "tile", F.col("dn").alias("score")), ["label", "x"], "tile")
+    return M.top_k_gallery(pixels.select("label", "x", (F.col("tile") * 8 + F.col("y")).alias("key"), F.col("dn").alias("score")), ["label", "x"], "key")
 
 
-@query("SELECT tile, avg(CASE WHEN dn IN (0, 255) THEN 1.0::DOUBLE ELSE 0.0 END) AS invalid_fraction FROM pixels GROUP BY tile", "pixels")
-def a1_invalid_fraction(pixels):
-    return Q.invalid_fraction(pixels, "tile")
+@query("SELECT tile, avg(CASE WHEN dn IN (0, 255) THEN 1.0::DOUBLE ELSE 0.0 END) AS invalid_fraction FROM pixels GROUP BY tile", "pixels", of=("blocks",))
+def a1_invalid_fraction(blocks):
+    return Q.block_invalid_fraction(Q.value_counts(blocks)).withColumnRenamed("image_id", "tile")
 
 
 @query("""SELECT observation_id, count(*) AS candidates, count_if(decision = 'kept')::BIGINT AS kept, count_if(decision = 'invalid')::BIGINT AS rejected_invalid, count_if(decision = 'lowvar')::BIGINT AS rejected_lowvar, count_if(decision = 'error')::BIGINT AS errors FROM crops GROUP BY ROLLUP (observation_id)""", "crops")
@@ -309,10 +343,10 @@ def a2_qc_summary(crops):
     return Q.qc_summary(crops, "observation_id")
 
 
-@query("""WITH g AS (SELECT CASE WHEN xres <> 0 AND abs(abs(xres) - 1) > 1e-9 THEN abs(xres) END AS gsd FROM catalog)
-SELECT CASE WHEN gsd IS NULL THEN 'unknown' ELSE printf('%.3f', gsd) END AS gsd_name, count(*) AS n, count_if(NOT coalesce(abs(gsd - 0.5) <= 0.1, false))::BIGINT AS n_excluded FROM g GROUP BY 1""", "catalog")
+@query("""WITH g AS (SELECT height, CASE WHEN xres <> 0 AND abs(abs(xres) - 1) > 1e-9 THEN abs(xres) END AS gsd FROM catalog)
+SELECT CASE WHEN gsd IS NULL THEN 'unknown' ELSE printf('%.3f', gsd) END AS gsd_name, count(*) AS n, count_if(NOT coalesce(abs(gsd - 0.5) <= 0.1, false))::BIGINT AS n_excluded, count_if(height > 200)::BIGINT AS n_errors FROM g GROUP BY 1""", "catalog")
 def a3_gsd_distribution(catalog):
-    return Q.gsd_distribution(Q.gsd_policy(catalog, 0.5, 0.1))
+    return Q.gsd_distribution(Q.gsd_policy(catalog, 0.5, 0.1), F.when(F.col("height") > 200, "too high"))
 
 
 @query("SELECT CAST(sum(t) AS BIGINT) AS total, CAST(sum(least(40, t)) AS BIGINT) AS analysed FROM (SELECT CAST(ceil(height / 32) * ceil(width / 32) AS BIGINT) AS t FROM catalog)", "catalog")
@@ -320,9 +354,9 @@ def a4_inventory_totals(catalog):
     return T.count_candidates(catalog, 32, 40).agg(F.sum("total").alias("total"), F.sum("analysed").alias("analysed"))
 
 
-@query("SELECT observation_id, count(*) AS n FROM crops GROUP BY observation_id", "crops")
+@query("SELECT observation_id, count(*) AS n, NULL::BIGINT AS n_sources FROM crops GROUP BY observation_id UNION ALL SELECT NULL, count(*), count(DISTINCT observation_id) FROM crops", "crops")
 def a5_records_per_source(crops):
-    return crops.groupBy("observation_id").agg(F.count(F.lit(1)).alias("n"))
+    return Q.records_per_source(crops, "observation_id")
 
 
 LEGEND = """leg AS (SELECT row_number() OVER (ORDER BY src_pos) AS class_id, value, color, ('0x' || substr(color, 2, 2))::INTEGER AS r, ('0x' || substr(color, 4, 2))::INTEGER AS g, ('0x' || substr(color, 6, 2))::INTEGER AS b FROM legend_rows WHERE lower(trim(shape)) = 'square' AND trim(value) <> '')"""
@@ -345,6 +379,11 @@ def s16_latest_version_tiles(files):
     return L.latest_version_tiles(files)
 
 
+@query("SELECT regexp_extract(path, 'tile_([0-9])', 1) AS version, path FROM files WHERE regexp_extract(path, '/(v[^/]*)/', 1) = (SELECT max(regexp_extract(path, '/(v[^/]*)/', 1)) FROM files)", "files")
+def s16_version_of_names(files):
+    return L.latest_version_tiles(files, tag="tile_([0-9])")
+
+
 @query(f"WITH {DECODED} SELECT x, y, class_id FROM dec", "rgba", "legend_rows")
 def j3_decode_colours(rgba, rows):
     return L.decode_colours(rgba, L.legend(rows)).select("x", "y", "class_id")
@@ -389,9 +428,15 @@ def j5_pixels_to_windows(pixels):
     return T.pixels_to_windows(pixels, 4, 2).select("tile", "y", "x", "row", "col")
 
 
-@query("SELECT y, x, arg_max(dn, tile) AS dn FROM (SELECT crop, tile, y, x, dn FROM pixels WHERE dn <> 0) GROUP BY y, x", "pixels")
+@query("SELECT y, x, coalesce(arg_max(dn, tile) FILTER (dn <> 0), 0) AS dn FROM (SELECT tile, crop % 40 * 8 + y AS y, x, dn FROM pixels) GROUP BY y, x", "pixels")
 def a10_mosaic_composite(pixels):
-    return L.mosaic_composite(pixels)
+    return L.mosaic_composite(pixels.select("tile", (F.col("crop") % 40 * 8 + F.col("y")).alias("y"), "x", "dn"))
+
+
+@query("SELECT y, x, coalesce(dn, 0) AS dn FROM (SELECT unnest(range(400)) AS y) CROSS JOIN (SELECT unnest(range(10)) AS x) LEFT JOIN (SELECT crop % 40 * 8 + y AS y, x, max(dn) AS dn FROM pixels GROUP BY ALL) USING (y, x)", "pixels")
+def a10_fill_gaps(pixels):
+    found = pixels.groupBy((F.col("crop") % 40 * 8 + F.col("y")).alias("y"), "x").agg(F.max("dn").alias("dn"))
+    return L.fill_gaps(found, 400, 10, "dn", 0)
 
 
 @query("SELECT tile, y // 3 AS block_y, x // 3 AS block_x, round(sum(dn * wy * wx) / sum(wy * wx), 6) AS dn FROM (SELECT *, CASE WHEN y = 7 THEN 2 ELSE 1 END AS wy, CASE WHEN x = 7 THEN 2 ELSE 1 END AS wx FROM pixels) GROUP BY ALL", "pixels")
@@ -416,24 +461,11 @@ def a25_valid_share(pixels):
     return L.valid_share(pixels, "crop").withColumn("share", F.round("share", 6))
 
 
-FISHER = """k AS (SELECT dy, dx, c, count(*) AS n, avg(dn) AS m FROM pr GROUP BY ALL), tt AS (SELECT dy, dx, count(*) AS alln, avg(dn) AS mean, var_pop(dn) AS v FROM pr GROUP BY ALL),
-bb AS (SELECT k.dy, k.dx, sum(n * (m - mean) ** 2) AS ss FROM k JOIN tt ON k.dy = tt.dy AND k.dx = tt.dx WHERE n >= 50 GROUP BY ALL)"""
-PAIRS = """sh AS (SELECT * FROM (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx)),
-pr AS (SELECT sh.dy, sh.dx, a.dn, b.dn // 52 AS c FROM pixels a, sh, pixels b WHERE a.tile = b.tile AND b.y = a.y + sh.dy AND b.x = a.x + sh.dx AND a.dn > 0 AND b.dn // 52 > 0)"""
-
-
 def _shifts(df: DataFrame) -> DataFrame:
     one = lambda n: df.sparkSession.range(-1, 2).select(F.col("id").alias(n))
     return one("dy").crossJoin(one("dx"))
 
 
-@query(f"WITH {PAIRS}, {FISHER} SELECT tt.dy, tt.dx, round(CASE WHEN alln < 1000 THEN 0 ELSE coalesce(ss, 0) / alln / (v + 1e-9) END, 6) AS fisher FROM tt LEFT JOIN bb ON tt.dy = bb.dy AND tt.dx = bb.dx", "pixels")
-def r6_separability_sweep(pixels):
-    labels = pixels.select("tile", "y", "x", F.floor(F.col("dn") / 52).alias("class_id"))
-    pairs = R.shift_join(pixels.select("tile", "y", "x", "dn"), labels, _shifts(pixels), "tile")
-    return R.fisher_ratio(pairs, ["dy", "dx"]).withColumn("fisher", F.round("fisher", 6))
-
-
 EDGES = """e AS (SELECT tile, y, x, dn // 52 AS c, dn // 52 > 0 AND (coalesce(lead(dn // 52) OVER (PARTITION BY tile, y ORDER BY x) <> dn // 52, false) OR coalesce(lead(dn // 52) OVER (PARTITION BY tile, x ORDER BY y) <> dn // 52, false)) AS edge FROM pixels)"""
 
 
@@ -451,16 +483,57 @@ def _sweep(pixels):
     return R.edge_energy(edges, pixels.select("tile", "y", "x", F.col("dn").alias("g")), _shifts(pixels), "tile")
 
 
-@query(f"WITH {SWEEP} SELECT dy, dx, round(energy, 6) AS energy FROM sw", "pixels")
-def r7_edge_energy_sweep(pixels):
-    return _sweep(pixels).withColumn("energy", F.round("energy", 6))
+def _classes(blocks):
+    """Block table of classes of the same images: DN // 52."""
+    tiles = blocks.withColumn("window_id", F.lit(0).cast("long"))
+    return W.map_tiles(tiles, lambda a: (a // 52).astype("uint8")).drop("window_id")
 
 
-@query(f"""WITH {SWEEP}, pk AS (SELECT dy, dx, energy AS peak FROM sw ORDER BY energy DESC, dy, dx LIMIT 1), z AS (SELECT max(energy) AS zero FROM sw WHERE dy = 0 AND dx = 0),
-f AS (SELECT *, peak / (zero + 1e-9) > 1.05 OR peak / zero - 1 > 0.1 AS resolvable FROM pk, z)
-SELECT resolvable, CASE WHEN resolvable THEN dy ELSE 0 END AS best_dy, CASE WHEN resolvable THEN dx ELSE 0 END AS best_dx, CASE WHEN resolvable THEN sqrt(dy * dy + dx * dx) ELSE 0 END AS residual_px, CASE WHEN resolvable THEN sqrt(dy * dy + dx * dx) ELSE 0 END * 0.25::DOUBLE AS residual_m FROM f""", "pixels")
-def r8_registration_report(pixels):
-    peak = R.surface_peak(_sweep(pixels), "energy")
+SHIFTED = """sh AS (SELECT dy, dx, CAST(floor(dy / 2.0) AS BIGINT) AS gy, CAST(floor(dx / 2.0) AS BIGINT) AS gx FROM (SELECT unnest(range(-4, 5, 2)) AS dy), (SELECT unnest(range(-4, 5, 2)) AS dx)),
+grid AS (SELECT image_id, y // 2 AS y, x // 2 AS x, dn, dn // 52 AS c FROM mosaic WHERE y % 2 = 0 AND x % 2 = 0),
+pr AS (SELECT a.image_id, sh.dy, sh.dx, a.dn, b.c FROM grid a, sh, grid b WHERE a.image_id = b.image_id AND b.y = a.y + sh.gy AND b.x = a.x + sh.gx AND a.dn > 0 AND b.c > 0 AND a.y BETWEEN 3 AND 28 AND a.x BETWEEN 3 AND 28),
+k AS (SELECT image_id, dy, dx, c, count(*) AS n, avg(dn) AS m FROM pr GROUP BY ALL), tt AS (SELECT image_id, dy, dx, count(*) AS alln, avg(dn) AS mean, var_pop(dn) AS v FROM pr GROUP BY ALL),
+bb AS (SELECT k.image_id, k.dy, k.dx, sum(CASE WHEN n >= 20 THEN n * (m - mean) ** 2 ELSE 0 END) AS ss FROM k JOIN tt ON k.image_id = tt.image_id AND k.dy = tt.dy AND k.dx = tt.dx GROUP BY ALL),
+sw AS (SELECT i.image_id, sh.dy, sh.dx, CASE WHEN coalesce(alln, 0) < 300 THEN 0 ELSE coalesce(ss, 0) / alln / (v + 1e-9) END AS fisher FROM (SELECT DISTINCT image_id FROM mosaic) i CROSS JOIN sh LEFT JOIN tt ON tt.image_id = i.image_id AND tt.dy = sh.dy AND tt.dx = sh.dx LEFT JOIN bb ON bb.image_id = i.image_id AND bb.dy = sh.dy AND bb.dx = sh.dx)"""
+
+
+def _separability(blocks):
+    return R.separability_sweep(blocks, _classes(blocks), 4, 8, 2, 2, 20, 300)
+
+
+@query(f"WITH {SHIFTED} SELECT image_id, dy, dx, round(fisher, 6) AS fisher FROM sw", "mosaic", of=("mosaic_blocks",))
+def r6_separability_sweep(blocks):
+    """Every second pixel, shifts of -4 to 4 by 2, three grid steps inside."""
+    return _separability(blocks).withColumn("fisher", F.round("fisher", 6))
+
+
+WEIGHTS = "(SELECT o, exp(-0.5::DOUBLE * o * o) / (SELECT sum(exp(-0.5::DOUBLE * o * o)) FROM (SELECT unnest(range(-4, 5)) AS o)) AS k FROM (SELECT unnest(range(-4, 5)) AS o))"
+BLURRED = f"""ob AS (SELECT * FROM (VALUES (-1, -1, -1, -1), (-1, 0, -2, 0), (-1, 1, -1, 1), (0, -1, 0, -2), (0, 1, 0, 2), (1, -1, 1, -1), (1, 0, 2, 0), (1, 1, 1, 1)) t(oy, ox, ky, kx)), wt AS {WEIGHTS},
+whole AS (SELECT i.image_id, y, x, coalesce(dn, 0) AS dn FROM (SELECT DISTINCT image_id FROM mosaic) i CROSS JOIN (SELECT unnest(range(64)) AS y) CROSS JOIN (SELECT unnest(range(64)) AS x) LEFT JOIN mosaic m USING (image_id, y, x)),
+near AS (SELECT image_id, y, x, ky, kx, greatest(0, least(63, y + oy)) AS ny, greatest(0, least(63, x + ox)) AS nx FROM whole, ob),
+gr AS (SELECT n.image_id, n.y, n.x, sqrt(sum(ky * w.dn) ** 2 + sum(kx * w.dn) ** 2) AS g FROM near n JOIN whole w ON w.image_id = n.image_id AND w.y = ny AND w.x = nx GROUP BY ALL),
+g1 AS (SELECT t.image_id, t.y, t.x, sum(k * s.g) AS g FROM (SELECT image_id, y, x, k, CASE WHEN y + o < 0 THEN -(y + o) - 1 WHEN y + o > 63 THEN 127 - y - o ELSE y + o END AS ny FROM gr, wt) t JOIN gr s ON s.image_id = t.image_id AND s.y = ny AND s.x = t.x GROUP BY ALL),
+g2 AS (SELECT t.image_id, t.y, t.x, sum(k * s.g) AS g FROM (SELECT image_id, y, x, k, CASE WHEN x + o < 0 THEN -(x + o) - 1 WHEN x + o > 63 THEN 127 - x - o ELSE x + o END AS nx FROM g1, wt) t JOIN g1 s ON s.image_id = t.image_id AND s.x = nx AND s.y = t.y GROUP BY ALL),
+e AS (SELECT image_id, y, x FROM (SELECT image_id, y, x, dn // 52 AS c, lead(dn // 52) OVER (PARTITION BY image_id, y ORDER BY x) AS r, lead(dn // 52) OVER (PARTITION BY image_id, x ORDER BY y) AS d FROM whole) WHERE c > 0 AND (coalesce(r <> c, false) OR coalesce(d <> c, false)) AND y > 3 AND y < 61 AND x > 3 AND x < 61),
+sh AS (SELECT * FROM (SELECT unnest(range(-3, 4)) AS dy), (SELECT unnest(range(-3, 4)) AS dx)), many AS (SELECT image_id, count(*) AS n FROM e GROUP BY image_id),
+sw AS (SELECT e.image_id, sh.dy, sh.dx, avg(CASE WHEN w.dn = 0 THEN 0 ELSE g2.g END) AS energy FROM e JOIN many ON many.image_id = e.image_id AND n >= 1000, sh, g2, whole w WHERE g2.image_id = e.image_id AND g2.y = e.y + sh.dy AND g2.x = e.x + sh.dx AND w.image_id = e.image_id AND w.y = g2.y AND w.x = g2.x GROUP BY ALL)"""
+
+
+def _edge_sweep(blocks):
+    return R.edge_sweep(blocks, _classes(blocks), 3, 8, 1000)
+
+
+@query(f"WITH {BLURRED} SELECT image_id, dy, dx, round(energy, 4) AS energy FROM sw UNION ALL SELECT i.image_id, NULL, NULL, NULL FROM (SELECT DISTINCT image_id FROM mosaic) i LEFT JOIN many ON many.image_id = i.image_id WHERE coalesce(n, 0) < 1000", "mosaic", of=("mosaic_blocks",))
+def r7_edge_energy_sweep(blocks):
+    """Shifts of -3 to 3; images of fewer than 1,000 edges have a null row."""
+    return _edge_sweep(blocks).withColumn("energy", F.round("energy", 4))
+
+
+@query(f"""WITH {BLURRED}, pk AS (SELECT image_id, min(struct_pack(v := -energy, dy := dy, dx := dx)) AS b, max(energy) FILTER (dy = 0 AND dx = 0) AS zero FROM sw GROUP BY image_id),
+f AS (SELECT image_id, b.dy AS dy, b.dx AS dx, -b.v / (zero + 1e-9) > 1.05 OR CASE WHEN zero > 0 THEN -b.v / zero - 1 ELSE 0 END > 0.1 AS resolvable FROM pk)
+SELECT image_id, resolvable, CASE WHEN resolvable THEN dy ELSE 0 END AS best_dy, CASE WHEN resolvable THEN dx ELSE 0 END AS best_dx, CASE WHEN resolvable THEN sqrt(dy * dy + dx * dx) ELSE 0 END AS residual_px, CASE WHEN resolvable THEN sqrt(dy * dy + dx * dx) ELSE 0 END * 0.25::DOUBLE AS residual_m FROM f""", "mosaic", of=("mosaic_blocks",))
+def r8_registration_report(blocks):
+    peak = R.peaks(_edge_sweep(blocks), "energy").withColumnsRenamed({"dy": "best_dy", "dx": "best_dx"})
     return R.registration_report(peak, res=0.25)
 
 
@@ -469,9 +542,10 @@ def w11_integral_image(pixels):
     return Q.integral_image(pixels, "tile", "dn").select("tile", "y", "x", "total")
 
 
-@query(STRETCH + " SELECT tile, y, x, CAST(round_even(round(unit * 255, 9), 0) AS INTEGER) AS u8 FROM s", "pixels")
-def f2_robust_stretch(pixels):
-    return Q.robust_stretch(pixels, "tile").select("tile", "y", "x", "u8")
+@query(STRETCH + " SELECT tile, y, x, CAST(round_even(round(unit * 255, 9), 0) AS INTEGER) AS u8 FROM s", "pixels", of=("blocks",))
+def f2_robust_stretch(blocks):
+    out = _values(Q.stretch_blocks(blocks, Q.stretch_limits(Q.value_counts(blocks))))
+    return out.select("tile", *_place(), F.col("v").cast("int").alias("u8"))
 
 
 @query("SELECT tile, y, x, dn / 127.5::DOUBLE - 1 AS v, CAST(dn AS INTEGER) AS u8 FROM pixels", "pixels")
@@ -534,7 +608,7 @@ def a22_reference_distance(pixels):
     return M.reference_distance(pixels.withColumn("dn", F.col("dn").cast("double")), "dn")
 
 
-@query("SELECT round(avg(s / 10), 6) AS distance FROM (SELECT list_sum(list_transform(logits, lambda x: (x * 0.5 - x) ** 2)) AS s FROM logits)", "logits")
+@query("SELECT round(avg(s / 64), 6) AS distance FROM (SELECT list_sum(list_transform(logits, lambda x: (x * 0.5 - x) ** 2)) AS s FROM logits)", "logits")
 def a24_feature_distance(logits):
     a = logits.select("vec_id", F.col("logits").alias("f"))
     return M.feature_distance(a, a.select("vec_id", F.transform("f", lambda x: x * 0.5).alias("f")), "vec_id").select(F.round("distance", 6).alias("distance"))
@@ -543,7 +617,7 @@ def a24_feature_distance(logits):
 @query("SELECT vec_id, class_id, round(list_sum(list_transform(logits, lambda x: x * (class_id + 1))) + class_id, 6) AS logit FROM logits, (SELECT unnest(range(3)) AS class_id)", "logits")
 def f11_linear_logits(logits):
     ids = logits.sparkSession.range(3).select(F.col("id").alias("class_id"))
-    weights = ids.select("class_id", F.array_repeat((F.col("class_id") + 1).cast("double"), 10).alias("w"), F.col("class_id").cast("double").alias("b"))
+    weights = ids.select("class_id", F.array_repeat((F.col("class_id") + 1).cast("double"), 64).alias("w"), F.col("class_id").cast("double").alias("b"))
     return linear_logits(logits, weights, "logits").select("vec_id", "class_id", F.round("logit", 6).alias("logit"))
 
 
@@ -572,7 +646,8 @@ def _values(tiles):
                 v = np.frombuffer(raw, kind).astype(float)
                 yield pd.DataFrame({"tile": image, "i": np.arange(len(v)), "v": v})
 
-    return tiles.select("image_id", "pixels", "dtype").mapInPandas(run, "tile long, i long, v double")
+    kind = dict(tiles.dtypes)["image_id"]
+    return tiles.select("image_id", "pixels", "dtype").mapInPandas(run, f"tile {kind}, i long, v double")
 
 
 @query("""SELECT o.tile, (wy + 3) * 7 + wx - 4 AS i, CAST(dn AS DOUBLE) AS v FROM (SELECT tile, unnest(range(4, 11)) AS wx, wy FROM (SELECT DISTINCT tile, wy FROM pixels, (SELECT unnest(range(-3, 4)) AS wy))) o
@@ -610,11 +685,14 @@ def f1_pixel_invalid(pixels):
 
 
 @query("""SELECT tile, dy, dx, avg(b.dn - a.dn) AS gap FROM (SELECT a.tile, a.dn, a.y + dy AS ly, a.x + dx AS lx, dy, dx FROM pixels a, (SELECT unnest(range(-1, 2)) AS dy), (SELECT unnest(range(-1, 2)) AS dx)) a
-JOIN (SELECT tile AS t, y, x, dn FROM pixels) b ON a.tile = b.t AND ly = b.y AND lx = b.x GROUP BY tile, dy, dx""", "pixels")
-def j9_shift_join(pixels):
-    shifts = pixels.sparkSession.range(9).select((F.floor(F.col("id") / 3) - 1).alias("dy"), (F.col("id") % 3 - 1).alias("dx"))
-    pairs = R.shift_join(pixels.select("tile", "y", "x", "dn"), pixels.select("tile", "y", "x", F.col("dn").alias("class_id")), shifts, "tile")
-    return pairs.groupBy("tile", "dy", "dx").agg(F.avg(F.col("class_id") - F.col("dn")).alias("gap"))
+JOIN (SELECT tile AS t, y, x, dn FROM pixels) b ON a.tile = b.t AND ly = b.y AND lx = b.x GROUP BY tile, dy, dx""", "pixels", of=("blocks",))
+def j9_shift_join(blocks):
+    """Gaps between each pixel and its neighbours, from sums by shift and value."""
+    own = blocks.withColumn("image_height", F.lit(8)).withColumn("image_width", F.lit(8))
+    shifts = [(dy, dx) for dy in (-1, 0, 1) for dx in (-1, 0, 1)]
+    sums = R.shift_sums(own, blocks, shifts, 8, valid=False)
+    gap = (F.sum(F.col("class_id") * F.col("n")) - F.sum("s")) / F.sum("n")
+    return sums.groupBy(F.col("image_id").alias("tile"), "dy", "dx").agg(gap.alias("gap"))
 
 
 @query("""WITH g AS (SELECT crop, label, dn FROM pixels WHERE dn > 0 AND label > 0), t AS (SELECT crop, count(*) AS n, avg(dn) AS m, var_pop(dn) AS v FROM g GROUP BY crop),
@@ -672,14 +750,23 @@ l AS (SELECT t, CASE WHEN p99 > p1 THEN p1 ELSE mn END AS lo, CASE WHEN p99 > p1
 s AS (SELECT tile, y, x, CASE WHEN hi > lo THEN least(1.0, greatest(0.0, (dn - lo) / (hi - lo))) ELSE 0 END AS unit FROM pixels JOIN l ON tile = t)"""
 
 
-@query(FINITE + " SELECT tile, y, x, round(unit, 6) AS unit FROM s", "pixels")
-def f3_unit_range(pixels):
-    return Q.unit_range(pixels, "tile").select("tile", "y", "x", F.round("unit", 6).alias("unit"))
+@query(FINITE + " SELECT tile, y, x, round(unit, 6) AS unit FROM s", "pixels", of=("blocks",))
+def f3_unit_range(blocks):
+    limits = Q.stretch_limits(Q.value_counts(blocks), finite=True)
+    return _values(Q.stretch_blocks(blocks, limits, out="float32")).select("tile", *_place(), F.round("v", 6).alias("unit"))
 
 
-@query(FINITE + " SELECT tile, y, x, CAST(floor(unit * 255) AS INTEGER) AS u8 FROM s", "pixels")
-def f4_preview_stretch(pixels):
-    return Q.preview_stretch(pixels, "tile").select("tile", "y", "x", "u8")
+@query(FINITE + " SELECT tile, y, x, CAST(floor(unit * 255) AS INTEGER) AS u8 FROM s", "pixels", of=("blocks",))
+def f4_preview_stretch(blocks):
+    limits = Q.stretch_limits(Q.value_counts(blocks), finite=True)
+    return _values(Q.stretch_blocks(blocks, limits, out="preview")).select("tile", *_place(), F.col("v").cast("int").alias("u8"))
+
+
+@query(FINITE.replace("FROM pixels", "FROM banded").replace("WITH q", "WITH banded AS (SELECT tile // 5 AS tile, tile % 5 AS ch, y, x, dn FROM pixels WHERE tile % 5 < 3), q").replace("tile, y, x, CASE", "tile, ch, y, x, CASE") + " SELECT tile, ch, y, x, CAST(floor(unit * 255) AS INTEGER) AS u8 FROM s", "pixels")
+def f4_preview_of_channels(pixels):
+    """Of images of five channels only the first three are stretched."""
+    banded = pixels.select(F.floor(F.col("tile") / 5).alias("tile"), (F.col("tile") % 5).alias("ch"), "y", "x", "dn")
+    return Q.preview_stretch(banded, "tile").select("tile", "ch", "y", "x", "u8")
 
 
 @query(f"WITH {SWEEP}, z AS (SELECT max(energy) AS zero FROM sw WHERE dy = 0 AND dx = 0) SELECT dy, dx, round(energy, 6) AS peak, round(zero, 6) AS zero, round(CASE WHEN zero > 0 THEN energy / zero - 1 ELSE 0 END, 6) AS gain FROM sw, z ORDER BY energy DESC, dy, dx LIMIT 1", "pixels")
@@ -692,13 +779,13 @@ def t6_scan_order(catalog):
     return T.scan_order(T.padded_grid(catalog, 96, 64)).select("image_id", "row", "col")
 
 
-@query("""WITH v AS (SELECT target, unnest(range(10)) AS i, logits FROM logits), m AS (SELECT target, i, avg(logits[i + 1]) AS mean FROM v GROUP BY target, i)
+@query("""WITH v AS (SELECT target, unnest(range(64)) AS i, logits FROM logits), m AS (SELECT target, i, avg(logits[i + 1]) AS mean FROM v GROUP BY target, i)
 SELECT a.target, a.i, b.i AS j, round(any_value(a.mean), 6) AS mean, round(sum((l.logits[a.i + 1] - a.mean) * (l.logits[b.i + 1] - b.mean)) / greatest(1, count(*) - 1), 5) AS cov
 FROM logits l JOIN m a ON l.target = a.target JOIN m b ON l.target = b.target GROUP BY a.target, a.i, b.i""", "logits")
 def a21_class_covariances(logits):
     """Means and covariances of features by class, from partial moments."""
     fitted = class_moments(logits, "target", "logits").select("target", "n", "mean", F.posexplode("scatter").alias("at", "v"))
-    i, j = F.floor(F.col("at") / 10), F.col("at") % 10
+    i, j = F.floor(F.col("at") / 64), F.col("at") % 64
     return fitted.select("target", i.alias("i"), j.cast("long").alias("j"), F.round(F.col("mean")[i.cast("int")], 6).alias("mean"), F.round(F.col("v") / F.greatest(F.lit(1), F.col("n") - 1), 5).alias("cov"))
 
 
@@ -766,13 +853,13 @@ def s7_seg_manifest(crops):
     return manifests.read_seg_manifest(crops.sparkSession, path).select(F.col("row").cast("long").alias("row"), "size", "split", "valid_frac")
 
 
-@query("SELECT tile AS image_id, count(*) AS n_pixels FROM pixels GROUP BY tile", "pixels")
+@query("SELECT tile AS image_id, tile % 16 AS folder, string_agg(printf('%02X', dn), '' ORDER BY y, x) AS pixels FROM pixels GROUP BY tile", "pixels")
 def s9_write_tiles(pixels):
-    """One folder a crop, so that folders stay few."""
+    """Sixteen folders, the pixels as they were written."""
     path, spark = scratch(pixels.sparkSession, "tiles"), pixels.sparkSession
     tiles = _whole_tiles(pixels).withColumn("tile", F.col("image_id")).withColumn("image_id", F.col("tile") % 16)
     manifests.write_tiles(tiles, path)
-    return spark.read.parquet(path).select(F.col("tile").alias("image_id"), F.octet_length("pixels").cast("long").alias("n_pixels"))
+    return spark.read.parquet(path).select(F.col("tile").alias("image_id"), F.col("image_id").cast("long").alias("folder"), F.hex("pixels").alias("pixels"))
 
 
 @query('SELECT image_id, "row", col, 0.5::DOUBLE AS invalid_fraction FROM ' + GRID, "catalog")
@@ -795,3 +882,338 @@ def s14_artifacts(logits):
     fitted = class_moments(logits, "target", "logits").select("target", "n")
     manifests.save_artifact(fitted, path)
     return manifests.load_artifact(spark, path, "target long, n long")
+
+
+def _mosaic_tiles(blocks):
+    """The mosaics as whole tiles of 64 x 64 pixels."""
+    whole = [F.lit(n).cast("long").alias(c) for c, n in (("window_id", 0), ("top", 0), ("left", 0), ("height", 64), ("width", 64), ("image_height", 64), ("image_width", 64))]
+    return W.extract_windows(blocks, blocks.select("image_id").distinct().select("image_id", *whole), 8, "constant")
+
+
+WHOLE = """whole AS (SELECT i.image_id, y, x, coalesce(dn, 0) AS dn FROM (SELECT DISTINCT image_id FROM mosaic) i CROSS JOIN (SELECT unnest(range(64)) AS y) CROSS JOIN (SELECT unnest(range(64)) AS x) LEFT JOIN mosaic m USING (image_id, y, x))"""
+
+
+def _written(blocks, suffix="npy"):
+    """A folder of one raster file for each mosaic."""
+    path = scratch(blocks.sparkSession, "rasters")
+    named = _mosaic_tiles(blocks).withColumn("name", F.format_string(f"Img_%04d.{suffix}", "image_id"))
+    rasters.write_rasters(named, path, "npy" if suffix == "npy" else "raw")
+    return path
+
+
+@query("SELECT printf('Img_%04d.npy', image_id) AS name, 128 + 64 * 64 AS length FROM (SELECT DISTINCT image_id FROM mosaic) WHERE regexp_matches(printf('%04d', image_id), '[0-4]$')", "mosaic", of=("mosaic_blocks",))
+def s1_discover_rasters(blocks):
+    """Files whose name matches, whatever its case."""
+    found = rasters.discover_rasters(blocks.sparkSession, _written(blocks), "IMG_*[0-4].npy")
+    return found.select(F.element_at(F.split("path", "/"), -1).alias("name"), "length")
+
+
+@query("SELECT DISTINCT printf('Img_%04d', image_id) AS image_id, 64 AS height, 64 AS width, 1 AS channels, 'uint8' AS dtype, 16 AS total, 10 AS analysed FROM mosaic", "mosaic", of=("mosaic_blocks",))
+def s2_raster_inventory(blocks):
+    read = rasters.read_blocks(blocks.sparkSession, _written(blocks), block=24)
+    return rasters.raster_inventory(read, 16, 10).select("image_id", "height", "width", "channels", "dtype", "total", "analysed")
+
+
+@query(f"WITH {WHOLE} SELECT printf('Img_%04d', image_id) AS image_id, y, x, CAST(dn AS DOUBLE) AS v FROM whole WHERE y BETWEEN 10 AND 39 AND x BETWEEN 41 AND 63", "mosaic", of=("mosaic_blocks",))
+def s3_read_region(blocks):
+    """Files are read as blocks of 24 pixels; a region that reaches beyond them."""
+    read = rasters.read_blocks(blocks.sparkSession, _written(blocks), block=24)
+    part = rasters.read_region(read, 10, 41, 30, 60)
+    values = _values(part).join(part.select("image_id", "y0", "x0", "w"), F.col("tile") == F.col("image_id"))
+    return values.select("image_id", (F.col("y0") + F.floor(F.col("i") / F.col("w"))).alias("y"), (F.col("x0") + F.col("i") % F.col("w")).alias("x"), "v")
+
+
+@query(f"WITH {WHOLE} SELECT printf('Img_%04d', image_id) AS image_id, CAST(sum(dn) AS BIGINT) AS total, 0 AS n_errors FROM whole GROUP BY image_id", "mosaic", of=("mosaic_blocks",))
+def x1_register_decoder(blocks):
+    """A suffix with two decoders, of which the first always fails."""
+    import numpy as np
+
+    before = list(rasters._DECODERS)
+    try:
+        rasters.register_decoder("vrt", lambda raw: 1 / 0)
+        rasters.register_decoder("vrt", lambda raw: np.frombuffer(raw, np.uint8).reshape(64, 64))
+        read = rasters.read_blocks(blocks.sparkSession, _written(blocks, "vrt"), block=64)
+    finally:
+        rasters._DECODERS[:] = before
+    errors = read.groupBy("image_id").agg(F.count("error").alias("n_errors"))
+    sums = _values(read).groupBy(F.col("tile").alias("image_id")).agg(F.sum("v").cast("long").alias("total"))
+    return sums.join(errors, "image_id").select("image_id", "total", F.col("n_errors").cast("int").alias("n_errors"))
+
+
+INGESTED = """kept AS (SELECT DISTINCT observation_id, crop_id FROM crops WHERE invalid_fraction <= 0.1), o AS (SELECT observation_id, row_number() OVER (ORDER BY md5('42:' || observation_id), observation_id) AS rk, count(*) OVER () AS n FROM (SELECT DISTINCT observation_id FROM kept))"""
+
+
+def _ingested(crops):
+    """Half of the crops arrive, then all of them again with the rest."""
+    spark = crops.sparkSession
+    arrivals, root, checkpoint = (scratch(spark, n) for n in ("arrivals", "ingested", "ingest-state"))
+    rows = crops.select("observation_id", F.floor(F.col("crop_id") / 1000).cast("int").alias("row"), (F.col("crop_id") % 1000).cast("int").alias("col"), "invalid_fraction")
+    for part in (rows.filter("col % 2 = 0"), rows):
+        part.write.mode("append").parquet(arrivals)
+        ingest.ingest_incremental(spark.readStream.schema(rows.schema).parquet(arrivals), root, checkpoint, 0.1, 0.2, 5)
+    return root
+
+
+@query(f"WITH {INGESTED} SELECT observation_id, CASE WHEN rk <= least(greatest(5, round_even(n * 0.2::DOUBLE, 0)), n) THEN 'val' ELSE 'train' END AS split FROM o", "crops")
+def st1_ingest_incremental(crops):
+    return ingest.read_index(crops.sparkSession, _ingested(crops)).select("observation_id", "split")
+
+
+@query(f"WITH {INGESTED} SELECT (SELECT count(*) FROM kept) AS n_crops, (SELECT count(*) FROM o) AS n_observations", "crops")
+def s11_rebuild_index(crops):
+    return ingest.index_counts(crops.sparkSession, _ingested(crops))
+
+
+@query("""SELECT tile, oy * 5 + ox AS i, CAST(dn AS DOUBLE) AS v FROM (SELECT tile, oy, ox, CAST(round_even((tile % 5 * 8 + 4) / 4.0::DOUBLE, 0) AS BIGINT) AS cy, CAST(round_even((tile % 3 * 8 + 4) / 4.0::DOUBLE, 0) AS BIGINT) AS cx FROM (SELECT DISTINCT tile FROM pixels), (SELECT unnest(range(5)) AS oy), (SELECT unnest(range(5)) AS ox)) w
+JOIN pixels USING (tile) WHERE y = greatest(0, least(7, least(greatest(cy, 0), 7) - 2 + oy)) AND x = greatest(0, least(7, least(greatest(cx, 0), 7) - 2 + ox))""", "pixels", of=("blocks",))
+def j6_context_from_base(blocks):
+    """Contexts of five pixels around places of a base that is four times smaller."""
+    at = lambda m: (F.col("image_id") % m * 8).cast("long")
+    size = [F.lit(v).alias(c) for c, v in (("patch_size", 8), ("context_scale", 4.0), ("context_output_size", 5), ("base_height", 8), ("base_width", 8))]
+    patches = blocks.select("image_id", F.lit(0).cast("long").alias("window_id"), at(5).alias("top"), at(3).alias("left"), *size)
+    return _values(W.context_from_base(blocks.drop("crop", "label"), patches, 8))
+
+
+@query(f"""WITH {DECODED} SELECT count(*) AS total, count_if(a = 0)::BIGINT AS transparent, count_if(a > 0 AND class_id = 0)::BIGINT AS unmatched, count_if(a > 0 AND class_id > 0)::BIGINT AS labelled,
+count_if(a > 0 AND class_id > 0) / greatest(count_if(a > 0), 1) AS labelled_share FROM dec""", "rgba", "legend_rows")
+def a6_decode_totals(rgba, rows):
+    return L.decode_totals(L.decode_colours(rgba, L.legend(rows)))
+
+
+@query("""WITH p AS (SELECT crop, tile % 10 * 4 + y AS gy, tile % 5 * 4 + x AS gx, dn FROM pixels WHERE y < 6 AND x < 7), i AS (SELECT DISTINCT crop FROM pixels)
+SELECT i.crop, gy, gx, round(coalesce(v, 0), 6) AS v FROM i CROSS JOIN (SELECT unnest(range(48)) AS gy) CROSS JOIN (SELECT unnest(range(30)) AS gx) LEFT JOIN (SELECT crop, gy, gx, avg(dn) AS v FROM p GROUP BY ALL) q USING (crop, gy, gx)""", "pixels")
+def a13_stitch_canvas(pixels):
+    """Tiles of which 6 x 7 pixels are valid, on canvases of 48 x 30."""
+    valid = [F.lit(6).alias("valid_height"), F.lit(7).alias("valid_width")]
+    placed = pixels.select("crop", (F.col("tile") % 10 * 4).alias("row"), (F.col("tile") % 5 * 4).alias("col"), "y", "x", F.col("dn").alias("v"), *valid)
+    canvas = pixels.select("crop").distinct().select("crop", F.lit(48).alias("height"), F.lit(30).alias("width"))
+    return L.stitch_tiles(placed, "crop", canvas).withColumn("v", F.round("v", 6))
+
+
+@query("SELECT tile, y // 2 AS block_y, x // 2 AS block_x, CAST(dn AS DOUBLE) AS dn, 2 AS factor FROM pixels WHERE y % 2 = 1 AND x % 2 = 1 UNION ALL SELECT tile, y // 4, x // 4, CAST(dn AS DOUBLE), 4 FROM pixels WHERE y % 4 = 2 AND x % 4 = 2", "pixels")
+def a12_nearest_pyramid(pixels):
+    return L.build_pyramid(pixels, "tile", (2, 4), categorical=True)
+
+
+@query(f"""SELECT image_id, printf('%s_context_o%04d_r%04d_c%04d_y%07d_x%07d.npy', image_id, 128, "row", col, top, "left") AS cache, printf('%s_context_r%04d_c%04d_y%07d_x%07d.npy', image_id, "row", col, top, "left") AS context,
+printf('%s_context_base_c%04d_o%04d.npy', image_id, 200, 128) AS base, printf('example_%02d_%s_r%04d_c%04d_y%07d_x%07d.png', col % 100, image_id, "row", col, top, "left") AS preview, 'p/' || image_id || '.npy' AS relative, printf('%s_%d_%d', image_id, col, "row") AS gallery FROM {GRID}""", "catalog")
+def p7_other_names(catalog):
+    at = [F.col(c) for c in ("image_id", "row", "col", "top", "left")]
+    stem, rest = at[0], at[1:]
+    return T.padded_grid(catalog, 96, 64).select(
+        "image_id", T.context_name(*at, output=F.lit(128)).alias("cache"), T.context_name(*at).alias("context"), T.context_base_name(stem, F.lit(200), F.lit(128)).alias("base"),
+        T.preview_name(stem, F.col("col") % 100, *rest).alias("preview"), T.relative_path(F.concat(F.lit("/data/set/p/"), stem, F.lit(".npy")), "/data/set/").alias("relative"), T.gallery_id(stem, at[1], at[2]).alias("gallery"),
+    )
+
+
+@query(f"""WITH g AS (SELECT *, row_number() OVER (PARTITION BY image_id ORDER BY "row", col) - 1 AS i, count(*) OVER (PARTITION BY image_id) AS n FROM {GRID}), k AS (SELECT * FROM g WHERE n <= 3 OR list_contains([round_even(k * (n - 1) / 2.0::DOUBLE, 0) FOR k IN range(3)], i))
+SELECT image_id AS source_image, printf('previews/example_%02d_%s_r%04d_c%04d_y%07d_x%07d.png', row_number() OVER (PARTITION BY image_id ORDER BY "row", col) - 1, image_id, "row", col, top, "left") AS preview_path,
+CAST(row_number() OVER (PARTITION BY image_id ORDER BY "row", col) - 1 AS INTEGER) AS example_index, "row", col, least(96, height - top) AS valid_height, height AS image_height, 22 AS n_columns FROM k""", "catalog")
+def s10_preview_manifest(catalog):
+    """Three tiles of each image, spread evenly."""
+    manifest = p8_build_manifest(catalog)
+    picked = T.even_subsample(manifest.select("source_image", "row", "col"), "source_image", ["row", "col"], 3)
+    picks = picked.withColumn("example_index", (F.row_number().over(Window.partitionBy("source_image").orderBy("row", "col")) - 1).cast("int"))
+    rows = manifests.preview_manifest(manifest, picks)
+    return rows.select("source_image", "preview_path", "example_index", "row", "col", "valid_height", "image_height", F.lit(len(rows.columns)).alias("n_columns"))
+
+
+@query(f"""SELECT image_id AS source_image, 'I' || regexp_extract(image_id, '[0-9]$') AS image, count(*) AS n FROM {GRID} GROUP BY ALL""", "catalog")
+def s10_image_manifests(catalog):
+    """A folder for each image name, here ten of them."""
+    path, spark = scratch(catalog.sparkSession, "image-manifests"), catalog.sparkSession
+    named = p8_build_manifest(catalog).withColumn("source_image", F.concat(F.lit("I"), F.regexp_extract("source_image", "[0-9]$", 0), F.lit(".npy"))).withColumn("patch_path", F.col("patch_name"))
+    manifests.write_image_manifests(named, path)
+    return spark.read.option("header", True).csv(path).groupBy(F.col("patch_path").alias("source_image"), "image").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("SELECT round(sum(loss * n) / sum(n), 6) AS loss FROM (SELECT crop, count(*) AS n, sum(CASE WHEN label % 2 = 0 THEN abs(dn / 100 - 1) ELSE 0 END) / greatest(count_if(label % 2 = 0), 1) AS loss FROM pixels GROUP BY crop)", "pixels")
+def a18_set_loss(pixels):
+    rows = pixels.select("crop", (F.col("dn") / 100).alias("recon"), F.lit(1.0).alias("target"), (F.col("label") % 2 == 0).alias("mask"))
+    sizes = pixels.groupBy("crop").agg(F.count(F.lit(1)).alias("n"))
+    return M.weighted_loss(M.masked_loss(rows, "crop").join(sizes, "crop")).select(F.round("loss", 6).alias("loss"))
+
+
+@query("""WITH v AS (SELECT vec_id, batch % 3 AS lev, logits, list_transform(logits, lambda x: x * 0.5 + 1) AS other FROM logits), d AS (SELECT lev, avg(s / 64) AS distance FROM (SELECT lev, list_sum(list_transform(range(1, 65), lambda i: (logits[i] / la - other[i] / lb) ** 2)) AS s
+FROM (SELECT *, sqrt(list_sum(list_transform(logits, lambda x: x * x))) AS la, sqrt(list_sum(list_transform(other, lambda x: x * x))) AS lb FROM v) WHERE lev < 2) GROUP BY lev)
+SELECT lev, round(distance, 9) AS distance FROM d UNION ALL SELECT NULL, round(sum(distance * CASE lev WHEN 0 THEN 0.25 ELSE 2.0 END), 9) FROM d""", "logits")
+def a24_weighted_distance(logits):
+    """Two of three levels, vectors of unit length, weights 0.25 and 2."""
+    a = logits.select("vec_id", (F.col("batch") % 3).alias("lev"), F.col("logits").alias("f"))
+    b = a.withColumn("f", F.transform("f", lambda x: x * 0.5 + 1))
+    return M.weighted_feature_distance(a, b, "vec_id", "lev", {0: 0.25, 1: 2.0}, True).withColumn("distance", F.round("distance", 9))
+
+
+@query("SELECT crop_id, y, x, ('0x' || substr(md5(concat('b:', crop_id, ':', (y // 4) * 2 + x // 4)), 1, 8))::BIGINT / 4294967296.0::DOUBLE < 0.5 AS masked FROM crops, (SELECT unnest(range(8))::INTEGER AS y), (SELECT unnest(range(8))::INTEGER AS x)", "crops")
+def f8_mask_pixels(crops):
+    return S.mask_pixels(S.random_mask(crops, "crop_id", 8, 4, 0.5, "b"), 8, 4).select("crop_id", "y", "x", "masked")
+
+
+@query("SELECT tile, y, x, least(1.0::DOUBLE, greatest(0.0::DOUBLE, ((dn / 100.0::DOUBLE - 1.2) + 1) / 2)) AS shown FROM pixels", "pixels")
+def f5_display(pixels):
+    return pixels.select("tile", "y", "x", Q.display(F.col("dn") / 100.0 - 1.2).alias("shown"))
+
+
+@query("""SELECT box_id, CAST(floor((lon0 * m - 25000 + 3000000) / 500) AS BIGINT) AS col, CAST(floor((1000000 - (lat0 * m + 25000)) / 500) AS BIGINT) AS "row", CAST(ceil((lon0 * m + 25000 + 3000000) / 500) - floor((lon0 * m - 25000 + 3000000) / 500) AS BIGINT) AS w,
+CAST(ceil((1000000 - (lat0 * m - 25000)) / 500) - floor((1000000 - (lat0 * m + 25000)) / 500) AS BIGINT) AS h FROM boxes, (SELECT 3396190.0::DOUBLE * pi() / 180 AS m)""", "boxes")
+def p15_snap_centre(boxes):
+    points = boxes.select("box_id", F.col("lon0").alias("lon"), F.col("lat0").alias("lat"))
+    return L.snap_centre(points, 100, 3396190.0, -3000000.0, 1000000.0, 500.0).select("box_id", "col", "row", "w", "h")
+
+
+@query("""SELECT CAST(floor((min("left") - 3) / 0.7) AS BIGINT) AS col, CAST(floor((500 - max(top)) / 0.7) AS BIGINT) AS "row", CAST(ceil((max("right") - 3) / 0.7) - floor((min("left") - 3) / 0.7) AS BIGINT) AS w, CAST(ceil((500 - min(bottom)) / 0.7) - floor((500 - max(top)) / 0.7) AS BIGINT) AS h FROM tiles""", "tiles")
+def p15_full_extent(tiles):
+    return L.full_extent(tiles, 3.0, 500.0, 0.7).select("col", "row", "w", "h")
+
+
+@query("""WITH s AS (SELECT tile, y, x, sum(sum(dn)) OVER (PARTITION BY tile ORDER BY y ROWS UNBOUNDED PRECEDING) AS z FROM pixels GROUP BY tile, y, x), w AS (SELECT * FROM (VALUES (0, 0, 8, 8), (1, 2, 4, 7), (3, 0, 4, 1), (5, 5, 5, 8)) t(y0, x0, y1, x1))
+SELECT t.tile, y0, x0, y1, x1, CAST(coalesce(sum(dn), 0) AS BIGINT) AS total FROM (SELECT DISTINCT tile FROM pixels) t CROSS JOIN w LEFT JOIN pixels p ON p.tile = t.tile AND p.y >= y0 AND p.y < y1 AND p.x >= x0 AND p.x < x1 GROUP BY ALL""", "pixels")
+def w11_window_sum(pixels):
+    """Four windows of each tile, one of them empty."""
+    box = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("y0", "x0", "y1", "x1"), b, strict=True)]) for b in ((0, 0, 8, 8), (1, 2, 4, 7), (3, 0, 4, 1), (5, 5, 5, 8))])
+    windows = pixels.select("tile").distinct().select("tile", F.explode(box).alias("b")).select("tile", "b.*")
+    return Q.window_sum(Q.integral_image(pixels, "tile", "dn"), windows, "tile").select("tile", "y0", "x0", "y1", "x1", F.col("total").cast("long").alias("total"))
+
+
+@query(f'SELECT 0::BIGINT AS out_of_order, count(*) AS n FROM {GRID}', "catalog")
+def t6_order_kept(catalog):
+    return T.follows_scan_order(T.scan_order(T.padded_grid(catalog, 96, 64)))
+
+
+@query("SELECT path, row_number() OVER (ORDER BY path) - 1 AS place FROM files ORDER BY path LIMIT 20000 OFFSET 37", "files")
+def t1_ranked_slice(files):
+    """A slice that is too long for one task's least paths."""
+    return T.with_index(T.batch_slice(files, 37, 20_000), "path", "at").select("path", (F.col("at") + 37).alias("place"))
+
+
+LINES = """ax AS (SELECT o, greatest((o + 0.5::DOUBLE) * 8 / 5 - 0.5, 0) AS mid FROM (SELECT unnest(range(5)) AS o)), wg AS (SELECT o, CAST(floor(mid) AS BIGINT) AS s, 1 - (mid - floor(mid)) AS k FROM ax UNION ALL SELECT o, least(CAST(floor(mid) AS BIGINT) + 1, 7), mid - floor(mid) FROM ax)"""
+
+
+@query(f"WITH {LINES} SELECT tile, a.o * 5 + b.o AS i, round(sum(a.k * b.k * dn), 3) AS v FROM pixels JOIN wg a ON y = a.s JOIN wg b ON x = b.s GROUP BY ALL", "pixels", of=("blocks",))
+def r2_resize_uneven(blocks):
+    """8 x 8 pixels to 5 x 5."""
+    tiles = blocks.select("image_id", F.lit(0).cast("long").alias("window_id"), "h", "w", "channels", "dtype", "pixels")
+    return _values(W.resize_tiles(tiles, 5, 5)).withColumn("v", F.round("v", 3))
+
+
+def _warp_sql(weight):
+    axis = f"SELECT o, s, {weight} AS k, CAST(floor(c) = s AS INTEGER) AS near FROM (SELECT o, s, (o + 0.5::DOUBLE) * 1.37 AS c FROM (SELECT unnest(range(5)) AS o), (SELECT unnest(range(8)) AS s))"
+    return f"""WITH wg AS ({axis}) SELECT tile, a.o * 5 + b.o AS i, CAST(CASE WHEN {{there}} AND sum(a.k * b.k) FILTER (dn <> 0) > 1e-9 THEN least(255, greatest(0, round_even(sum(a.k * b.k * dn) / sum(a.k * b.k) FILTER (dn <> 0), 0))) ELSE 0 END AS DOUBLE) AS v
+    FROM pixels JOIN wg a ON y = a.s JOIN wg b ON x = b.s GROUP BY ALL"""
+
+
+NEAR = "coalesce(max(a.near * b.near) FILTER (dn <> 0), 0) > 0"
+BILINEAR = _warp_sql("greatest(0, 1 - abs(s + 0.5::DOUBLE - c) / 1.37)").replace("{there}", NEAR)
+AVERAGE = _warp_sql("greatest(0, least(s + 1, c + 0.685) - greatest(s, c - 0.685))").replace("{there}", "true")
+CUBIC = _warp_sql("CASE WHEN abs(s + 0.5::DOUBLE - c) / 1.37 < 1 THEN 1.5 * (abs(s + 0.5::DOUBLE - c) / 1.37) ** 3 - 2.5 * (abs(s + 0.5::DOUBLE - c) / 1.37) ** 2 + 1 WHEN abs(s + 0.5::DOUBLE - c) / 1.37 < 2 THEN -0.5 * (abs(s + 0.5::DOUBLE - c) / 1.37) ** 3 + 2.5 * (abs(s + 0.5::DOUBLE - c) / 1.37) ** 2 - 4 * (abs(s + 0.5::DOUBLE - c) / 1.37) + 2 ELSE 0 END").replace("{there}", NEAR)
+
+
+def _warped(blocks, how):
+    """8 x 8 pixels to 5 x 5 that are 1.37 times as wide."""
+    source = {"left": 0.0, "top": 0.0, "xres": 1.0, "yres": 1.0, "height": 8, "width": 8}
+    size = [F.lit(n).cast("long").alias(c) for c, n in (("window_id", 0), ("row", 0), ("col", 0), ("h", 5), ("w", 5))]
+    return _values(W.warp_to_grid(blocks, blocks.select("image_id", *size), source, {"left": 0.0, "top": 0.0, "xres": 1.37, "yres": 1.37}, 8, how))
+
+
+@query(BILINEAR, "pixels", of=("blocks",))
+def r3_warp_bilinear(blocks):
+    return _warped(blocks, "bilinear")
+
+
+@query(AVERAGE, "pixels", of=("blocks",))
+def r3_warp_average(blocks):
+    return _warped(blocks, "average")
+
+
+@query(CUBIC, "pixels", of=("blocks",))
+def r3_warp_cubic(blocks):
+    return _warped(blocks, "cubic")
+
+
+@query(f"""WITH wt AS {WEIGHTS}, a AS (SELECT t.tile, t.y, t.x, sum(k * p.dn) AS g FROM (SELECT tile, y, x, k, CASE WHEN y + o < 0 THEN -(y + o) - 1 WHEN y + o > 7 THEN 15 - y - o ELSE y + o END AS ny FROM pixels, wt) t JOIN pixels p ON p.tile = t.tile AND p.y = ny AND p.x = t.x GROUP BY ALL)
+SELECT t.tile, t.y * 8 + t.x AS i, round(sum(k * a.g), 4) AS v FROM (SELECT tile, y, x, k, CASE WHEN x + o < 0 THEN -(x + o) - 1 WHEN x + o > 7 THEN 15 - x - o ELSE x + o END AS nx FROM pixels, wt) t JOIN a ON a.tile = t.tile AND a.x = nx AND a.y = t.y GROUP BY ALL""", "pixels", of=("blocks",))
+def r4_gaussian_smooth(blocks):
+    tiles = blocks.select("image_id", F.lit(0).cast("long").alias("window_id"), "h", "w", "channels", "dtype", "pixels")
+    return _values(W.gaussian_smooth(tiles, 1.0)).withColumn("v", F.round("v", 4))
+
+
+PHASE = """pr AS (SELECT a.tile, a.y, a.x, a.dn AS r, b.dn AS m FROM pixels a JOIN pixels b ON b.tile = a.tile + 1 AND b.y = a.y AND b.x = a.x WHERE a.tile % 2 = 0),
+cn AS (SELECT tile, y, x, (0.5 - 0.5 * cos(2 * pi() * y / 7)) * (0.5 - 0.5 * cos(2 * pi() * x / 7)) * (r - avg(r) OVER (PARTITION BY tile)) AS r, (0.5 - 0.5 * cos(2 * pi() * y / 7)) * (0.5 - 0.5 * cos(2 * pi() * x / 7)) * (m - avg(m) OVER (PARTITION BY tile)) AS m FROM pr),
+fq AS (SELECT tile, u, v, sum(r * cos(2 * pi() * (u * y + v * x) / 8)) AS rr, -sum(r * sin(2 * pi() * (u * y + v * x) / 8)) AS ri, sum(m * cos(2 * pi() * (u * y + v * x) / 8)) AS mr, -sum(m * sin(2 * pi() * (u * y + v * x) / 8)) AS mi FROM cn, (SELECT unnest(range(8)) AS u), (SELECT unnest(range(8)) AS v) GROUP BY ALL),
+cp AS (SELECT u, v, rr * mr + ri * mi AS re, ri * mr - rr * mi AS im FROM fq), sm AS (SELECT u, v, avg(re / (sqrt(re * re + im * im) + 1e-8)) AS re, avg(im / (sqrt(re * re + im * im) + 1e-8)) AS im FROM cp GROUP BY u, v),
+sf AS (SELECT dy, dx, sum(re * cos(2 * pi() * (u * dy + v * dx) / 8) - im * sin(2 * pi() * (u * dy + v * dx) / 8)) / 64 AS value FROM sm, (SELECT unnest(range(-4, 4)) AS dy), (SELECT unnest(range(-4, 4)) AS dx) GROUP BY dy, dx)"""
+
+
+def _stack(pixels):
+    tiles = pixels.groupBy("tile").agg(F.transform(F.array_sort(F.collect_list(F.struct("y", "x", "dn"))), lambda s: s["dn"].cast("double")).alias("v"))
+    ref = tiles.filter("tile % 2 = 0").select("tile", F.col("v").alias("ref"))
+    return W.stacked_surface(ref.join(tiles.select((F.col("tile") - 1).alias("tile"), F.col("v").alias("mov")), "tile"), 8, 8)
+
+
+@query(f"WITH {PHASE} SELECT dy, dx, round(value, 6) AS value, (SELECT count(DISTINCT tile) FROM pr) AS n FROM sf", "pixels")
+def r5_stacked_surface(pixels):
+    """Phase correlation of each even tile with the next one, summed over all."""
+    return _stack(pixels).withColumn("value", F.round("value", 6))
+
+
+@query(f"""WITH {PHASE}, nr AS (SELECT * FROM sf WHERE abs(dy) <= 2 AND abs(dx) <= 2), bt AS (SELECT dy AS py, dx AS px, value AS t FROM nr ORDER BY value DESC, dy, dx LIMIT 1),
+nb AS (SELECT max(value) FILTER (dy = py - 1 AND dx = px) AS u, max(value) FILTER (dy = py + 1 AND dx = px) AS d, max(value) FILTER (dx = px - 1 AND dy = py) AS l, max(value) FILTER (dx = px + 1 AND dy = py) AS r FROM sf, bt)
+SELECT round(py + (u - d) / (2 * (u + d - 2 * t)), 5) AS dy, round(px + (l - r) / (2 * (l + r - 2 * t)), 5) AS dx, round((t - (SELECT avg(value) FROM nr)) / ((SELECT stddev_pop(value) FROM nr) + 1e-12), 4) AS snr, (SELECT count(DISTINCT tile) FROM pr) AS n FROM bt, nb""", "pixels")
+def r5_coherent_stack(pixels):
+    found = R.refined_peak(_stack(pixels), "value", 2)
+    return found.select(F.round("dy", 5).alias("dy"), F.round("dx", 5).alias("dx"), F.round("snr", 4).alias("snr"), "n")
+
+
+MEANS = """m AS (SELECT target, d, avg(logits[d + 1]) AS mu FROM logits, (SELECT unnest(range(64)) AS d) GROUP BY target, d), c AS (SELECT l.vec_id, l.target, m.d, l.logits[m.d + 1] - m.mu AS x FROM logits l JOIN m ON m.target = l.target)"""
+
+
+@query(f"WITH {MEANS} SELECT target, 64 AS n_dims, 0.0::DOUBLE AS residual, round(any_value(total), 6) AS norm FROM (SELECT target, sum(mu) OVER (PARTITION BY target) AS total FROM m) GROUP BY target", "logits")
+def a21_class_precisions(logits):
+    """The precision times the pooled covariance is the unit matrix; means add up."""
+    fitted = fit_class_gaussians(logits, "target", "logits")
+    moments = class_moments(logits, "target", "logits")
+    pooled = moments.select(F.posexplode("scatter").alias("at", "v"), "n").groupBy("at").agg(F.sum("v").alias("v"), F.sum("n").alias("n"))
+    cov = pooled.select(F.floor(F.col("at") / 64).alias("k"), (F.col("at") % 64).alias("j"), (F.col("v") / (F.col("n") - 1) + F.when(F.col("at") % 65 == 0, 1e-6).otherwise(0.0)).alias("s"))
+    p = fitted.select("target", F.posexplode("precision").alias("at", "p")).select("target", F.floor(F.col("at") / 64).alias("i"), (F.col("at") % 64).alias("k"), "p")
+    unit = p.join(cov, "k").groupBy("target", "i", "j").agg(F.sum(F.col("p") * F.col("s")).alias("u"))
+    gap = unit.groupBy("target").agg(F.sqrt(F.count(F.lit(1))).cast("int").alias("n_dims"), F.round(F.max(F.abs(F.col("u") - (F.col("i") == F.col("j")).cast("double"))), 5).alias("residual"))
+    total = fitted.select("target", F.round(F.aggregate("mean", F.lit(0.0), lambda a, x: a + x), 6).alias("norm"))
+    return gap.join(total, "target")
+
+
+@query(f"""WITH {MEANS}, q AS (SELECT a.target, a.d, b.d AS e, sum(a.x * b.x) / greatest(1, count(*) - 1) AS v FROM c a JOIN c b ON a.vec_id = b.vec_id AND a.target = b.target GROUP BY ALL)
+SELECT target, round(sum(v) FILTER (d = e), 4) AS total, round(sum(v * v), 2) AS squares, 0.0::DOUBLE AS off_unit FROM q GROUP BY target""", "logits")
+def a23_component_totals(logits):
+    """All components of a class: their variances add up to the total variance,
+    their squares to those of the covariances, and directions have length 1."""
+    pca = fit_class_pca(logits, "target", "logits", 64)
+    length = F.sqrt(F.aggregate("direction", F.lit(0.0), lambda a, x: a + x * x))
+    return pca.groupBy("target").agg(
+        F.round(F.sum("eigenvalue"), 4).alias("total"), F.round(F.sum(F.col("eigenvalue") * F.col("eigenvalue")), 2).alias("squares"), F.round(F.max(F.abs(length - 1)), 6).alias("off_unit")
+    )
+
+
+@query(f"WITH {MEANS} SELECT vec_id, target, round(sum(x * x), 4) AS squares FROM c WHERE target <> 255 GROUP BY ALL", "logits")
+def f13_projection_lengths(logits):
+    """Scores on all directions, freed of their scale: a row's squared distance
+    from its class mean."""
+    known = logits.filter("target <> 255")
+    pca = stored(fit_class_pca(known, "target", "logits", 64), "components")
+    scale = pca.select("target", "component", F.aggregate("direction", F.lit(0.0), lambda a, x: a + x).alias("scale"))
+    scores = project_components(known, pca, "target", "logits").join(scale, ["target", "component"])
+    part = F.col("score") / F.col("scale")
+    return scores.groupBy("vec_id", "target").agg(F.round(F.sum(part * part), 4).alias("squares"))
+
+
+@query(f"""WITH {MEANS}, z AS (SELECT l.vec_id, m.target AS k, sqrt(sum((l.logits[m.d + 1] - mu) ** 2 / (m.d + 1)) + 0.01 * sum(l.logits[m.d + 1] - mu) ** 2) AS dist FROM logits l, m GROUP BY ALL)
+SELECT vec_id, round(min(dist), 6) AS score, round(least(1, min(dist) / 5.0), 6) AS unit, round(least(1, min(dist)), 6) AS without FROM z GROUP BY vec_id""", "logits")
+def f12_given_precision(logits):
+    """Distances to class means under a known precision: raw, over a reference of 5,
+    and with none."""
+    moments = class_moments(logits, "target", "logits")
+    at = F.sequence(F.lit(0), F.lit(64 * 64 - 1))
+    known = F.transform(at, lambda i: F.when(i % 65 == 0, 1 / (F.floor(i / 64) + 1)).otherwise(0.0) + 0.01)
+    stats = moments.select("target", "mean", known.alias("precision"))
+    raw = mahalanobis_score(logits, stats, "logits").withColumnRenamed("score", "raw")
+    unit = mahalanobis_score(raw, stats, "logits", 5.0, True).withColumnRenamed("score", "unit")
+    return mahalanobis_score(unit, stats, "logits", None, True).select("vec_id", F.round("raw", 6).alias("score"), F.round("unit", 6).alias("unit"), F.round("score", 6).alias("without"))

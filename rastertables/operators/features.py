@@ -9,6 +9,9 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+#: Heads (one short row each) that are sent to every task.
+MOST_HEADS = 10_000
+
 
 def pooled_features(rows: DataFrame, crop: str, features: str) -> DataFrame:
     """Mean of each feature over a crop, as (crop, dim, mean)."""
@@ -17,7 +20,7 @@ def pooled_features(rows: DataFrame, crop: str, features: str) -> DataFrame:
 
 def class_embedding(pooled: DataFrame, weights: DataFrame) -> DataFrame:
     """psi = w * mean for each class of ``weights`` (class_id, dim, w)."""
-    return pooled.join(F.broadcast(weights), "dim").withColumn("psi", F.col("w") * F.col("mean"))
+    return pooled.join(weights, "dim").withColumn("psi", F.col("w") * F.col("mean"))
 
 
 def class_moments(rows: DataFrame, label: str, features: str) -> DataFrame:
@@ -59,9 +62,12 @@ def fit_class_gaussians(rows: DataFrame, label: str, features: str, shared: bool
     return rows.sparkSession.createDataFrame([(c.item() if hasattr(c, "item") else c, list(m), p) for c, m, p in zip(fitted[label], fitted["mean"], precision, strict=True)], f"{label} {dict(rows.dtypes)[label]}, mean array<double>, precision array<double>")
 
 
-def mahalanobis_score(rows: DataFrame, stats: DataFrame, features: str, reference: float | None = None) -> DataFrame:
-    """``rows`` with the least distance to any class."""
-    fitted = stats.toPandas()
+def mahalanobis_score(rows: DataFrame, stats: DataFrame, features: str, reference: float | None = None, normalise: bool | None = None) -> DataFrame:
+    """``rows`` with the least distance to any class; with ``normalise`` (where it
+    is not given, with a reference) divided by the reference distance (1 where it is
+    missing or 0) and clipped to 0..1."""
+    normalise = reference is not None if normalise is None else normalise
+    fitted = stats.toPandas()  # F x F per class
     means = np.stack(fitted["mean"].to_numpy())
     precision = np.stack(fitted["precision"].to_numpy()).reshape(len(means), means.shape[1], means.shape[1])
 
@@ -71,7 +77,7 @@ def mahalanobis_score(rows: DataFrame, stats: DataFrame, features: str, referenc
         if x.shape[1] != means.shape[1]:
             raise ValueError(f"expected {means.shape[1]} features, got {x.shape[1]}")
         d = np.min([np.sqrt(np.maximum(0, np.einsum("nf,fg,ng->n", x - m, p, x - m))) for m, p in zip(means, precision, strict=True)], axis=0)
-        return pd.Series(d if reference is None else np.clip(d / max(reference, 1e-8), 0, 1))
+        return pd.Series(np.clip(d / max(reference or 1.0, 1e-8), 0, 1) if normalise else d)
 
     return rows.withColumn("score", score(features))
 
@@ -89,12 +95,24 @@ def fit_class_pca(rows: DataFrame, label: str, features: str, n_components: int
 
 def project_components(rows: DataFrame, pca: DataFrame, label: str, features: str) -> DataFrame:
     """((psi - mean) . v) * sum(v) per component: the same for v and -v."""
-    both = rows.join(F.broadcast(pca.drop("n")), label)
+    both = rows.join(pca.drop("n"), label)
     dot = F.aggregate(F.zip_with(F.zip_with(features, "mean", lambda x, m: x - m), "direction", lambda x, v: x * v), F.lit(0.0), lambda a, x: a + x)
     return both.withColumn("score", dot * F.aggregate("direction", F.lit(0.0), lambda a, x: a + x)).drop("mean", "direction", "eigenvalue")
 
 
-def linear_logits(rows: DataFrame, weights: DataFrame, features: str) -> DataFrame:
-    """Class scores f . w + b; ``weights`` (class_id, w array, b) is small."""
+def linear_logits(rows: DataFrame, weights: DataFrame, features: str, classes: list[int] | None = None) -> DataFrame:
+    """Class scores f . w + b of the heads (class_id, w array, b), which are one
+    row a class, numbered from 0.  ``classes`` chooses some; an id that no head has
+    is an error."""
+    n, low, high = weights.agg(F.count(F.lit(1)), F.min("class_id"), F.max("class_id")).first()
+    if n and (low != 0 or high != n - 1):
+        raise ValueError(f"{n} heads must have the class ids 0 to {n - 1}, not {low} to {high}")
+    if classes is not None:
+        wrong = [c for c in classes if not 0 <= c < n]
+        if wrong:
+            raise ValueError(f"class ids {wrong} are outside 0 to {n - 1}")
+        weights = weights.filter(F.col("class_id").isin(classes))
+    if n > MOST_HEADS:
+        raise ValueError(f"{n} heads are too many to send to every task")
     dot = F.aggregate(F.zip_with(features, "w", lambda x, w: x.cast("double") * w), F.lit(0.0), lambda a, x: a + x)
     return rows.crossJoin(F.broadcast(weights)).withColumn("logit", dot + F.col("b")).drop("w", "b")

@@ -48,6 +48,11 @@ def masked_loss(rows: DataFrame, batch: str, kind: str = "l1") -> DataFrame:
     return rows.groupBy(batch).agg((F.sum(F.when(F.col("mask"), loss).otherwise(0.0)) / F.greatest(F.count_if("mask"), F.lit(1))).alias("loss"))
 
 
+def weighted_loss(losses: DataFrame, size: str = "n") -> DataFrame:
+    """One row: the loss of a set, each batch weighted by its samples."""
+    return losses.agg((F.sum(F.col("loss") * F.col(size)) / F.sum(size)).alias("loss"))
+
+
 def class_presence(rows: DataFrame, crop: str, label: str, ignore: int = 255, least: float = 0.05) -> DataFrame:
     valid = rows.filter(F.col(label) != ignore)
     total = valid.groupBy(crop).agg(F.count(F.lit(1)).alias("total"))
@@ -66,11 +71,55 @@ def top_k_gallery(scores: DataFrame, groups: list[str], key: str, k: int = 6) ->
 
 
 def feature_distance(a: DataFrame, b: DataFrame, key: str, normalise: bool = False) -> DataFrame:
-    """Mean squared difference of two feature tables (key, f)."""
-    unit = lambda f: F.transform(f, lambda x: x / F.sqrt(F.aggregate(f, F.lit(0.0), lambda s, y: s + y * y))) if normalise else f
-    both = a.select(key, unit(F.col("f")).alias("fa")).join(b.select(key, unit(F.col("f")).alias("fb")), key)
+    """Mean squared difference of two feature tables (key, f); with ``normalise``
+    each vector is divided by its length first."""
+    length = lambda f: F.greatest(F.sqrt(F.aggregate(f, F.lit(0.0), lambda s, y: s + y * y)), F.lit(1e-12))
+    unit = lambda d, out: d.withColumn("__l", length(F.col("f"))).select(key, F.transform("f", lambda x: x / F.col("__l")).alias(out)) if normalise else d.select(key, F.col("f").alias(out))
+    both = unit(a, "fa").join(unit(b, "fb"), key)
     return both.agg(F.avg(F.aggregate(F.zip_with("fa", "fb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) / F.size("fa")).alias("distance"))
 
 
-def reference_distance(scores: DataFrame, value: str, q: float = 0.95) -> DataFrame:
-    return scores.agg(F.percentile(value, q).alias("reference"))
+def weighted_feature_distance(a: DataFrame, b: DataFrame, key: str, level: str, weights: dict, normalise: bool = False) -> DataFrame:
+    """level, distance of feature tables with several levels, and (level null) the
+    sum of the levels' distances times their ``weights``; other levels are left out."""
+    length = lambda f: F.greatest(F.sqrt(F.aggregate(f, F.lit(0.0), lambda s, y: s + y * y)), F.lit(1e-12))
+
+    def unit(d: DataFrame, out: str) -> DataFrame:
+        d = d.filter(F.col(level).isin(list(weights))).withColumn("__l", length(F.col("f")) if normalise else F.lit(1.0))
+        return d.select(key, level, F.transform("f", lambda x: x / F.col("__l")).alias(out))
+
+    both = unit(a, "fa").join(unit(b, "fb"), [key, level])
+    gap = F.aggregate(F.zip_with("fa", "fb", lambda x, y: (x - y) * (x - y)), F.lit(0.0), lambda s, x: s + x) / F.size("fa")
+    each = both.groupBy(level).agg(F.avg(gap).alias("distance"))
+    weight = F.lit(None).cast("double")
+    for name, w in weights.items():
+        weight = F.when(F.col(level) == name, F.lit(float(w))).otherwise(weight)
+    total = each.agg(F.lit(None).cast(dict(a.dtypes)[level]).alias(level), F.sum(F.col("distance") * weight).alias("distance"))
+    return each.unionByName(total)
+
+
+def reference_distance(scores: DataFrame, value: str, q: float = 0.95, bins: int = 4096) -> DataFrame:
+    """One row: the exact, linearly interpolated quantile ``q``.
+
+    Three passes: the range, a histogram of ``bins`` cells, and the values of the
+    one or two cells that hold the two order statistics around the quantile; only
+    these are sorted."""
+    rows = scores.select(F.col(value).cast("double").alias("v")).filter("v IS NOT NULL")
+    low, high, n = rows.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    if not n or low == high:
+        return rows.agg(F.max("v").alias("reference"))
+    cell = F.least(F.floor((F.col("v") - F.lit(low)) / F.lit((high - low) / bins)), F.lit(bins - 1)).cast("int")
+    celled = rows.withColumn("cell", cell)
+    counts = dict(celled.groupBy("cell").count().collect())  # at most ``bins`` rows
+    at = q * (n - 1)
+    before, wanted, ahead = 0, [], None
+    for c in sorted(counts):
+        if before <= int(at) + 1 and before + counts[c] > int(at):
+            wanted.append(c)
+            ahead = before if ahead is None else ahead
+        before += counts[c]
+    some = celled.filter(F.col("cell").isin(wanted))
+    ordered = some.groupBy("v").agg(F.count(F.lit(1)).alias("n"))
+    upto = ordered.withColumn("upto", F.lit(ahead) + F.sum("n").over(Window.orderBy("v")))
+    left, right = F.min(F.when(F.col("upto") > int(at), F.col("v"))), F.min(F.when(F.col("upto") > min(int(at) + 1, n - 1), F.col("v")))
+    return upto.agg((left + (right - left) * F.lit(at - int(at))).alias("reference"))

@@ -2,12 +2,114 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 FLOAT_NODATA = -3.0e38
 
 
+def _invalid(a: np.ndarray) -> np.ndarray:
+    """``pixel_invalid`` of an array by its own type."""
+    if a.dtype == np.uint8:
+        return (a == 0) | (a == 255)
+    return ~np.isfinite(a) | (a <= FLOAT_NODATA) if a.dtype.kind == "f" else a == 0
+
+
+def value_counts(blocks: DataFrame, tile: str = "image_id") -> DataFrame:
+    """tile, dn, n, bad, pixels of block tables: how often a tile has each finite value,
+    and whether the value is invalid; the row with a null dn counts the pixels, and
+    as n those that are invalid in all channels.  What is shuffled is one row for each different value
+    of a block, 256 at most for 8-bit blocks, never a pixel."""
+    kind = dict(blocks.dtypes)[tile]
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            keys, dns, counts, bads, pixels = [], [], [], [], []
+            for key, raw, dtype, h, w, c in zip(batch[tile], batch["pixels"], batch["dtype"], batch["h"], batch["w"], batch["channels"], strict=True):
+                a = np.frombuffer(raw, np.dtype(dtype)).reshape(int(h), int(w), int(c))
+                if a.dtype == np.uint8:
+                    n = np.bincount(a.ravel(), minlength=256)
+                    values = np.flatnonzero(n).astype(np.uint8)
+                    n = n[values]
+                else:
+                    values, n = np.unique(a[np.isfinite(a)], return_counts=True)
+                lost = int(_invalid(a).all(axis=2).sum())
+                keys += [key] * (len(values) + 1)
+                dns += [*values.astype(float), None]
+                counts += [*n, lost]
+                bads += [*_invalid(values), True]
+                pixels += [0] * len(values) + [int(h) * int(w)]
+            yield pd.DataFrame({"tile": keys, "dn": np.array(dns, dtype=object), "n": counts, "bad": bads, "pixels": pixels})
+
+    parts = blocks.select(tile, "pixels", "dtype", "h", "w", "channels").mapInPandas(run, f"tile {kind}, dn double, n long, bad boolean, pixels long")
+    return parts.groupBy(F.col("tile").alias(tile), "dn", "bad").agg(F.sum("n").alias("n"), F.sum("pixels").alias("pixels"))
+
+
+def block_invalid_fraction(counts: DataFrame, tile: str = "image_id") -> DataFrame:
+    """``invalid_fraction`` from ``value_counts``."""
+    bad = F.sum(F.when(F.col("dn").isNull(), F.col("n")).otherwise(0))
+    return counts.groupBy(tile).agg((bad / F.sum("pixels")).alias("invalid_fraction"))
+
+
+def stretch_limits(counts: DataFrame, tile: str = "image_id", low: float = 0.01, high: float = 0.99, finite: bool = False) -> DataFrame:
+    """tile, lo, hi of ``robust_stretch`` (with ``finite`` of ``unit_range``) from
+    ``value_counts``; null where a tile has no valid value."""
+    known = F.col("dn").isNotNull() & ~F.isnan("dn") & (F.abs("dn") != float("inf"))
+    rows = counts.filter(known).withColumn("good", F.when(F.lit(finite) | ~F.col("bad"), F.col("dn")))
+    limits = rows.groupBy(tile).agg(F.percentile("good", F.array(F.lit(low), F.lit(high)), F.col("n")).alias("p"), F.min("good").alias("mn"), F.max("good").alias("mx"))
+    spread = F.col("p")[1] > F.col("p")[0]
+    return limits.select(tile, F.when(spread, F.col("p")[0]).otherwise(F.col("mn")).alias("lo"), F.when(spread, F.col("p")[1]).otherwise(F.col("mx")).alias("hi"))
+
+
+def block_std(counts: DataFrame, limits: DataFrame, tile: str = "image_id") -> DataFrame:
+    """``tile_std`` from ``value_counts`` and ``stretch_limits``."""
+    unit = 2 * F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("dn") - F.col("lo")) / (F.col("hi") - F.col("lo")))) - 1
+    rows = counts.filter("dn IS NOT NULL").join(limits, tile).withColumn("u", F.when(F.col("hi") > F.col("lo"), unit))
+    n, mean = F.sum("n"), F.sum(F.col("u") * F.col("n")) / F.sum("n")
+    var = F.sum(F.col("u") * F.col("u") * F.col("n")) / n - mean * mean
+    return rows.groupBy(tile).agg(F.when(var.isNotNull(), F.sqrt(F.greatest(var, F.lit(0.0)))).alias("std"))
+
+
+def stretch_blocks(blocks: DataFrame, limits: DataFrame, tile: str = "image_id", out: str = "uint8") -> DataFrame:
+    """Blocks with stretched pixels: ``uint8`` (rounded), ``preview`` (the first
+    three channels, truncated to uint8) or ``float32`` (unit values).  Constant and
+    empty tiles become zero."""
+    schema = blocks.schema
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            pixels, kinds, channels = [], [], []
+            for raw, dtype, h, w, c, lo, hi in zip(b["pixels"], b["dtype"], b["h"], b["w"], b["channels"], b["lo"], b["hi"], strict=True):
+                a = np.frombuffer(raw, np.dtype(dtype)).reshape(int(h), int(w), int(c)).astype(float)
+                a = a[:, :, :3] if out == "preview" else a
+                unit = np.clip((a - lo) / (hi - lo), 0, 1) if hi is not None and hi > lo else np.zeros_like(a)
+                done = {"uint8": lambda u: np.rint(np.round(u * 255, 9)).astype(np.uint8), "preview": lambda u: np.floor(u * 255).astype(np.uint8), "float32": lambda u: u.astype(np.float32)}[out](unit)
+                pixels.append(np.ascontiguousarray(done).tobytes())
+                kinds.append(done.dtype.name)
+                channels.append(done.shape[2])
+            yield b.drop(columns=["lo", "hi"]).assign(pixels=pixels, dtype=kinds, channels=channels)[schema.names]
+
+    return blocks.join(limits, tile).select(*schema.names, "lo", "hi").mapInPandas(run, schema)
+
+
+def textured_tiles(tiles: DataFrame, key: str, most_zero: float = 0.02, least_std: float = 6.0, least_edge: float = 0.015) -> DataFrame:
+    """``textured_patches`` of tiles (key, pixels and edges: bytes of equal length,
+    edges 1 on edges): one pass over the tiles and no shuffle."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            a = [np.frombuffer(p, np.uint8) for p in b["pixels"]]
+            edges = [np.frombuffer(p, np.uint8) for p in b["edges"]]
+            yield pd.DataFrame({key: b[key], "zero": [(x == 0).mean() for x in a], "std": [x.std() for x in a], "edges": [x.mean() for x in edges]})
+
+    stats = tiles.select(key, "pixels", "edges").mapInPandas(run, f"{key} {dict(tiles.dtypes)[key]}, zero double, std double, edges double")
+    return stats.filter((F.col("zero") <= most_zero) & (F.col("std") >= least_std) & (F.col("edges") >= least_edge))
+
+
 def pixel_invalid(dn: Column, dtype: str) -> Column:
     if dtype == "uint8":
         return dn.isin(0, 255)
@@ -48,7 +150,9 @@ def unit_range(pixels: DataFrame, tile: str) -> DataFrame:
 
 
 def preview_stretch(pixels: DataFrame, tile: str) -> DataFrame:
-    """8-bit preview, truncated instead of rounded."""
+    """8-bit preview of the first three channels (all pixels without a column
+    ``ch``), truncated instead of rounded."""
+    pixels = pixels.filter("ch < 3") if "ch" in pixels.columns else pixels
     out = robust_stretch(pixels, tile, dtype="float64")
     return out.withColumn("u8", F.floor(F.coalesce("unit", F.lit(0.0)) * 255).cast("int"))
 
@@ -57,6 +161,11 @@ def dequantise(u8: Column) -> Column:
     return u8 / F.lit(127.5) - 1
 
 
+def display(v: Column) -> Column:
+    """Values of -1 to 1 as 0 to 1, clipped."""
+    return F.least(F.lit(1.0), F.greatest(F.lit(0.0), (v + 1) / 2))
+
+
 def requantise(v: Column) -> Column:
     clipped = F.least(F.lit(1.0), F.greatest(F.lit(-1.0), v))
     return F.least(F.lit(255.0), F.greatest(F.lit(0.0), F.rint((clipped + 1) * 127.5))).cast("int")
@@ -79,9 +188,21 @@ def gsd_policy(catalog: DataFrame, target: float | None, tolerance: float) -> Da
     return out.withColumn("excluded", ~kept)
 
 
-def gsd_distribution(catalog: DataFrame) -> DataFrame:
+def gsd_distribution(catalog: DataFrame, error: Column | None = None) -> DataFrame:
+    """Images, excluded ones and errors (rows where ``error`` is not null) for each
+    ground sample distance of three decimals."""
     name = F.coalesce(F.format_string("%.3f", F.col("gsd")), F.lit("unknown"))
-    return catalog.groupBy(F.when(F.col("gsd").isNull(), "unknown").otherwise(name).alias("gsd_name")).agg(F.count(F.lit(1)).alias("n"), F.count_if("excluded").alias("n_excluded"))
+    failed = F.lit(False) if error is None else error.isNotNull()
+    return catalog.groupBy(F.when(F.col("gsd").isNull(), "unknown").otherwise(name).alias("gsd_name")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if("excluded").alias("n_excluded"), F.count_if(failed).alias("n_errors")
+    )
+
+
+def records_per_source(records: DataFrame, source: str) -> DataFrame:
+    """Rows of each source, and (source null, n_sources set) of all of them."""
+    each = records.groupBy(source).agg(F.count(F.lit(1)).alias("n"))
+    total = each.agg(F.lit(None).cast(dict(records.dtypes)[source]).alias(source), F.sum("n").alias("n"), F.count(source).alias("n_sources"))
+    return each.withColumn("n_sources", F.lit(None).cast("long")).unionByName(total)
 
 
 def qc_summary(decisions: DataFrame, group: str) -> DataFrame:

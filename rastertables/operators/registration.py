@@ -1,10 +1,184 @@
-"""Checks of registration: edges, shifts, separability."""
+"""Checks of registration: edges, shifts, separability.
+
+Sweeps over shifts work on block tables: each imagery block meets the labels (or
+a label block the gradient) of its own area and a halo of the largest shift, adds
+up what every shift needs in numpy, and only these sums are shuffled.
+"""
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Iterator
+
+import numpy as np
+import pandas as pd
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .windows import extract_windows, gradient, smoothed
+
+SIZE = ["image_id", "image_height", "image_width"]
+
+
+def _with_halo(blocks: DataFrame, other: DataFrame, reach: int, block: int, pad_mode: str, extra: int = 0) -> DataFrame:
+    """Every block with the pixels of ``other`` in its area, ``reach + extra``
+    pixels wider on each side (o_pixels, o_dtype, o_h, o_w).  blocks also has
+    image_height and image_width."""
+    wide = reach + extra
+    own = blocks.withColumn("window_id", F.shiftleft(F.col("y0").cast("long"), 32).bitwiseOR(F.col("x0").cast("long")))
+    windows = own.select(
+        "image_id", "window_id", (F.col("y0") - wide).cast("long").alias("top"), (F.col("x0") - wide).cast("long").alias("left"),
+        (F.col("h") + 2 * wide).cast("long").alias("height"), (F.col("w") + 2 * wide).cast("long").alias("width"),
+        F.col("image_height").cast("long").alias("image_height"), F.col("image_width").cast("long").alias("image_width"),
+    )
+    cut = extract_windows(other, windows, block, pad_mode, 0)
+    cut = cut.select("image_id", "window_id", F.col("pixels").alias("o_pixels"), F.col("dtype").alias("o_dtype"), F.col("h").alias("o_h"), F.col("w").alias("o_w"))
+    return own.join(cut, ["image_id", "window_id"])
+
+
+def _plane(raw: bytes, dtype: str, h: int, w: int) -> np.ndarray:
+    return np.frombuffer(raw, np.dtype(dtype)).reshape(int(h), int(w), -1)[:, :, 0]
+
+
+def shift_sums(imagery: DataFrame, labels: DataFrame, shifts: list[tuple[int, int]], block: int, ds: int = 1, margin: int = 0, valid: bool = True) -> DataFrame:
+    """image_id, dy, dx, class_id, n, s, ss: over imagery pixels on the grid of
+    every ``ds`` pixels, ``margin`` grid steps inside the image, the count, sum and
+    sum of squares of DN for each class of the label (dy, dx) grid steps away;
+    with ``valid`` only where both DN and class are above 0."""
+    reach = max((max(abs(y), abs(x)) for y, x in shifts), default=0) * ds
+    joined = _with_halo(imagery, labels, reach, block, "constant")
+    kind = dict(imagery.dtypes)["image_id"]
+
+    def sums(r) -> pd.DataFrame:
+        a = _plane(r.pixels, r.dtype, r.h, r.w).astype(np.int64)
+        b = _plane(r.o_pixels, r.o_dtype, r.o_h, r.o_w).astype(np.int64)
+        # Rows and columns on the grid and inside the margin, as places in the block.
+        place = lambda first, n, full: np.array([i for i in range(n) if (first + i) % ds == 0 and margin <= (first + i) // ds < -(-full // ds) - margin], dtype=int)
+        ys, xs = place(int(r.y0), int(r.h), int(r.image_height)), place(int(r.x0), int(r.w), int(r.image_width))
+        rows = []
+        for dy, dx in shifts:
+            y, x = ys + int(r.y0) + dy * ds, xs + int(r.x0) + dx * ds
+            y_in, x_in = (y >= 0) & (y < r.image_height), (x >= 0) & (x < r.image_width)
+            dn = a[np.ix_(ys[y_in], xs[x_in])].ravel()
+            cls = b[np.ix_(ys[y_in] + reach + dy * ds, xs[x_in] + reach + dx * ds)].ravel()
+            if valid:
+                good = (dn > 0) & (cls > 0)
+                dn, cls = dn[good], cls[good]
+            n = np.bincount(cls)
+            found = np.flatnonzero(n)
+            s, ss = np.bincount(cls, dn)[found], np.bincount(cls, dn * dn)[found]
+            rows.append(pd.DataFrame({"image_id": r.image_id, "dy": dy, "dx": dx, "class_id": found, "n": n[found], "s": s.astype(np.int64), "ss": ss.astype(np.int64)}))
+        return pd.concat(rows)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [sums(r) for r in batch.itertuples(index=False)]
+            if parts:
+                yield pd.concat(parts).groupby(["image_id", "dy", "dx", "class_id"], as_index=False).sum()
+
+    parts = joined.mapInPandas(run, f"image_id {kind}, dy long, dx long, class_id long, n long, s long, ss long")
+    return parts.groupBy("image_id", "dy", "dx", "class_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
+
+
+def fisher_of_sums(sums: DataFrame, keys: list[str], least_class: int = 50, least: int = 1000) -> DataFrame:
+    """``fisher_ratio`` from ``shift_sums``."""
+    total = Window.partitionBy(*keys)
+    rows = sums.withColumn("__n", F.sum("n").over(total)).withColumn("__s", F.sum("s").over(total))
+    mean = F.col("__s") / F.col("__n")
+    between = F.when(F.col("n") >= least_class, F.col("n") * (F.col("s") / F.col("n") - mean) ** 2).otherwise(0.0)
+    out = rows.withColumn("__b", between).groupBy(*keys).agg(F.sum("n").alias("all"), F.sum("s").alias("s"), F.sum("ss").alias("ss"), F.sum("__b").alias("b"))
+    var = F.greatest((F.col("ss") - F.col("s") * F.col("s") / F.col("all")) / F.col("all"), F.lit(0.0))
+    return out.select(*keys, F.when(F.col("all") < least, 0.0).otherwise(F.col("b") / F.col("all") / (var + 1e-9)).alias("fisher"))
+
+
+def _offsets(spark: SparkSession, reach: int, step: int, ds: int) -> DataFrame:
+    """dy, dx of a sweep and the grid steps they fall on (rounded down)."""
+    one = lambda n: spark.range(-reach, reach + 1, step).select(F.col("id").alias(n), F.floor(F.col("id") / ds).alias(f"g{n}"))
+    return one("dy").crossJoin(one("dx"))
+
+
+def separability_sweep(imagery: DataFrame, labels: DataFrame, reach: int, block: int, step: int = 2, ds: int = 4, least_class: int = 50, least: int = 1000) -> DataFrame:
+    """image_id, dy, dx, fisher: how well the classes part the imagery for every
+    label shift of ``-reach`` to ``reach`` pixels, on the grid of every ``ds``
+    pixels.  Several shifts fall on one grid step."""
+    steps = sorted({o // ds for o in range(-reach, reach + 1, step)})
+    sums = shift_sums(imagery, labels, [(y, x) for y in steps for x in steps], block, ds, reach // ds + 1)
+    found = fisher_of_sums(sums, ["image_id", "dy", "dx"], least_class, least).select("image_id", F.col("dy").alias("gdy"), F.col("dx").alias("gdx"), "fisher")
+    offsets = _offsets(imagery.sparkSession, reach, step, ds)  # (2 reach / step + 1)^2 rows
+    images = imagery.select("image_id").distinct()
+    surface = images.crossJoin(F.broadcast(offsets)).join(found, ["image_id", "gdy", "gdx"], "left")
+    return surface.select("image_id", "dy", "dx", F.coalesce("fisher", F.lit(0.0)).alias("fisher"))
+
+
+def edge_sweep(imagery: DataFrame, labels: DataFrame, reach: int, block: int, least: int = 5000, sigma: float = 1.0) -> DataFrame:
+    """image_id, dy, dx, energy: the mean smoothed gradient of the imagery under
+    label edges for every shift; 0 where DN is 0.  Edges within ``reach`` of the
+    image's border are dropped; an image with fewer than ``least`` edges has none
+    but a null row."""
+    radius = int(4 * sigma + 0.5) + 1
+    sized = labels.join(imagery.select(*SIZE).distinct(), "image_id") if "image_height" not in labels.columns else labels
+    near = _with_halo(sized.select("image_id", "y0", "x0", "h", "w", "channels", "dtype", "pixels", "image_height", "image_width"), imagery, reach, block, "symmetric", radius)
+    # Its own labels, one pixel wider: an edge differs from the next pixel.
+    both = near.withColumnRenamed("o_pixels", "g_pixels").withColumnRenamed("o_dtype", "g_dtype").withColumnRenamed("o_h", "g_h").withColumnRenamed("o_w", "g_w").drop("window_id")
+    both = _with_halo(both, labels, 1, block, "constant")
+    kind = dict(labels.dtypes)["image_id"]
+
+    def sums(r) -> pd.DataFrame:
+        g = _plane(r.g_pixels, r.g_dtype, r.g_h, r.g_w)
+        energy = smoothed(gradient(g[:, :, None].astype(np.float64)), sigma)[:, :, 0]
+        energy = np.where(g == 0, 0.0, energy)[radius:-radius, radius:-radius]
+        c = _plane(r.o_pixels, r.o_dtype, r.o_h, r.o_w)
+        h, w, y0, x0 = int(r.h), int(r.w), int(r.y0), int(r.x0)
+        own, right, down = c[1 : h + 1, 1 : w + 1], c[1 : h + 1, 2 : w + 2], c[2 : h + 2, 1 : w + 1]
+        y, x = np.mgrid[y0 : y0 + h, x0 : x0 + w]
+        edge = (own > 0) & ((right != own) & (x + 1 < r.image_width) | (down != own) & (y + 1 < r.image_height))
+        edge &= (y > reach) & (y < r.image_height - reach) & (x > reach) & (x < r.image_width - reach)
+        ys, xs = np.nonzero(edge)
+        shifts = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
+        total = [float(energy[ys + reach + dy, xs + reach + dx].sum()) for dy, dx in shifts]
+        return pd.DataFrame({"image_id": r.image_id, "dy": [s[0] for s in shifts], "dx": [s[1] for s in shifts], "n": len(ys), "s": total})
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            parts = [sums(r) for r in batch.itertuples(index=False)]
+            if parts:
+                yield pd.concat(parts).groupby(["image_id", "dy", "dx"], as_index=False).sum()
+
+    parts = both.mapInPandas(run, f"image_id {kind}, dy long, dx long, n long, s double")
+    swept = parts.groupBy("image_id", "dy", "dx").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
+    enough = F.col("n") >= least
+    known = swept.filter(enough).select("image_id", "dy", "dx", (F.col("s") / F.col("n")).alias("energy"))
+    none = swept.filter(~enough).select("image_id").distinct().select("image_id", *[F.lit(None).cast(t).alias(c) for c, t in (("dy", "long"), ("dx", "long"), ("energy", "double"))])
+    return known.unionByName(none)
+
+
+def peaks(surface: DataFrame, value: str, group: str = "image_id") -> DataFrame:
+    """``surface_peak`` of every group: dy, dx, peak, zero, gain and ratio."""
+    first = F.min(F.struct((-F.col(value)).alias("v"), "dy", "dx"))
+    zero = F.max(F.when((F.col("dy") == 0) & (F.col("dx") == 0), F.col(value)))
+    out = surface.filter(F.col(value).isNotNull()).groupBy(group).agg(first.alias("b"), zero.alias("zero"))
+    out = out.select(group, F.col("b.dy").alias("dy"), F.col("b.dx").alias("dx"), (-F.col("b.v")).alias("peak"), "zero")
+    out = out.withColumn("gain", F.when(F.col("zero") > 0, F.col("peak") / F.col("zero") - 1).otherwise(0.0))
+    return out.withColumn("ratio", F.col("peak") / (F.col("zero") + 1e-9))
+
+
+def refined_peak(surface: DataFrame, value: str, reach: int) -> DataFrame:
+    """One row of a surface (dy, dx, value, n) of all shifts of a patch: the peak
+    within ``reach``, moved to the top of the parabola through its neighbours, its
+    height above the mean in standard deviations (snr), and n; no row without one."""
+    near = surface.filter((F.abs("dy") <= reach) & (F.abs("dx") <= reach))
+    best = near.orderBy(F.desc(value), "dy", "dx").limit(1).select(F.col("dy").alias("py"), F.col("dx").alias("px"), F.col(value).alias("top"), "n")
+    facts = near.agg(F.avg(value).alias("mean"), F.stddev_pop(value).alias("std"))
+    at = lambda y, x: F.max(F.when((F.col("dy") == F.col("py") + y) & (F.col("dx") == F.col("px") + x), F.col(value)))
+    beside = surface.crossJoin(F.broadcast(best)).agg(at(-1, 0).alias("up"), at(1, 0).alias("down"), at(0, -1).alias("left"), at(0, 1).alias("right"))
+
+    def moved(p: str, low: str, high: str) -> Column:
+        bend = F.col(low) + F.col(high) - 2 * F.col("top")
+        part = F.when(F.abs(bend) >= 1e-12, (F.col(low) - F.col(high)) / (2 * bend))
+        return F.col(p) + F.coalesce(part, F.lit(0.0))
+
+    row = best.crossJoin(F.broadcast(facts)).crossJoin(F.broadcast(beside))
+    return row.select(moved("py", "up", "down").alias("dy"), moved("px", "left", "right").alias("dx"), ((F.col("top") - F.col("mean")) / (F.col("std") + 1e-12)).alias("snr"), "n")
+
 
 def label_edges(labels: DataFrame, image: str) -> DataFrame:
     """Whether a labelled pixel differs from its right or lower neighbour."""
@@ -15,10 +189,16 @@ def label_edges(labels: DataFrame, image: str) -> DataFrame:
     return out.withColumn("edge", edge).drop("__r", "__d")
 
 
+def _few(shifts: DataFrame, most: int = 10_000) -> DataFrame:
+    if shifts.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} shifts: use the sweeps over blocks")
+    return shifts
+
+
 def shift_join(imagery: DataFrame, labels: DataFrame, shifts: DataFrame, image: str) -> DataFrame:
     """Every imagery pixel with the label displaced by each (dy, dx) of the
     small table of shifts."""
-    moved = imagery.crossJoin(F.broadcast(shifts)).withColumn("ly", F.col("y") + F.col("dy")).withColumn("lx", F.col("x") + F.col("dx"))
+    moved = imagery.crossJoin(F.broadcast(_few(shifts))).withColumn("ly", F.col("y") + F.col("dy")).withColumn("lx", F.col("x") + F.col("dx"))
     own = labels.select(image, F.col("y").alias("ly"), F.col("x").alias("lx"), "class_id")
     return moved.join(own, [image, "ly", "lx"])
 
@@ -36,7 +216,7 @@ def fisher_ratio(pairs: DataFrame, keys: list[str], least_class: int = 50, least
 
 def edge_energy(edges: DataFrame, gradient: DataFrame, shifts: DataFrame, image: str) -> DataFrame:
     """Mean gradient under label-edge pixels for every shift."""
-    moved = edges.filter("edge").crossJoin(F.broadcast(shifts)).select(image, "dy", "dx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
+    moved = edges.filter("edge").crossJoin(F.broadcast(_few(shifts))).select(image, "dy", "dx", (F.col("y") + F.col("dy")).alias("y"), (F.col("x") + F.col("dx")).alias("x"))
     return moved.join(gradient, [image, "y", "x"]).groupBy("dy", "dx").agg(F.avg("g").alias("energy"))
 
 
@@ -48,8 +228,11 @@ def surface_peak(surface: DataFrame, value: str) -> DataFrame:
 
 
 def registration_report(sweep: DataFrame, ratio: float = 1.05, gain: float = 0.10, res: float = 1.0) -> DataFrame:
-    """Whether the registration can be resolved, and the residual shift."""
+    """Whether the registration can be resolved, and the residual shift, for each
+    row of ``peaks`` (best_dy, best_dx, peak, zero, gain; other columns stay)."""
     found = F.coalesce((F.col("peak") / (F.col("zero") + 1e-9) > ratio) | (F.col("gain") > gain), F.lit(False))
     shift = lambda c: F.when(F.col("resolvable"), F.col(c)).otherwise(0)
     px = F.sqrt((F.col("best_dy") * F.col("best_dy") + F.col("best_dx") * F.col("best_dx")).cast("double"))
-    return sweep.withColumn("resolvable", found).select("resolvable", shift("dy").alias("best_dy"), shift("dx").alias("best_dx")).withColumn("residual_px", px).withColumn("residual_m", px * res)
+    rest = [c for c in sweep.columns if c not in ("best_dy", "best_dx", "peak", "zero", "gain", "ratio")]
+    out = sweep.withColumn("resolvable", found).select(*rest, "resolvable", shift("best_dy").alias("best_dy"), shift("best_dx").alias("best_dx"))
+    return out.withColumn("residual_px", px).withColumn("residual_m", px * res)

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
 from .tiling import seeded_order
 
 
@@ -65,17 +66,33 @@ def sample_per_group(df: DataFrame, groups: list[str], key: str, most: int, seed
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*groups).orderBy(order, key))).filter(F.col("__n") <= most).drop("__n")
 
 
+def running_before(df: DataFrame, group: str, order: str, amount: Column, out: str, name: str = "running") -> DataFrame:
+    """``df`` with the sum of ``amount`` over the rows before it in its group, by
+    ``order``.  Rows are range-partitioned by (group, order) and stored; sums are
+    taken within a partition and shifted by those of the partitions before, so a
+    group with most of the rows is spread over many tasks."""
+    keys = [F.col(group).asc_nulls_first(), F.col(order).asc_nulls_first()]
+    ranged = df.withColumn("__v", amount.cast("long")).repartitionByRange(*keys).withColumn("__p", F.spark_partition_id())
+    ranged = stored(ranged, name)
+    sums = ranged.groupBy(group, "__p").agg(F.sum("__v").alias("__s"))  # one row for each group and partition
+    ahead = Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(group).alias("__g"), F.col("__p").alias("__q"), F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__b"))
+    within = F.sum("__v").over(Window.partitionBy("__p", group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    both = ranged.withColumn("__w", F.coalesce(within, F.lit(0))).join(sums, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
+    return both.withColumn(out, F.col("__b") + F.col("__w")).drop("__v", "__p", "__q", "__g", "__b", "__w")
+
+
 def cap_class_total(samples: DataFrame, cls: str, crop: str, most: int) -> DataFrame:
     """Crops in order contribute to a class while its total before is below ``most``."""
     counts = samples.groupBy(cls, crop).agg(F.count(F.lit(1)).alias("n"))
-    before = F.sum("n").over(Window.partitionBy(cls).orderBy(crop).rowsBetween(Window.unboundedPreceding, -1))
-    return counts.withColumn("before", F.coalesce(before, F.lit(0))).filter(F.col("before") < most)
+    return running_before(counts, cls, crop, F.col("n"), "before", "class-totals").filter(F.col("before") < most)
 
 
 def first_n_with_minimum(df: DataFrame, cls: str, order: str, least: int, most: int) -> DataFrame:
-    w = Window.partitionBy(cls)
-    out = df.withColumn("__c", F.count(F.lit(1)).over(w)).withColumn("__n", F.row_number().over(w.orderBy(order)))
-    return out.filter((F.col("__c") >= least) & (F.col("__n") <= most)).drop("__c", "__n")
+    """The first ``most`` rows of each class that has ``least``."""
+    enough = df.groupBy(cls).agg(F.count(F.lit(1)).alias("__c")).filter(F.col("__c") >= least).select(F.col(cls).alias("__k"))
+    out = running_before(df, cls, order, F.lit(1), "__n", "class-ranks").filter(F.col("__n") < most)
+    return out.join(enough, F.col(cls).eqNullSafe(F.col("__k"))).drop("__n", "__k")
 
 
 def epoch_plan(ids: DataFrame, key: str, seed: int, epoch: int, batch: int, drop_last: bool, consumed: int) -> DataFrame:
@@ -96,7 +113,8 @@ def exact_ratio_mask(crops: DataFrame, key: str, gh: int, gw: int, ratio: float,
 
 
 def random_mask(crops: DataFrame, key: str, size: int, unit: int, ratio: float, seed: str) -> DataFrame:
-    """Units of each crop, each masked with probability ``ratio``."""
+    """Units of each crop, each masked with probability ``ratio``; ``mask_pixels``
+    expands them."""
     if size % unit:
         raise ValueError("the unit must divide the size")
     cells = crops.select(key, F.explode(F.sequence(F.lit(0), F.lit((size // unit) ** 2 - 1))).alias("cell"))
@@ -104,6 +122,15 @@ def random_mask(crops: DataFrame, key: str, size: int, unit: int, ratio: float,
     return cells.withColumn("masked", draw < ratio)
 
 
+def mask_pixels(cells: DataFrame, size: int, unit: int) -> DataFrame:
+    """The pixels (y, x) of units (cell: their number in row order)."""
+    each = F.explode(F.sequence(F.lit(0), F.lit(unit * unit - 1))).alias("__i")
+    wide = size // unit
+    y = F.floor(F.col("cell") / wide) * unit + F.floor(F.col("__i") / unit)
+    x = F.col("cell") % wide * unit + F.col("__i") % unit
+    return cells.select("*", each).withColumn("y", y.cast("int")).withColumn("x", x.cast("int")).drop("__i", "cell")
+
+
 def flip_augment(pixels: DataFrame, key: str, width: int, height: int, seed: str) -> DataFrame:
     """Fair horizontal and vertical flips, one coin each for all bands of a tile."""
     coin = lambda axis: F.conv(F.substring(seeded_order(f"{seed}:{axis}", key), 1, 1), 16, 10).cast("int") < 8

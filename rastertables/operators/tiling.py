@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 
 def _starts(length: str, step: int) -> Column:
     return F.sequence(F.lit(0).cast("long"), F.greatest(F.col(length) - 1, F.lit(0)).cast("long"), F.lit(step).cast("long"))
@@ -70,6 +72,31 @@ def tile_name(stem: Column, row: Column, col: Column, y: Column, x: Column) -> C
     return F.format_string("%s_r%04d_c%04d_y%07d_x%07d.npy", stem, row, col, y, x)
 
 
+def context_name(stem: Column, row: Column, col: Column, y: Column, x: Column, output: Column | None = None) -> Column:
+    """File of a tile's context; with ``output`` of its cache of that size."""
+    if output is None:
+        return F.format_string("%s_context_r%04d_c%04d_y%07d_x%07d.npy", stem, row, col, y, x)
+    return F.format_string("%s_context_o%04d_r%04d_c%04d_y%07d_x%07d.npy", stem, output, row, col, y, x)
+
+
+def context_base_name(stem: Column, context: Column, output: Column) -> Column:
+    return F.format_string("%s_context_base_c%04d_o%04d.npy", stem, context, output)
+
+
+def preview_name(stem: Column, example: Column, row: Column, col: Column, y: Column, x: Column) -> Column:
+    return F.format_string("example_%02d_%s_r%04d_c%04d_y%07d_x%07d.png", example, stem, row, col, y, x)
+
+
+def relative_path(path: Column, root: str) -> Column:
+    """``path`` below the dataset's root; other paths stay."""
+    top = root.rstrip("/") + "/"
+    return F.when(F.startswith(path, F.lit(top)), F.substring(path, len(top) + 1, 1 << 30)).otherwise(path)
+
+
+def gallery_id(stem: Column, row: Column, col: Column) -> Column:
+    return F.format_string("%s_%d_%d", stem, col, row)
+
+
 def even_subsample(df: DataFrame, group: str, order: list[str], k: int) -> DataFrame:
     """k rows of each group spread evenly over its order; a negative k keeps all."""
     if k < 0:
@@ -99,10 +126,27 @@ def seeded_sample(df: DataFrame, key: str, n: int, seed: str) -> DataFrame:
     return df.orderBy(seeded_order(seed, key), key).limit(n)
 
 
+def with_index(rows: DataFrame, order: str | list[str], name: str = "index") -> DataFrame:
+    """A 0-based rank by ``order`` (rows that tie in it, in the order of all their
+    columns).  Rows are range-partitioned and stored, ranked within a partition
+    and shifted by the counts of those before, so no task sees all rows."""
+    order = [order] if isinstance(order, str) else order
+    keys = [*order, F.xxhash64(*rows.columns).alias("__t")]
+    ranged = rows.withColumn("__t", keys[-1]).repartitionByRange(*order, "__t").withColumn("__p", F.spark_partition_id())
+    ranged = stored(ranged, "ranked")
+    ranked = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(*order, "__t")) - 1)
+    counts = ranged.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
+    before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__b"))  # one row a partition
+    return ranked.join(before, "__p").withColumn(name, F.col("__b") + F.col("__i")).drop("__p", "__i", "__b", "__t")
+
+
 def batch_slice(files: DataFrame, start: int, count: int) -> DataFrame:
     """Files ``start`` to ``start + count`` in path order; a negative count is no limit."""
-    ordered = files.orderBy("path").offset(max(start, 0))
-    return ordered if count < 0 else ordered.limit(count)
+    start = max(start, 0)
+    if count >= 0 and start + count <= 10_000:  # few: each task keeps its own least paths
+        return files.orderBy("path").limit(start + count).offset(start)
+    ranked = with_index(files, "path", "__rank").filter(F.col("__rank") >= start)
+    return (ranked if count < 0 else ranked.filter(F.col("__rank") < start + count)).drop("__rank")
 
 
 def scan_order(records: DataFrame) -> DataFrame:
@@ -110,6 +154,14 @@ def scan_order(records: DataFrame) -> DataFrame:
     return records.repartition("image_id").sortWithinPartitions("image_id", "row", "col")
 
 
+def follows_scan_order(records: DataFrame) -> DataFrame:
+    """One row: out_of_order, how many records of ``scan_order`` come before one of
+    their image that should precede them."""
+    at = records.withColumn("__m", F.monotonically_increasing_id())
+    before = F.lag(F.struct("row", "col")).over(Window.partitionBy("image_id").orderBy("__m"))
+    return at.select((before > F.struct("row", "col")).alias("bad")).agg(F.count_if("bad").alias("out_of_order"), F.count(F.lit(1)).alias("n"))
+
+
 def tiles_for_blocks(blocks: DataFrame, tiles: DataFrame, cell: int) -> DataFrame:
     """Blocks with the tiles they overlap: both meet in the cells of a coarse
     grid, and a pair counts in the first cell that both cover."""

@@ -215,48 +215,37 @@ def warp_to_grid(blocks: DataFrame, targets: DataFrame, source: dict, grid: dict
     return cut.join(known, ["image_id", "window_id"]).mapInPandas(run, cut.schema)
 
 
-def _refined(surface: np.ndarray, y: int, x: int) -> tuple[float, float]:
-    """Offset of the top of the parabola through a peak and its neighbours."""
-
-    def offset(line: np.ndarray, i: int) -> float:
-        if not 0 < i < len(line) - 1:
-            return 0.0
-        bend = line[i - 1] - 2 * line[i] + line[i + 1]
-        return 0.0 if abs(bend) < 1e-12 else float(0.5 * (line[i - 1] - line[i + 1]) / bend)
-
-    return offset(surface[:, x], y), offset(surface[y], x)
-
-
-def coherent_stack(pairs: DataFrame, height: int, width: int, max_shift: int) -> dict | None:
-    """dy, dx, snr and n of pairs of equal patches (ref, mov: row-major arrays
-    of ``height`` x ``width``); None without pairs.
-
-    Tasks add up normalised cross-power; one patch-sized spectrum a task is
-    shuffled, and the sum of them (one patch) is inverted on the driver.
+def stacked_surface(pairs: DataFrame, height: int, width: int) -> DataFrame:
+    """dy, dx, value, n: the phase correlation of all pairs of equal patches (ref,
+    mov: row-major arrays of ``height`` x ``width``) for every shift of mov onto
+    ref; no rows without pairs.
+
+    Tasks add up cross spectra of unit magnitude; one patch-sized spectrum a task
+    is shuffled, and each shift's value is a sum over frequencies, so all that is
+    ever in one place is one patch.
     """
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        taper, total, n = np.outer(np.hanning(height), np.hanning(width)), np.zeros((height, width), complex), 0
+        taper, total, n = np.hanning(height)[:, None] * np.hanning(width)[None], np.zeros((height, width), complex), 0
+        spectrum = lambda v: np.fft.fft2(taper * (v - v.mean()))
         for batch in batches:
             for ref, mov in zip(batch["ref"], batch["mov"], strict=True):
-                a, b = (np.fft.fft2((p - p.mean()) * taper) for p in (np.asarray(v, float).reshape(height, width) for v in (ref, mov)))
-                cross = a * np.conj(b)
-                total, n = total + cross / (np.abs(cross) + 1e-8), n + 1
+                cross = spectrum(np.reshape(np.asarray(ref, float), (height, width))) * spectrum(np.reshape(np.asarray(mov, float), (height, width))).conj()
+                total, n = total + cross / (abs(cross) + 1e-8), n + 1
         if n:
-            yield pd.DataFrame({"n": n, "re": [total.real.ravel()], "im": [total.imag.ravel()]})
-
-    parts = pairs.select("ref", "mov").mapInPandas(run, "n long, re array<double>, im array<double>")
-    parts = parts.select("n", F.posexplode(F.arrays_zip("re", "im")).alias("i", "v"))
-    rows = parts.groupBy("i").agg(F.sum("n").alias("n"), F.sum("v.re").alias("re"), F.sum("v.im").alias("im")).orderBy("i").toPandas()
-    if not len(rows):
-        return None
-    n = int(rows["n"].iloc[0])
-    surface = np.fft.fftshift(np.fft.ifft2((rows["re"].to_numpy() + 1j * rows["im"].to_numpy()).reshape(height, width) / n).real)
-    cy, cx = height // 2, width // 2
-    near = surface[cy - max_shift : cy + max_shift + 1, cx - max_shift : cx + max_shift + 1]
-    py, px = np.unravel_index(np.argmax(near), near.shape)
-    fy, fx = _refined(surface, cy - max_shift + py, cx - max_shift + px)
-    return {"dy": float(py - max_shift + fy), "dx": float(px - max_shift + fx), "snr": float((near.max() - near.mean()) / (near.std() + 1e-12)), "n": n}
+            yield pd.DataFrame({"n": n, "i": np.arange(height * width), "re": total.real.ravel(), "im": total.imag.ravel()})
+
+    parts = pairs.select("ref", "mov").mapInPandas(run, "n long, i int, re double, im double")
+    rows = parts.groupBy("i").agg(F.sum("n").alias("n"), F.sum("re").alias("re"), F.sum("im").alias("im"))
+
+    def inverse(group: pd.DataFrame) -> pd.DataFrame:
+        group = group.sort_values("i")
+        n = int(group["n"].iloc[0])
+        surface = np.fft.ifft2((group["re"].to_numpy() + 1j * group["im"].to_numpy()).reshape(height, width) / n).real
+        dy, dx = (np.fft.fftfreq(k, 1 / k).round().astype(int) for k in (height, width))
+        return pd.DataFrame({"dy": np.repeat(dy, width), "dx": np.tile(dx, height), "value": surface.ravel(), "n": n})
+
+    return rows.withColumn("patch", F.col("i") * 0).groupBy("patch").applyInPandas(inverse, "dy long, dx long, value double, n long")
 
 
 def score_tiles(df: DataFrame, key: str, load: Callable[[], Callable[[pd.DataFrame], np.ndarray]], batch_size: int = 256) -> DataFrame:

@@ -3,9 +3,11 @@
 from __future__ import annotations
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.tiling import preview_name, with_index
+
 # The columns of a patch manifest, in order, and their types.
 STRINGS = "source_image reader_backend patch_path context_path context_base_path context_cache_path local_storage patch_name dtype pad_mode".split()
 DOUBLES = ["context_scale", "pad_value", "invalid_fraction"]
@@ -59,26 +61,30 @@ def read_crop_index(spark: SparkSession, path: str, root: str | None = None) ->
     return with_index(rows, "crop_path")
 
 
-def with_index(rows: DataFrame, order: str, name: str = "index", parts: int = 4096) -> DataFrame:
-    """A 0-based rank by ``order``; ranks are counted within range partitions
-    and shifted by the counts of those before, so no task sees all rows."""
-    ranged = rows.repartitionByRange(order).withColumn("__p", F.spark_partition_id())
-    ranked = ranged.withColumn("__i", F.row_number().over(Window.partitionBy("__p").orderBy(order)) - 1)
-    counts = ranked.groupBy("__p").agg(F.count(F.lit(1)).alias("__n"))
-    before = counts.select("__p", (F.sum("__n").over(Window.orderBy("__p")) - F.col("__n")).alias("__b"))  # one row a partition
-    return ranked.join(before, "__p").withColumn(name, F.col("__b") + F.col("__i")).drop("__p", "__i", "__b")
-
-
 def read_splits(spark: SparkSession, path: str) -> DataFrame:
-    """(observation_id, split) of a JSON document of lists by split."""
+    """(observation_id, split) of ``write_splits``, or of a JSON document of
+    lists by split."""
+    try:
+        return spark.read.schema("observation_id string, split string").parquet(f"{path}/ids")
+    except AnalysisException as e:
+        if e.getCondition() != "PATH_NOT_FOUND":
+            raise
     raw = spark.read.option("multiLine", True).json(path)
-    pairs = F.array(*[F.struct(F.lit(s).alias("split"), F.col(f"`{s}`").cast("array<string>").alias("ids")) for s in raw.columns])
+    pairs = F.array(*[F.struct(F.lit(s).alias("split"), F.col(f"`{s}`").cast("array<string>").alias("ids")) for s in raw.columns if raw.schema[s].dataType.typeName() == "array"])
     return raw.select(F.explode(pairs).alias("p")).select(F.explode("p.ids").alias("observation_id"), F.col("p.split").alias("split"))
 
 
 def write_splits(splits: DataFrame, path: str) -> None:
-    """One JSON document of the sorted ids of every split."""
-    lists = splits.groupBy("split").agg(F.array_sort(F.collect_set("observation_id")).alias("ids"))
+    """A row for each (observation_id, split), in a folder for each split."""
+    splits.select("observation_id", "split").distinct().write.mode("overwrite").partitionBy("split").parquet(f"{path}/ids")
+
+
+def export_splits(splits: DataFrame, path: str, most: int = 100_000) -> None:
+    """One JSON document of the sorted ids of every split, for at most ``most`` ids."""
+    ids = splits.select("observation_id", "split").distinct()
+    if ids.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} ids: read the rows of write_splits instead")
+    lists = ids.groupBy("split").agg(F.array_sort(F.collect_set("observation_id")).alias("ids"))
     row = lists.agg(F.map_from_entries(F.collect_list(F.struct("split", "ids"))).alias("m"))
     row.select(F.to_json("m").alias("value")).coalesce(1).write.mode("overwrite").text(path)
 
@@ -110,6 +116,28 @@ def write_manifest_index(manifest: DataFrame, path: str) -> None:
     manifest.select(*FIELDS).write.mode("append").option("header", True).csv(path)
 
 
+# The columns of a preview manifest, in order.
+PREVIEW = (
+    "source_image reader_backend preview_path patch_path context_path context_base_path context_cache_path example_index row col top left valid_height valid_width "
+    "pad_bottom pad_right image_height image_width channels dtype pad_mode invalid_fraction"
+).split()
+
+
+def write_image_manifests(manifest: DataFrame, path: str) -> None:
+    """The FIELDS of a manifest as CSV in a folder for each image."""
+    folder = F.regexp_replace(F.element_at(F.split("source_image", "/"), -1), r"\.[^.]*$", "").alias("image")
+    manifest.select(*FIELDS, folder).repartition("image").write.mode("append").partitionBy("image").option("header", True).csv(path)
+
+
+def preview_manifest(manifest: DataFrame, picks: DataFrame, root: str = "previews") -> DataFrame:
+    """The PREVIEW columns of the picked tiles of a manifest (picks: source_image,
+    row, col, example_index)."""
+    rows = manifest.join(picks, ["source_image", "row", "col"])
+    stem = F.regexp_replace(F.element_at(F.split("source_image", "/"), -1), r"\.[^.]*$", "")
+    name = preview_name(stem, F.col("example_index"), F.col("row"), F.col("col"), F.col("top"), F.col("left"))
+    return rows.withColumn("preview_path", F.concat(F.lit(root.rstrip("/") + "/"), name)).select(*PREVIEW)
+
+
 def save_artifact(df: DataFrame, path: str) -> None:
     df.write.mode("overwrite").parquet(path)
 

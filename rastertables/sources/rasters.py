@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import fnmatch
 import io
+import itertools
 from collections.abc import Callable, Iterator
 
 import numpy as np
@@ -36,13 +37,19 @@ def channels_last(a: np.ndarray) -> np.ndarray:
     return np.moveaxis(a, 0, -1) if a.shape[0] <= 16 and min(a.shape[1:]) > 16 else a
 
 
+def _wanted(files: DataFrame, pattern: str) -> DataFrame:
+    name = F.element_at(F.split("path", "/"), -1)
+    return files.filter(name.rlike(rf"(?i)\.({'|'.join(SUFFIXES)})$") & name.rlike("(?i)^" + fnmatch.translate(pattern)))
+
+
+def _files(spark: SparkSession, directory: str, recursive: bool) -> DataFrame:
+    return spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(directory)
+
+
 def discover_rasters(spark: SparkSession, directory: str, pattern: str = "*", recursive: bool = False) -> DataFrame:
     """(path, length) of raster files whose name matches, in path order; the
     contents are not read."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(directory)
-    name = F.element_at(F.split("path", "/"), -1)
-    hit = name.rlike(rf"(?i)\.({'|'.join(SUFFIXES)})$") & name.rlike("(?i)^" + fnmatch.translate(pattern))
-    return files.filter(hit).select("path", "length").orderBy("path")
+    return _wanted(_files(spark, directory, recursive), pattern).select("path", "length").orderBy("path")
 
 
 def _decoded(path: str, raw: bytes, decoders: list) -> np.ndarray:
@@ -59,29 +66,53 @@ def _decoded(path: str, raw: bytes, decoders: list) -> np.ndarray:
 
 def read_blocks(spark: SparkSession, directory: str, pattern: str = "*", recursive: bool = False, block: int = 512) -> DataFrame:
     """The block table of all matching files (BLOCK_SCHEMA).  A file that no
-    decoder reads is one row with ``error``.  A file is decoded in one task."""
-    files = spark.read.format("binaryFile").option("recursiveFileLookup", str(recursive).lower()).load(directory)
-    wanted = discover_rasters(spark, directory, pattern, recursive).select("path")
+    decoder reads is one row with ``error``.  A file is decoded in one task; other
+    files' contents are not read."""
     decoders = list(_DECODERS)
+    names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
+
+    def cut(a: np.ndarray, row: dict) -> Iterator[dict]:
+        for y in range(0, a.shape[0], block):
+            for x in range(0, a.shape[1], block):
+                part = a[y : y + block, x : x + block]
+                yield row | {"y0": y, "x0": x, "h": part.shape[0], "w": part.shape[1], "channels": part.shape[2], "dtype": part.dtype.name, "pixels": np.ascontiguousarray(part).tobytes()}
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for path, raw in zip(batch["path"], batch["content"], strict=True):
                 row = {"path": path, "image_id": path.rsplit("/", 1)[-1].rsplit(".", 1)[0]}
                 try:
-                    a = _decoded(path, raw, decoders)
+                    blocks = cut(_decoded(path, raw, decoders), row)
                 except ValueError as e:
-                    yield frame({**row, "error": str(e)})
-                    continue
-                for y in range(0, a.shape[0], block):
-                    for x in range(0, a.shape[1], block):
-                        cut = a[y : y + block, x : x + block]
-                        own = {"y0": y, "x0": x, "h": cut.shape[0], "w": cut.shape[1], "channels": cut.shape[2], "dtype": cut.dtype.name, "pixels": np.ascontiguousarray(cut).tobytes()}
-                        yield frame({**row, **own})
+                    blocks = iter([{**row, "error": str(e)}])
+                while part := list(itertools.islice(blocks, 64)):
+                    yield pd.DataFrame([[r.get(n) for n in names] for r in part], columns=names, dtype=object)
+
+    return _wanted(_files(spark, directory, recursive), pattern).select("path", "content").mapInPandas(run, BLOCK_SCHEMA)
 
-    names = [c.split()[0] for c in BLOCK_SCHEMA.split(", ")]
-    frame = lambda row: pd.DataFrame([[row.get(n) for n in names]], columns=names, dtype=object)
-    return files.select("path", "content").join(wanted, "path", "left_semi").mapInPandas(run, BLOCK_SCHEMA)
+
+def read_region(blocks: DataFrame, top: int, left: int, height: int, width: int) -> DataFrame:
+    """One row per image of a block table: the part of its region of ``height`` x
+    ``width`` pixels from (top, left) that lies inside it (image_id, y0, x0, h, w,
+    channels, dtype, pixels).  Blocks that do not touch the region are not read
+    on; images that it misses have no row."""
+    meets = (F.col("y0") < top + height) & (F.col("y0") + F.col("h") > top) & (F.col("x0") < left + width) & (F.col("x0") + F.col("w") > left)
+    some = blocks.filter("error IS NULL") if "error" in blocks.columns else blocks
+    kind = dict(blocks.dtypes)["image_id"]
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        y0, x0 = max(top, int(group["y0"].min())), max(left, int(group["x0"].min()))
+        y1, x1 = min(top + height, int((group["y0"] + group["h"]).max())), min(left + width, int((group["x0"] + group["w"]).max()))
+        first = group.iloc[0]
+        out = np.zeros((y1 - y0, x1 - x0, int(first["channels"])), np.dtype(first["dtype"]))
+        for r in group.itertuples(index=False):
+            a = np.frombuffer(r.pixels, np.dtype(r.dtype)).reshape(int(r.h), int(r.w), int(r.channels))
+            ya, yb, xa, xb = max(y0, r.y0), min(y1, r.y0 + r.h), max(x0, r.x0), min(x1, r.x0 + r.w)
+            out[ya - y0 : yb - y0, xa - x0 : xb - x0] = a[ya - r.y0 : yb - r.y0, xa - r.x0 : xb - r.x0]
+        return pd.DataFrame([{"image_id": first["image_id"], "y0": y0, "x0": x0, "h": out.shape[0], "w": out.shape[1], "channels": out.shape[2], "dtype": out.dtype.name, "pixels": out.tobytes()}])
+
+    schema = f"image_id {kind}, y0 long, x0 long, h int, w int, channels int, dtype string, pixels binary"
+    return some.filter(meets).groupBy("image_id").applyInPandas(joined, schema)
 
 
 def raster_inventory(blocks: DataFrame, stride: int, cap: int) -> DataFrame:
@@ -90,3 +121,27 @@ def raster_inventory(blocks: DataFrame, stride: int, cap: int) -> DataFrame:
         F.max(F.col("y0") + F.col("h")).alias("height"), F.max(F.col("x0") + F.col("w")).alias("width"), F.max("channels").alias("channels"), F.max("dtype").alias("dtype")
     )
     return count_candidates(sizes, stride, cap)
+
+
+def write_rasters(tiles: DataFrame, folder: str, form: str = "npy") -> None:
+    """A file ``name`` in ``folder`` for every tile: its array in .npy form, or its
+    bytes (``raw``).  A task that runs again writes the same files again."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        from pyarrow import fs
+
+        system, base = fs.FileSystem.from_uri(folder if "://" in folder or folder.startswith("file:") else f"file://{folder}")
+        system.create_dir(base, recursive=True)
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                a = np.frombuffer(r.pixels, np.dtype(r.dtype)).reshape(int(r.h), int(r.w), int(r.channels))
+                buffer = io.BytesIO()
+                if form == "npy":
+                    np.save(buffer, a[:, :, 0] if a.shape[2] == 1 else a)
+                else:
+                    buffer.write(a.tobytes())
+                with system.open_output_stream(f"{base}/{r.name}", compression=None) as out:
+                    out.write(buffer.getvalue())
+            yield pd.DataFrame({"n": [len(batch)]})
+
+    tiles.select("name", "h", "w", "channels", "dtype", "pixels").mapInPandas(run, "n long").write.format("noop").mode("overwrite").save()

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from pyspark.errors import AnalysisException
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -16,20 +17,40 @@ def rebuild_index(spark: SparkSession, root: str, fraction: float, least: int, s
     return split_by_group(spark.read.parquet(f"{root}/crops"), "observation_id", fraction, least, seed)
 
 
+def index_counts(spark: SparkSession, root: str) -> DataFrame:
+    """One row: crops and observations ingested so far."""
+    return spark.read.parquet(f"{root}/crops").agg(F.count(F.lit(1)).alias("n_crops"), F.count_distinct("observation_id").alias("n_observations"))
+
+
+def read_index(spark: SparkSession, root: str) -> DataFrame:
+    """The splits of the last batch that was finished."""
+    rows = spark.read.parquet(f"{root}/splits")
+    return rows.filter(F.col("batch") == rows.agg(F.max("batch")).first()[0]).drop("batch")
+
+
+def _known(spark: SparkSession, path: str, schema) -> DataFrame | None:
+    try:
+        return spark.read.schema(schema).parquet(path)
+    except AnalysisException as e:
+        if e.getCondition() == "PATH_NOT_FOUND":  # only the first batch finds no folder
+            return None
+        raise
+
+
 def ingest_incremental(stream: DataFrame, root: str, checkpoint: str, most_invalid: float = 0.01, fraction: float = 0.02, least: int = 20, seed: str = "42") -> None:
     """Append newly arrived manifest rows that pass quality control, each tile
-    once, and rewrite the splits after every batch; rows that come again change
-    nothing, as a tile's identity is its key."""
+    once, and write the splits after every batch; rows that come again change
+    nothing, as a tile's identity is its key.  The splits of a batch are a folder of
+    their own, which readers take once it is complete; a batch that is run again
+    replaces its own only."""
 
-    def batch(rows: DataFrame, _: int) -> None:
+    def batch(rows: DataFrame, number: int) -> None:
         spark = rows.sparkSession
         new = filter_invalid(rows, most_invalid).groupBy(*KEY).agg(F.min("invalid_fraction").alias("invalid_fraction"))
-        try:
-            new = new.join(spark.read.schema(new.schema).parquet(f"{root}/crops").select(*KEY), KEY, "left_anti")
-        except Exception as e:
-            if "PATH_NOT_FOUND" not in str(e):
-                raise  # only the first batch finds no folder
+        before = _known(spark, f"{root}/crops", new.schema)
+        if before is not None:
+            new = new.join(before.select(*KEY), KEY, "left_anti")
         new.write.mode("append").parquet(f"{root}/crops")
-        rebuild_index(spark, root, fraction, least, seed).write.mode("overwrite").parquet(f"{root}/splits")
+        rebuild_index(spark, root, fraction, least, seed).write.mode("overwrite").parquet(f"{root}/splits/batch={number}")
 
     stream.writeStream.foreachBatch(batch).option("checkpointLocation", checkpoint).trigger(availableNow=True).start().awaitTermination()

@@ -3,6 +3,7 @@ import io
 import numpy as np
 import pytest
 
+from rastertables.operators.tiling import with_index
 from rastertables.sources import manifests as M
 from rastertables.sources import rasters as R
 
@@ -62,8 +63,35 @@ def test_crop_index_counts_across_partitions(spark, tmp_path):
 
 def test_splits_round_trip(spark, tmp_path):
     rows = [("A", "train"), ("B", "train"), ("C", "val")]
-    M.write_splits(spark.createDataFrame(rows, "observation_id string, split string"), f"{tmp_path}/splits")
-    assert sorted(map(tuple, M.read_splits(spark, f"{tmp_path}/splits").collect())) == rows
+    splits = spark.createDataFrame([*rows, ("A", "train")], "observation_id string, split string")
+    M.write_splits(splits, f"{tmp_path}/splits")
+    M.export_splits(splits, f"{tmp_path}/document")
+    for name in ("splits", "document"):
+        assert sorted(map(tuple, M.read_splits(spark, f"{tmp_path}/{name}").collect())) == rows
+    with pytest.raises(ValueError):
+        M.export_splits(splits, f"{tmp_path}/other", 2)
+
+
+def test_a_document_of_splits_may_have_other_fields(spark, tmp_path):
+    (tmp_path / "splits.json").write_text('{"train": ["A", "B"], "val": ["C"], "seed": 42, "val_fraction": 0.1}')
+    got = sorted(map(tuple, M.read_splits(spark, f"{tmp_path}/splits.json").collect()))
+    assert got == [("A", "train"), ("B", "train"), ("C", "val")]
+
+
+def test_index_ranks_ties_once(spark):
+    rows = spark.createDataFrame([("a", i % 3) for i in range(50)] + [("b", 0)], "k string, v int").repartition(7)
+    got = with_index(rows, "k").collect()
+    assert sorted(r["index"] for r in got) == list(range(51)) and [r["index"] for r in got if r["k"] == "b"] == [50]
+
+
+def test_region_is_cut_from_its_blocks(spark, tmp_path):
+    image = np.arange(3 * 20 * 30, dtype=np.uint16).reshape(3, 20, 30)
+    np.save(tmp_path / "a.npy", image)
+    blocks = R.read_blocks(spark, str(tmp_path), block=7)
+    (row,) = R.read_region(blocks, 5, 11, 9, 40).collect()
+    part = np.frombuffer(row["pixels"], row["dtype"]).reshape(row["h"], row["w"], row["channels"])
+    assert (row["y0"], row["x0"]) == (5, 11) and (part == np.moveaxis(image, 0, -1)[5:14, 11:30]).all()
+    assert R.read_region(blocks, 100, 0, 5, 5).count() == 0
 
 
 def test_seg_manifest_defaults_to_train(spark, tmp_path):

@@ -1,4 +1,4 @@
-from rastertables.streaming.ingest import ingest_incremental
+from rastertables.streaming.ingest import index_counts, ingest_incremental, read_index
 
 SCHEMA = "observation_id string, row int, col int, invalid_fraction double"
 
@@ -12,5 +12,6 @@ def test_redelivery_changes_nothing(spark, tmp_path):
         ingest_incremental(spark.readStream.schema(SCHEMA).parquet(arrivals), root, checkpoint, least=1)
     kept = sorted(tuple(r)[:3] for r in spark.read.parquet(f"{root}/crops").collect())
     assert kept == [("A", 0, 0), ("B", 0, 0), ("C", 1, 1)]
-    splits = spark.read.parquet(f"{root}/splits").collect()
+    splits = read_index(spark, root).collect()
+    assert tuple(index_counts(spark, root).first()) == (3, 3)
     assert sorted(r.observation_id for r in splits) == ["A", "B", "C"] and sum(r.split == "val" for r in splits) == 1

@@ -4,6 +4,7 @@ import numpy as np
 import pytest
 
 from rastertables.operators import windows as W
+from rastertables.operators.registration import refined_peak
 
 BLOCK, H, WIDTH = 8, 21, 19
 IMAGE = np.random.default_rng(1).integers(1, 255, (H, WIDTH, 2)).astype(np.uint8)
@@ -78,9 +79,11 @@ def test_stack_finds_a_planted_shift(spark):
     for _ in range(12):
         field = rng.normal(size=(48, 48))
         rows.append((field[8:40, 8:40].ravel().tolist(), field[5:37, 10:42].ravel().tolist()))
-    found = W.coherent_stack(spark.createDataFrame(rows, "ref array<double>, mov array<double>").repartition(3), 32, 32, 8)
+    surface = W.stacked_surface(spark.createDataFrame(rows, "ref array<double>, mov array<double>").repartition(3), 32, 32)
+    found = refined_peak(surface, "value", 8).first().asDict()
     assert round(found["dy"]) == -3 and round(found["dx"]) == 2 and found["n"] == 12 and found["snr"] > 5
-    assert W.coherent_stack(spark.createDataFrame([], "ref array<double>, mov array<double>"), 32, 32, 8) is None
+    none = W.stacked_surface(spark.createDataFrame([], "ref array<double>, mov array<double>"), 32, 32)
+    assert none.count() == 0 and refined_peak(none, "value", 8).count() == 0
 
 
 def test_scores_come_by_key(spark):
