@@ -274,7 +274,7 @@ def train(texts: list[str | None], labels: list[int]) -> Scorer:
     kept = different(texts)
     texts, labels = [texts[i] for i in kept], [labels[i] for i in kept]
     raws, y = [(t or "").encode("utf-8", "replace") for t in texts], np.asarray(labels)
-    half = np.arange(len(y)) % 3 < 2
+    half = np.where(y == 1, np.cumsum(y == 1), np.cumsum(y == 0)) % 3 < 2  # of each class alike
     fit = lambda want, rows: [r for r, k, h in zip(raws, y, rows, strict=True) if k == want and h]
     if not fit(1, half) or not fit(0, half) or not fit(1, ~half) or not fit(0, ~half):
         return Scorer(b"", [], [])
