@@ -2,6 +2,11 @@
 
 Each stage takes (spark, docs, sf_dir), works on all that the stage before kept,
 and returns a DataFrame; all but the last return the columns of ``documents``.
+
+For all stages: rows are told by their own content or number, never by doc_id
+alone, so null and repeated doc_ids lose no other row; a null text is the empty
+text; texts are read whole, however long; further columns are kept as they are;
+no rows give no rows.
 """
 
 from __future__ import annotations
@@ -12,22 +17,34 @@ from rastertables.llm import common, exact_dedup, mixing, ngram_join, pieces, to
 
 
 def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows whose text is not toxic, in one pass.  Empty texts stay; equal texts
+    stay or go together; columns of any name are kept."""
     return toxicity.without_toxic(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
 
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of those with equal normalised text: the least doc_id, a null one
+    last; of rows that repeat one stays.  Columns must not begin with k_ or l_."""
     return exact_dedup.drop_copies(docs)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """One row of each group of near copies: the least doc_id, null ones last.
+    Texts without words resemble nothing and stay.  Columns must not begin with j_
+    or l_."""
     return ngram_join.one_of_each_class(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows as often as the mix takes them, 0 to 3 times.  A null source is a source;
+    texts without words are never taken; rows that repeat in all columns are taken
+    equally often.  Columns must not begin with m_ or p_."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Rows with ids and exact instead of the text; an empty text has no ids.
+    Columns named ids or exact are an error."""
     return pieces.encode(docs)
 
 
@@ -39,8 +56,8 @@ STAGES = [
     ("sentencepiece", encode),
 ]
 
-#: Classifier, MinHash and token ids have no SQL form; tests hold each stage
-#: against a brute-force version.
+#: Classifier, MinHash and token ids have no SQL form; tests/llm/test_pipeline.py
+#: holds every stage against a plain Python version on a small table.
 ORACLE_SQL = None
 
 
