@@ -90,49 +90,53 @@ def as_string(sig: Column) -> Column:
 
 
 def next_places(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """doc_id, hash (of the text), n_chars, next_id, next_hash: the next place in
-    the descending order of doc_id (nulls last, then by hash), the first after
-    the last.  Places are range-partitioned and stored, so that each window sees
-    one range; ranges meet over one row per range."""
+    """key (the doc_id as text, ~ for null), hash (of the text), n_chars, next_key,
+    next_hash: the next place in the descending order of doc_id (nulls last, then by
+    hash), the first after the last.  Places are range-partitioned and stored, so
+    that each window sees one range; ranges meet over one row per range."""
     spark = docs.sparkSession
-    places = docs.select("doc_id", F.xxhash64(text_or_empty()).alias("hash"), F.char_length(text_or_empty()).cast("long").alias("n_chars"))
+    places = docs.select("doc_id", _key().alias("key"), F.xxhash64(text_or_empty()).alias("hash"), F.char_length(text_or_empty()).cast("long").alias("n_chars"))
     parts = partitions or int(spark.conf.get("spark.sql.shuffle.partitions"))
     order = [F.col("doc_id").desc_nulls_last(), F.col("hash").asc()]
     # Equal places are in one range; the first of them stands for all.
     ranged = stored(places.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "fingerprint-ranges")
-    places = stored(ranged.groupBy("part", "doc_id", "hash").agg(F.max("n_chars").alias("n_chars")), "fingerprint-places")
-    head = F.struct("doc_id", "hash").alias("head")
-    ends = places.select("part", head, F.row_number().over(Window.partitionBy("part").orderBy(*order)).alias("n")).filter("n = 1")
+    places = ranged.groupBy("part", "doc_id", "key", "hash").agg(F.max("n_chars").alias("n_chars"))
+    head = F.struct("key", "hash").alias("head")
+    first = F.row_number().over(Window.partitionBy("part").orderBy(*order))
+    ends = ranged.select("part", head, first.alias("n")).filter("n = 1")
     after = F.coalesce(F.lead("head").over(Window.orderBy("part")), F.first("head").over(Window.orderBy("part")))
     ends = ends.select(F.col("part").alias("e_part"), after.alias("after"))
-    inside = F.lead(F.struct("doc_id", "hash")).over(Window.partitionBy("part").orderBy(*order))
+    inside = F.lead(F.struct("key", "hash")).over(Window.partitionBy("part").orderBy(*order))
     following = F.coalesce("inside", "after")
     joined = places.withColumn("inside", inside).join(ends, F.col("part") == F.col("e_part"))
-    return joined.select("doc_id", "hash", "n_chars", following["doc_id"].alias("next_id"), following["hash"].alias("next_hash"))
+    return joined.select("key", "hash", "n_chars", following["key"].alias("next_key"), following["hash"].alias("next_hash"))
 
 
-def _same(id_a: str, hash_a: str, id_b: str, hash_b: str) -> Column:
-    return F.col(id_a).eqNullSafe(F.col(id_b)) & (F.col(hash_a) == F.col(hash_b))
+def _key() -> Column:
+    return F.coalesce(F.col("doc_id").cast("string"), F.lit("~"))
 
 
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text (the last third
     replaced by the start of the next document), with their likeness."""
-    texts = docs.select("doc_id", text_or_empty().alias("text")).withColumn("hash", F.xxhash64("text"))
+    # Both joins below read these three columns only, and so share one shuffle.
+    texts = docs.select(text_or_empty().alias("text"), _key().alias("key")).withColumn("hash", F.xxhash64("text"))
     order = stored(next_places(docs), "fingerprint-order")
     # The start of the next text, as long as the last third of this one.
     cut = F.floor(F.col("n_chars") / 3).cast("int").alias("cut")
-    wanted = order.select(F.col("next_id").alias("n_id"), F.col("next_hash").alias("n_hash"), F.col("doc_id").alias("for_id"), F.col("hash").alias("for_hash"), cut)
-    starts = texts.join(wanted, _same("doc_id", "hash", "n_id", "n_hash")).select("for_id", "for_hash", "n_id", "n_hash", "cut", F.expr("substring(text, 1, cut)").alias("start"))
+    wanted = order.select(F.col("next_key").alias("key"), F.col("next_hash").alias("hash"), F.col("key").alias("for_key"), F.col("hash").alias("for_hash"), cut)
+    starts = texts.join(wanted, ["key", "hash"]).select(F.col("for_key").alias("key"), F.col("for_hash").alias("hash"), F.col("key").alias("n_key"), F.col("hash").alias("n_hash"), "cut", F.expr("substring(text, 1, cut)").alias("start"))
     # Places that rows share have one start.
-    starts = starts.groupBy("for_id", "for_hash").agg(F.first(F.struct("n_id", "n_hash", "cut", "start")).alias("s")).select("for_id", "for_hash", "s.*")
-    both = texts.join(starts, _same("doc_id", "hash", "for_id", "for_hash")).withColumn("n_chars", F.char_length("text").cast("long"))
+    starts = starts.groupBy("key", "hash").agg(F.first(F.struct("n_key", "n_hash", "cut", "start")).alias("s")).select("key", "hash", "s.*")
+    both = texts.join(starts, ["key", "hash"]).withColumn("n_chars", F.char_length("text").cast("long"))
     both = both.withColumn("edited", F.expr("concat(substring(text, 1, cast(n_chars as int) - cut), start)"))
     signed = add_signature(add_signature(both, "text", "sig"), "edited", "edited_sig")
-    edited = F.sha2(F.col("edited").cast("binary"), 256).alias("edited_sha256")
-    signed = stored(signed.select("doc_id", "hash", "n_id", "n_hash", "n_chars", edited, "sig", "edited_sig"), "fingerprint-rows")
-    following = signed.groupBy(F.col("doc_id").alias("f_id"), F.col("hash").alias("f_hash")).agg(F.first("sig").alias("f_sig"))
-    return signed.join(following, _same("n_id", "n_hash", "f_id", "f_hash")).select(
-        "doc_id", "n_chars", "edited_sha256", as_string(F.col("sig")).alias("fingerprint"), as_string(F.col("edited_sig")).alias("edited_fingerprint"),
-        likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), likeness(F.col("sig"), F.col("f_sig")).alias("near_next"),
+    edited = F.unhex(F.sha2(F.col("edited").cast("binary"), 256)).alias("edited_sha256")
+    signed = signed.select("key", "hash", "n_key", "n_hash", "n_chars", edited, "sig", likeness(F.col("sig"), F.col("edited_sig")).alias("near_edited"), "edited_sig")
+    signed = stored(signed, "fingerprint-rows")
+    following = signed.groupBy(F.col("key").alias("n_key"), F.col("hash").alias("n_hash")).agg(F.first("sig").alias("f_sig"))
+    doc_id = F.when(F.col("key") != "~", F.col("key").cast(dict(docs.dtypes)["doc_id"]))
+    return signed.join(following, ["n_key", "n_hash"]).select(
+        doc_id.alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), as_string(F.col("sig")).alias("fingerprint"), as_string(F.col("edited_sig")).alias("edited_fingerprint"),
+        "near_edited", likeness(F.col("sig"), F.col("f_sig")).alias("near_next"),
     )

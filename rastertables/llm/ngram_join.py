@@ -43,7 +43,7 @@ NGRAM, SIMILARITY, RECALL, HASHES = 5, 0.8, 0.999, 128
 #: Members of a bucket's block; comparisons that share one copy of a set.
 BLOCK, SALT = 200, 1024
 #: Members and bytes of n-gram sets of a component's block.
-COUNTED, COUNTED_BYTES = 1000, 8 << 20
+COUNTED, COUNTED_BYTES = 400, 8 << 20
 
 
 def signatures(rows: DataFrame, n: int, bands: int, band_rows: int) -> DataFrame:
