@@ -39,7 +39,7 @@ WINDOW, STEP, GRAMS = 96, 80, (5, 6, 8)
 LEVEL, BASE_BYTES = 6, 4096
 #: Texts of either class in a group that is compared (and toxic texts that have
 #: a gram), how often groups are halved, and what a gram's statistic must have
-#: above twice the logarithm of the number of comparisons.
+#: above twice the logarithm of the number of comparisons (grams times groups).
 LEAST, DEPTH, CHANCE = 5, 5, 10.0
 #: How many times as frequent a gram must be in a group's toxic texts.
 RATIO = 2.0
@@ -154,7 +154,7 @@ def toxic_passages(raws: list[bytes], y: np.ndarray, choices: list[list[np.ndarr
                 count = lambda want: np.bincount(np.concatenate([np.empty(0, np.int32), *(held[i] for i in rows if y[i] == want)]).astype(int), minlength=len(grams))  # noqa: B023, E731
                 many, rare, n = count(1), count(0), (max(1, int((y[rows] == 1).sum())), max(1, int((y[rows] == 0).sum())))
                 g = np.where(alike_enough, _surplus(many, rare, *n), 0.0)
-                for core, sure in _chained(grams, many, g, size, 2 * np.log(len(grams)) + CHANCE):
+                for core, sure in _chained(grams, many, g, size, 2 * np.log(len(grams) * len(groups)) + CHANCE):
                     found[core] = max(found.get(core, 0.0), sure)
         del grams, held
     out = []
