@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import exact_dedup, fingerprints, html_text, mixing, ngram_join, pieces, pii, quality, toxicity, warc
+from . import collocations, exact_dedup, fingerprints, html_text, licenses, mixing, ngram_join, pieces, pii, quality, resampling, toxicity, warc
 from .common import documents
 
 THRESHOLD = 0.3
@@ -75,10 +75,28 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _predicted(toxicity.toxicity_scores(documents(spark, sf_dir), _table(spark, sf_dir, "labels"), fold=4, held=2), 4, 2)
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(documents(spark, sf_dir), _table(spark, sf_dir, "benchmark"))
+
+
+def op12_collocations(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return collocations.collocations(documents(spark, sf_dir))
+
+
+def op13_license_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return licenses.scan(documents(spark, sf_dir))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    own = [op1_exact_dedup, op2_ngram_jaccard_join, op3_html_extraction, op4_source_mix, op5_pii, op6_sentencepiece, op7_quality, op8_fingerprints, op9_warc, op10_toxicity]
+    own = [
+        op1_exact_dedup, op2_ngram_jaccard_join, op3_html_extraction, op4_source_mix, op5_pii, op6_sentencepiece, op7_quality, op8_fingerprints, op9_warc, op10_toxicity,
+        op11_importance_resampling, op12_collocations, op13_license_scan,
+    ]
     return {f.__name__: f for f in own}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_exact_dedup": OP1_SQL, "op4_source_mix": mixing.MIX_SQL, "op9_warc": warc.WARC_SQL}
+    return {
+        "op1_exact_dedup": OP1_SQL, "op4_source_mix": mixing.MIX_SQL, "op9_warc": warc.WARC_SQL,
+        "op11_importance_resampling": resampling.RESAMPLING_SQL, "op12_collocations": collocations.COLLOCATIONS_SQL,
+    }
