@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from .operators import labels as L
 from .operators import metrics as M
+from .operators import mosaics as B
 from .operators import quality as Q
 from .operators import registration as R
 from .operators import splits as S
@@ -46,6 +47,11 @@ VIEWS = {
         CAST(greatest(0, least(255, rint(CAST(v AS DOUBLE) * 400 + 128))) AS BIGINT) AS dn FROM (SELECT vec_id, posexplode(embedding) AS (pos, v) FROM embeddings)""",
         """SELECT CAST(floor(vec_id / 64) AS BIGINT) AS image_id, CAST(floor(vec_id % 64 / 8) * 8 + floor(pos / 8) AS BIGINT) AS y, CAST(vec_id % 8 * 8 + pos % 8 AS BIGINT) AS x,
         CAST(greatest(0, least(255, round_even(CAST(v AS DOUBLE) * 400 + 128, 0))) AS BIGINT) AS dn FROM (SELECT vec_id, unnest(range(len(embedding))) AS pos, unnest(embedding) AS v FROM embeddings)"""),
+    "rgba_blocks": ("embeddings", """SELECT CAST(floor(vec_id / 16) AS BIGINT) AS image_id, CAST(floor(vec_id % 16 / 4) * 4 AS BIGINT) AS y0, CAST(vec_id % 4 * 4 AS BIGINT) AS x0, 4 AS h, 4 AS w, 4 AS channels, 'uint8' AS dtype,
+        unhex(array_join(transform(embedding, (v, i) -> lpad(hex(CASE WHEN i % 4 = 3 THEN CASE WHEN v < -0.1 THEN 0 ELSE 255 END ELSE CAST(greatest(0, least(15, rint(CAST(v AS DOUBLE) * 25 + 8))) * 16 AS BIGINT) END), 2, '0')), '')) AS pixels FROM embeddings""", None),
+    "rgba_pixels": ("embeddings", """SELECT CAST(floor(vec_id / 16) AS BIGINT) AS image_id, CAST(floor(vec_id % 16 / 4) * 4 + floor(p / 4) AS BIGINT) AS y, CAST(vec_id % 4 * 4 + p % 4 AS BIGINT) AS x,
+        CAST(greatest(0, least(15, round_even(CAST(embedding[p * 4 + 1] AS DOUBLE) * 25 + 8, 0))) * 16 AS BIGINT) AS r, CAST(greatest(0, least(15, round_even(CAST(embedding[p * 4 + 2] AS DOUBLE) * 25 + 8, 0))) * 16 AS BIGINT) AS g,
+        CAST(greatest(0, least(15, round_even(CAST(embedding[p * 4 + 3] AS DOUBLE) * 25 + 8, 0))) * 16 AS BIGINT) AS b, CASE WHEN embedding[p * 4 + 4] < -0.1 THEN 0 ELSE 255 END AS a FROM (SELECT vec_id, embedding, unnest(range(16)) AS p FROM embeddings)""", None),
     "legend_rows": ("nation", """SELECT CASE WHEN n_regionkey = 0 THEN 'rect' ELSE ' Square' END AS shape, n_name AS value, concat('#', lpad(hex(CAST((n_nationkey * 651733) % 16777216 AS BIGINT)), 6, '0')) AS color, CAST(n_nationkey AS BIGINT) AS src_pos FROM nation""", None),
     "rgba": ("lineitem", """SELECT l_orderkey AS y, CAST(l_linenumber AS BIGINT) AS x, CAST((l_partkey * 37) % 256 AS BIGINT) AS r, CAST((l_suppkey * 11) % 256 AS BIGINT) AS g, CAST((l_partkey + l_suppkey) % 256 AS BIGINT) AS b,
         CASE WHEN l_orderkey % 9 = 0 THEN 0 ELSE 255 END AS a FROM lineitem""", None),
@@ -753,7 +759,7 @@ s AS (SELECT tile, y, x, CASE WHEN hi > lo THEN least(1.0, greatest(0.0, (dn - l
 @query(FINITE + " SELECT tile, y, x, round(unit, 6) AS unit FROM s", "pixels", of=("blocks",))
 def f3_unit_range(blocks):
     limits = Q.stretch_limits(Q.value_counts(blocks), finite=True)
-    return _values(Q.stretch_blocks(blocks, limits, out="float32")).select("tile", *_place(), F.round("v", 6).alias("unit"))
+    return _values(Q.stretch_blocks(blocks, limits, out="float64")).select("tile", *_place(), F.round("v", 6).alias("unit"))
 
 
 @query(FINITE + " SELECT tile, y, x, CAST(floor(unit * 255) AS INTEGER) AS u8 FROM s", "pixels", of=("blocks",))
@@ -1217,3 +1223,117 @@ def f12_given_precision(logits):
     raw = mahalanobis_score(logits, stats, "logits").withColumnRenamed("score", "raw")
     unit = mahalanobis_score(raw, stats, "logits", 5.0, True).withColumnRenamed("score", "unit")
     return mahalanobis_score(unit, stats, "logits", None, True).select("vec_id", F.round("raw", 6).alias("score"), F.round("unit", 6).alias("unit"), F.round("score", 6).alias("without"))
+
+
+# Block forms: images of 64 x 64 pixels in blocks of 8, pixels only for the comparison.
+
+
+def _pixels(blocks: DataFrame, column: str = "pixels", kind: str | None = None) -> DataFrame:
+    """image_id, y, x, v (first channel) and v2 (the last) of block tables."""
+
+    def run(batches):
+        import numpy as np
+        import pandas as pd
+
+        for b in batches:
+            for r in b.itertuples(index=False):
+                a = np.frombuffer(r.raw, np.dtype(r.dtype)).reshape(r.h, r.w, -1).astype(float)
+                y, x = np.mgrid[r.y0 : r.y0 + r.h, r.x0 : r.x0 + r.w]
+                yield pd.DataFrame({"image_id": r.image_id, "y": y.ravel(), "x": x.ravel(), "v": a[:, :, 0].ravel(), "v2": a[:, :, -1].ravel()})
+
+    image = dict(blocks.dtypes)["image_id"]
+    raw = blocks.select("image_id", "y0", "x0", "h", "w", F.lit(kind).alias("dtype") if kind else F.col("dtype"), F.col(column).alias("raw"))
+    return raw.mapInPandas(run, f"image_id {image}, y long, x long, v double, v2 double")
+
+
+MOSAIC_EDGES = """SELECT image_id, y, x, CASE WHEN c > 0 AND (coalesce(lead(c) OVER (PARTITION BY image_id, y ORDER BY x) <> c, false) OR coalesce(lead(c) OVER (PARTITION BY image_id, x ORDER BY y) <> c, false)) THEN 1 ELSE 0 END AS edge FROM (SELECT image_id, y, x, dn // 52 AS c FROM mosaic)"""
+
+
+@query(MOSAIC_EDGES, "mosaic", of=("mosaic_blocks",))
+def w10_edge_blocks(blocks):
+    return _pixels(B.label_edge_blocks(_classes(blocks), 8)).select("image_id", "y", "x", F.col("v").cast("int").alias("edge"))
+
+
+@query("SELECT i.image_id, i.y, i.x, i.dn, coalesce(l.dn // 52, 0) AS label FROM mosaic i LEFT JOIN mosaic l ON l.image_id = i.image_id AND l.y = i.y + 3 AND l.x = i.x - 5", "mosaic", of=("mosaic_blocks",))
+def j2_pair_blocks(blocks):
+    paired = B.pair_blocks(blocks, _classes(blocks), 8, 3, -5)
+    label = _pixels(paired, "label_pixels", "int64").select("image_id", "y", "x", F.col("v").cast("long").alias("label"))
+    return _pixels(paired).select("image_id", "y", "x", F.col("v").cast("long").alias("dn")).join(label, ["image_id", "y", "x"])
+
+
+@query("SELECT image_id, y, x, CAST(sum(d) OVER (PARTITION BY image_id, y ORDER BY x) AS BIGINT) AS total FROM (SELECT *, sum(dn) OVER (PARTITION BY image_id, x ORDER BY y) AS d FROM mosaic)", "mosaic", of=("mosaic_blocks",))
+def w11_integral_blocks(blocks):
+    return _pixels(B.integral_blocks(blocks, 8)).select("image_id", "y", "x", F.col("v").cast("long").alias("total"))
+
+
+@query("""WITH w AS (SELECT * FROM (VALUES (0, 0, 32, 64), (1, 2, 24, 37), (3, 0, 4, 1), (5, 5, 5, 8), (9, 17, 31, 18)) t(y0, x0, y1, x1))
+SELECT i.image_id, y0, x0, y1, x1, CAST(coalesce(sum(dn), 0) AS BIGINT) AS total FROM (SELECT DISTINCT image_id FROM mosaic WHERE y = 63) i CROSS JOIN w LEFT JOIN mosaic p ON p.image_id = i.image_id AND p.y >= y0 AND p.y < y1 AND p.x >= x0 AND p.x < x1 GROUP BY ALL""", "mosaic", of=("mosaic_blocks",))
+def w11_window_blocks(blocks):
+    """Windows over several blocks of each whole image, one of them empty."""
+    boxes = ((0, 0, 32, 64), (1, 2, 24, 37), (3, 0, 4, 1), (5, 5, 5, 8), (9, 17, 31, 18))
+    box = F.array(*[F.struct(*[F.lit(v).alias(n) for n, v in zip(("y0", "x0", "y1", "x1"), b, strict=True)]) for b in boxes])
+    windows = blocks.filter("y0 = 56").select("image_id").distinct().select("image_id", F.explode(box).alias("b")).select("image_id", "b.*")
+    return B.window_sums(B.integral_blocks(blocks, 8), windows, 8)
+
+
+def _tiles_at(blocks: DataFrame, row, col) -> DataFrame:
+    own = blocks.select(F.col("image_id").alias("tile"), F.col("crop").alias("image_id"), "h", "w", "channels", "dtype", "pixels")
+    return own.withColumn("row", row.cast("long")).withColumn("col", col.cast("long"))
+
+
+@query("SELECT crop AS image_id, tile % 10 * 4 + y AS y, tile % 5 * 4 + x AS x, round(avg(dn), 6) AS v, count(*) AS n FROM pixels GROUP BY ALL", "pixels", of=("blocks",))
+def a13_stitch_blocks(blocks):
+    """Tiles that overlap by half, in blocks of 6 pixels that they straddle."""
+    tiles = _tiles_at(blocks, F.col("tile") % 10 * 4, F.col("tile") % 5 * 4)
+    out = _pixels(B.stitch_blocks(tiles, 6)).filter("v2 > 0")
+    return out.select("image_id", "y", "x", F.round("v", 6).alias("v"), F.col("v2").cast("long").alias("n"))
+
+
+@query("""WITH p AS (SELECT crop AS image_id, tile % 10 * 4 + y AS y, tile % 5 * 4 + x AS x, dn FROM pixels WHERE y < 6 AND x < 7), i AS (SELECT DISTINCT crop AS image_id FROM pixels)
+SELECT i.image_id, y, x, round(coalesce(v, 0), 6) AS v FROM i CROSS JOIN (SELECT unnest(range(40)) AS y) CROSS JOIN (SELECT unnest(range(21)) AS x) LEFT JOIN (SELECT image_id, y, x, avg(dn) AS v FROM p GROUP BY ALL) q USING (image_id, y, x)""", "pixels", of=("blocks",))
+def a13_canvas_blocks(blocks):
+    """Tiles of which 6 x 7 pixels are valid, on canvases of 40 x 21 that some reach beyond."""
+    tiles = _tiles_at(blocks, F.col("tile") % 10 * 4, F.col("tile") % 5 * 4).withColumn("valid_height", F.lit(6)).withColumn("valid_width", F.lit(7))
+    canvas = blocks.select(F.col("crop").alias("image_id")).distinct().withColumn("height", F.lit(40)).withColumn("width", F.lit(21))
+    return _pixels(B.stitch_blocks(tiles, 16, canvas)).select("image_id", "y", "x", F.round("v", 6).alias("v"))
+
+
+@query("""WITH p AS (SELECT crop % 3 AS image_id, tile, crop % 40 * 5 + y AS y, tile % 10 * 3 + x AS x, dn FROM pixels), b AS (SELECT DISTINCT image_id, y // 16 AS cy, x // 16 AS cx FROM p)
+SELECT b.image_id, cy * 16 + dy AS y, cx * 16 + dx AS x, coalesce(dn, 0) AS dn FROM b CROSS JOIN (SELECT unnest(range(16)) AS dy) CROSS JOIN (SELECT unnest(range(16)) AS dx) LEFT JOIN (SELECT image_id, y, x, coalesce(arg_max(dn, tile) FILTER (dn <> 0), 0) AS dn FROM p GROUP BY ALL) q ON q.image_id = b.image_id AND q.y = cy * 16 + dy AND q.x = cx * 16 + dx""", "pixels", of=("blocks",))
+def a10_composite_blocks(blocks):
+    """Three mosaics on which very many tiles lie over each other."""
+    tiles = _tiles_at(blocks, F.col("image_id") % 40 * 5, F.col("tile") % 10 * 3).withColumn("image_id", F.col("image_id") % 3)
+    return _pixels(B.composite_blocks(tiles, 16)).select("image_id", "y", "x", F.col("v").cast("long").alias("dn"))
+
+
+@query("SELECT image_id, y // 3 AS y, x // 3 AS x, round(sum(dn * wy * wx) / sum(wy * wx), 6) AS v FROM (SELECT *, CASE WHEN y = 63 THEN 3 ELSE 1 END AS wy, CASE WHEN x = 63 THEN 3 ELSE 1 END AS wx FROM mosaic) GROUP BY ALL", "mosaic", of=("mosaic_blocks",))
+def a11_downsample_blocks(blocks):
+    """Cells of three pixels that straddle blocks of eight."""
+    return _pixels(B.downsample_blocks(blocks, 8, 3)).filter("v IS NOT NULL").select("image_id", "y", "x", F.round("v", 6).alias("v"))
+
+
+@query("SELECT image_id, y // f AS y, x // f AS x, round(avg(dn), 6) AS v, f AS factor FROM mosaic, (SELECT unnest([2, 4, 8]) AS f) GROUP BY ALL", "mosaic", of=("mosaic_blocks",))
+def a12_pyramid_blocks(blocks):
+    levels = B.pyramid_blocks(blocks, 8)
+    rows = [_pixels(levels.filter(F.col("factor") == f)).withColumn("factor", F.lit(f)) for f in (2, 4, 8)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).filter("v IS NOT NULL").select("image_id", "y", "x", F.round("v", 6).alias("v"), "factor")
+
+
+@query("SELECT image_id, y // f AS y, x // f AS x, CAST(dn AS DOUBLE) AS v, f AS factor FROM mosaic, (SELECT unnest([2, 4, 8]) AS f) WHERE y % f = f // 2 AND x % f = f // 2", "mosaic", of=("mosaic_blocks",))
+def a12_nearest_blocks(blocks):
+    levels = B.pyramid_blocks(blocks, 8, categorical=True)
+    rows = [_pixels(levels.filter(F.col("factor") == f)).withColumn("factor", F.lit(f)) for f in (2, 4, 8)]
+    return rows[0].unionByName(rows[1]).unionByName(rows[2]).filter("v IS NOT NULL").select("image_id", "y", "x", "v", "factor")
+
+
+DECODED_BLOCKS = DECODED.replace("rgba", "rgba_pixels").replace("d > 1600", "d > 9000").replace("SELECT x, y,", "SELECT image_id, x, y,")
+
+
+@query(f"WITH {DECODED_BLOCKS} SELECT image_id, y, x, class_id FROM dec", "rgba_pixels", "legend_rows", of=("rgba_blocks", "legend_rows"))
+def j3_decode_blocks(blocks, rows):
+    return _pixels(B.decode_blocks(blocks, L.legend(rows), 9000)).select("image_id", "y", "x", F.col("v").cast("long").alias("class_id"))
+
+
+@query(f"WITH {DECODED_BLOCKS}, h AS (SELECT class_id AS c, count(*) AS k FROM dec GROUP BY 1) SELECT class_id, coalesce(k, 0) AS n, coalesce(k, 0) / (SELECT count(*) FROM dec) AS share FROM (SELECT class_id FROM leg UNION ALL SELECT 0) LEFT JOIN h ON class_id = c", "rgba_pixels", "legend_rows", of=("rgba_blocks", "legend_rows"))
+def a6_block_histogram(blocks, rows):
+    return B.block_histogram(blocks, L.legend(rows), 9000)

@@ -76,7 +76,7 @@ def block_std(counts: DataFrame, limits: DataFrame, tile: str = "image_id") -> D
 
 def stretch_blocks(blocks: DataFrame, limits: DataFrame, tile: str = "image_id", out: str = "uint8") -> DataFrame:
     """Blocks with stretched pixels: ``uint8`` (rounded), ``preview`` (the first
-    three channels, truncated to uint8) or ``float32`` (unit values).  Constant and
+    three channels, truncated to uint8) or ``float32`` and ``float64`` (unit values).  Constant and
     empty tiles become zero."""
     schema = blocks.schema
 
@@ -87,7 +87,7 @@ def stretch_blocks(blocks: DataFrame, limits: DataFrame, tile: str = "image_id",
                 a = np.frombuffer(raw, np.dtype(dtype)).reshape(int(h), int(w), int(c)).astype(float)
                 a = a[:, :, :3] if out == "preview" else a
                 unit = np.clip((a - lo) / (hi - lo), 0, 1) if hi is not None and hi > lo else np.zeros_like(a)
-                done = {"uint8": lambda u: np.rint(np.round(u * 255, 9)).astype(np.uint8), "preview": lambda u: np.floor(u * 255).astype(np.uint8), "float32": lambda u: u.astype(np.float32)}[out](unit)
+                done = {"uint8": lambda u: np.rint(np.round(u * 255, 9)).astype(np.uint8), "preview": lambda u: np.floor(u * 255).astype(np.uint8), "float32": lambda u: u.astype(np.float32), "float64": lambda u: u}[out](unit)
                 pixels.append(np.ascontiguousarray(done).tobytes())
                 kinds.append(done.dtype.name)
                 channels.append(done.shape[2])

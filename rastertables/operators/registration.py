@@ -1,8 +1,9 @@
 """Checks of registration: edges, shifts, separability.
 
 Sweeps over shifts work on block tables: each imagery block meets the labels (or
-a label block the gradient) of its own area and a halo of the largest shift, adds
-up what every shift needs in numpy, and only these sums are shuffled.
+a label block the imagery) of its own area and strips of the neighbours as wide as the
+largest shift; correlations by FFT give what all shifts need at once, and only these
+sums are shuffled.
 """
 
 from __future__ import annotations
@@ -10,72 +11,109 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .windows import extract_windows, gradient, smoothed
+from .exchange import as_array, found, kind_of, mapped, met, placed, send
+from .windows import gradient, smoothed
 
+#: Blocks that are unpacked and transformed together.
+BATCH = 1024
 SIZE = ["image_id", "image_height", "image_width"]
 
 
-def _with_halo(blocks: DataFrame, other: DataFrame, reach: int, block: int, pad_mode: str, extra: int = 0) -> DataFrame:
-    """Every block with the pixels of ``other`` in its area, ``reach + extra``
-    pixels wider on each side (o_pixels, o_dtype, o_h, o_w).  blocks also has
-    image_height and image_width."""
-    wide = reach + extra
-    own = blocks.withColumn("window_id", F.shiftleft(F.col("y0").cast("long"), 32).bitwiseOR(F.col("x0").cast("long")))
-    windows = own.select(
-        "image_id", "window_id", (F.col("y0") - wide).cast("long").alias("top"), (F.col("x0") - wide).cast("long").alias("left"),
-        (F.col("h") + 2 * wide).cast("long").alias("height"), (F.col("w") + 2 * wide).cast("long").alias("width"),
-        F.col("image_height").cast("long").alias("image_height"), F.col("image_width").cast("long").alias("image_width"),
-    )
-    cut = extract_windows(other, windows, block, pad_mode, 0)
-    cut = cut.select("image_id", "window_id", F.col("pixels").alias("o_pixels"), F.col("dtype").alias("o_dtype"), F.col("h").alias("o_h"), F.col("w").alias("o_w"))
-    return own.join(cut, ["image_id", "window_id"])
+def _limits(imagery: DataFrame) -> DataFrame:
+    return imagery.select(*SIZE).distinct()  # one row an image
 
 
-def _plane(raw: bytes, dtype: str, h: int, w: int) -> np.ndarray:
-    return np.frombuffer(raw, np.dtype(dtype)).reshape(int(h), int(w), -1)[:, :, 0]
+def _correlated(own: np.ndarray, other: np.ndarray, reach: int) -> np.ndarray:
+    """Spectrum whose inverse has at (reach + dy, reach + dx) the sum of own at p times other at
+    p + (dy, dx).  other (..., h + 2 reach, w + 2 reach) is wider on each side than own (..., h, w)."""
+    size = other.shape[-2:]
+    return np.conj(np.fft.rfft2(own, size)) * np.fft.rfft2(other, size)
+
+
+def _sums_by_shift(spectrum: np.ndarray, size: tuple[int, int], reach: int) -> np.ndarray:
+    return np.fft.irfft2(spectrum, size)[..., : 2 * reach + 1, : 2 * reach + 1]
+
+
+def _alike(rows: list[tuple]) -> Iterator[list[tuple]]:
+    """Rows (image, arrays...) whose arrays have the same shapes, by image; what is worked on
+    together is bounded."""
+    shapes: dict[tuple, list[tuple]] = {}
+    for r in rows:
+        shapes.setdefault(tuple(a.shape for a in r[1:]), []).append(r)
+    for shape, same in shapes.items():
+        most = max(1, (1 << 20) // max(1, shape[-1][0] * shape[-1][1]))
+        for at in range(0, len(same), most):
+            yield same[at : at + most]
+
+
+def _by_image(rows: list[tuple]) -> tuple[list, np.ndarray]:
+    """The different images of rows and which each row has."""
+    index: dict = {}
+    return index, np.array([index.setdefault(r[0], len(index)) for r in rows])
+
+
+def _added(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
+    """Rows of ``values`` added up by their image."""
+    out = np.zeros((n, *values.shape[1:]), values.dtype)
+    np.add.at(out, at, values)
+    return out
 
 
 def shift_sums(imagery: DataFrame, labels: DataFrame, shifts: list[tuple[int, int]], block: int, ds: int = 1, margin: int = 0, valid: bool = True) -> DataFrame:
     """image_id, dy, dx, class_id, n, s, ss: over imagery pixels on the grid of
     every ``ds`` pixels, ``margin`` grid steps inside the image, the count, sum and
     sum of squares of DN for each class of the label (dy, dx) grid steps away;
-    with ``valid`` only where both DN and class are above 0."""
-    reach = max((max(abs(y), abs(x)) for y, x in shifts), default=0) * ds
-    joined = _with_halo(imagery, labels, reach, block, "constant")
-    kind = dict(imagery.dtypes)["image_id"]
-
-    def sums(r) -> pd.DataFrame:
-        a = _plane(r.pixels, r.dtype, r.h, r.w).astype(np.int64)
-        b = _plane(r.o_pixels, r.o_dtype, r.o_h, r.o_w).astype(np.int64)
-        # Rows and columns on the grid and inside the margin, as places in the block.
-        place = lambda first, n, full: np.array([i for i in range(n) if (first + i) % ds == 0 and margin <= (first + i) // ds < -(-full // ds) - margin], dtype=int)
-        ys, xs = place(int(r.y0), int(r.h), int(r.image_height)), place(int(r.x0), int(r.w), int(r.image_width))
-        rows = []
-        for dy, dx in shifts:
-            y, x = ys + int(r.y0) + dy * ds, xs + int(r.x0) + dx * ds
-            y_in, x_in = (y >= 0) & (y < r.image_height), (x >= 0) & (x < r.image_width)
-            dn = a[np.ix_(ys[y_in], xs[x_in])].ravel()
-            cls = b[np.ix_(ys[y_in] + reach + dy * ds, xs[x_in] + reach + dx * ds)].ravel()
-            if valid:
-                good = (dn > 0) & (cls > 0)
-                dn, cls = dn[good], cls[good]
-            n = np.bincount(cls)
-            found = np.flatnonzero(n)
-            s, ss = np.bincount(cls, dn)[found], np.bincount(cls, dn * dn)[found]
-            rows.append(pd.DataFrame({"image_id": r.image_id, "dy": dy, "dx": dx, "class_id": found, "n": n[found], "s": s.astype(np.int64), "ss": ss.astype(np.int64)}))
-        return pd.concat(rows)
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = [sums(r) for r in batch.itertuples(index=False)]
-            if parts:
-                yield pd.concat(parts).groupby(["image_id", "dy", "dx", "class_id"], as_index=False).sum()
-
-    parts = joined.mapInPandas(run, f"image_id {kind}, dy long, dx long, class_id long, n long, s long, ss long")
+    with ``valid`` only where both DN and class are above 0.
+
+    Imagery blocks meet their own labels and strips of the neighbours' as wide as the
+    largest shift.  The sums of all shifts at once are correlations of the class masks
+    with DN's count, value and square, made by FFT for all blocks of a batch together and
+    added up by image before the inverse.  Squares are split so that each sum stays a
+    whole number below 2^47, which rounding restores."""
+    reach = max((max(abs(y), abs(x)) for y, x in shifts), default=0)
+    wide = reach * ds
+    rows = met(send(imagery, block, "own"), send(labels, block, "label", wide, wide)).join(F.broadcast(_limits(imagery)), "image_id")
+    wanted = np.array(sorted(set(shifts)), dtype=int).reshape(-1, 2)
+
+    def planes(r: dict) -> tuple | None:
+        own = found(r["parts"], "own")
+        if not own:
+            return None
+        o = own[0]
+        # Rows and columns on the grid: places in the block, and in grid steps.
+        ys, xs = (np.arange(-o[at] % ds, o[n], ds) for at, n in (("y", "h"), ("x", "w")))
+        if not len(ys) or not len(xs):
+            return None
+        a = as_array(o)[:, :, 0][np.ix_(ys, xs)].astype(np.int64)
+        b = placed(found(r["parts"], "label"), o["y"] - wide, o["x"] - wide, o["h"] + 2 * wide, o["w"] + 2 * wide, -1, "int64")[:, :, 0]
+        b = b[ys[0] : ys[0] + (len(ys) + 2 * reach - 1) * ds + 1 : ds, xs[0] : xs[0] + (len(xs) + 2 * reach - 1) * ds + 1 : ds]
+        inside = lambda at, first, full: (first + at >= margin * ds) & ((first + at) // ds < -(-full // ds) - margin)
+        use = inside(ys, o["y"], r["image_height"])[:, None] & inside(xs, o["x"], r["image_width"])[None, :]
+        return r["image_id"], np.where(use & (a > 0) if valid else use, a, 0), use & (a > 0) if valid else use, b
+
+    def work(lists: Iterator[list[dict]]) -> Iterator[list[dict]]:
+        for rows in lists:
+            out = []
+            for same in _alike([p for p in map(planes, rows) if p]):
+                index, at = _by_image(same)
+                a, use, b = (np.stack([r[k] for r in same]) for k in (1, 2, 3))
+                square = a * a
+                own = np.stack([use, a, square & 0xFFFF, square >> 16], axis=1).astype(np.float64)
+                for c in np.unique(b):
+                    if c < 0 or valid and c == 0:
+                        continue
+                    spectrum = _added(_correlated(own, (b == c)[:, None].astype(np.float64), reach), at, len(index))
+                    sums = np.rint(_sums_by_shift(spectrum, b.shape[1:], reach)).astype(np.int64)[:, :, wanted[:, 0] + reach, wanted[:, 1] + reach]
+                    for image, k in index.items():
+                        for j in np.flatnonzero(sums[k, 0]):
+                            n, s, low, high = (int(v) for v in sums[k, :, j])
+                            out.append({"image_id": image, "dy": int(wanted[j, 0]), "dx": int(wanted[j, 1]), "class_id": int(c), "n": n, "s": s, "ss": low + (high << 16)})
+            yield out
+
+    parts = mapped(rows, work, f"image_id {kind_of(imagery)}, dy long, dx long, class_id long, n long, s long, ss long", BATCH)
     return parts.groupBy("image_id", "dy", "dx", "class_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))
 
 
@@ -115,35 +153,42 @@ def edge_sweep(imagery: DataFrame, labels: DataFrame, reach: int, block: int, le
     image's border are dropped; an image with fewer than ``least`` edges has none
     but a null row."""
     radius = int(4 * sigma + 0.5) + 1
-    sized = labels.join(imagery.select(*SIZE).distinct(), "image_id") if "image_height" not in labels.columns else labels
-    near = _with_halo(sized.select("image_id", "y0", "x0", "h", "w", "channels", "dtype", "pixels", "image_height", "image_width"), imagery, reach, block, "symmetric", radius)
-    # Its own labels, one pixel wider: an edge differs from the next pixel.
-    both = near.withColumnRenamed("o_pixels", "g_pixels").withColumnRenamed("o_dtype", "g_dtype").withColumnRenamed("o_h", "g_h").withColumnRenamed("o_w", "g_w").drop("window_id")
-    both = _with_halo(both, labels, 1, block, "constant")
-    kind = dict(labels.dtypes)["image_id"]
-
-    def sums(r) -> pd.DataFrame:
-        g = _plane(r.g_pixels, r.g_dtype, r.g_h, r.g_w)
-        energy = smoothed(gradient(g[:, :, None].astype(np.float64)), sigma)[:, :, 0]
-        energy = np.where(g == 0, 0.0, energy)[radius:-radius, radius:-radius]
-        c = _plane(r.o_pixels, r.o_dtype, r.o_h, r.o_w)
-        h, w, y0, x0 = int(r.h), int(r.w), int(r.y0), int(r.x0)
-        own, right, down = c[1 : h + 1, 1 : w + 1], c[1 : h + 1, 2 : w + 2], c[2 : h + 2, 1 : w + 1]
+    wide = reach + radius
+    met_parts = met(send(labels, block, "own"), send(labels, block, "near", 0, 1, others=True), send(imagery, block, "image", wide, wide))
+    rows = met_parts.join(F.broadcast(_limits(imagery)), "image_id")
+
+    def planes(r: dict) -> tuple | None:
+        own = found(r["parts"], "own")
+        if not own:
+            return None
+        o = own[0]
+        y0, x0, h, w = o["y"], o["x"], o["h"], o["w"]
+        near = placed(own + found(r["parts"], "near"), y0, x0, h + 1, w + 1, -1, "int64")[:, :, 0]
+        a, right, down = near[:-1, :-1], near[:-1, 1:], near[1:, :-1]
         y, x = np.mgrid[y0 : y0 + h, x0 : x0 + w]
-        edge = (own > 0) & ((right != own) & (x + 1 < r.image_width) | (down != own) & (y + 1 < r.image_height))
-        edge &= (y > reach) & (y < r.image_height - reach) & (x > reach) & (x < r.image_width - reach)
-        ys, xs = np.nonzero(edge)
-        shifts = [(dy, dx) for dy in range(-reach, reach + 1) for dx in range(-reach, reach + 1)]
-        total = [float(energy[ys + reach + dy, xs + reach + dx].sum()) for dy, dx in shifts]
-        return pd.DataFrame({"image_id": r.image_id, "dy": [s[0] for s in shifts], "dx": [s[1] for s in shifts], "n": len(ys), "s": total})
-
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
-            parts = [sums(r) for r in batch.itertuples(index=False)]
-            if parts:
-                yield pd.concat(parts).groupby(["image_id", "dy", "dx"], as_index=False).sum()
-
-    parts = both.mapInPandas(run, f"image_id {kind}, dy long, dx long, n long, s double")
+        edge = (a > 0) & ((right != a) & (x + 1 < r["image_width"]) | (down != a) & (y + 1 < r["image_height"]))
+        edge &= (y > reach) & (y < r["image_height"] - reach) & (x > reach) & (x < r["image_width"] - reach)
+        top, left, bottom, far = max(y0 - wide, 0), max(x0 - wide, 0), min(y0 + h + wide, r["image_height"]), min(x0 + w + wide, r["image_width"])
+        g = placed(found(r["parts"], "image"), top, left, bottom - top, far - left, 0)[:, :, 0]
+        g = np.pad(g, ((top - y0 + wide, y0 + h + wide - bottom), (left - x0 + wide, x0 + w + wide - far)), mode="symmetric")
+        return r["image_id"], edge, g
+
+    def work(lists: Iterator[list[dict]]) -> Iterator[list[dict]]:
+        for rows in lists:
+            out = []
+            for same in _alike([p for p in map(planes, rows) if p]):
+                index, at = _by_image(same)
+                # The blocks of a batch side by side as channels: one pass of the filters.
+                g = np.stack([r[2] for r in same], axis=2)
+                energy = np.where(g == 0, 0.0, smoothed(gradient(g), sigma))[radius:-radius, radius:-radius].transpose(2, 0, 1)
+                edge = np.stack([r[1] for r in same]).astype(np.float64)
+                spectrum = _added(_correlated(edge, energy, reach), at, len(index))
+                sums, n = _sums_by_shift(spectrum, energy.shape[1:], reach), _added(edge.sum((1, 2)), at, len(index))
+                for image, k in index.items():
+                    out += [{"image_id": image, "dy": dy - reach, "dx": dx - reach, "n": int(n[k]), "s": float(v)} for (dy, dx), v in np.ndenumerate(sums[k])]
+            yield out
+
+    parts = mapped(rows, work, f"image_id {kind_of(labels)}, dy long, dx long, n long, s double", BATCH)
     swept = parts.groupBy("image_id", "dy", "dx").agg(F.sum("n").alias("n"), F.sum("s").alias("s"))
     enough = F.col("n") >= least
     known = swept.filter(enough).select("image_id", "dy", "dx", (F.col("s") / F.col("n")).alias("energy"))
