@@ -916,14 +916,13 @@ def s1_discover_rasters(blocks):
 
 @query("SELECT DISTINCT printf('Img_%04d', image_id) AS image_id, 64 AS height, 64 AS width, 1 AS channels, 'uint8' AS dtype, 16 AS total, 10 AS analysed FROM mosaic", "mosaic", of=("mosaic_blocks",))
 def s2_raster_inventory(blocks):
-    read = rasters.read_blocks(blocks.sparkSession, _written(blocks), block=24)
-    return rasters.raster_inventory(read, 16, 10).select("image_id", "height", "width", "channels", "dtype", "total", "analysed")
+    return rasters.file_inventory(blocks.sparkSession, _written(blocks), 16, 10).select("image_id", "height", "width", "channels", "dtype", "total", "analysed")
 
 
 @query(f"WITH {WHOLE} SELECT printf('Img_%04d', image_id) AS image_id, y, x, CAST(dn AS DOUBLE) AS v FROM whole WHERE y BETWEEN 10 AND 39 AND x BETWEEN 41 AND 63", "mosaic", of=("mosaic_blocks",))
 def s3_read_region(blocks):
-    """Files are read as blocks of 24 pixels; a region that reaches beyond them."""
-    read = rasters.read_blocks(blocks.sparkSession, _written(blocks), block=24)
+    """Of files in blocks of 24 pixels only a region is read, which reaches beyond them."""
+    read = rasters.read_blocks(blocks.sparkSession, _written(blocks), block=24, region=(10, 41, 30, 60))
     part = rasters.read_region(read, 10, 41, 30, 60)
     values = _values(part).join(part.select("image_id", "y0", "x0", "w"), F.col("tile") == F.col("image_id"))
     return values.select("image_id", (F.col("y0") + F.floor(F.col("i") / F.col("w"))).alias("y"), (F.col("x0") + F.col("i") % F.col("w")).alias("x"), "v")

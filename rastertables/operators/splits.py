@@ -5,8 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..sources.shared import stored
-from .tiling import seeded_order
+from .tiling import running_before, seeded_order
 
 
 def global_rank(df: DataFrame, order: Column, key: str, out: str) -> DataFrame:
@@ -66,22 +65,6 @@ def sample_per_group(df: DataFrame, groups: list[str], key: str, most: int, seed
     return df.withColumn("__n", F.row_number().over(Window.partitionBy(*groups).orderBy(order, key))).filter(F.col("__n") <= most).drop("__n")
 
 
-def running_before(df: DataFrame, group: str, order: str, amount: Column, out: str, name: str = "running") -> DataFrame:
-    """``df`` with the sum of ``amount`` over the rows before it in its group, by
-    ``order``.  Rows are range-partitioned by (group, order) and stored; sums are
-    taken within a partition and shifted by those of the partitions before, so a
-    group with most of the rows is spread over many tasks."""
-    keys = [F.col(group).asc_nulls_first(), F.col(order).asc_nulls_first()]
-    ranged = df.withColumn("__v", amount.cast("long")).repartitionByRange(*keys).withColumn("__p", F.spark_partition_id())
-    ranged = stored(ranged, name)
-    sums = ranged.groupBy(group, "__p").agg(F.sum("__v").alias("__s"))  # one row for each group and partition
-    ahead = Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col(group).alias("__g"), F.col("__p").alias("__q"), F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__b"))
-    within = F.sum("__v").over(Window.partitionBy("__p", group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    both = ranged.withColumn("__w", F.coalesce(within, F.lit(0))).join(sums, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
-    return both.withColumn(out, F.col("__b") + F.col("__w")).drop("__v", "__p", "__q", "__g", "__b", "__w")
-
-
 def cap_class_total(samples: DataFrame, cls: str, crop: str, most: int) -> DataFrame:
     """Crops in order contribute to a class while its total before is below ``most``."""
     counts = samples.groupBy(cls, crop).agg(F.count(F.lit(1)).alias("n"))

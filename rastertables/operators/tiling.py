@@ -97,12 +97,30 @@ def gallery_id(stem: Column, row: Column, col: Column) -> Column:
     return F.format_string("%s_%d_%d", stem, col, row)
 
 
+def running_before(df: DataFrame, group: str, order: str, amount: Column, out: str, name: str = "running") -> DataFrame:
+    """``df`` with the sum of ``amount`` over the rows before it in its group, by
+    ``order``.  Rows are range-partitioned by (group, order) and stored; sums are
+    taken within a partition and shifted by those of the partitions before, so a
+    group with most of the rows is spread over many tasks."""
+    keys = [F.col(group).asc_nulls_first(), F.col(order).asc_nulls_first()]
+    ranged = df.withColumn("__v", amount.cast("long")).repartitionByRange(*keys).withColumn("__p", F.spark_partition_id())
+    ranged = stored(ranged, name)
+    sums = ranged.groupBy(group, "__p").agg(F.sum("__v").alias("__s"))  # one row for each group and partition
+    ahead = Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(F.col(group).alias("__g"), F.col("__p").alias("__q"), F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__b"))
+    within = F.sum("__v").over(Window.partitionBy("__p", group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    both = ranged.withColumn("__w", F.coalesce(within, F.lit(0))).join(sums, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
+    return both.withColumn(out, F.col("__b") + F.col("__w")).drop("__v", "__p", "__q", "__g", "__b", "__w")
+
+
 def even_subsample(df: DataFrame, group: str, order: list[str], k: int) -> DataFrame:
-    """k rows of each group spread evenly over its order; a negative k keeps all."""
+    """k rows of each group spread evenly over its order; a negative k keeps all.  Places in the
+    order come from counts of its ranges, so a group with most of the rows is many tasks."""
     if k < 0:
         return df
-    w = Window.partitionBy(group)
-    ranked = df.withColumn("__i", F.row_number().over(w.orderBy(*order)) - 1).withColumn("__n", F.count(F.lit(1)).over(w))
+    sizes = df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))  # one row a group
+    ranked = running_before(df.withColumn("__o", F.struct(*order)), group, "__o", F.lit(1), "__i", "even-subsample")
+    ranked = ranked.join(sizes, F.col(group).eqNullSafe(F.col("__g"))).drop("__g", "__o")
     if k == 0:
         keep = F.lit(False)
     elif k == 1:
@@ -150,8 +168,9 @@ def batch_slice(files: DataFrame, start: int, count: int) -> DataFrame:
 
 
 def scan_order(records: DataFrame) -> DataFrame:
-    """Records of an image together, in (row, col) order."""
-    return records.repartition("image_id").sortWithinPartitions("image_id", "row", "col")
+    """Records of an image together, in (row, col) order.  Tasks get ranges of this order, so
+    an image with most of the records is many tasks."""
+    return records.orderBy("image_id", "row", "col")
 
 
 def follows_scan_order(records: DataFrame) -> DataFrame:

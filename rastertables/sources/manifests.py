@@ -106,8 +106,9 @@ def target_grid(rasters: DataFrame) -> DataFrame:
 
 def write_tiles(tiles: DataFrame, path: str, overwrite: bool = False) -> None:
     """Tiles as Parquet, a folder for each image.  Without ``overwrite`` the rows
-    are appended: J7 chooses those that are not there yet."""
-    tiles.repartition("image_id").write.mode("overwrite" if overwrite else "append").partitionBy("image_id").parquet(path)
+    are appended: J7 chooses those that are not there yet.  Small images share a task,
+    and a large one has as many tasks as the session's advisory partition size gives it."""
+    tiles.hint("rebalance", "image_id").write.mode("overwrite" if overwrite else "append").partitionBy("image_id").parquet(path)
 
 
 def write_manifest_index(manifest: DataFrame, path: str) -> None:
@@ -124,9 +125,10 @@ PREVIEW = (
 
 
 def write_image_manifests(manifest: DataFrame, path: str) -> None:
-    """The FIELDS of a manifest as CSV in a folder for each image."""
+    """The FIELDS of a manifest as CSV in a folder for each image; a large image has several
+    files."""
     folder = F.regexp_replace(F.element_at(F.split("source_image", "/"), -1), r"\.[^.]*$", "").alias("image")
-    manifest.select(*FIELDS, folder).repartition("image").write.mode("append").partitionBy("image").option("header", True).csv(path)
+    manifest.select(*FIELDS, folder).hint("rebalance", "image").write.mode("append").partitionBy("image").option("header", True).csv(path)
 
 
 def preview_manifest(manifest: DataFrame, picks: DataFrame, root: str = "previews") -> DataFrame:

@@ -116,3 +116,76 @@ def test_backend_prefers_the_cache(spark):
     found = {r["k"]: r["backend"] for r in M.resolve_backend(rows, existing).collect()}
     assert found == {1: "offline_paired_context", 2: "offline_shared_context", 3: "online_jp2"}
     assert {r["backend"] for r in M.resolve_backend(rows, existing, "online_jp2").collect()} == {"online_jp2"}
+
+
+def test_only_the_bytes_of_a_region_are_read(spark, tmp_path):
+    """The file ends after its first rows: what is read must lie before."""
+    image = np.arange(4000 * 300, dtype=np.uint16).reshape(4000, 300)
+    np.save(tmp_path / "a.npy", image)
+    whole = (tmp_path / "a.npy").read_bytes()
+    (tmp_path / "a.npy").write_bytes(whole[: 128 + 2 * 300 * 400])
+    headers = R.raster_headers(spark, str(tmp_path))
+    assert headers.first()["length"] == 128 + 2 * 300 * 400
+    region = (100, 50, 250, 120)
+    planned = R.planned_reads(headers, 64, region)
+    assert planned.agg({"bytes": "sum"}).first()[0] == 2 * 250 * 120 and planned.count() == 5
+    (row,) = R.read_region(R.read_blocks(spark, str(tmp_path), block=64, region=region), *region).collect()
+    assert (np.frombuffer(row["pixels"], np.uint16).reshape(250, 120) == image[100:350, 50:170]).all()
+    (sizes,) = R.file_inventory(spark, str(tmp_path), 1000, 3).collect()
+    assert (sizes["height"], sizes["width"], sizes["channels"], sizes["dtype"], sizes["total"], sizes["analysed"]) == (4000, 300, 1, "uint16", 4, 3)
+    errors = R.read_blocks(spark, str(tmp_path), block=1000).filter("error IS NOT NULL").collect()
+    assert len(errors) == 4 and "ends too early" in errors[0]["error"]
+
+
+def test_a_file_is_many_tasks(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "TASK_BYTES", 10_000)
+    monkeypatch.setattr(R, "READ_BYTES", 4_000)
+    image = np.random.default_rng(0).integers(0, 255, (300, 500)).astype(np.uint8)
+    np.save(tmp_path / "a.npy", image)
+    blocks = R.read_blocks(spark, str(tmp_path), block=50)
+    assert blocks.rdd.getNumPartitions() >= 15
+    got = np.zeros_like(image)
+    for r in blocks.collect():
+        assert r["y0"] % 50 == 0 and r["x0"] % 50 == 0 and r["error"] is None
+        got[r["y0"] : r["y0"] + r["h"], r["x0"] : r["x0"] + r["w"]] = np.frombuffer(r["pixels"], np.uint8).reshape(r["h"], r["w"])
+    assert (got == image).all()
+
+
+@pytest.mark.parametrize("image", [
+    np.arange(3 * 40 * 50, dtype=">i4").reshape(3, 40, 50), np.arange(40 * 50 * 2, dtype=np.float32).reshape(40, 50, 2), np.asfortranarray(np.arange(40 * 50).reshape(40, 50)),
+], ids=["channels first, big endian", "channels last", "columns first"])
+def test_layouts_of_files(spark, tmp_path, image):
+    np.save(tmp_path / "a.npy", image)
+    want = R.channels_last(image)
+    got = np.zeros(want.shape, want.dtype.newbyteorder("="))
+    for r in R.read_blocks(spark, str(tmp_path), block=16, region=(5, 7, 100, 30)).collect():
+        got[r["y0"] : r["y0"] + r["h"], r["x0"] : r["x0"] + r["w"]] = np.frombuffer(r["pixels"], r["dtype"]).reshape(r["h"], r["w"], r["channels"])
+    outside = got.copy()
+    outside[5:, 7:37] = 0
+    assert (got[5:, 7:37] == want[5:, 7:37]).all() and not outside.any()
+
+
+def test_broken_headers_and_decoders_in_an_inventory(spark, tmp_path, monkeypatch):
+    monkeypatch.setattr(R, "_DECODERS", list(R._DECODERS))
+    R.register_decoder("vrt", lambda raw: np.frombuffer(raw, np.uint8).reshape(2, -1))
+    (tmp_path / "a.vrt").write_bytes(b"abcdef")
+    (tmp_path / "b.npy").write_bytes(b"\x93NUMPY")
+    np.save(tmp_path / "c.npy", np.zeros((5, 4, 3), np.uint8))
+    found = {r["image_id"]: (r["height"], r["width"], r["channels"]) for r in R.file_inventory(spark, str(tmp_path), 2, 9).collect()}
+    assert found == {"a": (2, 3, 1), "c": (5, 4, 3)}
+    errors = [r["image_id"] for r in R.read_blocks(spark, str(tmp_path)).collect() if r["error"]]
+    assert errors == ["b"]
+
+
+def test_the_data_source_prunes_ranges(spark, tmp_path):
+    spark.conf.set("spark.sql.python.filterPushdown.enabled", "true")
+    spark.dataSource.register(R.NpyBlocks)
+    image = np.arange(4000 * 300, dtype=np.uint16).reshape(4000, 300)
+    np.save(tmp_path / "a.npy", image)
+    whole = (tmp_path / "a.npy").read_bytes()
+    (tmp_path / "a.npy").write_bytes(whole[: 128 + 2 * 300 * 400])
+    blocks = spark.read.format("npy_blocks").option("block", 100).option("task_bytes", 40_000).load(str(tmp_path))
+    rows = blocks.filter("y0 < 400 AND x0 >= 100").collect()
+    assert len(rows) == 8 and not any(r["error"] for r in rows)
+    assert all((np.frombuffer(r["pixels"], np.uint16).reshape(100, 100) == image[r["y0"] : r["y0"] + 100, r["x0"] : r["x0"] + 100]).all() for r in rows)
+    assert blocks.filter("image_id = 'b'").count() == 0
