@@ -21,12 +21,13 @@ ignored; no rows give no rows.
 from __future__ import annotations
 
 import pickle
+import warnings
 from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 WIDTH, HOP, POOL, FILTERS = 8, 4, 32, 16
@@ -170,18 +171,36 @@ def train(texts: list[str | None], labels: list[int], epochs: int = 12, batch: i
 def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: int, max_rows: int, max_bytes: int = MAX_BYTES) -> DataFrame:
     """At most ``max_rows`` labelled rows (doc_id, text, label) outside the held-out
     fold, the same at every run, half of them of each class where there are
-    enough.  In the order of a hash, rows are taken while their texts have at
-    most ``max_bytes`` in all.  This sample is all that training reads."""
+    enough.  In the order of a hash, rows are taken while a class has at most half of
+    ``max_bytes`` of text, then of either class while all have at most ``max_bytes``; a text
+    that does not fit is passed over, and those after it are not.  Sizes are looked at first
+    (``max_rows`` numbers, on the driver), and only texts that are taken are moved.  A class
+    without any text that fits is warned of.  This sample is all that training reads."""
     marks = labels.filter(F.col(label).isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != held))
     marks = marks.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
     order = F.xxhash64("doc_id")
     some = [marks.filter(F.col("label") == x).orderBy(order, "doc_id").limit(max_rows // 2) for x in (0, 1)]
     ids = some[0].unionByName(some[1])
-    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id")  # at most max_rows ids
-    rows = rows.groupBy("doc_id", "label").agg(F.min("text").alias("text"))
-    # At most max_rows rows: one window over all of them is small.
-    upto = F.sum(F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")).over(Window.orderBy(order, "doc_id"))
-    return rows.withColumn("upto", upto).filter(F.col("upto") <= max_bytes).select("doc_id", "text", "label")
+    size = F.coalesce(F.octet_length("text"), F.lit(0)).cast("long")
+    rows = docs.select("doc_id", "text").join(F.broadcast(ids), "doc_id").withColumn("size", size).withColumn("hash", F.xxhash64("text"))  # at most max_rows ids
+    # Of a repeated doc_id the shortest text counts.
+    sizes = rows.groupBy("doc_id", "label").agg(F.min(F.struct("size", "hash")).alias("t")).select("doc_id", "label", "t.size", "t.hash").orderBy(order, "doc_id")
+    found = sizes.collect()
+    taken, left = set(), {0: max_bytes // 2, 1: max_bytes // 2}
+    for share in (left, None):
+        rest = max_bytes - sum(r["size"] for i, r in enumerate(found) if i in taken)
+        for i, r in enumerate(found):
+            room = rest if share is None else share[r["label"]]
+            if i not in taken and r["size"] <= room:
+                taken.add(i)
+                rest -= r["size"]
+                left[r["label"]] -= r["size"]
+    for x in (0, 1):
+        if not any(found[i]["label"] == x for i in taken):
+            warnings.warn(f"no text of {label} = {x} to learn from", stacklevel=2)
+    chosen = docs.sparkSession.createDataFrame([tuple(found[i]) for i in sorted(taken)], sizes.schema)
+    texts = rows.drop("label").join(F.broadcast(chosen.select("doc_id", "label", "size", F.col("hash").alias("own"))), ["doc_id", "size"])
+    return texts.filter(F.col("hash").eqNullSafe(F.col("own"))).groupBy("doc_id", "label").agg(F.first("text").alias("text")).select("doc_id", "text", "label")
 
 
 def fitted_in_task(sample: DataFrame, train: Callable) -> tuple:
