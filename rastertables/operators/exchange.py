@@ -44,13 +44,16 @@ def each_row(batches: Iterator[pa.RecordBatch], per: int = ROWS) -> Iterator[lis
 
 
 def mapped(rows: DataFrame, work: Callable[[Iterator[list[dict]]], Iterator[list[dict]]], schema: str, per: int = ROWS) -> DataFrame:
-    """``rows`` through ``work``, which gets and gives lists of dicts."""
+    """``rows`` through ``work``, which gets lists of dicts and gives such lists, or columns as
+    a dict of arrays."""
     like = StructType.fromDDL(schema)
     names, form = like.names, to_arrow_schema(like)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for out in work(each_row(batches, per)):
-            if out:
+            if isinstance(out, dict):
+                yield pa.RecordBatch.from_arrays([pa.array(out[n], form.field(n).type) for n in names], schema=form)
+            elif out:
                 yield pa.RecordBatch.from_arrays([pa.array([r.get(n) for r in out], form.field(n).type) for n in names], schema=form)
 
     return rows.mapInArrow(run, like)

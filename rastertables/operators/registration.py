@@ -17,8 +17,9 @@ from pyspark.sql import functions as F
 from .exchange import as_array, found, kind_of, mapped, met, placed, send
 from .windows import gradient, smoothed
 
-#: Blocks that are unpacked and transformed together.
-BATCH = 1024
+#: Blocks that are unpacked and transformed together, and how many shifts a class must have
+#: for the transform to be cheaper than adding up.
+BATCH, DIRECT = 1024, 8
 SIZE = ["image_id", "image_height", "image_width"]
 
 
@@ -62,6 +63,33 @@ def _added(values: np.ndarray, at: np.ndarray, n: int) -> np.ndarray:
     return out
 
 
+def _summed(a: np.ndarray, use: np.ndarray, b: np.ndarray, at: np.ndarray, n: int, classes: np.ndarray, wanted: np.ndarray, reach: int) -> np.ndarray:
+    """Counts, sums and sums of squares of blocks a by image and class, shift by shift."""
+    h, w = a.shape[1:]
+    out = np.zeros((n, 3, len(classes), len(wanted)), np.int64)
+    which = np.where(np.isin(b, classes), np.searchsorted(classes, b), -1)
+    for j, (dy, dx) in enumerate(wanted):
+        c = which[:, reach + dy : reach + dy + h, reach + dx : reach + dx + w]
+        good = use & (c >= 0)
+        code = (at[:, None, None] * len(classes) + c)[good]
+        dn = a[good]
+        for k, weight in enumerate((None, dn, dn * dn)):
+            out[:, k, :, j] = np.rint(np.bincount(code, weight, n * len(classes))).reshape(n, len(classes))
+    return out
+
+
+def _transformed(a: np.ndarray, use: np.ndarray, b: np.ndarray, at: np.ndarray, n: int, classes: np.ndarray, wanted: np.ndarray, reach: int) -> np.ndarray:
+    """``_summed`` by FFT, of all shifts of a class at once."""
+    out = np.zeros((n, 3, len(classes), len(wanted)), np.int64)
+    square = a * a
+    own = np.stack([use, a, square & 0xFFFF, square >> 16], axis=1).astype(np.float64)
+    for i, c in enumerate(classes):
+        spectrum = _added(_correlated(own, (b == c)[:, None].astype(np.float64), reach), at, n)
+        sums = np.rint(_sums_by_shift(spectrum, b.shape[1:], reach)).astype(np.int64)[:, :, wanted[:, 0] + reach, wanted[:, 1] + reach]
+        out[:, :, i] = np.stack([sums[:, 0], sums[:, 1], sums[:, 2] + (sums[:, 3] << 16)], axis=1)
+    return out
+
+
 def shift_sums(imagery: DataFrame, labels: DataFrame, shifts: list[tuple[int, int]], block: int, ds: int = 1, margin: int = 0, valid: bool = True) -> DataFrame:
     """image_id, dy, dx, class_id, n, s, ss: over imagery pixels on the grid of
     every ``ds`` pixels, ``margin`` grid steps inside the image, the count, sum and
@@ -72,7 +100,8 @@ def shift_sums(imagery: DataFrame, labels: DataFrame, shifts: list[tuple[int, in
     largest shift.  The sums of all shifts at once are correlations of the class masks
     with DN's count, value and square, made by FFT for all blocks of a batch together and
     added up by image before the inverse.  Squares are split so that each sum stays a
-    whole number below 2^47, which rounding restores."""
+    whole number below 2^47, which rounding restores.  Where shifts are few beside the
+    classes, they are added up one by one, with the same sums."""
     reach = max((max(abs(y), abs(x)) for y, x in shifts), default=0)
     wide = reach * ds
     rows = met(send(imagery, block, "own"), send(labels, block, "label", wide, wide)).join(F.broadcast(_limits(imagery)), "image_id")
@@ -94,24 +123,21 @@ def shift_sums(imagery: DataFrame, labels: DataFrame, shifts: list[tuple[int, in
         use = inside(ys, o["y"], r["image_height"])[:, None] & inside(xs, o["x"], r["image_width"])[None, :]
         return r["image_id"], np.where(use & (a > 0) if valid else use, a, 0), use & (a > 0) if valid else use, b
 
-    def work(lists: Iterator[list[dict]]) -> Iterator[list[dict]]:
+    def work(lists: Iterator[list[dict]]) -> Iterator[dict]:
         for rows in lists:
-            out = []
             for same in _alike([p for p in map(planes, rows) if p]):
                 index, at = _by_image(same)
                 a, use, b = (np.stack([r[k] for r in same]) for k in (1, 2, 3))
-                square = a * a
-                own = np.stack([use, a, square & 0xFFFF, square >> 16], axis=1).astype(np.float64)
-                for c in np.unique(b):
-                    if c < 0 or valid and c == 0:
-                        continue
-                    spectrum = _added(_correlated(own, (b == c)[:, None].astype(np.float64), reach), at, len(index))
-                    sums = np.rint(_sums_by_shift(spectrum, b.shape[1:], reach)).astype(np.int64)[:, :, wanted[:, 0] + reach, wanted[:, 1] + reach]
-                    for image, k in index.items():
-                        for j in np.flatnonzero(sums[k, 0]):
-                            n, s, low, high = (int(v) for v in sums[k, :, j])
-                            out.append({"image_id": image, "dy": int(wanted[j, 0]), "dx": int(wanted[j, 1]), "class_id": int(c), "n": n, "s": s, "ss": low + (high << 16)})
-            yield out
+                classes = np.unique(b)
+                classes = classes[classes > (0 if valid else -1)]
+                if not len(classes):
+                    continue
+                # (images, 3, classes, shifts)
+                sums = (_summed if len(wanted) <= DIRECT * len(classes) else _transformed)(a, use, b, at, len(index), classes, wanted, reach)
+                image, c, j = np.nonzero(sums[:, 0])
+                n, s, ss = (sums[image, k, c, j] for k in range(3))
+                images = list(index)
+                yield {"image_id": [images[i] for i in image], "dy": wanted[j, 0], "dx": wanted[j, 1], "class_id": classes[c], "n": n, "s": s, "ss": ss}
 
     parts = mapped(rows, work, f"image_id {kind_of(imagery)}, dy long, dx long, class_id long, n long, s long, ss long", BATCH)
     return parts.groupBy("image_id", "dy", "dx", "class_id").agg(F.sum("n").alias("n"), F.sum("s").alias("s"), F.sum("ss").alias("ss"))

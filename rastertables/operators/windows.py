@@ -100,8 +100,11 @@ def map_tiles(tiles: DataFrame, kernel: Callable[[np.ndarray], np.ndarray]) -> D
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            new = pd.DataFrame([_fields(kernel(_array(r))) for _, r in batch.iterrows()], index=batch.index)
-            yield batch.assign(**{c: new[c] for c in new}) if len(batch) else batch
+            if len(batch):
+                shape = zip(batch["pixels"], batch["dtype"], batch["h"], batch["w"], batch["channels"], strict=True)
+                new = [_fields(kernel(np.frombuffer(raw, np.dtype(kind)).reshape(int(h), int(w), int(c)))) for raw, kind, h, w, c in shape]
+                batch = batch.assign(**{name: [f[name] for f in new] for name in new[0]})
+            yield batch
 
     return tiles.mapInPandas(run, tiles.schema)
 

@@ -152,8 +152,10 @@ def test_colours_are_decoded_in_blocks(spark):
     assert sorted(map(tuple, mosaics.block_histogram(blocks, palette, 9000).collect())) == sorted(map(tuple, labels.class_histogram(decoded, palette).collect()))
 
 
-def test_sums_by_shift_are_whole_numbers(spark):
-    """16-bit DN over wide shifts: the sums of squares are exact."""
+@pytest.mark.parametrize("direct", [0, 1000])
+def test_sums_by_shift_are_whole_numbers(spark, monkeypatch, direct):
+    """16-bit DN over wide shifts: the sums of squares are exact, by FFT and added up."""
+    monkeypatch.setattr(registration, "DIRECT", direct)
     rng = np.random.default_rng(8)
     image, classes = rng.integers(0, 65_536, (70, 90)).astype(np.uint16), rng.integers(0, 4, (70, 90)).astype(np.uint8)
     shifts = [(0, 0), (25, -3), (-30, 31)]
