@@ -24,28 +24,27 @@ def remove_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 def remove_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of those with equal normalised text: the least doc_id, a null one
-    last; of rows that repeat one stays.  Columns must not begin with k_ or l_."""
+    last; of rows that repeat one stays.  Further columns may have any name."""
     return exact_dedup.drop_copies(docs)
 
 
 def remove_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One row of each group of near copies: the least doc_id, null ones last.
-    Texts without words resemble nothing and stay.  Columns must not begin with j_
-    or l_."""
+    Texts without words resemble nothing and stay.  Further columns may have any name."""
     return ngram_join.one_of_each_class(docs)
 
 
 def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows as often as the mix takes them, 0 to 3 times.  A null source is a source;
     texts without words are never taken; rows that repeat in all columns are taken
-    equally often.  Columns must not begin with m_ or p_."""
+    equally often.  Further columns may have any name."""
     return mixing.mix(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows with ids and exact instead of the text; an empty text has no ids.
-    Columns named ids or exact are an error."""
-    return pieces.encode(docs)
+    These take the place of columns of the input that are named ids or exact."""
+    return pieces.encode(docs.drop("ids", "exact"))
 
 
 STAGES = [

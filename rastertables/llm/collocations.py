@@ -37,8 +37,8 @@ from .common import MAP_BITS, MAPS, stored
 #: Bytes as they are read: A-Z lower-cased, what ends a piece a line feed, what parts words a space.
 _READ = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?" or 10 <= b <= 13 else 32 if b == 9 else b for b in range(256))
 _TOKENS = re.compile(rb"\n|[^\n ]+")
-#: Rows read together, and bytes of texts after which what a task holds is counted and sent on.
-ROWS, HELD_BYTES = 64, 1 << 24
+#: Rows read together, bytes of texts after which what a task holds is counted, and rows sent on together.
+ROWS, HELD_BYTES, SENT = 64, 1 << 23, 1 << 16
 
 
 def _mixed(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
@@ -59,7 +59,7 @@ class Words:
         number = self.number
         raw = text.encode("utf-8", "replace").translate(_READ)
         tokens = _TOKENS.findall(raw)
-        self.texts.append(np.fromiter(chain((number.setdefault(t, len(number) - 1) for t in tokens), (-1,)), np.int64, len(tokens) + 1))
+        self.texts.append(np.fromiter(chain((number.setdefault(t, len(number) - 1) for t in tokens), (-1,)), np.int32, len(tokens) + 1))
         return len(raw)
 
     def taken(self, width: int) -> tuple[list[bytes], np.ndarray, np.ndarray]:
@@ -68,7 +68,7 @@ class Words:
         words = list(self.number)[1:]
         seed = xxh64_intdigest(self.lang.encode("utf-8", "replace"))
         hashes = _mixed(np.fromiter(map(xxh64_intdigest, words), np.uint64, len(words)), np.uint64(seed))
-        ids = np.concatenate([*self.texts, np.full(width, -1, np.int64)])
+        ids = np.concatenate([*self.texts, np.full(width, -1, np.int32)])
         lead = np.stack([ids[k : len(ids) - width + k] for k in range(width)], axis=1)
         lead = lead[lead[:, 0] >= 0]
         for k in range(1, width):
@@ -120,7 +120,9 @@ def hash_counts(texts: DataFrame, least: int, name: str) -> DataFrame:
             inside = lead[lead[:, 1] >= 0]
             found, n = np.unique(np.concatenate([hashes[lead[:, 0]], _pairs(hashes, inside[:, 0], inside[:, 1])]), return_counts=True)
             yield pa.RecordBatch.from_pydict({"lang": [lang], "hash": pa.array([None], pa.int64()), "n": [len(lead)]})
-            yield pa.RecordBatch.from_pydict({"lang": pa.nulls(len(found), pa.string()), "hash": found.view(np.int64), "n": n})
+            for at in range(0, len(found), SENT):
+                part = found[at : at + SENT].view(np.int64)
+                yield pa.RecordBatch.from_pydict({"lang": pa.nulls(len(part), pa.string()), "hash": part, "n": n[at : at + SENT]})
 
     sums = texts.mapInArrow(run, "lang string, hash long, n long").groupBy("lang", "hash").agg(F.sum("n").alias("n"))
     return stored(sums.filter((F.col("n") >= least) | F.col("hash").isNull()), name)
@@ -165,10 +167,12 @@ def lead_windows(texts: DataFrame, may: Maybe, most: int) -> DataFrame:
                 lead[out, k:] = -1
             lead = lead[_order(lead, len(words))]
             first = np.flatnonzero(np.concatenate([[True], (lead[1:] != lead[:-1]).any(axis=1)])[: len(lead)])
-            n = np.diff(np.append(first, len(lead)))
+            n, lead = np.diff(np.append(first, len(lead))), lead[first]
             texts = pa.array([w.decode("utf-8", "replace") for w in words], pa.string())
-            columns = [texts.take(pa.array(np.where(c >= 0, c, 0), mask=c < 0)) for c in lead[first].T]
-            yield pa.RecordBatch.from_arrays([pa.array([lang] * len(first), pa.string()), *columns, pa.array(n, pa.int64())], ["lang", *names, "n"])
+            for at in range(0, len(n), SENT):
+                part = lead[at : at + SENT]
+                columns = [texts.take(pa.array(np.where(c >= 0, c, 0), mask=c < 0)) for c in part.T]
+                yield pa.RecordBatch.from_arrays([pa.array([lang] * len(part), pa.string()), *columns, pa.array(n[at : at + SENT], pa.int64())], ["lang", *names, "n"])
 
     return texts.mapInArrow(run, ", ".join(f"{c} string" for c in ["lang", *names]) + ", n long")
 

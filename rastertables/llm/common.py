@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -13,6 +14,9 @@ SPACES = r"[\x20\x09-\x0D]+"
 WORDS = r"[^\x20\x09-\x0D]+"
 #: A key is hot if it has more than this share of all rows; so at most this many keys are.
 HOT_KEYS = 1000
+#: A table that is broadcast has at most this many bytes (as text); larger rows of hot keys are
+#: copied for each of SALTS parts of their key's rows.
+BROADCAST_BYTES, SALTS = 32 << 20, 64
 
 
 def shared_dir(spark: SparkSession, name: str) -> str:
@@ -43,11 +47,12 @@ def split_join(rows: DataFrame, table: DataFrame, key: str, size: str, how: str
     one task.  The table is a stored one; small tables are broadcast.
 
     The keys that have more than 1 / HOT_KEYS of all rows are at most HOT_KEYS:
-    their part of the table is broadcast and their rows stay where they are.
+    their part of the table is broadcast and their rows stay where they are, unless
+    that part is too large: then it is copied, and their rows are shuffled in parts.
     All others are shuffled on the key.
     """
     total, keys = table.agg(F.sum(size), F.count(F.lit(1))).first()
-    if keys <= HOT_KEYS:
+    if keys <= HOT_KEYS and _small(table):
         return rows.join(F.broadcast(table), key, how)
     large = F.col(size) * HOT_KEYS > total
     hot = table.filter(large)
@@ -55,7 +60,24 @@ def split_join(rows: DataFrame, table: DataFrame, key: str, size: str, how: str
     if few.isEmpty():
         return rows.join(table, key, how)
     usual = rows.join(F.broadcast(few), key, "left_anti").join(table.filter(~large), key, how)
-    return usual.unionByName(rows.join(F.broadcast(hot), key))
+    if _small(hot):
+        return usual.unionByName(rows.join(F.broadcast(hot), key))
+    parts = rows.join(F.broadcast(few), key, "left_semi").withColumn("l_salt", F.pmod(F.monotonically_increasing_id(), F.lit(SALTS)).cast("int"))
+    copies = hot.withColumn("l_salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    return usual.unionByName(parts.join(copies, [key, "l_salt"]).drop("l_salt"))
+
+
+def _small(table: DataFrame) -> bool:
+    """Whether a table of at most HOT_KEYS rows may be broadcast."""
+    return (table.agg(F.sum(F.octet_length(F.to_json(F.struct("*"))).cast("long"))).first()[0] or 0) <= BROADCAST_BYTES
+
+
+def with_own_names(docs: DataFrame, work: Callable[[DataFrame], DataFrame], own: tuple[str, ...] = ("doc_id", "text", "source")) -> DataFrame:
+    """``work`` on ``docs``, whose columns besides ``own`` are renamed meanwhile, so that they
+    may have any name."""
+    plain = {c: c if c in own else f"column{i}" for i, c in enumerate(docs.columns)}
+    out = work(docs.select(*[F.col(f"`{c}`").alias(p) for c, p in plain.items()]))
+    return out.select(*[F.col(p).alias(c) for c, p in plain.items()])
 
 
 #: Bits of one bitmap, and how many bitmaps a filter has at most (16 MB in all).

@@ -24,7 +24,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .common import SPACES, Likely, shared_dir, split_join, stored, text_or_empty
+from .common import SPACES, Likely, shared_dir, split_join, stored, text_or_empty, with_own_names
 
 #: State on disk: without preallocated files, as there is a store per partition,
 #: with one bounded memory for all stores of an executor, closed after each batch.
@@ -108,17 +108,21 @@ def _differing_hits(docs: DataFrame, decided: DataFrame, digest: Callable[[Colum
     salts = F.ceil(F.col("group_size") / ROWS_PER_SALT).cast("int")
     hits = decided.filter("group_size > 1")
     likely = Likely(stored(hits.select("raw").distinct(), "dedup-hits"), "dedup-likely")
-    hits = hits.select("doc_id", "digest", "locator", "keep_id", "keep_locator", salts.alias("salts")).distinct()
+    # Rows that repeat doc_id, text and file are one place; a place that most rows share stays in
+    # the tasks that read it.
+    place = F.concat_ws(":", F.hex("digest"), F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("null")), F.md5("locator"))
+    hits = hits.withColumn("place", place).groupBy("place", "doc_id", "digest", "locator", "keep_id", "keep_locator", salts.alias("salts")).agg(F.count(F.lit(1)).alias("rows"))
+    hits = stored(hits, "dedup-places")
     # Only texts that are likely hits are normalised again and moved.
     texts = likely.mark(docs.select("doc_id", "text", F.input_file_name().alias("d_locator")), _raw_hash(docs), "d_likely").filter("d_likely")
-    texts = texts.select(F.col("doc_id").alias("d_id"), "d_locator", normalised().alias("d_text")).withColumn("d_digest", digest(F.col("d_text")))
-    hits = hits.join(texts, F.col("doc_id").eqNullSafe(F.col("d_id")) & (F.col("digest") == F.col("d_digest")) & (F.col("locator") == F.col("d_locator")))
+    texts = texts.select("doc_id", F.col("d_locator").alias("locator"), normalised().alias("d_text")).withColumn("digest", digest(F.col("d_text")))
+    hits = split_join(texts.withColumn("place", place).select("place", "d_text"), hits, "place", "rows")
     stays = F.col("doc_id").eqNullSafe(F.col("keep_id")) & (F.col("locator") == F.col("keep_locator"))
     first = (
         hits.filter(stays).groupBy("digest", "salts").agg(F.min("d_text").alias("first_text"))
         .select(F.col("digest").alias("f_digest"), "first_text", F.explode(F.sequence(F.lit(0), F.col("salts") - 1)).alias("f_salt"))
     )
-    salted = hits.withColumn("salt", F.pmod(F.xxhash64("doc_id", "locator"), F.col("salts")).cast("int"))
+    salted = hits.withColumn("salt", F.pmod(F.monotonically_increasing_id(), F.col("salts")).cast("int"))
     pairs = salted.join(first, (F.col("digest") == F.col("f_digest")) & (F.col("salt") == F.col("f_salt")))
     return pairs.filter(F.col("d_text") != F.col("first_text")).select("doc_id", "digest", F.col("d_text").alias("text"))
 
@@ -140,7 +144,11 @@ def _regrouped(decided: DataFrame, odd: DataFrame) -> DataFrame:
 
 
 def drop_copies(docs: DataFrame) -> DataFrame:
-    """The rows of ``docs`` that stay, with all their columns."""
+    """The rows of ``docs`` that stay, with all their columns, which may have any name."""
+    return with_own_names(docs, _without_copies)
+
+
+def _without_copies(docs: DataFrame) -> DataFrame:
 
     def key(digest: Column) -> Column:
         return F.concat_ws(":", F.hex(digest), F.coalesce(F.concat(F.lit("="), F.col("doc_id").cast("string")), F.lit("null")))

@@ -29,7 +29,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, text_or_empty
+from .common import HOT_KEYS, stored, text_or_empty
 
 K, L, M = 2, 2, 64
 TOKENS = r"[^\x20\x09-\x0D]{1,12}"
@@ -90,8 +90,8 @@ def as_string(sig: Column) -> Column:
 
 
 def next_places(docs: DataFrame, partitions: int | None = None) -> DataFrame:
-    """key (the doc_id as text, ~ for null), hash (of the text), n_chars, next_key,
-    next_hash: the next place in the descending order of doc_id (nulls last, then by
+    """key (the doc_id as text, ~ for null), hash (of the text), n_chars, rows (that share
+    the place), next_key, next_hash: the next place in the descending order of doc_id (nulls last, then by
     hash), the first after the last.  Places are range-partitioned and stored, so
     that each window sees one range; ranges meet over one row per range."""
     spark = docs.sparkSession
@@ -100,7 +100,7 @@ def next_places(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     order = [F.col("doc_id").desc_nulls_last(), F.col("hash").asc()]
     # Equal places are in one range; the first of them stands for all.
     ranged = stored(places.repartitionByRange(parts, *order).withColumn("part", F.spark_partition_id()), "fingerprint-ranges")
-    places = ranged.groupBy("part", "doc_id", "key", "hash").agg(F.max("n_chars").alias("n_chars"))
+    places = ranged.groupBy("part", "doc_id", "key", "hash").agg(F.max("n_chars").alias("n_chars"), F.count(F.lit(1)).alias("rows"))
     head = F.struct("key", "hash").alias("head")
     first = F.row_number().over(Window.partitionBy("part").orderBy(*order))
     ends = ranged.select("part", head, first.alias("n")).filter("n = 1")
@@ -109,7 +109,7 @@ def next_places(docs: DataFrame, partitions: int | None = None) -> DataFrame:
     inside = F.lead(F.struct("key", "hash")).over(Window.partitionBy("part").orderBy(*order))
     following = F.coalesce("inside", "after")
     joined = places.withColumn("inside", inside).join(ends, F.col("part") == F.col("e_part"))
-    return joined.select("key", "hash", "n_chars", following["key"].alias("next_key"), following["hash"].alias("next_hash"))
+    return joined.select("key", "hash", "n_chars", "rows", following["key"].alias("next_key"), following["hash"].alias("next_hash"))
 
 
 def _key() -> Column:
@@ -119,9 +119,17 @@ def _key() -> Column:
 def fingerprints(docs: DataFrame) -> DataFrame:
     """Fingerprints of every text and of its edited text (the last third
     replaced by the start of the next document), with their likeness."""
-    # Both joins below read these three columns only, and so share one shuffle.
-    texts = docs.select(text_or_empty().alias("text"), _key().alias("key")).withColumn("hash", F.xxhash64("text"))
     order = stored(next_places(docs), "fingerprint-order")
+    texts = docs.select(text_or_empty().alias("text"), _key().alias("key")).withColumn("hash", F.xxhash64("text"))
+    # A place that more than 1 / HOT_KEYS of all rows share is one row from here to the end: its
+    # text comes from each task once.  There are at most HOT_KEYS such places.
+    total = order.agg(F.sum("rows")).first()[0] or 0
+    shared = order.filter((F.col("rows") > 1) & (F.col("rows") * HOT_KEYS > total)).select("key", "hash", F.col("rows").alias("times"))
+    several = not shared.isEmpty()
+    if several:
+        once = texts.join(F.broadcast(shared), ["key", "hash"], "left_semi").groupBy("key", "hash").agg(F.first("text").alias("text"))
+        texts = texts.join(F.broadcast(shared), ["key", "hash"], "left_anti").select("text", "key", "hash").unionByName(once)
+    # Both joins below read these three columns only, and so share one shuffle.
     # The start of the next text, as long as the last third of this one.
     cut = F.floor(F.col("n_chars") / 3).cast("int").alias("cut")
     wanted = order.select(F.col("next_key").alias("key"), F.col("next_hash").alias("hash"), F.col("key").alias("for_key"), F.col("hash").alias("for_hash"), cut)
@@ -136,7 +144,10 @@ def fingerprints(docs: DataFrame) -> DataFrame:
     signed = stored(signed, "fingerprint-rows")
     following = signed.groupBy(F.col("key").alias("n_key"), F.col("hash").alias("n_hash")).agg(F.first("sig").alias("f_sig"))
     doc_id = F.when(F.col("key") != "~", F.col("key").cast(dict(docs.dtypes)["doc_id"]))
-    return signed.join(following, ["n_key", "n_hash"]).select(
+    found = signed.join(following, ["n_key", "n_hash"])
+    if several:
+        found = found.join(F.broadcast(shared), ["key", "hash"], "left").withColumn("time", F.explode(F.sequence(F.lit(1), F.coalesce("times", F.lit(1)).cast("int"))))
+    return found.select(
         doc_id.alias("doc_id"), "n_chars", F.lower(F.hex("edited_sha256")).alias("edited_sha256"), as_string(F.col("sig")).alias("fingerprint"), as_string(F.col("edited_sig")).alias("edited_fingerprint"),
         "near_edited", likeness(F.col("sig"), F.col("f_sig")).alias("near_next"),
     )

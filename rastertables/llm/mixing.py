@@ -14,8 +14,8 @@ source with a third of all rows is not one task.
 Defined cases: a null text has size 0; a null source is a source of its own,
 last in order; a source without words has target 0; a null doc_id is hashed
 by its whole row; rows that repeat in all columns are taken equally often (the
-fractional repetition takes all of them or none); no rows give no rows; columns
-of the input must not begin with m_ or p_.
+fractional repetition takes all of them or none); no rows give no rows; other
+columns may have any name.
 """
 
 from __future__ import annotations
@@ -23,7 +23,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import stored, word_count
+from .common import split_join, stored, with_own_names, word_count
 
 #: Weights of the sources in order of their names, repeating.
 WEIGHTS = (5, 2, 1)
@@ -97,6 +97,16 @@ def _plan(sized: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFr
     return stored(out.select("p_source", "source_size", "target", "whole", "cut", "fill"), "mix-plan")
 
 
+def _planned(rows: DataFrame, sized: DataFrame, weights: tuple[int, ...], max_epochs: int) -> DataFrame:
+    """``rows`` with the plan of their source; a source with most of the rows is many tasks,
+    however many sources there are."""
+    counts = sized.groupBy(F.col("source").alias("c_source")).agg(F.count(F.lit(1)).alias("c_rows"))
+    plan = _plan(sized, weights, max_epochs).join(counts, F.col("p_source").eqNullSafe(F.col("c_source"))).drop("c_source")
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c)), F.lit("null"))
+    plan = stored(plan.withColumn("m_key", key("p_source")), "mix-plan-keys")
+    return split_join(rows.withColumn("m_key", key("source")), plan, "m_key", "c_rows")
+
+
 def _repeats() -> Column:
     extra = (F.col("m_rank") <= F.col("cut")) & (F.col("m_size") > 0)
     return F.col("whole") + extra.cast("long") + F.coalesce(F.col("m_rank") == F.col("fill"), F.lit(False)).cast("long")
@@ -106,7 +116,7 @@ def mixed(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int =
     """One row per document: doc_id, source, size, source_size, target and
     repeats (how often the mix takes the document)."""
     sized = stored(_marked(docs, seed).select("doc_id", "source", "m_size", "m_rank", "m_bucket"), "mix-sizes")
-    planned = sized.join(_plan(sized, weights, max_epochs), F.col("source").eqNullSafe(F.col("p_source")))
+    planned = _planned(sized, sized, weights, max_epochs)
     return planned.select("doc_id", "source", F.col("m_size").alias("size"), "source_size", "target", _repeats().alias("repeats"))
 
 
@@ -114,10 +124,14 @@ def mix(docs: DataFrame, weights: tuple[int, ...] = WEIGHTS, max_epochs: int = 3
     """The mix itself: every row of ``docs`` as often as it is taken, its
     columns unchanged.  Rows are told by their rank, which their own columns
     give; texts meet the plan of their source and are not shuffled while the
-    sources are few."""
+    sources are few, nor those of a large source."""
+    return with_own_names(docs, lambda plain: _mix(plain, weights, max_epochs, seed))
+
+
+def _mix(docs: DataFrame, weights: tuple[int, ...], max_epochs: int, seed: str) -> DataFrame:
     marked = _marked(docs, seed)
     sized = stored(marked.select("source", "m_size", "m_rank", "m_bucket"), "mix-sizes")
-    planned = marked.join(_plan(sized, weights, max_epochs), F.col("source").eqNullSafe(F.col("p_source"))).withColumn("m_times", _repeats().cast("int"))
+    planned = _planned(marked, sized, weights, max_epochs).withColumn("m_times", _repeats().cast("int"))
     return planned.filter("m_times > 0").withColumn("m_copy", F.explode(F.sequence(F.lit(1), F.col("m_times")))).select(*[F.col(f"`{c}`") for c in docs.columns])
 
 

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Likely, split_join, stored
+from .common import Likely, split_join, stored, with_own_names
 from .components import components
 from .shingles import band_hashes, choose_bands, shingle_set
 
@@ -257,7 +257,11 @@ def jaccard_classes(docs: DataFrame, **options) -> DataFrame:
 
 def one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     """The rows of ``docs`` that represent their class: of each group of near
-    duplicates the one of least doc_id (rows without one last)."""
+    duplicates the one of least doc_id (rows without one last); columns may have any name."""
+    return with_own_names(docs, lambda plain: _one_of_each_class(plain, **options))
+
+
+def _one_of_each_class(docs: DataFrame, **options) -> DataFrame:
     rows = numbered(docs)
     lost = classes_of_rows(rows, counts=False, **options).filter("NOT stays").select("j_row")
     lost = stored(lost, "ngram-lost")

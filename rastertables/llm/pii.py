@@ -15,7 +15,8 @@ radix; each format says how a value becomes such a list and back:
 - IPv4 addresses: four digits of radix 256;
 - social security numbers: area (001-899 without 666), group 01-99, serial
   0001-9999;
-- telephone numbers: the digits after the country code, separators kept;
+- telephone numbers: the digits after the country code, separators kept; the code is
+  told by its first digits, however the number is spaced;
 - email addresses: letters and digits of the local part, each in its class, by a
   permutation of their domain's own.
 
@@ -47,6 +48,10 @@ SSN = r"(?<![0-9-])[0-9]{3}-[0-9]{2}-[0-9]{4}(?![0-9-])"
 PHONE = r"(?<![0-9A-Za-z])(?:\+[0-9]{1,3}[ .-]?)?(?:\([0-9]{3}\)|[0-9]{3})[ .-][0-9]{3}[ .-][0-9]{4}(?![0-9A-Za-z])|\+[0-9]{1,3}(?:[ .-]?[0-9]{2,4}){2,5}(?![0-9A-Za-z])|(?<![0-9A-Za-z])0[1-9](?:[ .][0-9]{2}){4}(?![0-9A-Za-z])"
 CARD = r"(?<![0-9A-Za-z])[0-9](?:[ -]?[0-9]){12,18}(?![0-9A-Za-z])"
 ANY = "|".join(f"(?:{p})" for p in (EMAIL, IPV4, DATE, DAY_FIRST, SSN, CARD, PHONE))
+#: Fixed values of the international numbering plan: country codes of one and two digits; all
+#: others have three.  Separators may stand between the digits.
+CODES = r"[17]|2[ .-]?[07]|3[ .-]?[0-469]|4[ .-]?[013-9]|5[ .-]?[1-8]|6[ .-]?[0-6]|8[ .-]?[1246]|9[ .-]?[0-58]"
+CODE = rf"^\+(?:{CODES}|[0-9](?:[ .-]?[0-9]){{2}})"
 #: First day of the 400-year cycle that dates are permuted in.
 FIRST_DAY = "1800-01-01"
 LOWER, UPPER = "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
@@ -146,7 +151,7 @@ def _ssn(s: Column, key: str) -> Column:
 
 
 def _phone(s: Column, key: str) -> Column:
-    code = F.regexp_extract(s, r"^\+[0-9]{1,3}[ .-]|^\+[0-9]", 0)
+    code = F.regexp_extract(s, CODE, 0)
     body = F.substr(s, F.length(code) + 1)
     digits = _digits(body)
     return F.concat(code, _refill(body, feistel(digits, _ten(digits), key, "number")))
@@ -197,11 +202,14 @@ def pseudonymised(docs: DataFrame, text: str = "text", key: str | None = None, f
     """``docs`` with ``text`` pseudonymised and the number of values replaced."""
     if found in docs.columns:
         raise ValueError(f"a column {found} exists: name the count otherwise")
+    names = docs.columns
+    docs = docs.select(*[F.col(f"`{c}`").alias("text" if c == text else f"column{i}") for i, c in enumerate(names)])
     key = key or session_key(docs.sparkSession)
-    hit = F.col(text).rlike("[0-9]|@")
-    steps = docs.withColumn("__found", F.when(hit, F.regexp_extract_all(text, F.lit(ANY), F.lit(0))))
-    steps = steps.withColumn("__gaps", F.when(F.size("__found") > 0, F.split(text, ANY, -1)))
-    steps = steps.withColumn("__new", F.when(F.size("__found") > 0, F.transform("__found", lambda s: pseudonym(s, key))))
-    woven = F.array_join(F.zip_with("__gaps", "__new", lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
-    steps = steps.withColumn(found, F.coalesce(F.size(F.filter(F.arrays_zip("__found", "__new"), lambda x: x["__found"] != x["__new"])), F.lit(0)).cast("long"))
-    return steps.withColumn(text, F.when(F.col("__new").isNotNull(), woven).otherwise(F.col(text))).drop("__found", "__gaps", "__new")
+    hit = F.col("text").rlike("[0-9]|@")
+    steps = docs.withColumn("found", F.when(hit, F.regexp_extract_all("text", F.lit(ANY), F.lit(0))))
+    steps = steps.withColumn("gaps", F.when(F.size("found") > 0, F.split("text", ANY, -1)))
+    steps = steps.withColumn("new", F.when(F.size("found") > 0, F.transform("found", lambda s: pseudonym(s, key))))
+    woven = F.array_join(F.zip_with("gaps", "new", lambda g, n: F.concat(g, F.coalesce(n, F.lit("")))), "")
+    count = F.coalesce(F.size(F.filter(F.arrays_zip("found", "new"), lambda x: x["found"] != x["new"])), F.lit(0)).cast("long")
+    out = {c: F.when(F.col("new").isNotNull(), woven).otherwise(F.col("text")) if c == text else F.col(f"column{i}") for i, c in enumerate(names)}
+    return steps.select(*[v.alias(c) for c, v in out.items()], count.alias(found))

@@ -339,3 +339,62 @@ def test_pieces_keep_columns_and_repeats(spark):
         pieces.encode(df)
     got = pieces.encode(df, exact="same").collect()
     assert len(got) == 4 and all(r.same for r in got) and sorted(str(r.exact) for r in got) == ["None", "x", "x", "y"]
+
+
+@pytest.mark.parametrize("where", ["first", "last", "both classes"])
+def test_a_long_text_does_not_empty_the_sample(spark, where):
+    """Texts of 49 MB in the order of the fit: all others are learned from as before."""
+    marks = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
+    order = [r.doc_id for r in marks.filter("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
+    long = {"first": order[:1], "last": order[-1:], "both classes": [next(i for i in order if i % 2 == k) for k in (0, 1)]}[where]
+    docs = marks.select("doc_id", F.when(F.col("doc_id").isin(long), F.repeat(F.lit("word "), 9_800_000)).otherwise(F.concat(F.lit("text "), F.col("doc_id").cast("string"))).alias("text"))
+    got = quality.labelled(docs, marks, "toxic", 4, 2, 300).toPandas()
+    assert sorted(got["doc_id"]) == sorted(set(order) - set(long)) and set(got["label"]) == {0, 1}
+    with pytest.warns(UserWarning, match="toxic = 1"):
+        assert quality.labelled(docs, marks.filter("toxic = 0"), "toxic", 4, 2, 300).count() > 100
+
+
+@pytest.mark.parametrize("how", ["inner", "left"])
+def test_large_rows_of_hot_keys_are_copied_in_parts(spark, monkeypatch, how):
+    monkeypatch.setattr(common, "BROADCAST_BYTES", 10)
+    rows = common.stored(spark.range(4000).select(F.when(F.col("id") < 3000, -1).otherwise(F.col("id")).alias("k"), "id"), "rows")
+    table = common.stored(rows.groupBy("k").agg(F.count(F.lit(1)).alias("n"), F.repeat(F.lit("x"), 100).alias("wide")).filter("k <> 3500"), "table")
+    got = common.split_join(rows, table, "k", "n", how)
+    assert got.count() == (3999 if how == "inner" else 4000) and got.filter("k = -1 AND length(wide) = 100").count() == 3000
+    assert got.select("id").distinct().count() == got.count() and set(got.columns) == {"k", "id", "n", "wide"}
+
+
+def test_rows_that_repeat_are_spread(spark):
+    """90 % of the rows repeat text and (null) identifier."""
+    df = spark.createDataFrame([(None, "same  text here", "s")] * 900 + [(i, f"text {i % 60} and more", "s") for i in range(100)], "doc_id long, text string, source string").repartition(5)
+    got = exact_dedup.dedup_decisions(df).collect()
+    assert len(got) == 1000 and sorted({(r.doc_id, r.group_size) for r in got if r.doc_id is None}) == [(None, 900)] and sum(r.kept for r in got) == 61
+    assert exact_dedup.drop_copies(df).count() == 61
+    signed = fingerprints.fingerprints(df).collect()
+    assert len(signed) == 1000 and len({(r.fingerprint, r.edited_sha256, r.near_next) for r in signed if r.doc_id is None}) == 1
+    alone = {tuple(r) for r in fingerprints.fingerprints(df.filter("doc_id IS NOT NULL").union(df.filter("doc_id IS NULL").limit(1))).collect()}
+    assert {tuple(r) for r in signed} == alone
+
+
+def test_columns_of_any_name(spark):
+    names = ["k_key", "k_stays", "j_row", "j_likely", "l_h", "m_size", "p_source", "found", "__found", "new", "a b"]
+    df = spark.createDataFrame([(i, f"one two three four five six {i // 2} 10.0.0.{i}", "s", *[f"{n} {i}" for n in names]) for i in range(6)], ["doc_id", "text", "source", *names])
+    for work in (exact_dedup.drop_copies, ngram_join.one_of_each_class, mixing.mix, lambda d: pii.pseudonymised(d, key="k").drop("n_found")):
+        out = work(df)
+        assert out.columns == df.columns and out.count() > 0
+        assert all(r[n] == f"{n} {r.doc_id}" for r in out.collect() for n in names)
+    import corpus_pipeline
+
+    assert set(corpus_pipeline.encode(spark, df.withColumn("ids", F.lit("x")), "").columns) == set(df.columns) - {"text"} | {"ids", "exact"}
+
+
+def test_telephone_numbers_stay_linked(spark):
+    """However a number is spaced, its code stays and the other digits are the same."""
+    spelled = ["+49 30 1234567", "+4930 1234567", "+49301234567", "+49-30-1234567"]
+    others = ["+1 555 123 4567", "+353 1 234 5678", "+7 495 123-45-67", "+420 601 123 456", "+44 20 7946 0958"]
+    rows = spark.createDataFrame([(i, f"call {p} now") for i, p in enumerate([*spelled, *others])], "doc_id long, text string")
+    got = [r.text[5:-4] for r in pii.pseudonymised(rows, key="k").orderBy("doc_id").collect()]
+    digits = lambda s: re.sub(r"[^0-9]", "", s)
+    assert len({digits(p) for p in got[:4]}) == 1 and digits(got[0]) != digits(spelled[0]) and digits(got[0]).startswith("49")
+    assert [re.sub("[0-9]", "0", p) for p in got] == [re.sub("[0-9]", "0", p) for p in [*spelled, *others]]
+    assert [digits(p)[:n] for p, n in zip(got[4:], (1, 3, 1, 3, 2), strict=True)] == ["1", "353", "7", "420", "44"]
