@@ -343,11 +343,11 @@ def test_pieces_keep_columns_and_repeats(spark):
 
 @pytest.mark.parametrize("where", ["first", "last", "both classes"])
 def test_a_long_text_does_not_empty_the_sample(spark, where):
-    """Texts of 49 MB in the order of the fit: all others are learned from as before."""
+    """Texts of 52 MB in the order of the fit: all others are learned from as before."""
     marks = spark.range(300).select(F.col("id").alias("doc_id"), (F.col("id") % 2).cast("int").alias("toxic"))
     order = [r.doc_id for r in marks.filter("crc32(cast(cast(doc_id as string) as binary)) % 4 <> 2").orderBy(F.xxhash64("doc_id"), "doc_id").collect()]
     long = {"first": order[:1], "last": order[-1:], "both classes": [next(i for i in order if i % 2 == k) for k in (0, 1)]}[where]
-    docs = marks.select("doc_id", F.when(F.col("doc_id").isin(long), F.repeat(F.lit("word "), 9_800_000)).otherwise(F.concat(F.lit("text "), F.col("doc_id").cast("string"))).alias("text"))
+    docs = marks.select("doc_id", F.when(F.col("doc_id").isin(long), F.repeat(F.lit("word "), 10_500_000)).otherwise(F.concat(F.lit("text "), F.col("doc_id").cast("string"))).alias("text"))
     got = quality.labelled(docs, marks, "toxic", 4, 2, 300).toPandas()
     assert sorted(got["doc_id"]) == sorted(set(order) - set(long)) and set(got["label"]) == {0, 1}
     with pytest.warns(UserWarning, match="toxic = 1"):
