@@ -32,7 +32,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from .common import MAP_BITS, MAPS, stored
+from .common import MAP_BITS, MAPS, small_batches, stored
 
 #: Bytes as they are read: A-Z lower-cased, what ends a piece a line feed, what parts words a space.
 _READ = bytes(b + 32 if 65 <= b <= 90 else 10 if b in b".,;:!?" or 10 <= b <= 13 else 32 if b == 9 else b for b in range(256))
@@ -223,6 +223,7 @@ def collocations(docs: DataFrame, most: int = 4, least: int = 30, share: int = 8
     longer one with ``share`` % of their occurrences."""
     if most < 2:
         raise ValueError("phrases have at least two words")
+    small_batches(docs.sparkSession)
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     counts = hash_counts(texts, least, "collocation-hashes")
     maybe = Maybe.of(counts.filter("hash IS NOT NULL"))

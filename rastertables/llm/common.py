@@ -41,6 +41,17 @@ def stored(df: DataFrame, name: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+#: Bytes of rows that go to Python at once; a larger row goes alone.
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+
+
+def small_batches(spark: SparkSession) -> None:
+    """Let the session send rows to Python in batches of at most BATCH_BYTES: long texts are
+    held twice, by the JVM outside its heap and by Python."""
+    if int(spark.conf.get(BATCH).rstrip("b")) > BATCH_BYTES:
+        spark.conf.set(BATCH, f"{BATCH_BYTES}b")
+
+
 def split_join(rows: DataFrame, table: DataFrame, key: str, size: str, how: str = "inner") -> DataFrame:
     """``rows`` joined with ``table`` (one row for each ``key``, which is never
     null; ``size`` says how many of the rows have it) so that no key lands in

@@ -35,7 +35,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import Likely, split_join, stored, with_own_names
+from .common import Likely, small_batches, split_join, stored, with_own_names
 from .components import components
 from .shingles import band_hashes, choose_bands, shingle_set
 
@@ -196,6 +196,7 @@ def _star_pairs(met: DataFrame, sets: DataFrame) -> DataFrame:
 
 def numbered(docs: DataFrame) -> DataFrame:
     """``docs`` with j_row, stored, so that a row's number stays the same."""
+    small_batches(docs.sparkSession)
     return stored(docs.withColumn("j_row", F.monotonically_increasing_id()), "ngram-rows")
 
 

@@ -33,6 +33,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import small_batches
+
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, USER, UNUSED, BYTE = 1, 2, 4, 5, 6
@@ -208,6 +210,7 @@ def encode(docs: DataFrame, text: str = "text", path: str = MODEL, ids: str = "i
     clash = {ids, exact} & (set(docs.columns) - {text})
     if clash:
         raise ValueError(f"columns {sorted(clash)} exist: choose other names for the results")
+    small_batches(docs.sparkSession)
     model = docs.sparkSession.sparkContext.broadcast(_model(path))
     rest = [c for c in docs.columns if c != text]
     fields = [docs.schema[c] for c in rest]

@@ -30,6 +30,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from .common import small_batches
+
 WIDTH, HOP, POOL, FILTERS = 8, 4, 32, 16
 MAX_ROWS, MAX_BYTES = 3000, 48 << 20
 #: Texts that are handed to Python objects at a time.
@@ -176,6 +178,7 @@ def labelled(docs: DataFrame, labels: DataFrame, label: str, fold: int, held: in
     that does not fit is passed over, and those after it are not.  Sizes are looked at first
     (``max_rows`` numbers, on the driver), and only texts that are taken are moved.  A class
     without any text that fits is warned of.  This sample is all that training reads."""
+    small_batches(docs.sparkSession)
     marks = labels.filter(F.col(label).isNotNull() & (F.crc32(F.col("doc_id").cast("string").cast("binary")) % fold != held))
     marks = marks.groupBy("doc_id").agg(F.min(F.col(label).cast("int")).alias("label"))
     order = F.xxhash64("doc_id")

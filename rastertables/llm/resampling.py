@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..operators.tiling import with_index
-from .common import stored
+from .common import small_batches, stored
 
 #: Bytes that belong to words, A-Z lower-cased; all others separate.
 _KEPT = bytes(b + 32 if 65 <= b <= 90 else b if b >= 128 or 48 <= b <= 57 or 97 <= b <= 122 else 32 for b in range(256))
@@ -131,6 +131,7 @@ def hashed_features(docs: DataFrame, low: int, high: int, buckets: int, name: st
     """A stored table: doc_id, n_words, n_features and hashed (the features' buckets),
     from one scan of every text."""
     kind = stored_as(buckets)
+    small_batches(docs.sparkSession)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
