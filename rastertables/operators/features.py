@@ -9,8 +9,12 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..sources.shared import stored
+
 #: Heads (one short row each) that are sent to every task.
 MOST_HEADS = 10_000
+#: Bytes of matrices that are sent to every task.
+MOST_BYTES = 256 << 20
 
 
 def pooled_features(rows: DataFrame, crop: str, features: str) -> DataFrame:
@@ -30,7 +34,10 @@ def class_moments(rows: DataFrame, label: str, features: str) -> DataFrame:
     shuffled is one F x F matrix per class and partition."""
     means = rows.select(label, F.posexplode(features).alias("dim", "v")).groupBy(label, "dim").agg(F.avg(F.col("v").cast("double")).alias("m"))
     means = means.groupBy(label).agg(F.array_sort(F.collect_list(F.struct("dim", "m"))).alias("s")).select(F.col(label).alias("c"), F.transform("s", lambda x: x["m"]).alias("mean"))
-    known = {r.c: np.array(r.mean) for r in means.collect()}  # one vector per class
+    vectors = means.limit(MOST_HEADS + 1).collect()  # one vector per class
+    if len(vectors) > MOST_HEADS:
+        raise ValueError(f"more than {MOST_HEADS} classes: their means are too many to send to every task")
+    known = {r.c: np.array(r.mean) for r in vectors}
     kind = dict(rows.dtypes)[label]
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -50,16 +57,24 @@ def class_moments(rows: DataFrame, label: str, features: str) -> DataFrame:
 
 
 def fit_class_gaussians(rows: DataFrame, label: str, features: str, shared: bool = True, eps: float = 1e-6) -> DataFrame:
-    """label, mean, precision (row-major F x F): per class or of pooled residuals."""
-    fitted = class_moments(rows, label, features).toPandas()  # F x F per class
-    scatters = [np.array(s).reshape(len(m), len(m)) for s, m in zip(fitted["scatter"], fitted["mean"], strict=True)]
+    """label, mean, precision (row-major F x F): per class or of pooled residuals.  Each
+    class is inverted where its moments are."""
+    moments = stored(class_moments(rows, label, features).select(label, "n", "mean", "scatter"), "class-moments")
+    fitted = moments
     if shared:
-        scatters = [sum(scatters)] * len(scatters)
-        counts = [fitted["n"].sum()] * len(scatters)
-    else:
-        counts = fitted["n"]
-    precision = [np.linalg.pinv(s / max(1, n - 1) + eps * np.eye(len(s))).ravel().tolist() for s, n in zip(scatters, counts, strict=True)]
-    return rows.sparkSession.createDataFrame([(c.item() if hasattr(c, "item") else c, list(m), p) for c, m, p in zip(fitted[label], fitted["mean"], precision, strict=True)], f"{label} {dict(rows.dtypes)[label]}, mean array<double>, precision array<double>")
+        pooled = moments.select(F.posexplode("scatter").alias("i", "v")).groupBy("i").agg(F.sum("v").alias("v"))
+        pooled = pooled.agg(F.transform(F.array_sort(F.collect_list(F.struct("i", "v"))), lambda x: x["v"]).alias("scatter"))  # F x F
+        fitted = moments.select(label, "mean").crossJoin(F.broadcast(pooled.crossJoin(moments.agg(F.sum("n").alias("n")))))
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            found = []
+            for n, mean, scatter in zip(b["n"], b["mean"], b["scatter"], strict=True):
+                s = np.asarray(scatter, float).reshape(len(mean), len(mean))
+                found.append(np.linalg.pinv(s / max(1, n - 1) + eps * np.eye(len(s))).ravel().tolist())
+            yield pd.DataFrame({label: b[label], "mean": b["mean"], "precision": found})
+
+    return fitted.select(label, "n", "mean", "scatter").mapInPandas(run, f"{label} {dict(rows.dtypes)[label]}, mean array<double>, precision array<double>")
 
 
 def mahalanobis_score(rows: DataFrame, stats: DataFrame, features: str, reference: float | None = None, normalise: bool | None = None) -> DataFrame:
@@ -67,6 +82,9 @@ def mahalanobis_score(rows: DataFrame, stats: DataFrame, features: str, referenc
     is not given, with a reference) divided by the reference distance (1 where it is
     missing or 0) and clipped to 0..1."""
     normalise = reference is not None if normalise is None else normalise
+    held = stats.agg(F.sum(F.size("precision").cast("long"))).first()[0] or 0
+    if 8 * held > MOST_BYTES:
+        raise ValueError(f"{8 * held} bytes of precisions are too many to send to every task")
     fitted = stats.toPandas()  # F x F per class
     means = np.stack(fitted["mean"].to_numpy())
     precision = np.stack(fitted["precision"].to_numpy()).reshape(len(means), means.shape[1], means.shape[1])
@@ -83,14 +101,21 @@ def mahalanobis_score(rows: DataFrame, stats: DataFrame, features: str, referenc
 
 
 def fit_class_pca(rows: DataFrame, label: str, features: str, n_components: int = 4) -> DataFrame:
-    """label, component, eigenvalue, direction, n of each class's principal directions."""
-    out = []
-    for r in class_moments(rows, label, features).toLocalIterator():  # F x F per class
-        dim, n = len(r["mean"]), r["n"]
-        values, vectors = np.linalg.eigh(np.array(r["scatter"]).reshape(dim, dim) / max(1, n - 1))
-        for i in range(min(n_components, n, dim)):
-            out.append((r[label], i, float(values[-1 - i]), vectors[:, -1 - i].tolist(), list(r["mean"]), n))
-    return rows.sparkSession.createDataFrame(out, f"{label} {dict(rows.dtypes)[label]}, component int, eigenvalue double, direction array<double>, mean array<double>, n long")
+    """label, component, eigenvalue, direction, mean, n of each class's principal directions,
+    found where the class's moments are."""
+    kind = dict(rows.dtypes)[label]
+    schema = f"{label} {kind}, component int, eigenvalue double, direction array<double>, mean array<double>, n long"
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for b in batches:
+            out = []
+            for c, n, mean, scatter in zip(b[label], b["n"], b["mean"], b["scatter"], strict=True):
+                dim = len(mean)
+                values, vectors = np.linalg.eigh(np.asarray(scatter, float).reshape(dim, dim) / max(1, n - 1))
+                out += [(c, i, float(values[-1 - i]), vectors[:, -1 - i].tolist(), list(mean), n) for i in range(min(n_components, n, dim))]
+            yield pd.DataFrame(out, columns=[label, "component", "eigenvalue", "direction", "mean", "n"])
+
+    return class_moments(rows, label, features).select(label, "n", "mean", "scatter").mapInPandas(run, schema)
 
 
 def project_components(rows: DataFrame, pca: DataFrame, label: str, features: str) -> DataFrame:

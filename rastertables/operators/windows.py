@@ -14,6 +14,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .exchange import mapped, placed
+
 WINDOW = ["image_id", "window_id", "top", "left", "height", "width", "image_height", "image_width"]
 
 
@@ -56,25 +58,23 @@ def extract_windows(blocks: DataFrame, windows: DataFrame, block: int, pad_mode:
     spread = spread.select("*", F.explode_outer(cells("left", "width", "image_width")).alias("bx"))
     parts = blocks.select("image_id", F.floor(F.col("y0") / block).alias("by"), F.floor(F.col("x0") / block).alias("bx"), "y0", "x0", "h", "w", "channels", "dtype", "pixels")
 
-    def cut(group: pd.DataFrame) -> pd.DataFrame:
-        g = group.iloc[0]
-        known = group[group["pixels"].notna()]
-        top, left, bottom, right = g["top"], g["left"], g["top"] + g["height"], g["left"] + g["width"]
-        if not len(known):
-            out = np.full((g["height"], g["width"], 1), pad_value, np.float32)
-        else:
-            y0, y1, x0, x1 = max(top, 0), min(bottom, g["image_height"]), max(left, 0), min(right, g["image_width"])
-            out = np.full((y1 - y0, x1 - x0, int(known["channels"].iloc[0])), pad_value, np.dtype(known["dtype"].iloc[0]))
-            for _, b in known.iterrows():
-                at_y, at_x = int(b["y0"]), int(b["x0"])
-                ya, yb, xa, xb = max(y0, at_y), min(y1, at_y + int(b["h"])), max(x0, at_x), min(x1, at_x + int(b["w"]))
-                out[ya - y0 : yb - y0, xa - x0 : xb - x0] = _array(b)[ya - at_y : yb - at_y, xa - at_x : xb - at_x]
-            pads = ((y0 - top, bottom - y1), (x0 - left, right - x1), (0, 0))
-            out = np.pad(out, pads, mode=pad_mode, **({"constant_values": pad_value} if pad_mode == "constant" else {}))
-        return pd.DataFrame([{"image_id": g["image_id"], "window_id": g["window_id"], **_fields(mean_shrunk(out, shrink))}])
+    def cut(r: dict) -> np.ndarray:
+        top, left, bottom, right = r["top"], r["left"], r["top"] + r["height"], r["left"] + r["width"]
+        if not r["parts"]:
+            return np.full((r["height"], r["width"], 1), pad_value, np.float32)
+        y0, y1, x0, x1 = max(top, 0), min(bottom, r["image_height"]), max(left, 0), min(right, r["image_width"])
+        out = placed(r["parts"], y0, x0, y1 - y0, x1 - x0, pad_value)
+        pads = ((y0 - top, bottom - y1), (x0 - left, right - x1), (0, 0))
+        return np.pad(out, pads, mode=pad_mode, **({"constant_values": pad_value} if pad_mode == "constant" else {}))
+
+    def work(lists: Iterator[list[dict]]) -> Iterator[list[dict]]:
+        for rows in lists:
+            yield [{"image_id": r["image_id"], "window_id": r["window_id"], **_fields(mean_shrunk(cut(r), shrink))} for r in rows]
 
     met = spread.join(parts, ["image_id", "by", "bx"], "left")
-    return met.groupBy("image_id", "window_id").applyInPandas(cut, _tile_schema(windows))
+    part = F.struct(F.col("y0").alias("y"), F.col("x0").alias("x"), "h", "w", "channels", "dtype", "pixels")
+    met = met.groupBy(*WINDOW).agg(F.collect_list(F.when(F.col("pixels").isNotNull(), part)).alias("parts"))
+    return mapped(met, work, _tile_schema(windows))
 
 
 def context_from_base(bases: DataFrame, patches: DataFrame, block: int, pad_mode: str = "edge", pad_value: float = 0.0) -> DataFrame:
