@@ -42,7 +42,7 @@ def stored(df: DataFrame, name: str) -> DataFrame:
 
 
 #: Bytes of rows that go to Python at once; a larger row goes alone.
-BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 4 << 20
+BATCH, BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch", 2 << 20
 
 
 def small_batches(spark: SparkSession) -> None:

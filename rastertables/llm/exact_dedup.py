@@ -34,7 +34,9 @@ STORE = {
     "spark.sql.streaming.stateStore.unloadOnCommit": "true",
     ROCKS + "allowFAllocate": "false",
     ROCKS + "boundedMemoryUsage": "true",
-    ROCKS + "maxMemoryUsageMB": "64",
+    ROCKS + "maxMemoryUsageMB": "24",
+    ROCKS + "writeBufferSizeMB": "2",
+    ROCKS + "maxWriteBufferNumber": "2",
 }
 #: Rows of one group that are compared with one copy of the text that stays.
 ROWS_PER_SALT = 64

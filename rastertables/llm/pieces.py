@@ -39,7 +39,7 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, USER, UNUSED, BYTE = 1, 2, 4, 5, 6
 #: Characters of words that are kept with their ids, and pairs of pieces judged, in a Python worker.
-CACHE, PAIRS = 1_500_000, 150_000
+CACHE, PAIRS = 500_000, 100_000
 #: Texts encoded at a time within a batch.
 ROWS = 128
 
