@@ -41,6 +41,10 @@ _TOKENS = re.compile(rb"\n|[^\n ]+")
 ROWS, HELD_BYTES, SENT = 64, 1 << 23, 1 << 16
 
 
+#: Bits of the hashes that are counted: what two of them share only lets more windows pass.
+HASH_BITS = 40
+
+
 def _mixed(a: np.ndarray, b: np.ndarray | np.uint64) -> np.ndarray:
     """A hash of two hashes."""
     x = (a ^ (b >> np.uint64(29))) * np.uint64(0x9E3779B97F4A7C15) + b
@@ -118,7 +122,8 @@ def hash_counts(texts: DataFrame, least: int, name: str) -> DataFrame:
             lang = held.lang
             _, hashes, lead = held.taken(2)
             inside = lead[lead[:, 1] >= 0]
-            found, n = np.unique(np.concatenate([hashes[lead[:, 0]], _pairs(hashes, inside[:, 0], inside[:, 1])]), return_counts=True)
+            every = np.concatenate([hashes[lead[:, 0]], _pairs(hashes, inside[:, 0], inside[:, 1])])
+            found, n = np.unique(every & np.uint64((1 << HASH_BITS) - 1), return_counts=True)
             yield pa.RecordBatch.from_pydict({"lang": [lang], "hash": pa.array([None], pa.int64()), "n": [len(lead)]})
             for at in range(0, len(found), SENT):
                 part = found[at : at + SENT].view(np.int64)
