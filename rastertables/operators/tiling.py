@@ -97,20 +97,31 @@ def gallery_id(stem: Column, row: Column, col: Column) -> Column:
     return F.format_string("%s_%d_%d", stem, col, row)
 
 
-def running_before(df: DataFrame, group: str, order: str, amount: Column, out: str, name: str = "running") -> DataFrame:
+def running_before(df: DataFrame, group: str, order: str, amount: Column, out: str, name: str = "running", total: str | None = None) -> DataFrame:
     """``df`` with the sum of ``amount`` over the rows before it in its group, by
-    ``order``.  Rows are range-partitioned by (group, order) and stored; sums are
-    taken within a partition and shifted by those of the partitions before, so a
+    ``order``, and as ``total`` that of its whole group.  Rows are range-partitioned by (group, order) and stored; sums are
+    taken within a partition and, of a group that lies in several, shifted by those of the partitions before, so a
     group with most of the rows is spread over many tasks."""
     keys = [F.col(group).asc_nulls_first(), F.col(order).asc_nulls_first()]
     ranged = df.withColumn("__v", amount.cast("long")).repartitionByRange(*keys).withColumn("__p", F.spark_partition_id())
     ranged = stored(ranged, name)
-    sums = ranged.groupBy(group, "__p").agg(F.sum("__v").alias("__s"))  # one row for each group and partition
-    ahead = Window.partitionBy(group).orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
-    sums = sums.select(F.col(group).alias("__g"), F.col("__p").alias("__q"), F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__b"))
-    within = F.sum("__v").over(Window.partitionBy("__p", group).orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
-    both = ranged.withColumn("__w", F.coalesce(within, F.lit(0))).join(sums, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")))
-    return both.withColumn(out, F.col("__b") + F.col("__w")).drop("__v", "__p", "__q", "__g", "__b", "__w")
+    own = Window.partitionBy("__p", group)
+    within = F.sum("__v").over(own.orderBy(order).rowsBetween(Window.unboundedPreceding, -1))
+    both = ranged.withColumn("__w", F.coalesce(within, F.lit(0)))
+    if total:
+        both = both.withColumn("__a", F.coalesce(F.sum("__v").over(own), F.lit(0)))
+    sums = ranged.groupBy(group, "__p").agg(F.sum("__v").alias("__s"))
+    every = Window.partitionBy(group)
+    ahead = every.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)
+    sums = sums.select(
+        F.col(group).alias("__g"), F.col("__p").alias("__q"), F.coalesce(F.sum("__s").over(ahead), F.lit(0)).alias("__b"), F.sum("__s").over(every).alias("__t"), F.count(F.lit(1)).over(every).alias("__c")
+    )
+    parted = F.broadcast(sums.filter("__c > 1"))  # ranges cut at most two groups a partition
+    both = both.join(parted, F.col(group).eqNullSafe(F.col("__g")) & (F.col("__p") == F.col("__q")), "left")
+    both = both.withColumn(out, F.coalesce("__b", F.lit(0)) + F.col("__w"))
+    if total:
+        both = both.withColumn(total, F.coalesce("__t", "__a")).drop("__a")
+    return both.drop("__v", "__p", "__q", "__g", "__b", "__w", "__t", "__c")
 
 
 def even_subsample(df: DataFrame, group: str, order: list[str], k: int) -> DataFrame:
@@ -118,9 +129,7 @@ def even_subsample(df: DataFrame, group: str, order: list[str], k: int) -> DataF
     order come from counts of its ranges, so a group with most of the rows is many tasks."""
     if k < 0:
         return df
-    sizes = df.groupBy(F.col(group).alias("__g")).agg(F.count(F.lit(1)).alias("__n"))  # one row a group
-    ranked = running_before(df.withColumn("__o", F.struct(*order)), group, "__o", F.lit(1), "__i", "even-subsample")
-    ranked = ranked.join(sizes, F.col(group).eqNullSafe(F.col("__g"))).drop("__g", "__o")
+    ranked = running_before(df.withColumn("__o", F.struct(*order)), group, "__o", F.lit(1), "__i", "even-subsample", "__n").drop("__o")
     if k == 0:
         keep = F.lit(False)
     elif k == 1:

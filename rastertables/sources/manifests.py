@@ -133,8 +133,8 @@ def write_image_manifests(manifest: DataFrame, path: str) -> None:
 
 def preview_manifest(manifest: DataFrame, picks: DataFrame, root: str = "previews") -> DataFrame:
     """The PREVIEW columns of the picked tiles of a manifest (picks: source_image,
-    row, col, example_index)."""
-    rows = manifest.join(picks, ["source_image", "row", "col"])
+    row, col, example_index).  There may be some of every image, so they are never broadcast."""
+    rows = manifest.join(picks.hint("merge"), ["source_image", "row", "col"])
     stem = F.regexp_replace(F.element_at(F.split("source_image", "/"), -1), r"\.[^.]*$", "")
     name = preview_name(stem, F.col("example_index"), F.col("row"), F.col("col"), F.col("top"), F.col("left"))
     return rows.withColumn("preview_path", F.concat(F.lit(root.rstrip("/") + "/"), name)).select(*PREVIEW)

@@ -58,3 +58,15 @@ def test_even_subsample_of_a_large_image(spark, small_parts, k):
         if at:
             want[image] = [keys[i] for i in at]
     assert {i: sorted(x) for i, x in got.items()} == want
+
+
+def test_what_grows_with_images_is_not_broadcast(spark):
+    rows = rows_of(spark).withColumn("image_id", F.concat("image_id", F.col("row").cast("string")))
+    picked = tiling.even_subsample(rows, "image_id", ["row", "col"], 3)
+    kind = {c: F.lit("").alias(c) for c in manifests.PREVIEW}
+    manifest = rows.select(F.col("image_id").alias("source_image"), "row", "col", *[v for c, v in kind.items() if c not in ("source_image", "row", "col", "example_index", "preview_path", "top", "left")], F.lit(0).alias("top"), F.lit(0).alias("left"))
+    picks = picked.select(F.col("image_id").alias("source_image"), "row", "col", F.lit(1).alias("example_index"))
+    for df, n in ((picked, 420), (manifests.preview_manifest(manifest, picks), None)):
+        got = df.collect()
+        final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
+        assert (n is None or len(got) <= n) and got and final.count("BroadcastExchange") <= 1  # groups that ranges cut
