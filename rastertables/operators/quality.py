@@ -55,14 +55,44 @@ def block_invalid_fraction(counts: DataFrame, tile: str = "image_id") -> DataFra
     return counts.groupBy(tile).agg((bad / F.sum("pixels")).alias("invalid_fraction"))
 
 
+def _summed_product(a: Column, b: Column, c: Column) -> Column:
+    """a * b + c rounded once: the product's error, from halves of 26 bits, and the sum's
+    error are added to the sum."""
+    half = lambda v: v * 134217729.0 - (v * 134217729.0 - v)
+    p, ah, bh = a * b, half(a), half(b)
+    lost = ((ah * bh - p) + ah * (b - bh) + (a - ah) * bh) + (a - ah) * (b - bh)
+    s = p + c
+    back = s - p
+    exact = s + (((p - (s - back)) + (c - back)) + lost)
+    return F.when(F.greatest(F.abs(a), F.abs(c)) < 1e290, exact).otherwise(s)  # the halves of larger numbers overflow
+
+
+def _limits(values: DataFrame, tile: str, low: float, high: float) -> DataFrame:
+    """tile, lo, hi of values (tile, good, n: how often a tile has a value, null for those that do not
+    count): the percentiles, or the extremes where these are equal.  Between two values v and w
+    a percentile is v * (1 - d) + w * d, rounded as DuckDB's quantile_cont rounds it, since a
+    preview truncates what is computed from it."""
+    n = F.when(F.col("good").isNotNull(), F.col("n")).otherwise(0)
+    upto = F.sum(n).over(Window.partitionBy(tile).orderBy("good").rowsBetween(Window.unboundedPreceding, 0))
+    rows = values.select(tile, "good", upto.alias("__upto"), F.sum(n).over(Window.partitionBy(tile)).alias("__all"))
+    at = {"p": (F.col("__all") - 1) * F.lit(low), "q": (F.col("__all") - 1) * F.lit(high)}
+    least = lambda place: F.min(F.when(F.col("__upto") > place, F.col("good")))
+    found = rows.groupBy(tile).agg(
+        F.min("good").alias("mn"), F.max("good").alias("mx"), *[least(F.floor(v)).alias(f"{k}0") for k, v in at.items()], *[least(F.ceil(v)).alias(f"{k}1") for k, v in at.items()],
+        *[F.max(v - F.floor(v)).alias(f"{k}d") for k, v in at.items()],
+    )
+    point = lambda k: _summed_product(F.col(f"{k}0"), 1 - F.col(f"{k}d"), F.col(f"{k}1") * F.col(f"{k}d")).alias(k)
+    spread = F.col("q") > F.col("p")
+    found = found.select(tile, "mn", "mx", point("p"), point("q"))
+    return found.select(tile, F.when(spread, F.col("p")).otherwise(F.col("mn")).alias("lo"), F.when(spread, F.col("q")).otherwise(F.col("mx")).alias("hi"))
+
+
 def stretch_limits(counts: DataFrame, tile: str = "image_id", low: float = 0.01, high: float = 0.99, finite: bool = False) -> DataFrame:
     """tile, lo, hi of ``robust_stretch`` (with ``finite`` of ``unit_range``) from
     ``value_counts``; null where a tile has no valid value."""
     known = F.col("dn").isNotNull() & ~F.isnan("dn") & (F.abs("dn") != float("inf"))
-    rows = counts.filter(known).withColumn("good", F.when(F.lit(finite) | ~F.col("bad"), F.col("dn")))
-    limits = rows.groupBy(tile).agg(F.percentile("good", F.array(F.lit(low), F.lit(high)), F.col("n")).alias("p"), F.min("good").alias("mn"), F.max("good").alias("mx"))
-    spread = F.col("p")[1] > F.col("p")[0]
-    return limits.select(tile, F.when(spread, F.col("p")[0]).otherwise(F.col("mn")).alias("lo"), F.when(spread, F.col("p")[1]).otherwise(F.col("mx")).alias("hi"))
+    rows = counts.filter(known).select(tile, F.when(F.lit(finite) | ~F.col("bad"), F.col("dn")).alias("good"), "n")
+    return _limits(rows, tile, low, high)
 
 
 def block_std(counts: DataFrame, limits: DataFrame, tile: str = "image_id") -> DataFrame:
@@ -129,10 +159,7 @@ def robust_stretch(pixels: DataFrame, tile: str, low: float = 0.01, high: float
     valid pixels: unit, u8, and the tile's std of 2 unit - 1 over all pixels.
     Constant and empty tiles have null."""
     good = F.when(~pixel_invalid(F.col("dn"), dtype), F.col("dn").cast("double"))
-    limits = pixels.groupBy(tile).agg(F.percentile(good, F.array(F.lit(low), F.lit(high))).alias("p"), F.min(good).alias("lo"), F.max(good).alias("hi"))
-    spread = F.col("p")[1] > F.col("p")[0]
-    lo, hi = F.when(spread, F.col("p")[0]).otherwise(F.col("lo")), F.when(spread, F.col("p")[1]).otherwise(F.col("hi"))
-    limits = limits.select(F.col(tile).alias("__t"), lo.alias("lo"), hi.alias("hi"))
+    limits = _limits(pixels.groupBy(tile, good.alias("good")).agg(F.count(F.lit(1)).alias("n")), tile, low, high).withColumnRenamed(tile, "__t")
     out = pixels.join(limits, F.col(tile) == F.col("__t")).drop("__t")
     unit = F.least(F.lit(1.0), F.greatest(F.lit(0.0), (F.col("dn") - F.col("lo")) / (F.col("hi") - F.col("lo"))))
     out = out.withColumn("unit", F.when(F.col("hi") > F.col("lo"), unit))

@@ -1,6 +1,8 @@
 """Block-table forms against the pixel forms and against numpy."""
 
+import duckdb
 import numpy as np
+import pandas as pd
 import pytest
 from pyspark.sql import functions as F
 
@@ -68,6 +70,23 @@ def test_previews_have_three_channels(spark):
     assert row.channels == 3 and (np.frombuffer(row.pixels, np.uint8).reshape(6, 6, 3) == want).all()
 
 
+@pytest.mark.parametrize("form", ["blocks", "pixels"])
+def test_percentiles_are_rounded_like_those_of_sql(spark, form):
+    """A preview truncates, so the last bit of a percentile decides over a level."""
+    rng = np.random.default_rng(8)
+    images = {i: rng.integers(0, 256, (1, int(rng.integers(2, 80)))).astype(np.uint8) for i in range(400)}
+    rows = pd.DataFrame([(i, float(v)) for i, a in images.items() for v in a.ravel()], columns=["i", "v"])
+    want = {i: (p, q) for i, p, q in duckdb.sql("SELECT i, quantile_cont(v, 0.01), quantile_cont(v, 0.99) FROM rows GROUP BY i").fetchall()}
+    if form == "blocks":
+        found = quality.stretch_limits(quality.value_counts(blocks_of(spark, images, 80)), finite=True)
+        got = {r.image_id: (r.lo, r.hi) for r in found.collect()}
+    else:
+        found = quality.robust_stretch(spark.createDataFrame(rows).withColumnRenamed("v", "dn"), "i", dtype="float64").select("i", "lo", "hi").distinct()
+        got = {r.i: (r.lo, r.hi) for r in found.collect()}
+    same = {i for i, (p, q) in want.items() if q > p}
+    assert len(same) > 390 and [got[i] for i in same] == [want[i] for i in same]
+
+
 def test_sweeps_against_numpy(spark):
     rng = np.random.default_rng(3)
     lab = np.kron(rng.integers(0, 4, (7, 9)), np.ones((8, 8), int)).astype(np.uint8)[:50, :66]
