@@ -70,3 +70,15 @@ def test_what_grows_with_images_is_not_broadcast(spark):
         got = df.collect()
         final = df._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0]
         assert (n is None or len(got) <= n) and got and final.count("BroadcastExchange") <= 1  # groups that ranges cut
+
+
+def test_pairs_of_a_crowded_place_are_many_tasks(spark, monkeypatch):
+    monkeypatch.setattr(tiling, "TOGETHER", 50)
+    n = 300
+    side = lambda p: spark.range(n, numPartitions=1).select(F.col("id").alias(p + "id"), *[F.when(F.col("id") < 280, F.lit(v)).otherwise(F.col("id") * 3 + v).cast("double").alias(p + c) for c, v in (("y0", 0), ("y1", 9), ("x0", 0), ("x1", 12))])
+    found = tiling.tiles_for_blocks(side("b_"), side("t_"), 4).withColumn("p", F.spark_partition_id())
+    got = found.select("b_id", "t_id", "b_y0", "t_x1", "p").collect()
+    first = lambda i: 0 if i < 280 else 3 * i
+    want = {(i, j) for i in range(n) for j in range(n) if abs(first(i) - first(j)) < 9}
+    assert len(got) == len(want) and {r[:2] for r in got} == want and all(r.b_y0 == first(r.b_id) and r.t_x1 == first(r.t_id) + 12 for r in got)
+    assert len({r.p for r in got}) >= 3
