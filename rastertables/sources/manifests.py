@@ -111,10 +111,14 @@ def write_tiles(tiles: DataFrame, path: str, overwrite: bool = False) -> None:
     tiles.hint("rebalance", "image_id").write.mode("overwrite" if overwrite else "append").partitionBy("image_id").parquet(path)
 
 
+#: Manifest rows repeat most of their text, so they are written compressed; a compressed file is read in one task, so it is bounded.
+PACKED = {"header": True, "compression": "gzip", "zlib.compress.level": "BEST_SPEED", "maxRecordsPerFile": 500_000}
+
+
 def write_manifest_index(manifest: DataFrame, path: str) -> None:
-    """The FIELDS of a manifest as CSV, which is the global index; its rows name
+    """The FIELDS of a manifest as compressed CSV, which is the global index; its rows name
     their image, so an image's manifest is a filter on ``source_image``."""
-    manifest.select(*FIELDS).write.mode("append").option("header", True).csv(path)
+    manifest.select(*FIELDS).write.mode("append").options(**PACKED).csv(path)
 
 
 # The columns of a preview manifest, in order.
@@ -125,10 +129,10 @@ PREVIEW = (
 
 
 def write_image_manifests(manifest: DataFrame, path: str) -> None:
-    """The FIELDS of a manifest as CSV in a folder for each image; a large image has several
+    """The FIELDS of a manifest as compressed CSV in a folder for each image; a large image has several
     files."""
     folder = F.regexp_replace(F.element_at(F.split("source_image", "/"), -1), r"\.[^.]*$", "").alias("image")
-    manifest.select(*FIELDS, folder).hint("rebalance", "image").write.mode("append").partitionBy("image").option("header", True).csv(path)
+    manifest.select(*FIELDS, folder).hint("rebalance", "image").write.mode("append").partitionBy("image").options(**PACKED).csv(path)
 
 
 def preview_manifest(manifest: DataFrame, picks: DataFrame, root: str = "previews") -> DataFrame:

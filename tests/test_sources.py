@@ -2,6 +2,7 @@ import io
 
 import numpy as np
 import pytest
+from pyspark.sql import functions as F
 
 from rastertables.operators.tiling import with_index
 from rastertables.sources import manifests as M
@@ -189,3 +190,16 @@ def test_the_data_source_prunes_ranges(spark, tmp_path):
     assert len(rows) == 8 and not any(r["error"] for r in rows)
     assert all((np.frombuffer(r["pixels"], np.uint16).reshape(100, 100) == image[r["y0"] : r["y0"] + 100, r["x0"] : r["x0"] + 100]).all() for r in rows)
     assert blocks.filter("image_id = 'b'").count() == 0
+
+
+def test_manifests_are_written_compressed(spark, tmp_path):
+    import glob
+    import os
+
+    kind = {n: F.lit("/data/i1.npy") if n in M.STRINGS else F.lit(7.0) if n in M.DOUBLES else F.lit(7) for n in M.FIELDS}
+    rows = spark.range(5000, numPartitions=1).select(*[v.alias(n) for n, v in (kind | {"row": F.col("id").cast("int")}).items()])
+    M.write_manifest_index(rows, f"{tmp_path}/index")
+    M.write_image_manifests(rows, f"{tmp_path}/images")
+    for top, found in (("index", M.read_patch_index(spark, f"{tmp_path}/index")), ("images", M.read_patch_index(spark, f"{tmp_path}/images/image=i1"))):
+        size = sum(os.path.getsize(f) for f in glob.glob(f"{tmp_path}/{top}/**/part-*", recursive=True))
+        assert size < 250_000 and found.select(*M.FIELDS).exceptAll(rows).count() == 0 and found.count() == 5000  # plain text is 1 MB
