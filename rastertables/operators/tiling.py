@@ -176,10 +176,16 @@ def batch_slice(files: DataFrame, start: int, count: int) -> DataFrame:
     return (ranked if count < 0 else ranked.filter(F.col("__rank") < start + count)).drop("__rank")
 
 
+#: Rows of a task that sorts, about.
+SORTED = 1_000_000
+
+
 def scan_order(records: DataFrame) -> DataFrame:
     """Records of an image together, in (row, col) order.  Tasks get ranges of this order, so
-    an image with most of the records is many tasks."""
-    return records.orderBy("image_id", "row", "col")
+    an image with most of the records is many tasks, and as many ranges as the records need,
+    so that a task sorts about ``SORTED`` of them at any size."""
+    n = max(int(records.sparkSession.conf.get("spark.sql.shuffle.partitions")), -(-records.count() // SORTED))
+    return records.repartitionByRange(n, "image_id", "row", "col").sortWithinPartitions("image_id", "row", "col")
 
 
 def follows_scan_order(records: DataFrame) -> DataFrame:

@@ -82,3 +82,9 @@ def test_pairs_of_a_crowded_place_are_many_tasks(spark, monkeypatch):
     want = {(i, j) for i in range(n) for j in range(n) if abs(first(i) - first(j)) < 9}
     assert len(got) == len(want) and {r[:2] for r in got} == want and all(r.b_y0 == first(r.b_id) and r.t_x1 == first(r.t_id) + 12 for r in got)
     assert len({r.p for r in got}) >= 3
+
+
+def test_a_task_sorts_a_bounded_number_of_records(spark, monkeypatch):
+    monkeypatch.setattr(tiling, "SORTED", 250)
+    ordered = tiling.scan_order(rows_of(spark))
+    assert ordered.rdd.getNumPartitions() == 12 and [r[:3] for r in ordered.collect()] == sorted(r[:3] for r in rows_of(spark).collect())
