@@ -43,10 +43,10 @@ def each_row(batches: Iterator[pa.RecordBatch], per: int = ROWS) -> Iterator[lis
             yield batch.slice(at, per).to_pylist()
 
 
-def mapped(rows: DataFrame, work: Callable[[Iterator[list[dict]]], Iterator[list[dict]]], schema: str, per: int = ROWS) -> DataFrame:
+def mapped(rows: DataFrame, work: Callable[[Iterator[list[dict]]], Iterator[list[dict]]], schema: str | StructType, per: int = ROWS) -> DataFrame:
     """``rows`` through ``work``, which gets lists of dicts and gives such lists, or columns as
     a dict of arrays."""
-    like = StructType.fromDDL(schema)
+    like = schema if isinstance(schema, StructType) else StructType.fromDDL(schema)
     names, form = like.names, to_arrow_schema(like)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -9,6 +9,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .exchange import as_array, fields, mapped
+
 FLOAT_NODATA = -3.0e38
 
 
@@ -26,11 +28,11 @@ def value_counts(blocks: DataFrame, tile: str = "image_id") -> DataFrame:
     of a block, 256 at most for 8-bit blocks, never a pixel."""
     kind = dict(blocks.dtypes)[tile]
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def work(lists: Iterator[list[dict]]) -> Iterator[dict]:
+        for rows in lists:
             keys, dns, counts, bads, pixels = [], [], [], [], []
-            for key, raw, dtype, h, w, c in zip(batch[tile], batch["pixels"], batch["dtype"], batch["h"], batch["w"], batch["channels"], strict=True):
-                a = np.frombuffer(raw, np.dtype(dtype)).reshape(int(h), int(w), int(c))
+            for r in rows:
+                a = as_array(r)
                 if a.dtype == np.uint8:
                     n = np.bincount(a.ravel(), minlength=256)
                     values = np.flatnonzero(n).astype(np.uint8)
@@ -38,14 +40,14 @@ def value_counts(blocks: DataFrame, tile: str = "image_id") -> DataFrame:
                 else:
                     values, n = np.unique(a[np.isfinite(a)], return_counts=True)
                 lost = int(_invalid(a).all(axis=2).sum())
-                keys += [key] * (len(values) + 1)
-                dns += [*values.astype(float), None]
-                counts += [*n, lost]
-                bads += [*_invalid(values), True]
-                pixels += [0] * len(values) + [int(h) * int(w)]
-            yield pd.DataFrame({"tile": keys, "dn": np.array(dns, dtype=object), "n": counts, "bad": bads, "pixels": pixels})
-
-    parts = blocks.select(tile, "pixels", "dtype", "h", "w", "channels").mapInPandas(run, f"tile {kind}, dn double, n long, bad boolean, pixels long")
+                keys += [r[tile]] * (len(values) + 1)
+                dns += [*values.astype(float).tolist(), None]
+                counts += [*n.tolist(), lost]
+                bads += [*_invalid(values).tolist(), True]
+                pixels += [0] * len(values) + [r["h"] * r["w"]]
+            yield {"tile": keys, "dn": dns, "n": counts, "bad": bads, "pixels": pixels}
+
+    parts = mapped(blocks.select(tile, "pixels", "dtype", "h", "w", "channels"), work, f"tile {kind}, dn double, n long, bad boolean, pixels long")
     return parts.groupBy(F.col("tile").alias(tile), "dn", "bad").agg(F.sum("n").alias("n"), F.sum("pixels").alias("pixels"))
 
 
@@ -110,20 +112,19 @@ def stretch_blocks(blocks: DataFrame, limits: DataFrame, tile: str = "image_id",
     empty tiles become zero."""
     schema = blocks.schema
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for b in batches:
-            pixels, kinds, channels = [], [], []
-            for raw, dtype, h, w, c, lo, hi in zip(b["pixels"], b["dtype"], b["h"], b["w"], b["channels"], b["lo"], b["hi"], strict=True):
-                a = np.frombuffer(raw, np.dtype(dtype)).reshape(int(h), int(w), int(c)).astype(float)
+    made = {"uint8": lambda u: np.rint(np.round(u * 255, 9)).astype(np.uint8), "preview": lambda u: np.floor(u * 255).astype(np.uint8), "float32": lambda u: u.astype(np.float32), "float64": lambda u: u}[out]
+
+    def work(lists: Iterator[list[dict]]) -> Iterator[list[dict]]:
+        for rows in lists:
+            done = []
+            for r in rows:
+                a, lo, hi = as_array(r).astype(float), r["lo"], r["hi"]
                 a = a[:, :, :3] if out == "preview" else a
                 unit = np.clip((a - lo) / (hi - lo), 0, 1) if hi is not None and hi > lo else np.zeros_like(a)
-                done = {"uint8": lambda u: np.rint(np.round(u * 255, 9)).astype(np.uint8), "preview": lambda u: np.floor(u * 255).astype(np.uint8), "float32": lambda u: u.astype(np.float32), "float64": lambda u: u}[out](unit)
-                pixels.append(np.ascontiguousarray(done).tobytes())
-                kinds.append(done.dtype.name)
-                channels.append(done.shape[2])
-            yield b.drop(columns=["lo", "hi"]).assign(pixels=pixels, dtype=kinds, channels=channels)[schema.names]
+                done.append(r | fields(made(unit)))
+            yield done
 
-    return blocks.join(limits, tile).select(*schema.names, "lo", "hi").mapInPandas(run, schema)
+    return mapped(blocks.join(limits, tile).select(*schema.names, "lo", "hi"), work, schema)
 
 
 def textured_tiles(tiles: DataFrame, key: str, most_zero: float = 0.02, least_std: float = 6.0, least_edge: float = 0.015) -> DataFrame:

@@ -14,7 +14,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .exchange import mapped, placed
+from .exchange import as_array, mapped, placed
 
 WINDOW = ["image_id", "window_id", "top", "left", "height", "width", "image_height", "image_width"]
 
@@ -197,13 +197,13 @@ def warp_to_grid(blocks: DataFrame, targets: DataFrame, source: dict, grid: dict
     cut = extract_windows(blocks, windows, block, "constant", nodata)
     known = targets.select("image_id", "window_id", F.col("row").alias("t_row"), F.col("col").alias("t_col"), F.col("h").alias("t_h"), F.col("w").alias("t_w"))
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for batch in batches:
+    def work(lists: Iterator[list[dict]]) -> Iterator[list[dict]]:
+        for some in lists:
             out = []
-            for _, r in batch.iterrows():
-                a = _array(r)
-                rows = (int(r["t_row"]), int(r["t_h"]), sy, oy, int(np.floor(r["t_row"] * sy + oy)) - halo_y, a.shape[0])
-                cols = (int(r["t_col"]), int(r["t_w"]), sx, ox, int(np.floor(r["t_col"] * sx + ox)) - halo_x, a.shape[1])
+            for r in some:
+                a = as_array(r)
+                rows = (r["t_row"], r["t_h"], sy, oy, int(np.floor(r["t_row"] * sy + oy)) - halo_y, a.shape[0])
+                cols = (r["t_col"], r["t_w"], sx, ox, int(np.floor(r["t_col"] * sx + ox)) - halo_x, a.shape[1])
                 valid = (a != nodata).astype(float)
                 mix = lambda v, k: np.einsum("ij,jkc,lk->ilc", _axis_weights(*rows, k), v, _axis_weights(*cols, k), optimize=True)  # noqa: B023, E731
                 weight = mix(valid, how)
@@ -212,10 +212,9 @@ def warp_to_grid(blocks: DataFrame, targets: DataFrame, source: dict, grid: dict
                 if a.dtype.kind in "ui":
                     value = np.clip(np.rint(value), np.iinfo(a.dtype).min, np.iinfo(a.dtype).max)
                 out.append({"image_id": r["image_id"], "window_id": r["window_id"], **_fields(value.astype(a.dtype))})
-            if out:
-                yield pd.DataFrame(out)
+            yield out
 
-    return cut.join(known, ["image_id", "window_id"]).mapInPandas(run, cut.schema)
+    return mapped(cut.join(known, ["image_id", "window_id"]), work, cut.schema)
 
 
 def stacked_surface(pairs: DataFrame, height: int, width: int) -> DataFrame:
