@@ -4,8 +4,8 @@
    n-grams; a 128-bit digest of the set and one hash per band go into a narrow
    table.  Texts of equal sets form a class that one row represents.
 2. Representatives meet on band hashes (the shuffle).  In each bucket all
-   members are compared with the bucket's least one on their full n-gram sets,
-   which links most of what belongs together with few comparisons.
+   members are compared with the bucket's least one on their full n-gram sets
+   (unless counts of n-grams by range of hashes already tell that they share too few), which links most of what belongs together with few comparisons.
 3. Connected components of these links.  In buckets that still hold more than
    one component, every member outside the commonest is compared with all
    members of other components, block by block, so no candidate pair that could
@@ -42,8 +42,12 @@ from .shingles import band_hashes, choose_bands, shingle_set
 NGRAM, SIMILARITY, RECALL, HASHES = 5, 0.8, 0.999, 128
 #: Members of a bucket's block; comparisons that share one copy of a set.
 BLOCK, SALT = 200, 1024
+#: Guests of a block that are compared at a time.
+VISITS = 400
 #: Members and bytes of n-gram sets of a component's block.
 COUNTED, COUNTED_BYTES = 400, 8 << 20
+#: Ranges of hashes whose n-grams are counted, and the largest count that is told.
+RANGES, MOST_COUNTED = 256, (1 << 16) - 1
 
 
 def signatures(rows: DataFrame, n: int, bands: int, band_rows: int) -> DataFrame:
@@ -63,11 +67,42 @@ def signatures(rows: DataFrame, n: int, bands: int, band_rows: int) -> DataFrame
 
 
 def _gram_sets(rows: DataFrame, n: int) -> DataFrame:
+    """rep, n (of n-grams), counts (of n-grams by range of hashes), grams."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            sets = [shingle_set(t, n) for t in batch["text"]]
+            yield pd.DataFrame({"rep": batch["j_row"], "n": [len(x) for x in sets], "counts": [_counts(x) for x in sets], "grams": [x.tobytes() for x in sets]})
+
+    return rows.select("j_row", "text").mapInPandas(run, "rep long, n long, counts binary, grams binary")
+
+
+def _counts(grams: np.ndarray) -> bytes:
+    found = np.bincount((grams >> np.uint64(64 - RANGES.bit_length() + 1)).astype(np.int64), minlength=RANGES)
+    return np.minimum(found, MOST_COUNTED).astype(np.uint16).tobytes()
+
+
+def _may_be_similar(n_a: np.ndarray, n_b: np.ndarray, counts_a: np.ndarray, counts_b: np.ndarray, similarity: float) -> np.ndarray:
+    """Which sets may be at or above ``similarity``: two sets share at most the lesser count of
+    every range, so none that is ruled out is similar.  Counts that may be cut rule nothing out."""
+    least, most = np.minimum(n_a, n_b), np.maximum(n_a, n_b)
+    both = np.where(most > MOST_COUNTED, least, np.minimum(counts_a, counts_b).sum(axis=-1, dtype=np.int64))
+    return (least >= similarity * most - 1e-6) & (both >= similarity * (n_a + n_b - both) - 1e-6)
+
+
+def _matrix(counts: pd.Series) -> np.ndarray:
+    return np.frombuffer(b"".join(counts), np.uint16).reshape(-1, RANGES)
+
+
+def _possible(pairs: DataFrame, similarity: float) -> DataFrame:
+    """(a, b, k) of the rows (a, b, k, n_a, n_b, counts_a, counts_b) that may be similar."""
+
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            yield pd.DataFrame({"rep": batch["j_row"], "grams": [shingle_set(t, n).tobytes() for t in batch["text"]]})
+            keep = _may_be_similar(batch["n_a"].to_numpy(), batch["n_b"].to_numpy(), _matrix(batch["counts_a"]), _matrix(batch["counts_b"]), similarity)
+            yield batch.loc[keep, ["a", "b", "k"]]
 
-    return rows.select("j_row", "text").mapInPandas(run, "rep long, grams binary")
+    return pairs.mapInPandas(run, "a long, b long, k int")
 
 
 def _verified(pairs: DataFrame, similarity: float) -> DataFrame:
@@ -123,30 +158,59 @@ def _similar(left: list[bytes], right: list[bytes], similarity: float) -> np.nda
     return shared >= similarity * total - 1e-9
 
 
-def _cross_links(members: DataFrame, similarity: float) -> DataFrame:
-    """Links between components within buckets.  members: bucket, rep, comp,
-    main (the bucket's commonest component), size, grams.  Each member has a
-    home block; members outside the commonest component visit all blocks, and
-    for each component they are similar to there, one link is returned."""
+def _in_blocks(members: DataFrame, columns: list[str]) -> DataFrame:
+    """Members of buckets (bucket, rep, comp, main, size) with ``columns``, dealt out by
+    bucket and block: each has a home block, and those outside the bucket's commonest
+    component ``main`` visit all blocks as guests."""
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     home = F.pmod(F.xxhash64("rep"), blocks).cast("int")
     rows = members.withColumn("guest", F.lit(False)).withColumn("block", home)
     guests = members.filter("comp <> main").withColumn("guest", F.lit(True)).withColumn("block", F.explode(F.sequence(F.lit(0), blocks - 1)))
-    rows = rows.unionByName(guests).select("bucket", "block", "rep", "comp", "guest", "grams")
-    rows = rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+    rows = rows.unionByName(guests).select("bucket", "block", "rep", "comp", "guest", *columns)
+    return rows.repartition("bucket", "block").sortWithinPartitions("bucket", "block")
+
+
+def _visits(batches: Iterator[pd.DataFrame]) -> Iterator[tuple[pd.DataFrame, pd.DataFrame]]:
+    """Up to VISITS guests and the members they are compared with."""
+    for group in _groups(batches, ["bucket", "block"]):
+        stay, visit = group[~group["guest"]], group[group["guest"]]
+        for low in range(0, len(visit) if len(stay) else 0, VISITS):
+            yield visit.iloc[low : low + VISITS], stay
+
+
+def _maybe_linked(members: DataFrame, similarity: float) -> DataFrame:
+    """bucket, rep of the members that may be similar to one of another component in
+    their bucket.  members: bucket, rep, comp, main, size, n, counts."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for visit, stay in _visits(batches):
+            n, counts, rep = stay["n"].to_numpy(), _matrix(stay["counts"]), stay["rep"].to_numpy()
+            met = np.zeros(len(stay), dtype=bool)
+            guests = []
+            for own, comp, size, row in zip(visit["rep"], visit["comp"], visit["n"], _matrix(visit["counts"]), strict=True):
+                like = _may_be_similar(size, n, row, counts, similarity) & (stay["comp"].to_numpy() != comp)
+                met |= like
+                if like.any():
+                    guests.append(own)
+            yield pd.DataFrame({"bucket": stay["bucket"].iloc[0], "rep": np.unique(np.concatenate([np.array(guests, np.int64), rep[met]]))})
+
+    return _in_blocks(members, ["n", "counts"]).mapInPandas(run, "bucket long, rep long").distinct()
+
+
+def _cross_links(members: DataFrame, similarity: float) -> DataFrame:
+    """Links between components within buckets.  members: bucket, rep, comp,
+    main (the bucket's commonest component), size, grams.  For each component
+    that a guest is similar to in a block, one link is returned."""
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for group in _groups(batches, ["bucket", "block"]):
-            stay, visit = group[~group["guest"]], group[group["guest"]]
-            if not len(stay) or not len(visit):
-                continue
+        for visit, stay in _visits(batches):
             like = _similar(list(visit["grams"]), list(stay["grams"]), similarity)
             like &= visit["comp"].to_numpy()[:, None] != stay["comp"].to_numpy()[None, :]
             i, j = np.nonzero(like)
             found = pd.DataFrame({"a": visit["rep"].to_numpy()[i], "b": stay["rep"].to_numpy()[j], "c": stay["comp"].to_numpy()[j]})
             yield found.drop_duplicates(["a", "c"])[["a", "b"]]
 
-    return rows.mapInPandas(run, "a long, b long")
+    return _in_blocks(members, ["grams"]).mapInPandas(run, "a long, b long")
 
 
 def _link_counts(members: DataFrame, similarity: float) -> DataFrame:
@@ -181,17 +245,21 @@ def _link_counts(members: DataFrame, similarity: float) -> DataFrame:
     return rows.mapInPandas(run, "rep long, n long").groupBy("rep").agg(F.sum("n").alias("n"))
 
 
-def _star_pairs(met: DataFrame, sets: DataFrame) -> DataFrame:
-    """(a, b, grams_a, grams_b) of every member b of a bucket and its least one a.
-    A set that many others are compared with is copied, once for about SALT of
-    them, so that they do not meet in one task."""
+def _star_pairs(met: DataFrame) -> DataFrame:
+    """(a, b, k) of every member b of a bucket and its least one a.  What many others
+    are compared with is copied k times, once for about SALT of them, so that they do not
+    meet in one task."""
     copies = F.shiftleft(F.lit(1), 1) ** F.ceil(F.log2(F.ceil(F.col("size") / SALT)))
-    pairs = met.filter("rep <> low").groupBy(F.col("low").alias("a"), F.col("rep").alias("b")).agg(F.max(copies.cast("int")).alias("k"))
-    pairs = stored(pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")).cast("int")), "ngram-pairs")
-    left = pairs.select("a", "k").distinct().join(sets.select(F.col("rep").alias("a"), F.col("grams").alias("grams_a")), "a")
+    return met.filter("rep <> low").groupBy(F.col("low").alias("a"), F.col("rep").alias("b")).agg(F.max(copies.cast("int")).alias("k"))
+
+
+def _with_sets(pairs: DataFrame, sets: DataFrame, columns: list[str]) -> DataFrame:
+    """Pairs (a, b, k), a stored table, with ``columns`` of the sets of both, named by _a and _b."""
+    pairs = pairs.withColumn("salt", F.pmod(F.xxhash64("b"), F.col("k")).cast("int"))
+    side = lambda x: sets.select(F.col("rep").alias(x), *[F.col(c).alias(f"{c}_{x}") for c in columns])
+    left = pairs.select("a", "k").distinct().join(side("a"), "a")
     left = left.withColumn("salt", F.explode(F.sequence(F.lit(0), F.col("k") - 1)))
-    right = pairs.join(sets.select(F.col("rep").alias("b"), F.col("grams").alias("grams_b")), "b")
-    return right.join(left, ["a", "k", "salt"]).select("a", "b", "grams_a", "grams_b")
+    return pairs.join(side("b"), "b").join(left, ["a", "k", "salt"]).drop("salt")
 
 
 def numbered(docs: DataFrame) -> DataFrame:
@@ -209,21 +277,27 @@ def classes_of_rows(rows: DataFrame, n: int = NGRAM, similarity: float = SIMILAR
     first = F.min(F.struct(F.col("doc_id").isNull().alias("no_id"), "doc_id", "j_row")).alias("first")
     classes = signed.filter("digest IS NOT NULL").groupBy("digest").agg(F.min("j_row").alias("rep"), F.count(F.lit(1)).alias("copies"), F.first("bands").alias("bands"), first)
     classes = stored(classes, "ngram-classes")
-    met = stored(classes.select("rep", F.explode("bands").alias("bucket")), "ngram-met")
+    met = classes.select("rep", F.explode("bands").alias("bucket"))
     buckets = stored(met.groupBy("bucket").agg(F.count(F.lit(1)).alias("size"), F.min("rep").alias("low")).filter("size > 1"), "ngram-sizes")
     met = stored(split_join(met, buckets, "bucket", "size"), "ngram-buckets")
     # The sets of candidates are made again from their texts, which a bounded
     # filter finds where they are; it may let more rows through than needed.
     likely = Likely(stored(met.select(F.xxhash64("rep").alias("h")).distinct(), "ngram-wanted"), "ngram-likely")
     sets = stored(_gram_sets(likely.mark(rows.select("j_row", "text"), F.xxhash64("j_row"), "j_likely").filter("j_likely"), n), "ngram-sets")
-    links = stored(_verified(_star_pairs(met, sets), similarity), "ngram-links")
+    pairs = stored(_star_pairs(met), "ngram-pairs")
+    pairs = stored(_possible(_with_sets(pairs, sets, ["n", "counts"]), similarity), "ngram-possible")
+    links = stored(_verified(_with_sets(pairs, sets, ["grams"]).drop("k"), similarity), "ngram-links")
     comps = components(links)
     met = met.filter("size > 2").join(comps, F.col("rep") == F.col("node"), "left").select("bucket", "rep", "size", F.coalesce("component", "rep").alias("comp"))
     met = stored(met, "ngram-members")
     mixed = met.groupBy("bucket").agg(F.min("comp").alias("x"), F.max("comp").alias("y")).filter("x <> y").select("bucket")
     mixed = split_join(met, buckets.join(mixed, "bucket", "left_semi").select("bucket", F.col("size").alias("all")), "bucket", "all")
     mixed = stored(mixed.groupBy("bucket").agg(F.mode("comp", True).alias("main"), F.count(F.lit(1)).alias("all")), "ngram-mixed")
-    more = stored(_cross_links(split_join(met, mixed, "bucket", "all").join(sets, "rep"), similarity), "ngram-more-links")
+    met = stored(split_join(met, mixed, "bucket", "all"), "ngram-mixed-members")
+    near = stored(_maybe_linked(met.join(sets.drop("grams"), "rep"), similarity), "ngram-near")
+    left = stored(near.groupBy("bucket").agg(F.count(F.lit(1)).alias("size")), "ngram-near-sizes")
+    near = split_join(met.drop("size").join(near, ["bucket", "rep"], "left_semi"), left, "bucket", "size")
+    more = stored(_cross_links(near.join(sets.select("rep", "grams"), "rep"), similarity), "ngram-more-links")
     if not more.isEmpty():
         comps = components(links.unionByName(more))
     comps = stored(comps, "ngram-components")
@@ -235,9 +309,9 @@ def classes_of_rows(rows: DataFrame, n: int = NGRAM, similarity: float = SIMILAR
     if counts:
         bytes_of = F.octet_length("grams")
         linked = stored(out.filter("size > 1").select("comp", "rep", "copies", "size"), "ngram-linked")
-        sized = linked.join(sets, "rep").groupBy("comp").agg(F.max("size").alias("n"), F.sum(bytes_of).alias("bytes"))
+        sized = linked.join(sets.select("rep", "grams"), "rep").groupBy("comp").agg(F.max("size").alias("n"), F.sum(bytes_of).alias("bytes"))
         sized = stored(sized.select("comp", "n", F.greatest(F.ceil(F.col("n") / COUNTED), F.ceil(F.col("bytes") / COUNTED_BYTES)).cast("int").alias("blocks")), "ngram-blocks")
-        members = split_join(linked.drop("size"), sized, "comp", "n").join(sets, "rep").select("comp", "rep", "copies", "blocks", "grams")
+        members = split_join(linked.drop("size"), sized, "comp", "n").join(sets.select("rep", "grams"), "rep").select("comp", "rep", "copies", "blocks", "grams")
         found = _link_counts(members, similarity).withColumnRenamed("rep", "l_rep")
         out = out.join(found, F.col("rep") == F.col("l_rep"), "left").withColumn("n_links", F.coalesce("n", F.lit(0)) + F.col("copies") - 1)
     else:
