@@ -23,6 +23,7 @@ other columns are kept; no rows give no rows.
 from __future__ import annotations
 
 import re
+from array import array
 from collections.abc import Iterable, Iterator
 from functools import lru_cache
 
@@ -38,8 +39,9 @@ from .common import small_batches
 MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, USER, UNUSED, BYTE = 1, 2, 4, 5, 6
-#: Characters of words that are kept with their ids, and pairs of pieces judged, in a Python worker.
-CACHE, PAIRS = 500_000, 100_000
+#: Characters of words that are kept with their ids (twice: those seen lately and those before),
+#: and pairs of pieces judged, in a Python worker.
+CACHE, PAIRS = 1_000_000, 100_000
 #: Texts encoded at a time within a batch.
 ROWS = 128
 
@@ -63,32 +65,35 @@ class Vocabulary:
         self.scores = [p.score for p in proto.pieces]
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
-        self.tails = {name[i:] for name in self.ids for i in range(len(name))}
+        self.tails = {name[i:]: None for name in self.ids for i in range(len(name))}
         self.words = re.compile(self._cuts())
         order = sorted(self.ids, key=lambda p: -self.scores[self.ids[p]])
         self.ranks = {p: i for i, p in enumerate(order)}
-        self.judged: dict[str, dict[str, bool]] = {p: {} for p in self.ids}
+        #: Of every tail of a piece None, of every piece what may stand before it.
+        self.judged: dict[str, dict[str, bool] | None] = self._unjudged()
         self.pairs = 0
-        #: Ids of the words seen lately, and how many characters they have.
+        #: Ids of the words seen lately and before, and how many characters the former have.
         self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.held = 0
         self.raw = [bytes([int(p.piece[3:5], 16)]) if p.type == BYTE else p.piece.replace(MARK, " ").encode() if p.type in own else b"" for p in proto.pieces]
 
     def _cuts(self) -> str:
         """A pattern that cuts marked texts only where no piece spans the cut:
-        before marks, at line ends, and before punctuation that no piece has
-        after another character."""
+        before marks, at line ends, and before punctuation after a character
+        that no piece has before punctuation."""
         if any(MARK in name.lstrip(MARK) for name in self.ids):
             return "(?s).+"
         if any("\n" in name for name in self.ids):
             return f"{MARK}*[^{MARK}]+|{MARK}+"
-        marks, size = set(",.;:!?*%&$#|)]}>\"'"), -1
-        while len(marks) != size:
-            size = len(marks)
-            marks -= {y for name in self.ids for x, y in zip(name, name[1:]) if y in marks and x not in marks and x != MARK}
-        p = re.escape("".join(sorted(marks)))
-        last = f"|{MARK}*[{p}][^{MARK}\n]*" if marks else ""
-        return f"\n|{MARK}*[^{MARK}\n{p}]+{last}|{MARK}+"
+        marks = ",.;:!?*%&$#|)]}>\"'"
+        joined = {x for name in self.ids for x, y in zip(name, name[1:]) if y in marks} - {MARK}
+        p, before = re.escape(marks), re.escape("".join(sorted(joined | set(marks))))
+        run = f"[^{MARK}\n{p}]"
+        return f"\n|{MARK}*(?:{run}+|[{p}]+{run}*)(?:(?<=[{before}])[{p}]+{run}*)*|{MARK}+"
+
+    def _unjudged(self) -> dict[str, dict[str, bool] | None]:
+        return self.tails | {p: {} for p in self.ids}
 
     def apart(self, left: str, right: str) -> bool:
         """Whether merging neighbours of ``left + right`` by best score, leftmost
@@ -124,18 +129,18 @@ class Vocabulary:
             del last[shared + 1 :], total[shared + 1 :]
             step(word, shared + 1, last, total)
             before = word
-            yield word, np.array(self._ids(word, last), np.int32).tobytes()
+            yield word, array("i", self._ids(word, last)).tobytes()
 
     def _admissible(self, word: str, first: int, last: list[str], total: list[float]) -> None:
         """Extend the forward states of ``word`` by the admissible arcs."""
-        tails, judged = self.tails, self.judged
+        judged = self.judged
         for end in range(first, len(word) + 1):
             best = word[end - 1]
             for start in range(end - 1, -1, -1):
                 piece = word[start:end]
-                if piece not in tails:
+                if (known := judged.get(piece, False)) is False:
                     break
-                if (known := judged.get(piece)) is not None:
+                if known is not None:
                     left = last[start]
                     if (ok := known.get(left)) is None:
                         ok = known[left] = self.apart(left, piece)
@@ -145,7 +150,7 @@ class Vocabulary:
                         break
             last.append(best)
         if self.pairs > PAIRS:
-            self.judged, self.pairs = {p: {} for p in self.ids}, 0
+            self.judged, self.pairs = self._unjudged(), 0
 
     def _best(self, word: str, first: int, last: list[str], total: list[float]) -> None:
         """Extend the forward states of ``word`` by the arcs of best score sum."""
@@ -177,13 +182,14 @@ class Vocabulary:
         return self.words.findall((MARK if self.prefix else "") + text.replace(" ", MARK)) if text else []
 
     def encode(self, texts: Iterable[str | None]) -> list[np.ndarray]:
-        split, known = [self.marked(t or "") for t in texts], self.known
+        split = [self.marked(t or "") for t in texts]
         if self.held > CACHE:
-            known.clear()
-            self.held = 0
+            self.known, self.older, self.held = {}, self.known, 0
+        known, older = self.known, self.older
         new = {w for words in split for w in words if w not in known}
         self.held += sum(map(len, new)) + 8 * len(new)
-        known.update(self.encode_words(new))
+        known.update((w, older[w]) for w in new if w in older)
+        known.update(self.encode_words(w for w in new if w not in known))
         return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
 
     def decode(self, ids: Iterable[int]) -> str:
