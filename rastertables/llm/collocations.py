@@ -10,7 +10,9 @@ taken from the texts.
 A pass before that counts words and neighbouring pairs by their hashes, and a filter
 of a bounded size (``Maybe``) tells which may be frequent.  A phrase is
 frequent only if all its words and pairs are, so windows are cut (padded) at the
-first pair that the filter rules out and those of ruled-out words are left out.  That
+first pair that the filter rules out and those of ruled-out words are left out; a
+second pass counts what longer phrases then remain, by their hashes, for a second filter
+that cuts windows likewise.  That
 changes no frequent phrase's frequency; it only keeps the many windows that occur once
 or twice from being shuffled.  The filter may pass too much, and what is wrongly passed
 is too rare at the end.
@@ -113,16 +115,47 @@ def _pairs(hashes: np.ndarray, first: np.ndarray, second: np.ndarray) -> np.ndar
     return _mixed(hashes[first], hashes[second] + np.uint64(1))
 
 
-def hash_counts(texts: DataFrame, least: int, name: str) -> DataFrame:
+def _longer(hashes: np.ndarray, lead: np.ndarray) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For k from 2 on: k, the windows of more than k words, and the hashes of their first k + 1
+    words.  What is cut meanwhile is not in later ones."""
+    if lead.shape[1] > 2:
+        on = np.flatnonzero(lead[:, 2] >= 0)
+        so_far = _pairs(hashes, lead[on, 0], lead[on, 1])
+    for k in range(2, lead.shape[1]):
+        stay = lead[on, k] >= 0
+        on = on[stay]
+        so_far = _mixed(so_far[stay], hashes[lead[on, k]] + np.uint64(k))
+        yield k, on, so_far
+
+
+def _cut(hashes: np.ndarray, lead: np.ndarray, may: Maybe, longer: Maybe | None = None) -> np.ndarray:
+    """The windows whose first word may be frequent, padded from the first pair on that is ruled
+    out, or from the first word on with which the window's start is."""
+    lead = lead[may(hashes)[lead[:, 0]]] if len(hashes) else lead
+    for k in range(1, lead.shape[1]):
+        on = np.flatnonzero(lead[:, k] >= 0)
+        out = on[~may(_pairs(hashes, lead[on, k - 1], lead[on, k]))]
+        lead[out, k:] = -1
+    for k, on, found in _longer(hashes, lead) if longer is not None else ():
+        lead[on[~longer(found)], k:] = -1
+    return lead
+
+
+def hash_counts(texts: DataFrame, least: int, name: str, may: Maybe | None = None, most: int = 2) -> DataFrame:
     """A stored table of lang, hash, n: the hashes of words and neighbouring pairs that
-    occur ``least`` times (lang null), and all words of each language (hash null)."""
+    occur ``least`` times (lang null), and all words of each language (hash null).  With
+    ``may``, which tells words and pairs, the hashes of longer phrases of up to ``most`` words."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _collected(batches):
             lang = held.lang
-            _, hashes, lead = held.taken(2)
-            inside = lead[lead[:, 1] >= 0]
-            every = np.concatenate([hashes[lead[:, 0]], _pairs(hashes, inside[:, 0], inside[:, 1])])
+            _, hashes, lead = held.taken(most)
+            if may is not None:
+                every = [h for _, _, h in _longer(hashes, _cut(hashes, lead, may))]
+            else:
+                inside = lead[lead[:, 1] >= 0]
+                every = [hashes[lead[:, 0]], _pairs(hashes, inside[:, 0], inside[:, 1])]
+            every = np.concatenate(every)
             found, n = np.unique(every & np.uint64((1 << HASH_BITS) - 1), return_counts=True)
             yield pa.RecordBatch.from_pydict({"lang": [lang], "hash": pa.array([None], pa.int64()), "n": [len(lead)]})
             for at in range(0, len(found), SENT):
@@ -156,20 +189,16 @@ class Maybe:
         return (raw[(place >> np.uint64(3)).astype(np.int64)] >> (place & np.uint64(7)).astype(np.uint8) & 1).astype(bool)
 
 
-def lead_windows(texts: DataFrame, may: Maybe, most: int) -> DataFrame:
-    """lang, w1 to w<most> and n: the longest windows of words and pairs that may be
-    frequent, counted over what a task holds at once."""
+def lead_windows(texts: DataFrame, may: Maybe, longer: Maybe | None, most: int) -> DataFrame:
+    """lang, w1 to w<most> and n: the longest windows of words, pairs and longer phrases
+    that may be frequent, counted over what a task holds at once."""
     names = [f"w{k + 1}" for k in range(most)]
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for held in _collected(batches):
             lang = held.lang
             words, hashes, lead = held.taken(most)
-            lead = lead[may(hashes)[lead[:, 0]]] if len(hashes) else lead
-            for k in range(1, most):
-                on = np.flatnonzero(lead[:, k] >= 0)
-                out = on[~may(_pairs(hashes, lead[on, k - 1], lead[on, k]))]
-                lead[out, k:] = -1
+            lead = _cut(hashes, lead, may, longer)
             lead = lead[_order(lead, len(words))]
             first = np.flatnonzero(np.concatenate([[True], (lead[1:] != lead[:-1]).any(axis=1)])[: len(lead)])
             n, lead = np.diff(np.append(first, len(lead))), lead[first]
@@ -232,7 +261,10 @@ def collocations(docs: DataFrame, most: int = 4, least: int = 30, share: int = 8
     texts = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), "text")
     counts = hash_counts(texts, least, "collocation-hashes")
     maybe = Maybe.of(counts.filter("hash IS NOT NULL"))
-    phrases = phrase_counts(lead_windows(texts, maybe, most), most, least, "collocation-phrases")
+    longer = None
+    if most > 2:
+        longer = Maybe.of(hash_counts(texts, least, "collocation-longer", maybe, most).filter("hash IS NOT NULL"))
+    phrases = phrase_counts(lead_windows(texts, maybe, longer, most), most, least, "collocation-phrases")
     kept = lowest_cuts(phrases).join(inside_longer(phrases), ["lang", "phrase"], "left")
     kept = kept.filter(F.coalesce(F.col("longer").cast("decimal(20,0)") * 100 < F.col("a").cast("decimal(20,0)") * share, F.lit(True)))
     # A task sends its first rows of a language only.

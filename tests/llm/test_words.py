@@ -1,8 +1,8 @@
-"""Words of the encoder: where they are cut, and which are kept with their ids."""
+"""Words of the encoder: where they are cut, which are kept; windows of words that may be frequent."""
 
 from __future__ import annotations
 
-from rastertables.llm import pieces
+from rastertables.llm import collocations, pieces
 
 
 def test_words_are_cut_before_punctuation():
@@ -24,3 +24,16 @@ def test_words_seen_before_are_not_encoded_again(monkeypatch):
     for text in ("alpha beta", "alpha gamma", "alpha delta"):
         vocabulary.encode([text])
     assert seen.count("▁alpha") == 1 and len(vocabulary.known) <= 3 and len(vocabulary.older) <= 3
+
+
+def test_rare_long_phrases_are_cut_from_windows(spark):
+    """Of frequent words and pairs, windows keep only what may be frequent itself."""
+    texts = ["a b c d"] * 30 + [f"{x} b c {y}" for x, y in [("e", "f"), ("g", "h")] for _ in range(20)] + ["e b", "g b", "c f", "c h"] * 10
+    docs = spark.createDataFrame([("en", t) for t in texts], "lang string, text string").coalesce(1)
+    may = collocations.Maybe.of(collocations.hash_counts(docs, 30, "hashes").filter("hash IS NOT NULL"))
+    longer = collocations.Maybe.of(collocations.hash_counts(docs, 30, "longer", may, 4).filter("hash IS NOT NULL"))
+    found = {tuple(w for w in r[1:5] if w) for r in collocations.lead_windows(docs, may, longer, 4).collect()}
+    assert ("a", "b", "c", "d") in found and ("b", "c", "d") in found
+    assert ("e", "b") in found and not any(w[:3] == ("e", "b", "c") or w[:3] == ("b", "c", "f") for w in found)
+    got = {(r.phrase, r.a) for r in collocations.collocations(docs.withColumn("doc_id", docs.lang), share=200).collect()}
+    assert {("a b c d", 30), ("e b", 30), ("c f", 30), ("b c", 70)} <= got and not any(p.startswith("e b c") for p, _ in got)
