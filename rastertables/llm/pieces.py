@@ -4,14 +4,17 @@ Encoding walks the distinct marked words (runs of the space mark with what
 follows) of a batch of texts in sorted order, which is a depth-first walk of
 their trie: the forward states of the common prefix with the word before are
 kept, and only the rest of the word is scanned.  A forward state is, for one
-prefix, the piece its best segmentation ends with.
+prefix, the piece its best segmentation ends with, and the longest end of the
+prefix that begins a piece, which tells the arcs: the pieces the prefix ends with.
 
 In a unigram vocabulary the best arc has the highest score sum (Viterbi).  In a
 BPE vocabulary scores are merge ranks, whose sum means nothing; there, an arc is
 admissible only if the last piece of the shorter prefix and the new piece stay
 apart when the two are merged by themselves.  Exactly one arc is, since a
 segmentation is what merging gives if and only if every two neighbours of it
-are; so the forward pass gives exactly the ids that merging gives.
+are; so the forward pass gives exactly the ids that merging gives.  Each piece is
+merged once by itself; two neighbours stay apart if no merge across their border
+comes before the merges that were noted at their edges.
 
 Defined cases: null and empty texts have no ids; characters outside the
 vocabulary become bytes (or the unknown id without byte pieces); U+2581 in a
@@ -40,11 +43,16 @@ MODEL = "/opt/tokenizers/piece_bpe_32k.model"
 MARK = "▁"
 NORMAL, UNKNOWN, USER, UNUSED, BYTE = 1, 2, 4, 5, 6
 #: Characters of words that are kept with their ids (twice: those seen lately and those before),
-#: and pairs of pieces judged, in a Python worker.
-CACHE, PAIRS = 1_000_000, 100_000
+#: and pairs of pieces judged and steps between ends, in a Python worker.
+CACHE, PAIRS = 1_000_000, 400_000
 #: Texts encoded at a time within a batch.
 ROWS = 128
 
+#: Changes of a part of a piece at its edge: (rank, new part).
+Steps = list[tuple[int, str]]
+#: The longest end of a prefix that begins a piece: its text, the ends after a further character, its arcs.
+End = tuple[str, dict[str, "End"], list[tuple]]
+
 
 class Vocabulary:
     """What encoding needs of a model file: pieces, scores, byte ids."""
@@ -65,13 +73,14 @@ class Vocabulary:
         self.scores = [p.score for p in proto.pieces]
         self.bytes = {int(p.piece[3:5], 16): i for i, p in enumerate(proto.pieces) if p.type == BYTE}
         self.unknown = next(i for i, p in enumerate(proto.pieces) if p.type == UNKNOWN)
-        self.tails = {name[i:]: None for name in self.ids for i in range(len(name))}
+        self.sizes = [len(name) for name in self.names]
+        self.heads = {name[:i] for name in self.ids for i in range(len(name) + 1)}
         self.words = re.compile(self._cuts())
         order = sorted(self.ids, key=lambda p: -self.scores[self.ids[p]])
         self.ranks = {p: i for i, p in enumerate(order)}
-        #: Of every tail of a piece None, of every piece what may stand before it.
-        self.judged: dict[str, dict[str, bool] | None] = self._unjudged()
-        self.pairs = 0
+        self.never = len(self.names)
+        self.merged: dict[str, tuple[Steps, Steps] | None] = {}
+        self._forget()
         #: Ids of the words seen lately and before, and how many characters the former have.
         self.known: dict[str, bytes] = {}
         self.older: dict[str, bytes] = {}
@@ -92,88 +101,131 @@ class Vocabulary:
         run = f"[^{MARK}\n{p}]"
         return f"\n|{MARK}*(?:{run}+|[{p}]+{run}*)(?:(?<=[{before}])[{p}]+{run}*)*|{MARK}+"
 
-    def _unjudged(self) -> dict[str, dict[str, bool] | None]:
-        return self.tails | {p: {} for p in self.ids}
+    def _forget(self) -> None:
+        """Drop the ends met, and of every piece what may stand before it."""
+        self.ends: dict[str, End] = {}
+        self.judged: dict[int, dict[int, bool]] = {}
+        self.pairs = 0
 
-    def apart(self, left: str, right: str) -> bool:
-        """Whether merging neighbours of ``left + right`` by best score, leftmost
-        first, ends with just these two pieces (with ``right`` if ``left`` is "")."""
-        parts, rank, never, edge = list(left + right), self.ranks, len(self.names), len(left)
+    def merges(self, piece: str) -> tuple[Steps, Steps] | None:
+        """How merging ``piece`` by best score, leftmost first, changes its first
+        and its last part: (worst rank since the change before, new part) each,
+        ended by a rank that never comes.  None if it does not end with one part."""
+        if (known := self.merged.get(piece, False)) is not False:
+            return known
+        parts, rank, never = list(piece), self.ranks, self.never
         ranks = [rank.get(x + y, never) for x, y in zip(parts, parts[1:])]
-        while ranks:
-            best = min(ranks)
-            if best == never:
-                break
+        first, last, at_first, at_last = [], [], -1, -1
+        while ranks and (best := min(ranks)) != never:
             i = ranks.index(best)
-            if i == edge - 1:
-                return False
-            if i < edge:
-                edge -= 1
             parts[i] += parts.pop(i + 1)
+            at_first, at_last = max(at_first, best), max(at_last, best)
+            if i == 0:
+                first.append((at_first, parts[0]))
+                at_first = -1
+            if i == len(parts) - 1:
+                last.append((at_last, parts[i]))
+                at_last = -1
             del ranks[i]
             if i:
                 ranks[i - 1] = rank.get(parts[i - 1] + parts[i], never)
             if i < len(ranks):
                 ranks[i] = rank.get(parts[i] + parts[i + 1], never)
-        return len(parts) == (2 if left else 1)
+        found = self.merged[piece] = ([*first, (never, "")], [*last, (never, "")]) if len(parts) == 1 else None
+        return found
+
+    def apart(self, left: int, right: int) -> bool:
+        """Whether merging neighbours of the texts of two pieces, each of which
+        merges to itself, by best score, leftmost first, ends with just these two."""
+        before, after, rank, never = self.names[left], self.names[right], self.ranks, self.never
+        lefts, rights = iter(self.merges(before)[1]), iter(self.merges(after)[0])
+        x, y = before[-1], after[0]
+        (at_left, next_left), (at_right, next_right) = next(lefts), next(rights)
+        while True:
+            across = rank.get(x + y, never)
+            if at_left != never and at_left <= across and at_left <= at_right:
+                x = next_left
+                at_left, next_left = next(lefts)
+            elif across <= at_right:
+                return across == never
+            else:
+                y = next_right
+                at_right, next_right = next(rights)
+
+    def _end(self, text: str) -> End:
+        """The end ``text`` of a prefix: where characters lead, and its arcs from
+        the shortest on: (size, id, what may stand before it or, in a unigram
+        vocabulary, score)."""
+        if (known := self.ends.get(text)) is None:
+            arcs = [(len(p), self.ids[p]) for i in reversed(range(len(text))) if (p := text[i:]) in self.ids and not (self.bpe and self.merges(p) is None)]
+            known = self.ends[text] = text, {}, [(n, i, self.judged.setdefault(i, {-1: True}) if self.bpe else self.scores[i]) for n, i in arcs]
+        return known
+
+    def _step(self, end: End, char: str) -> End:
+        text = end[0] + char
+        while text not in self.heads:
+            text = text[1:]
+        self.pairs += 1
+        found = end[1][char] = self._end(text)
+        return found
 
     def encode_words(self, words: Iterable[str]) -> Iterator[tuple[str, bytes]]:
         """(word, packed ids) in sorted order, forward states shared between neighbours."""
-        step, before, last, total = self._admissible if self.bpe else self._best, "", [""], [0.0]
+        extend, before, ends, last, total = self._admissible if self.bpe else self._best, "", [self._end("")], [-1], [0.0]
         for word in sorted(words):
             shared = 0
             for x, y in zip(before, word):
                 if x != y:
                     break
                 shared += 1
-            del last[shared + 1 :], total[shared + 1 :]
-            step(word, shared + 1, last, total)
+            del ends[shared + 1 :], last[shared + 1 :], total[shared + 1 :]
+            extend(word[shared:], ends, last, total)
             before = word
             yield word, array("i", self._ids(word, last)).tobytes()
-
-    def _admissible(self, word: str, first: int, last: list[str], total: list[float]) -> None:
-        """Extend the forward states of ``word`` by the admissible arcs."""
-        judged = self.judged
-        for end in range(first, len(word) + 1):
-            best = word[end - 1]
-            for start in range(end - 1, -1, -1):
-                piece = word[start:end]
-                if (known := judged.get(piece, False)) is False:
-                    break
-                if known is not None:
-                    left = last[start]
-                    if (ok := known.get(left)) is None:
-                        ok = known[left] = self.apart(left, piece)
-                        self.pairs += 1
-                    if ok:
-                        best = piece
-                        break
-            last.append(best)
-        if self.pairs > PAIRS:
-            self.judged, self.pairs = self._unjudged(), 0
-
-    def _best(self, word: str, first: int, last: list[str], total: list[float]) -> None:
-        """Extend the forward states of ``word`` by the arcs of best score sum."""
-        for end in range(first, len(word) + 1):
-            best, score = word[end - 1], total[end - 1] - 1e6
-            for start in range(end - 1, -1, -1):
-                piece = word[start:end]
-                if piece not in self.tails:
+            if self.pairs > PAIRS:
+                self._forget()
+                before, ends, last, total = "", [self._end("")], [-1], [0.0]
+
+    def _admissible(self, rest: str, ends: list[End], last: list[int], total: list[float]) -> None:
+        """Extend the forward states of a word by the admissible arcs over ``rest``."""
+        end = ends[-1]
+        for char in rest:
+            end = end[1].get(char) or self._step(end, char)
+            for size, piece, known in end[2]:
+                left = last[-size]
+                if (ok := known.get(left)) is None:
+                    ok = known[left] = self.apart(left, piece)
+                    self.pairs += 1
+                if ok:
                     break
-                if piece in self.ids and total[start] + self.scores[self.ids[piece]] > score:
-                    best, score = piece, total[start] + self.scores[self.ids[piece]]
+            else:
+                piece = self.ids.get(char, -1)
+            ends.append(end)
+            last.append(piece)
+
+    def _best(self, rest: str, ends: list[End], last: list[int], total: list[float]) -> None:
+        """Extend the forward states of a word by the arcs of best score sum over ``rest``."""
+        end = ends[-1]
+        for char in rest:
+            end = end[1].get(char) or self._step(end, char)
+            best, score = self.ids.get(char, -1), total[-1] - 1e6
+            for size, piece, own in end[2]:
+                if total[-size] + own > score:
+                    best, score = piece, total[-size] + own
+            ends.append(end)
             last.append(best)
             total.append(score)
 
-    def _ids(self, word: str, last: list[str]) -> list[int]:
-        out, end = [], len(word)
+    def _ids(self, word: str, last: list[int]) -> list[int]:
+        out, end, sizes = [], len(word), self.sizes
         while end:
-            piece = last[end]
-            end -= len(piece)
-            if (i := self.ids.get(piece)) is not None:
+            if (i := last[end]) >= 0:
                 out.append(i)
-            elif self.bytes:
-                out.extend(self.bytes[b] for b in reversed(piece.encode("utf-8", "replace")))
+                end -= sizes[i]
+                continue
+            end -= 1
+            if self.bytes:
+                out.extend(self.bytes[b] for b in reversed(word[end].encode("utf-8", "replace")))
             else:
                 out.append(self.unknown)
         return out[::-1]
@@ -186,10 +238,11 @@ class Vocabulary:
         if self.held > CACHE:
             self.known, self.older, self.held = {}, self.known, 0
         known, older = self.known, self.older
-        new = {w for words in split for w in words if w not in known}
+        new = set().union(*split).difference(known)
         self.held += sum(map(len, new)) + 8 * len(new)
-        known.update((w, older[w]) for w in new if w in older)
-        known.update(self.encode_words(w for w in new if w not in known))
+        again = older.keys() & new
+        known.update(zip(again, map(older.__getitem__, again), strict=True))
+        known.update(self.encode_words(new - again))
         return [np.frombuffer(b"".join(map(known.__getitem__, words)), np.int32) for words in split]
 
     def decode(self, ids: Iterable[int]) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import random
+
 from rastertables.llm import collocations, pieces
 
 
@@ -26,6 +28,41 @@ def test_words_seen_before_are_not_encoded_again(monkeypatch):
     assert seen.count("▁alpha") == 1 and len(vocabulary.known) <= 3 and len(vocabulary.older) <= 3
 
 
+def test_no_pair_of_pieces_is_judged_twice(monkeypatch):
+    """More pairs than the cache held before are still judged once each."""
+    monkeypatch.setattr(pieces, "CACHE", 0)
+    vocabulary, calls = pieces.Vocabulary(pieces._model(pieces.MODEL)), []
+    plain = vocabulary.apart
+    monkeypatch.setattr(vocabulary, "apart", lambda *pair: calls.append(pair) or plain(*pair))
+    some = [name for name in vocabulary.ids if name.isascii() and name.isalpha() and len(name) == 3][:350]
+    for _ in range(2):
+        for x in some:
+            vocabulary.encode([" ".join(x + y for y in some)])
+    assert len(set(calls)) > 100_000 and len(calls) == len(set(calls))
+
+
+def test_neighbours_apart_against_merging(monkeypatch):
+    """Merges noted at the edges of two pieces tell what merging their texts gives."""
+    vocabulary, rng = pieces.Vocabulary(pieces._model(pieces.MODEL)), random.Random(6)
+
+    def merged(text):
+        parts, never = list(text), len(vocabulary.names)
+        while len(parts) > 1 and (best := min((vocabulary.ranks.get(x + y, never), i) for i, (x, y) in enumerate(zip(parts, parts[1:]))))[0] < never:
+            parts[best[1] : best[1] + 2] = ["".join(parts[best[1] : best[1] + 2])]
+        return parts
+
+    whole = [name for name in vocabulary.ids if merged(name) == [name]]
+    few = [name for name in whole if len(set(name)) == 1 and 1 < len(name) < 9] + [*"aeinst"] + rng.sample(whole, 150)
+    assert all((vocabulary.merges(name) is None) == (merged(name) != [name]) for name in vocabulary.ids)
+    found = {vocabulary.apart(vocabulary.ids[x], vocabulary.ids[y]) == (merged(x + y) == [x, y]) for x in few for y in few}
+    assert found == {True}
+    # forgetting between words changes nothing
+    texts = ["".join(rng.choices(whole, k=6)) for _ in range(50)] + ["aaaaaaa aa aaaa", "\u5b57\U0001f642 \ufb01a"]
+    before = [ids.tolist() for ids in vocabulary.encode(texts)]
+    monkeypatch.setattr(pieces, "PAIRS", 3)
+    assert [ids.tolist() for ids in pieces.Vocabulary(pieces._model(pieces.MODEL)).encode(texts)] == before
+
+
 def test_rare_long_phrases_are_cut_from_windows(spark):
     """Of frequent words and pairs, windows keep only what may be frequent itself."""
     texts = ["a b c d"] * 30 + [f"{x} b c {y}" for x, y in [("e", "f"), ("g", "h")] for _ in range(20)] + ["e b", "g b", "c f", "c h"] * 10
