@@ -7,7 +7,9 @@ row holds image_id, window_id, h, w, channels, dtype, pixels.
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
 import numpy as np
 import pandas as pd
@@ -159,21 +161,55 @@ def gaussian_smooth(tiles: DataFrame, sigma: float) -> DataFrame:
     return map_tiles(tiles, lambda a: smoothed(a, sigma))
 
 
-def _axis_weights(first: int, n: int, scale: float, shift: float, source_first: int, source_n: int, how: str) -> np.ndarray:
-    """n x source_n weights: target pixel i of an axis is centred on the source
-    coordinate (first + i + 0.5) * scale + shift."""
+@lru_cache(16)
+def _axis_taps(first: int, n: int, scale: float, shift: float, source_first: int, source_n: int, how: str) -> tuple[np.ndarray, np.ndarray]:
+    """n x taps places among ``source_n`` source pixels from ``source_first``, in ascending
+    order, and their weights: target pixel i of an axis is centred on the source coordinate
+    (first + i + 0.5) * scale + shift."""
     centre = ((np.arange(first, first + n) + 0.5) * scale + shift)[:, None]
-    own = np.arange(source_first, source_first + source_n)[None, :]
+    reach = int(2 * max(1.0, scale)) + 1
+    own = np.floor(centre).astype(int) + np.arange(-reach, reach + 1)[None, :]
     if how == "nearest":
-        return (np.floor(centre) == own).astype(float)
-    if how == "average":
+        k = (np.floor(centre) == own).astype(float)
+    elif how == "average":
         half = scale / 2
-        return np.clip(np.minimum(own + 1, centre + half) - np.maximum(own, centre - half), 0, None)
-    t = np.abs(own + 0.5 - centre) / max(1.0, scale)
-    if how == "bilinear":
-        return np.clip(1 - t, 0, None)
-    near, far = 1.5 * t**3 - 2.5 * t**2 + 1, -0.5 * t**3 + 2.5 * t**2 - 4 * t + 2
-    return np.where(t < 1, near, np.where(t < 2, far, 0.0))
+        k = np.clip(np.minimum(own + 1, centre + half) - np.maximum(own, centre - half), 0, None)
+    else:
+        t = np.abs(own + 0.5 - centre) / max(1.0, scale)
+        if how == "bilinear":
+            k = np.clip(1 - t, 0, None)
+        else:
+            t2, t3 = (np.array([math.pow(v, e) for v in t.flat]).reshape(t.shape) for e in (2, 3))
+            near, far = 1.5 * t3 - 2.5 * t2 + 1, -0.5 * t3 + 2.5 * t2 - 4 * t + 2
+            k = np.where(t < 1, near, np.where(t < 2, far, 0.0))
+    own = own - source_first
+    k = np.where((own >= 0) & (own < source_n), k, 0.0)
+    used = (k != 0).any(axis=0)
+    used[0] |= not used.any()
+    return np.clip(own[:, used], 0, source_n - 1), k[:, used]
+
+
+#: Products of weights and pixels that are added up at once, about.
+MIXED = 1 << 16
+
+
+def _mixed(a: np.ndarray, valid: np.ndarray, rows: tuple, cols: tuple) -> tuple[np.ndarray, np.ndarray]:
+    """Sums of weight * pixel and of weight over the valid pixels around each target pixel.
+    They are added up one by one in the order of rows and columns, as SQL does it over such
+    pixels, so that a mean midway between two whole numbers is rounded to the same one."""
+    (ys, ky), (xs, kx) = _axis_taps(*rows), _axis_taps(*cols)
+    shape = (len(ys), len(xs), a.shape[2])
+    total, weight = np.zeros(shape), np.zeros(shape)
+    taps = ys.shape[1] * xs.shape[1]
+    step = max(1, MIXED // max(1, taps * shape[1] * shape[2]))
+    added = lambda v: np.add.accumulate(v.reshape(taps, *v.shape[2:]), axis=0)[-1]
+    for at in range(0, shape[0], step):
+        part = slice(at, at + step)
+        near = ys[part].T[:, None, :, None], xs.T[None, :, None, :]
+        k = ky[part].T[:, None, :, None] * kx.T[None, :, None, :]
+        k = np.where(valid[near], k[..., None], 0.0)
+        total[part], weight[part] = added(k * a[near]), added(k)
+    return total, weight
 
 
 def warp_to_grid(blocks: DataFrame, targets: DataFrame, source: dict, grid: dict, block: int, how: str = "cubic", nodata: float = 0) -> DataFrame:
@@ -204,11 +240,12 @@ def warp_to_grid(blocks: DataFrame, targets: DataFrame, source: dict, grid: dict
                 a = as_array(r)
                 rows = (r["t_row"], r["t_h"], sy, oy, int(np.floor(r["t_row"] * sy + oy)) - halo_y, a.shape[0])
                 cols = (r["t_col"], r["t_w"], sx, ox, int(np.floor(r["t_col"] * sx + ox)) - halo_x, a.shape[1])
-                valid = (a != nodata).astype(float)
-                mix = lambda v, k: np.einsum("ij,jkc,lk->ilc", _axis_weights(*rows, k), v, _axis_weights(*cols, k), optimize=True)  # noqa: B023, E731
-                weight = mix(valid, how)
-                there = weight > 1e-9 if how == "average" else (mix(valid, "nearest") > 0) & (weight > 1e-9)
-                value = np.where(there, mix(a * valid, how) / np.where(there, weight, 1), nodata)
+                valid = a != nodata
+                total, weight = _mixed(a, valid, (*rows, how), (*cols, how))
+                there = weight > 1e-9
+                if how != "average":
+                    there &= _mixed(a, valid, (*rows, "nearest"), (*cols, "nearest"))[1] > 0
+                value = np.where(there, total / np.where(there, weight, 1), nodata)
                 if a.dtype.kind in "ui":
                     value = np.clip(np.rint(value), np.iinfo(a.dtype).min, np.iinfo(a.dtype).max)
                 out.append({"image_id": r["image_id"], "window_id": r["window_id"], **_fields(value.astype(a.dtype))})
