@@ -84,6 +84,16 @@ def test_pairs_of_a_crowded_place_are_many_tasks(spark, monkeypatch):
     assert len({r.p for r in got}) >= 3
 
 
+def test_pairs_are_made_block_by_block(spark):
+    """A compiled stage keeps all rows of one row of its input: two lists of 4096 rows would be 16 million pairs."""
+    side = lambda p: spark.range(40, numPartitions=1).select(F.col("id").alias(p + "id"), *[F.lit(v).cast("double").alias(p + c) for c, v in (("y0", 0), ("y1", 9), ("x0", 0), ("x1", 12))])
+    found = tiling.tiles_for_blocks(side("b_"), side("t_"), 4)
+    assert len(found.collect()) == 1600
+    plan = found._jdf.queryExecution().executedPlan().toString().split("Initial Plan")[0].splitlines()
+    made = {n: [x.strip(" :+-") for x in plan if "Generate" in x and f"{n}_rows" in x.split("[")[0]] for n in "bt"}
+    assert [len(x) for x in made.values()] == [1, 1] and made["t"][0].startswith("*(") and made["b"][0].startswith("Generate")
+
+
 def test_a_task_sorts_a_bounded_number_of_records(spark, monkeypatch):
     monkeypatch.setattr(tiling, "SORTED", 250)
     ordered = tiling.scan_order(rows_of(spark))
