@@ -189,7 +189,7 @@ def _axis_taps(first: int, n: int, scale: float, shift: float, source_first: int
     return np.clip(own[:, used], 0, source_n - 1), k[:, used]
 
 
-#: Products of weights and pixels that are added up at once, about.
+#: Values of a target that are mixed at once, about.
 MIXED = 1 << 16
 
 
@@ -198,17 +198,17 @@ def _mixed(a: np.ndarray, valid: np.ndarray, rows: tuple, cols: tuple) -> tuple[
     They are added up one by one in the order of rows and columns, as SQL does it over such
     pixels, so that a mean midway between two whole numbers is rounded to the same one."""
     (ys, ky), (xs, kx) = _axis_taps(*rows), _axis_taps(*cols)
-    shape = (len(ys), len(xs), a.shape[2])
-    total, weight = np.zeros(shape), np.zeros(shape)
-    taps = ys.shape[1] * xs.shape[1]
-    step = max(1, MIXED // max(1, taps * shape[1] * shape[2]))
-    added = lambda v: np.add.accumulate(v.reshape(taps, *v.shape[2:]), axis=0)[-1]
-    for at in range(0, shape[0], step):
+    total, weight = (np.zeros((len(ys), len(xs), a.shape[2])) for _ in range(2))
+    step = max(1, MIXED // max(1, len(xs) * a.shape[2]))
+    for at in range(0, len(ys), step):
         part = slice(at, at + step)
-        near = ys[part].T[:, None, :, None], xs.T[None, :, None, :]
-        k = ky[part].T[:, None, :, None] * kx.T[None, :, None, :]
-        k = np.where(valid[near], k[..., None], 0.0)
-        total[part], weight[part] = added(k * a[near]), added(k)
+        for y, wy in zip(ys[part].T, ky[part].T, strict=True):
+            a_y, valid_y, wy = a.take(y, 0), valid.take(y, 0), wy[:, None, None]
+            for x, wx in zip(xs.T, kx.T, strict=True):
+                k = wy * wx[:, None] * valid_y.take(x, 1)
+                weight[part] += k
+                k *= a_y.take(x, 1)
+                total[part] += k
     return total, weight
 
 
